@@ -30,20 +30,19 @@ from .common import read
 REMEMBERED, QUERY_BYTES, QUERY_ROWS, ROUNDS = 400_000, 400_000, 6_000_000, 64
 
 ROUND = """
-with recursive walk(step, word, pos, tok) as (
-  select 0, word, pos, tok from start
+with recursive walk(step, word, pos, tok, size) as (
+  select 0, word, pos, tok, size from start
   union all
-  select step + 1, word, pos, case when pair = best then merged else tok end
-  from (
-    select *, lag(pair) over (partition by word order by pos) as before
-    from (
-      select *, min(pair) over (partition by word) as best
-      from (
-        select step, word, pos, tok, merged, merged::bigint * 4294967296 + pos as pair
-        from (select *, lead(tok) over (partition by word order by pos) as nxt from walk)
-        left join merges on l = tok and r = nxt)))
-  where best is not null and before is distinct from best and step < {rounds})
-select word, pos, tok, step from walk qualify step = max(step) over (partition by word)
+  (with paired as (
+     select a.word, a.pos, b.pos as gone, merged, a.size + b.size as size, merged::bigint * 4294967296 + a.pos as rank
+     from walk a join walk b on b.word = a.word and b.pos = a.pos + a.size join merges on l = a.tok and r = b.tok),
+   best as (
+     select word, arg_min(pos, rank) as pos, arg_min(gone, rank) as gone, arg_min(merged, rank) as merged, arg_min(size, rank) as size
+     from paired group by word)
+   select step + 1, w.word, w.pos, case when w.pos = b.pos then merged else tok end, case when w.pos = b.pos then b.size else w.size end
+   from walk w join best b on w.word = b.word
+   where w.pos <> b.gone and step < {rounds}))
+select word, pos, tok, size, step from walk semi join (select word, max(step) as step from walk group by word) using (word, step)
 """
 
 
@@ -67,13 +66,14 @@ class WordCodec:
             join vocabulary a on a.hex = v.hex[1:cut] join vocabulary b on b.hex = v.hex[cut + 1:]""")
 
     def _final(self, words: np.ndarray, pos: np.ndarray, tok: np.ndarray) -> pa.Table:
-        done = []
+        """Rows (word, pos, tok) when no pair is left; ``pos`` counts a word's bytes."""
+        done, size = [], np.ones_like(pos)
         while len(words):
-            self.db.register("start", pa.table({"word": words, "pos": pos, "tok": tok}))
+            self.db.register("start", pa.table({"word": words, "pos": pos, "tok": tok, "size": size}))
             self.db.execute("create or replace temp table state as " + ROUND.format(rounds=ROUNDS))
-            done.append(self.db.execute("select word, pos, tok from state where step < ?", [ROUNDS]).to_arrow_table())
-            rest = self.db.execute("select word, pos, tok from state where step >= ?", [ROUNDS]).fetchnumpy()
-            words, pos, tok = (np.asarray(rest[c]) for c in ("word", "pos", "tok"))
+            done.append(self.db.sql(f"select word, pos, tok from state where step < {ROUNDS}").to_arrow_table())
+            rest = self.db.sql(f"select word, pos, tok, size from state where step >= {ROUNDS}").fetchnumpy()
+            words, pos, tok, size = (np.asarray(rest[c]) for c in ("word", "pos", "tok", "size"))
         return pa.concat_tables(done)
 
     def _encode_new(self, words: list[bytes]) -> Iterator[tuple[int, bytes, bytes]]:
