@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
+from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import BooleanType
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Runs of the six ASCII white-space characters part words.
@@ -16,16 +22,56 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 BROADCAST_ROWS = 100_000
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder: ``spark.checkpoint.dir``, or a temporary one only where that is unset (tests)."""
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="chatloom-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialises ``df`` in the session's shared checkpoint folder and cuts its lineage.
+    """Materialises ``df`` in the shared folder and cuts its lineage; Spark's cleaner removes the files."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def written(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """``df`` as a compressed table in the shared folder, and a function that removes it once no plan reads it any more."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+
+    def drop() -> None:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
-    The folder is ``spark.checkpoint.dir``; only where that is unset (tests) a
-    temporary folder is made.
+    return spark.read.schema(df.schema).parquet(path), drop
+
+
+#: Bits of the filter of ``maybe_among``: 1 MB, however many keys there are.
+FILTER_BITS = 23
+
+
+def maybe_among(keys: DataFrame, key: str) -> Callable[[Column], Column]:
+    """A test that all of ``keys`` pass and few others do, as long as they are not very many.
+
+    It spares rows without a partner the shuffle of a join; the join itself decides.
+    At most 256 rows of 4 KB come to the driver.
     """
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="chatloom-"))
-    return df.checkpoint()
+    at = F.xxhash64(key).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    parts = keys.select(at.alias("at")).groupBy(F.shiftright("at", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("at").bitwiseAND(F.lit(32767))).alias("bits"))
+    bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    for r in parts.collect():
+        bits[r["part"] * 4096 : (r["part"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
+    packed = bits.tobytes()
+
+    @pandas_udf(BooleanType())
+    def held(at: pd.Series) -> pd.Series:
+        x = at.to_numpy(np.int64)
+        return pd.Series((np.frombuffer(packed, np.uint8)[x >> 3] >> (x & 7)) & 1 == 1, index=at.index)
+
+    return lambda column: held(F.xxhash64(column).bitwiseAND(F.lit((1 << FILTER_BITS) - 1)))
 
 
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType
 
-from .common import cut, python_lower, python_words, read
+from .common import cut, maybe_among, python_lower, python_words, read
 from .components import label_components
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 3
@@ -105,12 +105,14 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id
     Rows that repeat a key within a component go as well; rows without a key stay.
     """
     parts = near_duplicates(docs, text, key, max_bits)
-    stay = parts.where(F.col(key) == F.col("component_id")).groupBy(key).agg(F.count("*").alias("_rows"))
-    kept = docs.join(stay.withColumnRenamed(key, "_key"), F.col(key) == F.col("_key"), "left").where(F.col("_key").isNotNull() | F.col(key).isNull())
-    if stay.where("_rows > 1").limit(1).count():
-        alone = kept.where((F.col("_rows") == 1) | F.col(key).isNull())
-        return alone.unionByName(kept.where("_rows > 1").dropDuplicates([key])).select(*docs.columns)
-    return kept.select(*docs.columns)
+    # A key goes when it is not its component's least, or when rows repeat it.
+    by_key = parts.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_rows"), F.count_if(F.col(key) != F.col("component_id")).alias("_later"))
+    touched = cut(by_key.where("_rows > 1 or _later > 0"))
+    held = docs.withColumn("_held", maybe_among(touched, "_key")(F.col(key)))
+    met = held.where("_held").join(touched, F.col(key) == F.col("_key"), "left")
+    alone = met.where(F.col("_key").isNull())
+    twice = met.where("_rows > _later and _rows > 1").dropDuplicates([key])
+    return held.where("not _held").select(*docs.columns).unionByName(alone.select(*docs.columns)).unionByName(twice.select(*docs.columns))
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

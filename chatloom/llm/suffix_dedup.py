@@ -23,9 +23,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .common import WORD, cut, python_words, read
+from .common import WORD, cut, join_null_safe, maybe_among, python_words, read, written
 
-LEAST, WINDOW, RUN = 50, 24, 4
+LEAST, WINDOW, RUN = 50, 40, 4
+LAST = 9223372036854775807
 _MULTIPLIER, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 SUFFIXES = ArrayType(StructType([StructField(n, LongType()) for n in ("core", "extended", "pos", "first", "last")]))
 
@@ -109,18 +110,23 @@ def repeated_passages(docs: DataFrame, text: str = "text", key: str = "doc_id",
     taken for one document only where their texts are equal; null keys come last.
     """
     own = docs.select(F.col(key).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("body"))
-    at = F.struct(F.col("doc").isNull().alias("none"), "doc", "pos")
-    found = cut(own.select("doc", F.inline(_suffixes(least, window, run)("body"))))
-    groups = found.groupBy("core").agg(F.count("*").alias("n"), F.min("extended").alias("low"), F.max("extended").alias("high"), F.min(at).alias("at"))
-    groups = groups.where("n > 1").select("core", (F.col("low") == F.col("high")).alias("alike"), "at")
-    shared = cut(found.join(groups, "core").select("doc", "pos", "first", "last", "alike", (at != F.col("at")).alias("again")))
+    place = F.struct(F.coalesce("doc", F.lit(LAST)).alias("doc"), "pos")
+    found, drop_found = written(own.select("doc", F.inline(_suffixes(least, window, run)("body"))))
+    groups = found.groupBy("core").agg(F.count("*").alias("n"), F.min("extended").alias("low"), F.max("extended").alias("high"), F.min(place).alias("least"))
+    groups = groups.where("n > 1").select("core", (F.col("low") == F.col("high")).alias("alike"), "least")
+    shared, drop_shared = written(found.join(groups, "core").select("doc", "first", "last", "alike", (place != F.col("least")).alias("again")))
+    drop_found()
+    asked = shared.where("not alike").groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("spans")).withColumnRenamed("doc", "_doc")
+    meant = own.where(maybe_among(shared.where("not alike"), "doc")(F.col("doc")))
+    hashed = meant.join(asked, F.col("doc").eqNullSafe(F.col("_doc"))).select("doc", F.inline(_passages(least)("body", "spans")))
+    passages, drop_passages = written(hashed.withColumnRenamed("first", "pos"))
+    counted = passages.groupBy("passage").agg(F.count("*").alias("n"), F.min(place).alias("least")).where("n > 1").drop("n")
+    single = passages.join(counted, "passage").select("doc", F.col("pos").alias("first"), F.col("pos").alias("last"), (place != F.col("least")).alias("again"))
     whole = shared.where("alike").select("doc", "first", "last", "again")
-    asked = shared.where("not alike").groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    passages = own.join(asked.withColumnRenamed("doc", "_doc"), F.col("doc").eqNullSafe(F.col("_doc"))).select("doc", F.inline(_passages(least)("body", "spans")))
-    passages = cut(passages.withColumnRenamed("first", "pos"))
-    counted = passages.groupBy("passage").agg(F.count("*").alias("n"), F.min(at).alias("at")).where("n > 1")
-    single = passages.join(counted, "passage").select("doc", F.col("pos").alias("first"), F.col("pos").alias("last"), (at != F.col("at")).alias("again"))
-    return whole.unionByName(single).withColumnRenamed("doc", key)
+    result = written(whole.unionByName(single).withColumnRenamed("doc", key))[0]
+    drop_shared()
+    drop_passages()
+    return result
 
 
 def spans(passages: DataFrame, key: str = "doc_id", least: int = LEAST) -> DataFrame:
@@ -138,12 +144,10 @@ def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", least: int
     stand at an earlier place too. Texts of fewer than ``least`` words, empty and null
     ones have none. Whole documents that repeat are passages like others.
     """
-    found = cut(repeated_passages(docs, text, key, least))
+    found = repeated_passages(docs, text, key, least)
     listed = F.sort_array(F.collect_list(F.struct("start", "stop")))
     every = spans(found, key, least).groupBy(key).agg(listed.alias("spans"))
     later = spans(found.where("again"), key, least).groupBy(key).agg(listed.alias("cut_spans"))
-    from .common import join_null_safe
-
     return join_null_safe(every, later, [key], "left").withColumn("cut_spans", F.coalesce("cut_spans", F.array().cast("array<struct<start:bigint,stop:bigint>>")))
 
 
@@ -171,12 +175,13 @@ def drop_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", least
     A document of which no word is left goes; one that had no words stays. An integer
     column n_chars, where there is one, gets the new length.
     """
-    found = repeats(docs, text, key, least).select(F.col(key).alias("_key"), "cut_spans").where(F.size("cut_spans") > 0)
-    joined = docs.join(found, docs[key].cast("long").eqNullSafe(F.col("_key")), "left")
+    found = cut(repeats(docs, text, key, least).select(F.col(key).alias("_key"), "cut_spans").where(F.size("cut_spans") > 0))
+    held = docs.withColumn("_held", maybe_among(found, "_key")(F.col(key).cast("long")))
+    joined = held.where("_held").join(found, F.col(key).cast("long").eqNullSafe(F.col("_key")), "left")
     changed = joined.withColumn("_new", F.when(F.col("cut_spans").isNotNull(), without_spans(F.col(text), F.col("cut_spans"))))
     kept = changed.where(F.col("cut_spans").isNull() | F.rlike("_new", F.lit(r"[^\x20\x09-\x0D]")))
     columns = [F.coalesce("_new", text).alias(text) if c == text else F.when(F.col("_new").isNotNull(), F.length("_new").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return kept.select(*columns)
+    return kept.select(*columns).unionByName(held.where("not _held").select(*docs.columns))
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
