@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import duckdb
 import numpy as np
@@ -27,22 +28,22 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from .common import read
 
 #: Words that a worker remembers; bytes of new words and rows of one query; rounds of one query.
-REMEMBERED, QUERY_BYTES, QUERY_ROWS, ROUNDS = 400_000, 400_000, 6_000_000, 64
+REMEMBERED, QUERY_BYTES, QUERY_ROWS, ROUNDS = 100_000, 200_000, 3_000_000, 64
 
+#: A row knows its word, byte position and token, and the token and position behind it.
 ROUND = """
-with recursive walk(step, word, pos, tok, size) as (
-  select 0, word, pos, tok, size from start
+with recursive walk(step, word, pos, tok, nxt, npos) as (
+  select 0, word, pos, tok, nxt, npos from start
   union all
-  (with paired as (
-     select a.word, a.pos, b.pos as gone, merged, a.size + b.size as size, merged::bigint * 4294967296 + a.pos as rank
-     from walk a join walk b on b.word = a.word and b.pos = a.pos + a.size join merges on l = a.tok and r = b.tok),
-   best as (
-     select word, arg_min(pos, rank) as pos, arg_min(gone, rank) as gone, arg_min(merged, rank) as merged, arg_min(size, rank) as size
-     from paired group by word)
-   select step + 1, w.word, w.pos, case when w.pos = b.pos then merged else tok end, case when w.pos = b.pos then b.size else w.size end
+  (with least_rank as (select word, min(code + pos) as best from walk join merges on l = tok and r = nxt group by word),
+   pair as (select w.word, w.pos, best >> 32 as merged, w.npos as gone from least_rank b join walk w on w.word = b.word and w.pos = best & 4294967295),
+   best as (select p.*, g.nxt as nxt2, g.npos as npos2 from pair p join walk g on g.word = p.word and g.pos = p.gone)
+   select step + 1, w.word, w.pos, (case when w.pos = b.pos then merged else tok end)::integer,
+          (case when w.pos = b.pos then nxt2 when w.npos = b.pos then merged else w.nxt end)::integer,
+          case when w.pos = b.pos then npos2 else w.npos end
    from walk w join best b on w.word = b.word
    where w.pos <> b.gone and step < {rounds}))
-select word, pos, tok, size, step from walk semi join (select word, max(step) as step from walk group by word) using (word, step)
+select word, pos, tok, nxt, npos, step from walk semi join (select word, max(step) as step from walk group by word) using (word, step)
 """
 
 
@@ -52,42 +53,44 @@ class WordCodec:
     def __init__(self, path: str) -> None:
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.ranks, self.known = ranks, {}
+        self.ranks, self.known, self.before = ranks, {}, {}
         self.byte_rank = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
-        vocabulary = pa.table({"rank": pa.array(list(ranks.values()), pa.int32()), "hex": [t.hex() for t in ranks]})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "256MB"})
+        vocabulary = pa.table({"rank": pa.array(list(ranks.values()), pa.int32()), "hex": [t.hex() for t in ranks], "id_hex": [r.to_bytes(4, "little").hex() for r in ranks.values()]})
         self.db.register("vocabulary_rows", vocabulary)
         self.db.execute("create table vocabulary as select * from vocabulary_rows")
         # Every way to cut a token into two tokens is a pair that may be merged to it.
         self.db.execute("""
             create table merges as
-            select a.rank as l, b.rank as r, v.rank as merged
+            select a.rank as l, b.rank as r, v.rank::bigint * 4294967296 as code
             from (select rank, hex, unnest(range(2, length(hex), 2)) as cut from vocabulary) v
             join vocabulary a on a.hex = v.hex[1:cut] join vocabulary b on b.hex = v.hex[cut + 1:]""")
 
-    def _final(self, words: np.ndarray, pos: np.ndarray, tok: np.ndarray) -> pa.Table:
-        """Rows (word, pos, tok) when no pair is left; ``pos`` counts a word's bytes."""
-        done, size = [], np.ones_like(pos)
-        while len(words):
-            self.db.register("start", pa.table({"word": words, "pos": pos, "tok": tok, "size": size}))
+    def _final(self, rows: pa.Table) -> pa.Table:
+        """Rows (word, pos, tok) when no pair is left; ``pos`` counts a word's bytes. Long words take several queries."""
+        done = []
+        while len(rows):
+            self.db.register("start", rows)
             self.db.execute("create or replace temp table state as " + ROUND.format(rounds=ROUNDS))
             done.append(self.db.sql(f"select word, pos, tok from state where step < {ROUNDS}").to_arrow_table())
-            rest = self.db.sql(f"select word, pos, tok, size from state where step >= {ROUNDS}").fetchnumpy()
-            words, pos, tok, size = (np.asarray(rest[c]) for c in ("word", "pos", "tok", "size"))
+            rows = self.db.sql(f"select word, pos, tok, nxt, npos from state where step >= {ROUNDS}").to_arrow_table()
         return pa.concat_tables(done)
 
-    def _encode_new(self, words: list[bytes]) -> Iterator[tuple[int, bytes, bytes]]:
+    def _encode_new(self, words: list[bytes]) -> list[tuple[int, bytes, bytes]]:
         """(place, ids as little-endian 32-bit numbers, decoded bytes) of each word."""
         raw = np.frombuffer(b"".join(words), np.uint8)
         sizes = np.array([len(w) for w in words])
         starts = np.cumsum(sizes) - sizes
-        place = np.repeat(np.arange(len(words), dtype=np.int64), sizes)
-        self.db.register("final", self._final(place, np.arange(len(raw), dtype=np.int64) - np.repeat(starts, sizes), self.byte_rank[raw]))
-        for word, ids, decoded in self._decoded("final"):
-            yield word, np.array(ids, "<u4").tobytes(), decoded
+        pos = np.arange(len(raw), dtype=np.int64) - np.repeat(starts, sizes)
+        tok = self.byte_rank[raw]
+        nxt = np.r_[tok[1:], np.int32(-1)].astype(np.int32)
+        nxt[starts + sizes - 1] = -1
+        rows = pa.table({"word": np.repeat(np.arange(len(words), dtype=np.int64), sizes), "pos": pos, "tok": tok, "nxt": nxt, "npos": pos + 1})
+        self.db.register("final", self._final(rows))
+        return self._decoded("final")
 
-    def _decoded(self, table: str) -> list[tuple[int, list[int], bytes]]:
-        return self.db.execute(f"select word, list(tok order by pos), unhex(string_agg(hex, '' order by pos)) from {table} join vocabulary on tok = rank group by word").fetchall()
+    def _decoded(self, table: str) -> list[tuple[int, bytes, bytes]]:
+        return self.db.execute(f"select word, unhex(string_agg(id_hex, '' order by pos)), unhex(string_agg(hex, '' order by pos)) from {table} join vocabulary on tok = rank group by word").fetchall()
 
     def decode(self, ids: list[int]) -> bytes:
         """The bytes of a list of ids; an id outside the vocabulary is an error."""
@@ -95,16 +98,22 @@ class WordCodec:
             return b""
         self.db.register("given", pa.table({"word": np.zeros(len(ids), np.int64), "pos": np.arange(len(ids)), "tok": np.array(ids, np.int32)}))
         found = self._decoded("given")
-        if not found or len(found[0][1]) != len(ids):
+        if not found or len(found[0][1]) != 4 * len(ids):
             raise ValueError("an id is not in the vocabulary")
         return found[0][2]
 
     def learn(self, words: set[str]) -> None:
-        """Makes ``known`` have the words; forgets all others when there are too many."""
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(words)
+        """Makes ``known`` have the words. When there are too many, those go that were not asked for since the last time."""
+        if len(self.known) + len(words) > REMEMBERED:
+            self.before, self.known = self.known, {}
+        before, known = self.before, self.known
+        new = []
+        for w in words:
+            if w not in known:
+                if w in before:
+                    known[w] = before[w]
+                else:
+                    new.append(w)
         asked: list[str] = []
         size = rows = 0
         for w in new:
@@ -126,14 +135,16 @@ class WordCodec:
             self.known[words[i]] = (ids, decoded)
 
 
-_CODECS: dict[str, WordCodec] = {}
-
-
-def codec(path: str) -> WordCodec:
-    """One for each worker process and file."""
-    if path not in _CODECS:
-        _CODECS[path] = WordCodec(path)
-    return _CODECS[path]
+@contextmanager
+def codec(path: str) -> Iterator[WordCodec]:
+    """One for each partition: what it holds goes with it, so that a worker that is used again starts empty."""
+    made = WordCodec(path)
+    try:
+        yield made
+    finally:
+        made.db.close()
+        made.known, made.before = {}, {}
+        pa.default_memory_pool().release_unused()
 
 
 #: Words of texts that are looked up together; a single text may have more.
@@ -147,18 +158,19 @@ def encode_texts(path: str, pattern: str):
     @pandas_udf(ENCODED)
     def encode(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         split = regex.compile(pattern).findall
-        for batch in texts:
-            rows: list[tuple[int, str, str]] = []
-            waiting: list[list[str]] = []
-            n = 0
-            for text in batch:
-                waiting.append(split(text or ""))
-                n += len(waiting[-1])
-                if n > WORDS_AT_ONCE:
-                    rows += _digests(codec(path), waiting)
-                    waiting, n = [], 0
-            rows += _digests(codec(path), waiting)
-            yield pd.DataFrame(rows, columns=[f.name for f in ENCODED], index=batch.index)
+        with codec(path) as c:
+            for batch in texts:
+                rows: list[tuple[int, str, str]] = []
+                waiting: list[list[str]] = []
+                n = 0
+                for text in batch:
+                    waiting.append(split(text or ""))
+                    n += len(waiting[-1])
+                    if n > WORDS_AT_ONCE:
+                        rows += _digests(c, waiting)
+                        waiting, n = [], 0
+                rows += _digests(c, waiting)
+                yield pd.DataFrame(rows, columns=[f.name for f in ENCODED], index=batch.index)
 
     return encode
 
@@ -185,13 +197,14 @@ def token_ids(path: str, pattern: str):
     @pandas_udf(ArrayType(LongType()))
     def ids(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         split = regex.compile(pattern).findall
-        for batch in texts:
-            out = []
-            for text in batch:
-                words = split(text or "")
-                codec(path).learn(set(words))
-                out.append(np.frombuffer(b"".join(codec(path).known[w][0] for w in words), "<u4").astype(np.int64))
-            yield pd.Series(out, index=batch.index)
+        with codec(path) as c:
+            for batch in texts:
+                out = []
+                for text in batch:
+                    words = split(text or "")
+                    c.learn(set(words))
+                    out.append(np.frombuffer(b"".join(c.known[w][0] for w in words), "<u4").astype(np.int64))
+                yield pd.Series(out, index=batch.index)
 
     return ids
 
@@ -201,8 +214,9 @@ def token_text(path: str):
 
     @pandas_udf(StringType())
     def text(ids: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in ids:
-            yield pd.Series([codec(path).decode(list(map(int, x))).decode("utf-8", "replace") if x is not None else None for x in batch], index=batch.index)
+        with codec(path) as c:
+            for batch in ids:
+                yield pd.Series([c.decode(list(map(int, x))).decode("utf-8", "replace") if x is not None else None for x in batch], index=batch.index)
 
     return text
 

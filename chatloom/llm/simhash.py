@@ -95,7 +95,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", ma
     links = cut(link_fingerprints(prints.select("bits"), max_bits).distinct())
     parts = label_components(prints.withColumnRenamed("bits", "node"), links)
     ends = links.select(F.explode(F.array("left", "right")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    known = parts.join(ends, "node", "left").select(F.col("node").alias("bits"), F.col("least").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    # Cut, so that both sides of the last join are plain shuffles, whose skewed partitions Spark splits.
+    known = cut(parts.join(ends, "node", "left").select(F.col("node").alias("bits"), F.col("least").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
     return slim.join(known, "bits", "left").select(key, "bits", "component_id", "n_links")
 
 

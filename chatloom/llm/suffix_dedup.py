@@ -113,19 +113,22 @@ def repeated_passages(docs: DataFrame, text: str = "text", key: str = "doc_id",
     place = F.struct(F.coalesce("doc", F.lit(LAST)).alias("doc"), "pos")
     found, drop_found = written(own.select("doc", F.inline(_suffixes(least, window, run)("body"))))
     groups = found.groupBy("core").agg(F.count("*").alias("n"), F.min("extended").alias("low"), F.max("extended").alias("high"), F.min(place).alias("least"))
-    groups = groups.where("n > 1").select("core", (F.col("low") == F.col("high")).alias("alike"), "least")
+    # Written, so that both sides of the join are plain shuffles, whose skewed partitions Spark splits.
+    groups, drop_groups = written(groups.where("n > 1").select("core", (F.col("low") == F.col("high")).alias("alike"), "least"))
     shared, drop_shared = written(found.join(groups, "core").select("doc", "first", "last", "alike", (place != F.col("least")).alias("again")))
     drop_found()
+    drop_groups()
     asked = shared.where("not alike").groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("spans")).withColumnRenamed("doc", "_doc")
     meant = own.where(maybe_among(shared.where("not alike"), "doc")(F.col("doc")))
     hashed = meant.join(asked, F.col("doc").eqNullSafe(F.col("_doc"))).select("doc", F.inline(_passages(least)("body", "spans")))
     passages, drop_passages = written(hashed.withColumnRenamed("first", "pos"))
-    counted = passages.groupBy("passage").agg(F.count("*").alias("n"), F.min(place).alias("least")).where("n > 1").drop("n")
+    counted, drop_counted = written(passages.groupBy("passage").agg(F.count("*").alias("n"), F.min(place).alias("least")).where("n > 1").drop("n"))
     single = passages.join(counted, "passage").select("doc", F.col("pos").alias("first"), F.col("pos").alias("last"), (place != F.col("least")).alias("again"))
     whole = shared.where("alike").select("doc", "first", "last", "again")
     result = written(whole.unionByName(single).withColumnRenamed("doc", key))[0]
     drop_shared()
     drop_passages()
+    drop_counted()
     return result
 
 
