@@ -49,13 +49,10 @@ def unread(stream: DataFrame) -> DataFrame:
     return stream.groupBy("session_id").agg(F.count_if(F.col("is_send") == 0).alias("unread"))
 
 
-def unread_since_read(stream: DataFrame, timeout_ms: int = 600_000) -> DataFrame:
-    """Running unread counts where rows of ``kind`` 'read' reset a session: keyed state of one number and the last read time."""
+def unread_since_read(stream: DataFrame) -> DataFrame:
+    """Running unread counts where rows of ``kind`` 'read' reset a session: keyed state of the last read time and the unread times."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:  # noqa: ANN001
-        if state.hasTimedOut:
-            state.remove()
-            return
         read_time, times = state.get if state.exists else (0, [])
         for rows in batches:
             reads = rows.loc[rows["kind"] == "read", "create_time"]
@@ -63,10 +60,9 @@ def unread_since_read(stream: DataFrame, timeout_ms: int = 600_000) -> DataFrame
             times = list(times) + [int(t) for t in rows.loc[(rows["kind"] != "read") & (rows["is_send"] == 0), "create_time"]]
             times = [t for t in times if t > read_time]
         state.update((read_time, times))
-        state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame({"session_id": [key[0]], "unread": [len(times)]})
 
-    return stream.groupBy("session_id").applyInPandasWithState(step, "session_id string, unread bigint", "read_time bigint, times array<bigint>", "update", "ProcessingTimeTimeout")
+    return stream.groupBy("session_id").applyInPandasWithState(step, "session_id string, unread bigint", "read_time bigint, times array<bigint>", "update", "NoTimeout")
 
 
 def message_events(rows: DataFrame) -> DataFrame:
