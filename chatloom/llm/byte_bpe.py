@@ -186,8 +186,13 @@ def _digests(c: WordCodec, texts: list[list[str]]) -> list[tuple[int, str, str]]
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
-    """Adds n_tokens, ids_sha256 and decoded_sha256 to ``docs``; ids are those of the tiktoken library without special tokens."""
-    return docs.withColumn("_e", encode_texts(path, pattern)(F.col(text))).select(*docs.columns, "_e.*")
+    """Adds n_tokens, ids_sha256 and decoded_sha256 to ``docs`` (columns of these names are replaced).
+
+    The ids are those of the tiktoken library without special tokens; null texts count
+    as empty and have no tokens.
+    """
+    kept = [c for c in docs.columns if c not in ENCODED.names]
+    return docs.withColumn("_e", encode_texts(path, pattern)(F.col(text))).select(*kept, "_e.*")
 
 
 def token_ids(path: str, pattern: str):

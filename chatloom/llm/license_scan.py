@@ -139,7 +139,7 @@ def _suppressed(found: Column) -> Column:
 
 
 def scan_licenses(docs: DataFrame, rules: list[Signature] | None = None, text: str = "text") -> DataFrame:
-    """Adds ``license_words`` and ``license_found`` (array of first, last, priority, label, base, kept) to ``docs``.
+    """Adds ``license_words`` and ``license_found`` and ``license_kept`` (arrays of first, last, priority, label, base) to ``docs``.
 
     Null and empty texts have no words and no detections. Rows and all other
     columns stay as they are. No shuffle; a text meets a rule only by its keyword.
@@ -161,9 +161,12 @@ def scan_licenses(docs: DataFrame, rules: list[Signature] | None = None, text: s
         all_of = F.when(F.rlike(n, F.lit(opening)), detections(n))
         return F.struct((_count(n) - 1).cast("long").alias("words"), let(all_of, lambda f: F.struct(f.alias("found"), F.when(f.isNotNull(), _suppressed(f)).alias("kept"))).alias("hits"))
 
-    return docs.withColumn("_scan", let(norm, scanned)).select(
-        "*", F.col("_scan.words").alias("license_words"), F.coalesce(F.col("_scan.hits.found"), F.array()).alias("license_found"), F.coalesce(F.col("_scan.hits.kept"), F.array()).alias("license_kept")
-    ).drop("_scan")
+    none = F.array().cast("array<struct<first:int,stop:int,below:int,label:string,base:boolean,last:int,priority:int>>")
+    return (
+        docs.withColumn("_scan", let(norm, scanned))
+        .withColumns({"license_words": F.col("_scan.words"), "license_found": F.coalesce(F.col("_scan.hits.found"), none), "license_kept": F.coalesce(F.col("_scan.hits.kept"), none)})
+        .drop("_scan")
+    )
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

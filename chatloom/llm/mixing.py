@@ -106,13 +106,13 @@ def mix(docs: DataFrame, share: float = SHARE, weights: dict[str, dict[str, int]
         F.max(F.when(F.col("upto") <= F.col("rest"), F.struct("h", "_key"))).alias("last"), F.min(F.expr(f"shiftleft(shiftright(h, {shift}), {shift})")).alias("edge")
     )
     ends = join_null_safe(plan, last, leaf, "left").select(*leaf, "whole", "last", "edge")
-    ends = bounded(cut(ends)).withColumnsRenamed({c: f"e{c}" for c in leaf})
-    h = order_hash(F.col(key), F.col("whole"), seed)
-    taken = (h < F.col("edge")) | F.coalesce((h < F.col("last.h")) | ((h == F.col("last.h")) & F.col(key).cast("long").isNotNull() & (F.col(key) <= F.col("last._key"))), F.lit(False))
-    copies = F.col("whole") + F.when(F.coalesce(taken, F.lit(False)), 1).otherwise(0)
-    out = docs.join(ends, on=[c.eqNullSafe(F.col(f"e{n}")) for n, c in tree.items()]).withColumn("_n", copies).where("_n > 0")
+    ends = bounded(cut(ends)).withColumnsRenamed({c: f"_end{c}" for c in leaf} | {c: f"_{c}" for c in ("whole", "last", "edge")})
+    h = order_hash(F.col(key), F.col("_whole"), seed)
+    upto = F.struct(h.alias("h"), F.col(key).alias("_key")) <= F.col("_last")
+    taken = F.coalesce((h < F.col("_edge")) | F.coalesce(upto, F.lit(False)), F.lit(False))
+    out = docs.join(ends, on=[c.eqNullSafe(F.col(f"_end{n}")) for n, c in tree.items()]).withColumn("_n", F.col("_whole") + F.when(taken, 1).otherwise(0)).where("_n > 0")
     extra = {"mix_tokens": count, "mix_epoch": F.explode(F.sequence(F.lit(0), (F.col("_n") - 1).cast("int")))}
-    return out.select(*[docs[c] for c in docs.columns], *[c.alias(n) for n, c in extra.items()])
+    return out.select(*[docs[c] for c in docs.columns if c not in extra], *[c.alias(n) for n, c in extra.items()])
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -178,11 +178,11 @@ def drop_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", least
     A document of which no word is left goes; one that had no words stays. An integer
     column n_chars, where there is one, gets the new length.
     """
-    found = cut(repeats(docs, text, key, least).select(F.col(key).alias("_key"), "cut_spans").where(F.size("cut_spans") > 0))
+    found = cut(repeats(docs, text, key, least).select(F.col(key).alias("_key"), F.col("cut_spans").alias("_cut")).where(F.size("_cut") > 0))
     held = docs.withColumn("_held", maybe_among(found, "_key")(F.col(key).cast("long")))
     joined = held.where("_held").join(found, F.col(key).cast("long").eqNullSafe(F.col("_key")), "left")
-    changed = joined.withColumn("_new", F.when(F.col("cut_spans").isNotNull(), without_spans(F.col(text), F.col("cut_spans"))))
-    kept = changed.where(F.col("cut_spans").isNull() | F.rlike("_new", F.lit(r"[^\x20\x09-\x0D]")))
+    changed = joined.withColumn("_new", F.when(F.col("_cut").isNotNull(), without_spans(F.col(text), F.col("_cut"))))
+    kept = changed.where(F.col("_cut").isNull() | F.rlike("_new", F.lit(r"[^\x20\x09-\x0D]")))
     columns = [F.coalesce("_new", text).alias(text) if c == text else F.when(F.col("_new").isNotNull(), F.length("_new").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return kept.select(*columns).unionByName(held.where("not _held").select(*docs.columns))
 
