@@ -25,25 +25,28 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import read
+from .common import read, small_batches
 
 #: Words that a worker remembers; bytes of new words and rows of one query; rounds of one query.
-REMEMBERED, QUERY_BYTES, QUERY_ROWS, ROUNDS = 100_000, 200_000, 3_000_000, 64
+REMEMBERED, QUERY_BYTES, QUERY_ROWS, ROUNDS = 350_000, 300_000, 6_000_000, 64
 
-#: A row knows its word, byte position and token, and the token and position behind it.
+#: A row knows its place (word and byte position in one number), its token, and the token and place behind it.
 ROUND = """
-with recursive walk(step, word, pos, tok, nxt, npos) as (
-  select 0, word, pos, tok, nxt, npos from start
+with recursive walk(step, place, tok, nxt, nplace) as (
+  select 0, place, tok, nxt, nplace from start
   union all
-  (with least_rank as (select word, min(code + pos) as best from walk join merges on l = tok and r = nxt group by word),
-   pair as (select w.word, w.pos, best >> 32 as merged, w.npos as gone from least_rank b join walk w on w.word = b.word and w.pos = best & 4294967295),
-   best as (select p.*, g.nxt as nxt2, g.npos as npos2 from pair p join walk g on g.word = p.word and g.pos = p.gone)
-   select step + 1, w.word, w.pos, (case when w.pos = b.pos then merged else tok end)::integer,
-          (case when w.pos = b.pos then nxt2 when w.npos = b.pos then merged else w.nxt end)::integer,
-          case when w.pos = b.pos then npos2 else w.npos end
-   from walk w join best b on w.word = b.word
-   where w.pos <> b.gone and step < {rounds}))
-select word, pos, tok, nxt, npos, step from walk semi join (select word, max(step) as step from walk group by word) using (word, step)
+  (with least_rank as (select place >> 32 as word, min(code + (place & 4294967295)) as best from walk join merges on l = tok and r = nxt group by 1),
+   pair as (
+     select word, w.place, best >> 32 as merged, w.nplace as gone
+     from (select word, best, (word << 32) + (best & 4294967295) as spot from least_rank) join walk w on w.place = spot),
+   best as (select p.*, g.nxt as nxt2, g.nplace as nplace2 from pair p join walk g on g.place = p.gone)
+   select step + 1, w.place, (case when w.place = b.place then merged else tok end)::integer,
+          (case when w.place = b.place then nxt2 when w.nplace = b.place then merged else w.nxt end)::integer,
+          case when w.place = b.place then nplace2 else w.nplace end
+   from walk w join best b on w.place >> 32 = b.word
+   where w.place <> b.gone and step < {rounds}))
+select place, tok, nxt, nplace, walk.step
+from walk semi join (select place >> 32 as word, max(step) as last from walk group by 1) on walk.place >> 32 = word and walk.step = last
 """
 
 
@@ -67,36 +70,35 @@ class WordCodec:
             join vocabulary a on a.hex = v.hex[1:cut] join vocabulary b on b.hex = v.hex[cut + 1:]""")
 
     def _final(self, rows: pa.Table) -> pa.Table:
-        """Rows (word, pos, tok) when no pair is left; ``pos`` counts a word's bytes. Long words take several queries."""
+        """Rows (place, tok) when no pair is left. Long words take several queries."""
         done = []
         while len(rows):
             self.db.register("start", rows)
             self.db.execute("create or replace temp table state as " + ROUND.format(rounds=ROUNDS))
-            done.append(self.db.sql(f"select word, pos, tok from state where step < {ROUNDS}").to_arrow_table())
-            rows = self.db.sql(f"select word, pos, tok, nxt, npos from state where step >= {ROUNDS}").to_arrow_table()
+            done.append(self.db.sql(f"select place, tok from state where step < {ROUNDS}").to_arrow_table())
+            rows = self.db.sql(f"select place, tok, nxt, nplace from state where step >= {ROUNDS}").to_arrow_table()
         return pa.concat_tables(done)
 
     def _encode_new(self, words: list[bytes]) -> list[tuple[int, bytes, bytes]]:
-        """(place, ids as little-endian 32-bit numbers, decoded bytes) of each word."""
+        """(index, ids as little-endian 32-bit numbers, decoded bytes) of each word."""
         raw = np.frombuffer(b"".join(words), np.uint8)
         sizes = np.array([len(w) for w in words])
         starts = np.cumsum(sizes) - sizes
-        pos = np.arange(len(raw), dtype=np.int64) - np.repeat(starts, sizes)
+        place = np.repeat((np.arange(len(words), dtype=np.int64) << 32) - starts, sizes) + np.arange(len(raw), dtype=np.int64)
         tok = self.byte_rank[raw]
         nxt = np.r_[tok[1:], np.int32(-1)].astype(np.int32)
         nxt[starts + sizes - 1] = -1
-        rows = pa.table({"word": np.repeat(np.arange(len(words), dtype=np.int64), sizes), "pos": pos, "tok": tok, "nxt": nxt, "npos": pos + 1})
-        self.db.register("final", self._final(rows))
+        self.db.register("final", self._final(pa.table({"place": place, "tok": tok, "nxt": nxt, "nplace": place + 1})))
         return self._decoded("final")
 
     def _decoded(self, table: str) -> list[tuple[int, bytes, bytes]]:
-        return self.db.execute(f"select word, unhex(string_agg(id_hex, '' order by pos)), unhex(string_agg(hex, '' order by pos)) from {table} join vocabulary on tok = rank group by word").fetchall()
+        return self.db.execute(f"select place >> 32, unhex(string_agg(id_hex, '' order by place)), unhex(string_agg(hex, '' order by place)) from {table} join vocabulary on tok = rank group by 1").fetchall()
 
     def decode(self, ids: list[int]) -> bytes:
         """The bytes of a list of ids; an id outside the vocabulary is an error."""
         if not ids:
             return b""
-        self.db.register("given", pa.table({"word": np.zeros(len(ids), np.int64), "pos": np.arange(len(ids)), "tok": np.array(ids, np.int32)}))
+        self.db.register("given", pa.table({"place": np.arange(len(ids)), "tok": np.array(ids, np.int32)}))
         found = self._decoded("given")
         if not found or len(found[0][1]) != 4 * len(ids):
             raise ValueError("an id is not in the vocabulary")
@@ -191,6 +193,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text
     The ids are those of the tiktoken library without special tokens; null texts count
     as empty and have no tokens.
     """
+    small_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c not in ENCODED.names]
     return docs.withColumn("_e", encode_texts(path, pattern)(F.col(text))).select(*kept, "_e.*")
 

@@ -30,6 +30,19 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+#: Rows and bytes of texts that go to a Python worker at a time.
+BATCH_ROWS, BATCH_BYTES = 1_000, 16 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches, where they are larger: whole texts, some very long, go to Python."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = int(re.sub(r"\D", "", spark.conf.get(key)) or 0)
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialises ``df`` in the shared folder and cuts its lineage; Spark's cleaner removes the files."""
     shared_folder(df.sparkSession)

@@ -21,7 +21,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
 from .calibration import Curve, fit_curve
-from .common import fold, read
+from .common import fold, read, small_batches
 
 #: Bytes of a piece; size of a dictionary; compression level.
 PIECE, DICTIONARY, LEVEL = 512, 112_640, 3
@@ -100,6 +100,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     With too little labelled text for a trained dictionary its raw bytes serve; without
     labels of both kinds the score is the share of label 1, or 0.5 without labels.
     """
+    small_batches(docs.sparkSession)
     sample = labelled_sample(docs, labels, label)
     pieces = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.expr(f"(length(text) - 1) div {PIECE_CHARS}"))), lambda i: F.struct(i.alias("i"), F.substring(F.col("text"), i * PIECE_CHARS + 1, F.lit(PIECE_CHARS)).alias("piece")))
     cut = sample.where("part = 1").select("doc_id", "y", F.inline(pieces)).withColumn("h", F.xxhash64("doc_id", "i"))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType
 
-from .common import cut, maybe_among, python_lower, python_words, read
+from .common import cut, maybe_among, python_lower, python_words, read, small_batches
 from .components import label_components
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 3
@@ -55,8 +55,13 @@ def segment_bounds(max_bits: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
+def _long(bits: int) -> Column:
+    """The literal of a 64-bit mask, with its sign."""
+    return F.lit(bits - (1 << 64) if bits >> 63 else bits).cast("long")
+
+
 def _segment(bits: Column, low: int, width: int) -> Column:
-    return F.shiftrightunsigned(bits, low).bitwiseAND(F.lit((1 << width) - 1))
+    return F.shiftrightunsigned(bits, low).bitwiseAND(_long((1 << width) - 1))
 
 
 def link_fingerprints(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
@@ -70,8 +75,8 @@ def link_fingerprints(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         value = _segment(F.col("bits"), low, width)
         whole.append(F.struct(F.lit(k).alias("segment"), value.alias("value")))
         for b in range(width):
-            one = value.bitwiseAND(F.lit(1 << b)) != 0
-            variants.append(F.struct(F.lit(k * 64 + b).alias("segment"), value.bitwiseAND(F.lit(((1 << width) - 1) & ~(1 << b))).alias("value"), one.alias("one")))
+            one = value.bitwiseAND(_long(1 << b)) != 0
+            variants.append(F.struct(F.lit(k * 64 + b).alias("segment"), value.bitwiseAND(_long(((1 << width) - 1) & ~(1 << b))).alias("value"), one.alias("one")))
     same = prints.select("bits", F.inline(F.array(*whole)))
     other = same.withColumnRenamed("bits", "right")
     equal = same.withColumnRenamed("bits", "left").join(other, ["segment", "value"]).where("left < right").select("left", "right")
@@ -90,6 +95,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", ma
     the different fingerprints linked to the row's own. Null keys are never the least
     key of a component that has another; a component of null keys alone has a null id.
     """
+    small_batches(docs.sparkSession)
     slim = cut(docs.select(F.col(key), simhash_long(F.col(text)).alias("bits")))
     prints = cut(slim.groupBy("bits").agg(F.min(key).cast("long").alias("least")))
     links = cut(link_fingerprints(prints.select("bits"), max_bits).distinct())

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .common import WORD, cut, join_null_safe, maybe_among, python_words, read, written
+from .common import cut, join_null_safe, maybe_among, python_words, read, small_batches, written, WORD
 
 LEAST, WINDOW, RUN = 50, 40, 4
 LAST = 9223372036854775807
@@ -109,6 +109,7 @@ def repeated_passages(docs: DataFrame, text: str = "text", key: str = "doc_id",
     ``again`` is false at the least place, by key and position. Rows of equal keys are
     taken for one document only where their texts are equal; null keys come last.
     """
+    small_batches(docs.sparkSession)
     own = docs.select(F.col(key).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("body"))
     place = F.struct(F.coalesce("doc", F.lit(LAST)).alias("doc"), "pos")
     found, drop_found = written(own.select("doc", F.inline(_suffixes(least, window, run)("body"))))

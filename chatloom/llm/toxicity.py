@@ -22,7 +22,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
 from .calibration import Curve, fit_curve
-from .common import cut, fold, python_lower, read
+from .common import cut, fold, python_lower, read, small_batches
 from .quality_classifier import label_weights, labelled_sample
 
 #: Bound of the labelled sample for each label; of the features; nearest examples; examples in a block.
@@ -193,6 +193,7 @@ def select_features(sample: DataFrame, limit: int = FEATURES) -> list[str]:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE_ROWS) -> Model:
     """Examples from one part of the labelled sample, the curve from the other; frequencies from all of ``docs``."""
+    small_batches(docs.sparkSession)
     sample = cut(labelled_sample(docs, labels, label, rows))
     terms = select_features(sample)
     frequencies, n_docs = {}, docs.count()
