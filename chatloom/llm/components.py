@@ -13,10 +13,11 @@ LAST = 9223372036854775807
 def label_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """From nodes (node, least) and links (left, right): (node, least) with the least of each node's component.
 
-    ``least`` is a long (null counts as the greatest). Every round takes the least
-    label among a node and its neighbours and then the label of that label's node, so
-    the rounds grow with the logarithm of a chain's length. Nodes without links take no part in
-    the rounds. Links are kept in the checkpoint folder; nothing is collected.
+    ``least`` is a long (null counts as the greatest). In every round a node hears the
+    least label of its neighbours, takes it, tells it to the node its own label comes
+    from, and takes that node's label; so labels reach the ends of long chains in
+    rounds that grow with the logarithm. Nodes without links take no part. Links are
+    kept in the checkpoint folder; nothing is collected.
     """
     both = links.select(F.col("left").alias("node"), F.col("right").alias("other")).unionByName(links.select(F.col("right").alias("node"), F.col("left").alias("other")))
     both = cut(both.distinct())
@@ -24,9 +25,11 @@ def label_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     linked = cut(own.join(both.select("node").distinct(), "node", "left_semi"))
     while True:
         heard = both.join(linked.select(F.col("node").alias("other"), F.col("label").alias("said")), "other").groupBy("node").agg(F.min("said").alias("said"))
-        near = linked.join(heard, "node").select("node", F.col("label").alias("old"), F.least("label", "said").alias("label"))
-        further = linked.select(F.col("node").alias("at"), F.col("label").alias("next"))
-        moved = near.withColumn("at", F.col("label.at")).join(further, "at", "left").select("node", "old", F.least("label", F.coalesce("next", "label")).alias("label"))
+        known = linked.join(heard, "node")
+        further = linked.select(F.col("node").alias("at"), F.col("label").alias("said"))
+        told = known.select("node", "said").unionByName(known.select(F.col("label.at").alias("node"), "said")).unionByName(linked.select("node", F.col("label.at").alias("at")).join(further, "at").select("node", "said"))
+        best = told.groupBy("node").agg(F.min("said").alias("said"))
+        moved = linked.join(best, "node").select("node", F.col("label").alias("old"), F.least("label", "said").alias("label"))
         moved = cut(moved)
         changed = moved.where(F.col("old") != F.col("label")).limit(1).count()
         linked = moved.drop("old")
