@@ -23,11 +23,15 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, case: np.ndarray, rounds: int = 5
 
 
 def pool_adjacent(x: np.ndarray, y: np.ndarray, case: np.ndarray) -> tuple[list[float], list[float]]:
-    """Isotonic regression: the ends of each pooled block and its share of ones, with one average case added."""
-    order = np.argsort(x, kind="stable")
+    """Isotonic regression: the ends of each pooled block and its share of ones, with one average case added.
+
+    Cases of equal x are one block from the start, whatever their order.
+    """
+    values, at = np.unique(x, return_inverse=True)
+    ones, cases = np.bincount(at, y * case), np.bincount(at, case)
     blocks: list[list[float]] = []  # ones, cases, first and last x
-    for v, t, c in zip(x[order].tolist(), y[order].tolist(), case[order].tolist()):
-        blocks.append([t * c, c, v, v])
+    for v, t, c in zip(values.tolist(), ones.tolist(), cases.tolist()):
+        blocks.append([t, c, v, v])
         while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
             b = blocks.pop()
             a = blocks[-1]
@@ -51,14 +55,14 @@ class Curve:
         return np.clip((1 - self.logistic_part) * np.interp(x, self.knots, self.shares) + self.logistic_part * smooth, 0, 1)
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray, of_label: dict[int, float] | None = None) -> Curve:
-    """Without cases: 0.5 for all; with cases of one kind: their share, smoothed, for all.
+def fit_curve(x: np.ndarray, y: np.ndarray, of_label: dict[int, float] | None = None, unknown: float = 0.5) -> Curve:
+    """Without cases: ``unknown`` for all; with cases of one kind: their share, smoothed, for all.
 
     ``of_label``: for how many cases one case of that label stands, where labels were
     sampled at different rates.
     """
     if not len(y):
-        return Curve((0.0,), (0.5,), 0.0, 0.0)
+        return Curve((0.0,), (unknown,), 0.0, 0.0, 0.0)
     if y.min() == y.max():
         share = float((y.sum() + 1) / (len(y) + 2))
         return Curve((0.0,), (share,), 0.0, float(np.log(share / (1 - share))))

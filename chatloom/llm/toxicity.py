@@ -192,7 +192,10 @@ def select_features(sample: DataFrame, limit: int = FEATURES) -> list[str]:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE_ROWS) -> Model:
-    """Examples from one part of the labelled sample, the curve from the other; frequencies from all of ``docs``."""
+    """Examples from one part of the labelled sample, the curve from the other; frequencies from all of ``docs``.
+
+    Without labels nothing speaks against a text: the score is 0.
+    """
     small_batches(docs.sparkSession)
     sample = cut(labelled_sample(docs, labels, label, rows))
     terms = select_features(sample)
@@ -207,7 +210,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
     examples = [(r["doc_id"], r["y"], r["text"]) for r in reduced.collect()]
     index = build_index(examples, terms, frequencies, n_docs)
     fitted = sample.where("part = 0").select("y", _judge(index, 0)("text")["vote"].alias("x")).toPandas()
-    return Model(index, fit_curve(fitted["x"].to_numpy(float), fitted["y"].to_numpy(float), label_weights(labels, label, rows)))
+    return Model(index, fit_curve(fitted["x"].to_numpy(float), fitted["y"].to_numpy(float), label_weights(labels, label, rows), unknown=0.0))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", evidence: int = 3) -> DataFrame:

@@ -254,3 +254,13 @@ def test_filter_keeps_all_keys(spark):
     held = maybe_among(keys, "k")
     kept = {r["id"] for r in spark.range(1000).where(held(F.col("id"))).collect()}
     assert set(range(0, 1000, 7)) <= kept and len(kept) < 160
+
+
+def test_calibration_pools_ties():
+    x = np.array([-1.0] * 10 + [0.5] * 4)
+    for order in (np.arange(14), np.arange(14)[::-1]):
+        y = np.array([0.0] * 9 + [1.0] + [1.0, 1.0, 1.0, 0.0])
+        curve = calibration.fit_curve(x[order], y[order])
+        assert curve(np.array([-1.0]))[0] < 0.2 < 0.6 < curve(np.array([0.5]))[0]
+    assert calibration.fit_curve(np.empty(0), np.empty(0))(np.zeros(1))[0] == 0.5
+    assert calibration.fit_curve(np.empty(0), np.empty(0), unknown=0.0)(np.zeros(1))[0] == 0.0
