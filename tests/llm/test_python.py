@@ -263,4 +263,3 @@ def test_calibration_pools_ties():
         curve = calibration.fit_curve(x[order], y[order])
         assert curve(np.array([-1.0]))[0] < 0.2 < 0.6 < curve(np.array([0.5]))[0]
     assert calibration.fit_curve(np.empty(0), np.empty(0))(np.zeros(1))[0] == 0.5
-    assert calibration.fit_curve(np.empty(0), np.empty(0), unknown=0.0)(np.zeros(1))[0] == 0.0
