@@ -21,8 +21,11 @@ SHARE = 1.0
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents with a toxicity of at least toxicity.THRESHOLD."""
-    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    """Rejects documents with a toxicity of at least toxicity.THRESHOLD; without any labels all stay."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    if labels.where("toxic is not null").isEmpty():
+        return docs
+    model = toxicity.train(docs, labels)
     return toxicity.score(docs, model, evidence=0).where(F.col("toxic_score") < toxicity.THRESHOLD).select(*docs.columns)
 
 
