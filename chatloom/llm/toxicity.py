@@ -1,18 +1,19 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
-
-The features are the words whose presence in the labelled sample is least likely by
-chance to differ so much between labels; their document frequencies are counted over all documents. Examples
-stand in blocks of similar ones; every word of the index knows the greatest weight in
-each block, so a text opens blocks in the order of their upper bounds and stops when
-no closed block can hold one of the K nearest. The votes of the K, weighted by
-cosine, go through a curve fitted on labelled documents that are no examples.
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine over an inverted index with greatest weights.
+
+Every word of the examples, and how it begins, is a term; document frequencies are
+counted over all documents. A term weighs more, the less likely by chance it is that
+its presence in the examples differs so much between labels; none is left out. Every
+term knows its greatest weight in any example, so a text reads the postings of its
+strongest terms first and stops when the others cannot lift an example among the K
+nearest; those that may be among them are compared in full. The votes of the K,
+weighted by cosine, go through a curve fitted on labelled documents that are no examples.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -25,13 +26,13 @@ from .calibration import Curve, fit_curve
 from .common import cut, fold, python_lower, read, small_batches
 from .quality_classifier import label_weights, labelled_sample
 
-#: Bound of the labelled sample for each label; of the features; nearest examples; examples in a block.
-SAMPLE_ROWS, FEATURES, K, BLOCK = 4_000, 200, 25, 64
-#: Lengths of word beginnings that may be features.
+#: Bound of the labelled sample for each label; nearest examples; examples in a dense block.
+SAMPLE_ROWS, K, BLOCK = 4_000, 25, 64
+#: Lengths of word beginnings that are terms.
 STEMS = range(3, 8)
 THRESHOLD = 0.3
-#: Chance that a word without any tie to the label becomes a feature, over all words together (Chernoff's bound).
-FALSE_FEATURES = 0.05
+#: Terms shown as evidence; strongest terms that a search reads first; words whose terms a worker remembers.
+WORDS, FIRST, REMEMBERED = 20, 32, 100_000
 _BLANKS = {i: " " for i in range(128) if not chr(i).isalnum()}
 
 
@@ -48,90 +49,162 @@ def terms_of(words: Iterable[str]) -> set[str]:
     return found
 
 
-@pandas_udf(ArrayType(StringType()))
-def all_terms(texts: pd.Series) -> pd.Series:
-    return pd.Series([sorted(terms_of(words_of(t))) for t in texts], index=texts.index)
+def gathered(start: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of all entries of the rows, numbers of entries) in arrays that ``start`` parts."""
+    n = start[rows + 1] - start[rows]
+    return np.repeat(start[rows] - (np.cumsum(n) - n), n) + np.arange(n.sum()), n
 
 
 @dataclass
 class Index:
-    """Bounded by 2 * SAMPLE_ROWS examples with FEATURES weights each at most."""
+    """Bounded by the terms of 2 * SAMPLE_ROWS examples."""
 
     terms: dict[str, int]
-    idf: np.ndarray
+    #: Inverse document frequency of each term, times its tie to the label.
+    weights: np.ndarray
     ids: np.ndarray
     labels: np.ndarray
-    #: By block: a dense part of the unit vectors, features by examples.
-    blocks: list[np.ndarray]
-    #: Greatest weight of each feature in each block.
-    tops: np.ndarray
+    #: Unit vectors: the entries of an example lie between its start and the next one's.
+    start: np.ndarray
+    at: np.ndarray
+    w: np.ndarray
     k: int = K
+    _known: dict[str, tuple[int, ...]] = field(default_factory=dict, repr=False)
 
     def __post_init__(self) -> None:
-        self.heads = {t[:3] for t in self.terms} | {t.removesuffix("*")[:3] for t in self.terms}
+        order = np.argsort(self.at, kind="stable")
+        places = np.repeat(np.arange(len(self.ids), dtype=np.int32), np.diff(self.start))
+        self.places, self.posted = places[order], self.w[order]
+        self.lists = np.searchsorted(self.at[order], np.arange(len(self.terms) + 1))
+        #: Greatest weight of each term in any example.
+        self.tops = np.zeros(len(self.terms))
+        np.maximum.at(self.tops, self.at, self.w)
+
+    def __reduce__(self):  # noqa: ANN204
+        return Index, (self.terms, self.weights, self.ids, self.labels, self.start, self.at, self.w, self.k)
+
+    @property
+    def blocks(self) -> list[np.ndarray]:
+        """Dense parts of the unit vectors, terms by examples: only for small indexes."""
+        dense = np.zeros((len(self.terms), -(-len(self.ids) // BLOCK) * BLOCK))
+        dense[self.at, np.repeat(np.arange(len(self.ids)), np.diff(self.start))] = self.w
+        return [dense[:, i : i + BLOCK] for i in range(0, dense.shape[1], BLOCK)]
+
+    def terms_in(self, word: str) -> tuple[int, ...]:
+        found = self._known.get(word)
+        if found is None:
+            if len(self._known) >= REMEMBERED:
+                self._known.clear()
+            found = self._known[word] = tuple(self.terms[t] for t in terms_of((word,)) if t in self.terms)
+        return found
+
+    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """(terms in order, how often each is in the text)."""
+        at, times = [], []
+        for word, n in words_of(text).items():
+            found = self.terms_in(word)
+            at += found
+            times += [n] * len(found)
+        terms, which = np.unique(np.array(at, np.int64), return_inverse=True)
+        return terms, np.bincount(which, times, len(terms))
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """(features, unit weights) of a text."""
-        found: Counter = Counter()
-        for word, n in words_of(text).items():
-            if word[:3] in self.heads:
-                for t in terms_of((word,)):
-                    if t in self.terms:
-                        found[self.terms[t]] += n
-        if not found:
-            return np.empty(0, np.int64), np.empty(0)
-        at = np.array(sorted(found))
-        w = (1 + np.log(np.array([found[t] for t in at.tolist()]))) * self.idf[at]
-        return at, w / np.sqrt((w * w).sum())
+        """(terms, unit weights) of a text."""
+        at, n = self.counts(text)
+        return at, unit(n, self.weights[at])
 
     def nearest(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """(places, cosines) of the K nearest examples with a cosine above 0, nearest first; ties by place."""
-        at, w = self.vector(text)
-        if not len(at) or not self.blocks:
+        return self.nearest_to(*self.vector(text))
+
+    def nearest_to(self, at: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(at) or not len(self.ids):
             return np.empty(0, np.int64), np.empty(0)
-        bounds = w @ self.tops[at]
-        places, cosines, worst = [], [], 0.0
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            # A block that reaches the K-th cosine exactly may hold an example of a lower place.
-            if bounds[b] <= 0 or bounds[b] < worst - 1e-12:
+        bounds = w * self.tops[at]
+        order = np.argsort(-bounds, kind="stable")
+        rest = np.r_[np.cumsum(bounds[order][::-1])[::-1], 0.0]
+        sums, done, step = np.zeros(len(self.ids)), 0, FIRST
+        while True:
+            some = order[done : done + step]
+            held, n = gathered(self.lists, at[some])
+            sums += np.bincount(self.places[held], np.repeat(w[some], n) * self.posted[held], len(sums))
+            done += len(some)
+            worst = float(np.partition(sums, -self.k)[-self.k]) if len(sums) > self.k else 0.0
+            # An example that reaches the K-th cosine exactly may have a lower place.
+            may = np.flatnonzero(sums + rest[done] >= worst - 1e-9)
+            if done == len(at) or len(may) <= 4 * self.k:
                 break
-            c = np.round(w @ self.blocks[b][at], 12)
-            hit = np.flatnonzero(c > 0)
-            places.append(hit + b * BLOCK)
-            cosines.append(c[hit])
-            have = np.concatenate(cosines)
-            if len(have) >= self.k:
-                worst = float(np.partition(have, len(have) - self.k)[len(have) - self.k])
-        if not places:
-            return np.empty(0, np.int64), np.empty(0)
-        p, c = np.concatenate(places), np.concatenate(cosines)
-        order = np.lexsort((p, -c))[: self.k]
-        return p[order], c[order]
+            step = 2 * done
+        if done < len(at):
+            own = np.zeros(len(self.terms))
+            own[at] = w
+            held, n = gathered(self.start, may)
+            cosines = np.bincount(np.repeat(np.arange(len(may)), n), own[self.at[held]] * self.w[held], len(may))
+        else:
+            cosines = sums[may]
+        cosines = np.round(cosines, 12)
+        best = np.lexsort((may, -cosines))[: self.k]
+        best = best[cosines[best] > 0]
+        return may[best], cosines[best]
 
     def vote(self, places: np.ndarray, cosines: np.ndarray) -> float:
         """Cosine-weighted share of toxic examples, -1 where no example is near."""
         return float((cosines * self.labels[places]).sum() / cosines.sum()) if len(places) else -1.0
 
+    def shared(self, at: np.ndarray, w: np.ndarray, places: np.ndarray) -> list[int]:
+        """At most WORDS terms that add most to the cosines of the examples at ``places``."""
+        held, _ = gathered(self.start, places)
+        own = np.zeros(len(self.terms))
+        own[at] = w
+        added = np.bincount(np.searchsorted(at, self.at[held]).clip(0, max(0, len(at) - 1)), own[self.at[held]] * self.w[held], len(at))
+        most = np.lexsort((at, -added))[:WORDS]
+        return at[most[added[most] > 0]].tolist()
+
+
+def unit(n: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    w = (1 + np.log(n)) * weights
+    return w / np.sqrt((w * w).sum()) if len(w) else w
+
+
+def ties(a: np.ndarray, m: np.ndarray, share: float) -> np.ndarray:
+    """1 + how unlikely it is that ``a`` of the ``m`` examples with a term have label 1 (m times the divergence)."""
+
+    def part(k: np.ndarray, of: float) -> np.ndarray:
+        return k * np.log(np.maximum(k, 1) / np.maximum(m * of, 1e-12)) if of > 0 else np.zeros(len(k))
+
+    return 1 + np.maximum(0, part(a, share) + part(m - a, 1 - share))
+
 
 def build_index(examples: list[tuple[int, int, str]], terms: list[str], frequencies: dict[str, int], n_docs: int, k: int = K) -> Index:
-    """From (doc_id, label, text). Examples are ordered by their heaviest features, which makes blocks alike."""
+    """From (doc_id, label, text); terms of the texts that are not among ``terms`` do not count."""
     idf = np.log((1 + n_docs) / (1 + np.array([frequencies.get(t, 0) for t in terms], float))) + 1
-    index = Index({t: i for i, t in enumerate(terms)}, idf, np.empty(0, np.int64), np.empty(0), [], np.empty((0, 0)), k)
+    return weighted(counted(examples, {t: i for i, t in enumerate(terms)}, k), idf)
+
+
+def counted(examples: list[tuple[int, int, str]], terms: dict[str, int], k: int = K) -> Index:
+    """An index whose vectors are still numbers of occurrences. Examples without terms are near nothing and left out."""
+    index = Index(terms, np.ones(len(terms)), np.empty(0, np.int64), np.empty(0), np.zeros(1, np.int64), np.empty(0, np.int32), np.empty(0, np.float32), k)
     rows = []
-    for doc_id, label, text in examples:
-        at, w = index.vector(text)
-        heavy = np.lexsort((at, -w))[:4]
-        rows.append((tuple(at[heavy].tolist()), doc_id, label, at, w))
-    rows.sort(key=lambda r: r[:3])
-    rows = [r for r in rows if len(r[3])]
-    index.ids, index.labels = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], float)
-    for start in range(0, len(rows), BLOCK):
-        dense = np.zeros((len(terms), BLOCK))
-        for j, (_, _, _, at, w) in enumerate(rows[start : start + BLOCK]):
-            dense[at, j] = w
-        index.blocks.append(dense)
-    index.tops = np.stack([b.max(1) for b in index.blocks], 1) if index.blocks else np.empty((len(terms), 0))
-    return index
+    for doc_id, label, text in sorted(examples):
+        at, n = index.counts(text)
+        if len(at):
+            rows.append((doc_id, label, at.astype(np.int32), n.astype(np.float32)))
+    if not rows:
+        return index
+    ids, labels, at, n = zip(*rows)
+    start = np.cumsum([0, *map(len, at)])
+    return Index(terms, index.weights, np.array(ids, np.int64), np.array(labels, float), start, np.concatenate(at), np.concatenate(n), k)
+
+
+def weighted(index: Index, idf: np.ndarray) -> Index:
+    """The index with weights from ``idf`` and the terms' ties to the label, and unit vectors."""
+    at, y = index.at, np.repeat(index.labels, np.diff(index.start))
+    m, a = np.bincount(at, minlength=len(idf)).astype(float), np.bincount(at, y, len(idf))
+    weights = idf * ties(a, m, float(index.labels.mean())) if len(index.ids) else idf
+    w = (1 + np.log(index.w)) * weights[at]
+    length = np.sqrt(np.add.reduceat(w * w, index.start[:-1])) if len(index.ids) else np.empty(0)
+    w = (w / np.repeat(length, np.diff(index.start))).astype(np.float32)
+    return Index(index.terms, weights, index.ids, index.labels, index.start, at, w, index.k)
 
 
 RESULT = StructType([StructField("vote", DoubleType()), StructField("examples", ArrayType(LongType())), StructField("cosines", ArrayType(DoubleType())), StructField("words", ArrayType(StringType()))])
@@ -143,78 +216,70 @@ class Model:
     curve: Curve
 
 
-def _judge(index: Index, evidence: int):
-    names = [t for t, _ in sorted(index.terms.items(), key=lambda x: x[1])]
+def _judge(spark: SparkSession, index: Index, evidence: int):
+    shared = spark.sparkContext.broadcast(index)
+    names = spark.sparkContext.broadcast(list(index.terms) if evidence else [])
 
     @pandas_udf(RESULT)
     def judge(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        index = shared.value
         for batch in texts:
             rows = []
             for text in batch:
-                places, cosines = index.nearest(text)
-                rows.append((index.vote(places, cosines), index.ids[places[:evidence]].tolist(), cosines[:evidence].tolist(), [names[i] for i in index.vector(text)[0].tolist()] if evidence else []))
+                at, w = index.vector(text)
+                places, cosines = index.nearest_to(at, w)
+                words = [names.value[i] for i in index.shared(at, w, places[:evidence])] if evidence and len(places) else []
+                rows.append((index.vote(places, cosines), index.ids[places[:evidence]].tolist(), cosines[:evidence].tolist(), words))
             yield pd.DataFrame(rows, columns=[f.name for f in RESULT], index=batch.index)
 
     return judge
 
 
-def _features(index: Index):
-    names = list(index.terms)
-
-    @pandas_udf(ArrayType(StringType()))
-    def features(texts: pd.Series) -> pd.Series:
-        return pd.Series([[names[i] for i in index.vector(t)[0].tolist()] for t in texts], index=texts.index)
-
-    return features
-
-
-def _feature_words(index: Index):
-    @pandas_udf(StringType())
-    def feature_words(texts: pd.Series) -> pd.Series:
-        return pd.Series([" ".join(w for w in words_of(t).elements() if not index.terms.keys().isdisjoint(terms_of((w,)))) for t in texts], index=texts.index)
-
-    return feature_words
+def frequencies_of(docs: DataFrame, index: Index) -> np.ndarray:
+    """How many documents have each term of the index: one array in each task, summed by term."""
+    shared = docs.sparkSession.sparkContext.broadcast(index)
 
+    def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index = shared.value
+        n = np.zeros(len(index.terms), np.int64)
+        for batch in batches:
+            for text in batch["text"]:
+                n[list({t for word in words_of(text) for t in index.terms_in(word)})] += 1
+        at = np.flatnonzero(n)
+        yield pd.DataFrame({"term": at, "n": n[at]})
 
-def select_features(sample: DataFrame, limit: int = FEATURES) -> list[str]:
-    """At most ``limit`` words by how unlikely their share of label 1 is (m times the divergence), then by name."""
-    n1, n = (int(x or 0) for x in sample.agg(F.sum("y"), F.count("*")).first())
-    if not n1 or n1 == n:
-        return []
-    counts = sample.select("y", F.explode(all_terms("text")).alias("term")).groupBy("term").agg(F.sum("y").alias("a"), F.count("*").alias("m"))
-    counts = cut(counts.where("m >= 3"))
-    least = float(np.log(max(1, counts.count()) / FALSE_FEATURES))
-    p, rest = n1 / n, 1 - n1 / n
-    a, m = F.col("a").cast("double"), F.col("m").cast("double")
-    part = lambda k, share: F.when(k > 0, k * F.log(k / (m * share))).otherwise(0.0)
-    rows = counts.withColumn("odd", part(a, p) + part(m - a, rest)).where(F.col("odd") >= least).orderBy(F.desc("odd"), "term").limit(limit).collect()
-    return [r["term"] for r in rows]
+    # Bounded: one row for each term of the examples.
+    got = docs.select("text").mapInPandas(held, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    n = np.zeros(len(index.terms))
+    n[got["term"].to_numpy()] = got["n"].to_numpy()
+    return n
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE_ROWS) -> Model:
     """Examples from one part of the labelled sample, the curve from the other; frequencies from all of ``docs``."""
     small_batches(docs.sparkSession)
     sample = cut(labelled_sample(docs, labels, label, rows))
-    terms = select_features(sample)
-    frequencies, n_docs = {}, docs.count()
-    bare = build_index([], terms, {}, 0)
+    examples = [tuple(r) for r in sample.where("part = 1").select("doc_id", "y", "text").collect()]
+    terms: dict[str, int] = {}
+    # Without examples of both labels nothing can be told.
+    if len({y for _, y, _ in examples}) == 2:
+        for _, _, text in sorted(examples):
+            for t in sorted(terms_of(words_of(text))):
+                terms.setdefault(t, len(terms))
+    index = counted(examples, terms)
+    del examples
     if terms:
-        # Bounded: one row for each feature.
-        held = docs.select(F.explode(_features(bare)("text")).alias("term")).groupBy("term").count()
-        frequencies = {r["term"]: r["count"] for r in held.collect()}
-    # Of an example only its feature words are needed, as often as they stand there.
-    reduced = sample.where("part = 1").select("doc_id", "y", _feature_words(bare)("text").alias("text"))
-    examples = [(r["doc_id"], r["y"], r["text"]) for r in reduced.collect()]
-    index = build_index(examples, terms, frequencies, n_docs)
-    fitted = sample.where("part = 0").select("y", _judge(index, 0)("text")["vote"].alias("x")).toPandas()
+        index = weighted(index, np.log((1 + docs.count()) / (1 + frequencies_of(docs, index))) + 1)
+    fitted = sample.where("part = 0").select("y", _judge(docs.sparkSession, index, 0)("text")["vote"].alias("x")).toPandas()
     return Model(index, fit_curve(fitted["x"].to_numpy(float), fitted["y"].to_numpy(float), label_weights(labels, label, rows)))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", evidence: int = 3) -> DataFrame:
     """Adds toxic_score (0 to 1) and toxic_evidence (vote, nearest examples, their cosines, words) to ``docs``.
 
-    Texts without feature words, null and empty ones included, have no near examples
-    and the score of labelled texts without any.
+    Texts without a term of the examples, null and empty ones included, have no near
+    examples and the score of labelled texts without any. The words are those that add
+    most to the cosines shown, WORDS at most.
     """
     curve = model.curve
 
@@ -222,7 +287,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", evidence: int = 3)
     def calibrated(x: pd.Series) -> pd.Series:
         return pd.Series(curve(x.to_numpy(float)), index=x.index)
 
-    return docs.withColumn("toxic_evidence", _judge(model.index, evidence)(F.col(text))).withColumn("toxic_score", calibrated("toxic_evidence.vote"))
+    return docs.withColumn("toxic_evidence", _judge(docs.sparkSession, model.index, evidence)(F.col(text))).withColumn("toxic_score", calibrated("toxic_evidence.vote"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -263,3 +263,33 @@ def test_calibration_pools_ties():
         curve = calibration.fit_curve(x[order], y[order])
         assert curve(np.array([-1.0]))[0] < 0.2 < 0.6 < curve(np.array([0.5]))[0]
     assert calibration.fit_curve(np.empty(0), np.empty(0))(np.zeros(1))[0] == 0.5
+
+
+def test_rare_toxic_words_count(spark):
+    # Each insult stands in two toxic examples only, behind a gate of 19 rows or one of 200 terms.
+    insults = [f"zq{i}x" for i in range(300)]
+    texts = [f"{insults[i // 2 % 300]} plain {i % 7}" if i < 600 else f"calm{i // 2 % 300}y plain {i % 7}" for i in range(1200)]
+    unseen = [f"{w} again" for w in insults] + [f"calm{i}y again" for i in range(300)]
+    docs = frame(spark, texts + unseen)
+    labels = spark.createDataFrame([(i, int(i < 600)) for i in range(1200)], "doc_id bigint, toxic int")
+    model = toxicity.train(docs, labels)
+    rows = toxicity.score(docs, model).where("doc_id >= 1200").collect()
+    found = {r["text"].split()[0]: r["toxic_score"] >= toxicity.THRESHOLD for r in rows if r["text"].split()[0] in model.index.terms}
+    seen = [w for w in found if w.startswith("zq")]
+    assert len(seen) > 150 and all(found[w] for w in seen) and not any(v for w, v in found.items() if w.startswith("calm"))
+
+
+def test_index_leaves_no_term_out():
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(3000)]
+    examples = [(i, i % 2, " ".join(rng.choices(words, k=rng.randint(1, 120)))) for i in range(900)]
+    terms = sorted({t for _, _, x in examples for t in toxicity.terms_of(toxicity.words_of(x))})
+    index = toxicity.build_index(examples, terms, {t: rng.randint(1, 500) for t in terms}, 1000)
+    dense = np.concatenate(index.blocks, 1)[:, : len(index.ids)]
+    assert len(index.ids) == 900 and (index.weights > 0).all()
+    for _ in range(60):
+        text = " ".join(rng.choices(words, k=rng.randint(1, 150)))
+        places, cosines = index.nearest(text)
+        at, w = index.vector(text)
+        want = np.round(w @ dense[at], 9)
+        assert np.allclose(np.sort(want)[::-1][: len(cosines)], cosines, atol=1e-8) and np.allclose(want[places], cosines, atol=1e-8) and len(places) == 25
