@@ -11,7 +11,7 @@ LAST = 9223372036854775807
 
 
 def label_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """From nodes (node, least) and links (left, right): (node, least) with the least of each node's component.
+    """From nodes (node, least) and links (left, right): (node, least, root) with the least of each node's component and the least node that has it.
 
     ``least`` is a long (null counts as the greatest). In every round a node hears the
     least label of its neighbours, takes it, tells it to the node its own label comes
@@ -35,5 +35,5 @@ def label_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         linked = moved.drop("old")
         if not changed:
             break
-    found = own.join(linked.select("node", F.col("label").alias("best")), "node", "left").select("node", F.coalesce("best", "label")["least"].alias("least"))
+    found = own.join(linked.select("node", F.col("label").alias("best")), "node", "left").select("node", F.coalesce("best", "label")["least"].alias("least"), F.coalesce("best", "label")["at"].alias("root"))
     return found.withColumn("least", F.when(F.col("least") != LAST, F.col("least")))

@@ -95,31 +95,46 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", ma
     the different fingerprints linked to the row's own. Null keys are never the least
     key of a component that has another; a component of null keys alone has a null id.
     """
+    slim, known = _linked(docs.select(F.col(key), F.col(text).alias("_text")), key, max_bits)
+    return slim.join(known, "bits", "left").select(key, "bits", "component_id", "n_links")
+
+
+def row_hash(key: str, text: str) -> Column:
+    """Tells rows apart by key, null or not, and text."""
+    return F.xxhash64(F.col(key).isNull(), F.col(key), F.col(text).isNull(), F.col(text))
+
+
+def _linked(docs: DataFrame, key: str, max_bits: int) -> tuple[DataFrame, DataFrame]:
+    """(rows of key, bits, row; what is known of each fingerprint: component, links, root, its least row and number of rows)."""
     small_batches(docs.sparkSession)
-    slim = cut(docs.select(F.col(key), simhash_long(F.col(text)).alias("bits")))
-    prints = cut(slim.groupBy("bits").agg(F.min(key).cast("long").alias("least")))
+    slim = cut(docs.select(F.col(key), simhash_long(F.col("_text")).alias("bits"), row_hash(key, "_text").alias("row")))
+    first = F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "row"))["row"]
+    prints = cut(slim.groupBy("bits").agg(F.min(key).cast("long").alias("least"), first.alias("first_row"), F.count("*").alias("n_rows")))
     links = cut(link_fingerprints(prints.select("bits"), max_bits).distinct())
-    parts = label_components(prints.withColumnRenamed("bits", "node"), links)
+    parts = label_components(prints.select(F.col("bits").alias("node"), "least"), links)
     ends = links.select(F.explode(F.array("left", "right")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     # Cut, so that both sides of the last join are plain shuffles, whose skewed partitions Spark splits.
-    known = cut(parts.join(ends, "node", "left").select(F.col("node").alias("bits"), F.col("least").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
-    return slim.join(known, "bits", "left").select(key, "bits", "component_id", "n_links")
+    known = parts.join(ends, "node", "left").join(prints.select(F.col("bits").alias("node"), "first_row", "n_rows"), "node")
+    return slim, cut(known.select(F.col("node").alias("bits"), F.col("least").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "root", "first_row", "n_rows"))
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", max_bits: int = MAX_BITS) -> DataFrame:
     """``docs`` with one document of each component, that of the least key.
 
-    Rows that repeat a key within a component go as well; rows without a key stay.
+    Null keys come last; of equal keys in a component the least hash of key and text
+    decides, and of rows that repeat both any one stays. Rows of equal or null keys in
+    different components are different documents.
     """
-    parts = near_duplicates(docs, text, key, max_bits)
-    # A key goes when it is not its component's least, or when rows repeat it.
-    by_key = parts.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_rows"), F.count_if(F.col(key) != F.col("component_id")).alias("_later"))
-    touched = cut(by_key.where("_rows > 1 or _later > 0"))
-    held = docs.withColumn("_held", maybe_among(touched, "_key")(F.col(key)))
-    met = held.where("_held").join(touched, F.col(key) == F.col("_key"), "left")
-    alone = met.where(F.col("_key").isNull())
-    twice = met.where("_rows > _later and _rows > 1").dropDuplicates([key])
-    return held.where("not _held").select(*docs.columns).unionByName(alone.select(*docs.columns)).unionByName(twice.select(*docs.columns))
+    slim, known = _linked(docs.select(F.col(key), F.col(text).alias("_text")), key, max_bits)
+    # The root has the component's least key, so the first of its rows is the one that stays.
+    parts = slim.join(known, "bits").withColumn("stays", (F.col("bits") == F.col("root")) & (F.col("row") == F.col("first_row")))
+    touched = cut(parts.where("not stays or n_rows > 1").groupBy(F.col("row").alias("_row")).agg(F.max("stays").alias("_stays")))
+    held = docs.withColumn("_own", row_hash(key, text))
+    held = held.withColumn("_held", maybe_among(touched, "_row")(F.col("_own")))
+    met = held.where("_held").join(touched, F.col("_own") == F.col("_row"), "left")
+    alone = met.where(F.col("_row").isNull())
+    one = met.where("_stays").dropDuplicates(["_own"])
+    return held.where("not _held").select(*docs.columns).unionByName(alone.select(*docs.columns)).unionByName(one.select(*docs.columns))
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

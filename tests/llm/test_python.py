@@ -293,3 +293,13 @@ def test_index_leaves_no_term_out():
         at, w = index.vector(text)
         want = np.round(w @ dense[at], 9)
         assert np.allclose(np.sort(want)[::-1][: len(cosines)], cosines, atol=1e-8) and np.allclose(want[places], cosines, atol=1e-8) and len(places) == 25
+
+
+def test_equal_and_null_ids_are_different_documents(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(5, a), (5, b), (3, a), (None, c), (None, c), (None, c), (None, a), (7, c + " end"), (9, "alone here"), (9, "other words"), (None, "lone text")]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], DOCS)
+    kept = sorted((r["doc_id"] or 0, r["text"]) for r in simhash.drop_near_duplicates(docs).collect())
+    c_stays = (7, c + " end") if (simhash.simhash(c) ^ simhash.simhash(c + " end")).bit_count() <= 3 else None
+    want = [(3, a), (5, b), (9, "alone here"), (9, "other words"), (0, "lone text"), *([c_stays] if c_stays else [(0, c), (7, c + " end")])]
+    assert kept == sorted(want)
