@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .common import cut, join_null_safe, maybe_among, python_words, read, small_batches, written, WORD
+from .common import cut, maybe_among, python_words, read, small_batches, written, WORD
 
 LEAST, WINDOW, RUN = 50, 40, 4
 LAST = 9223372036854775807
@@ -103,29 +103,48 @@ def _passages(least: int):
     return of
 
 
+def numbered(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Adds ``_row``, another number for each row: a hash of key and text, and of the copy where rows repeat both."""
+    named = docs.withColumn("_row", F.xxhash64(F.col(key).isNull(), F.col(key).cast("long"), F.coalesce(F.col(text), F.lit(""))))
+    twice = cut(named.groupBy("_row").agg(F.count("*").alias("n")).where("n > 1").select(F.col("_row").alias("_twice")))
+    if twice.isEmpty():
+        return named
+    held = named.withColumn("_held", maybe_among(twice, "_twice")(F.col("_row")))
+    met = held.where("_held").join(twice, F.col("_row") == F.col("_twice"), "left")
+    copy = F.when(F.col("_twice").isNotNull(), F.xxhash64("_row", F.monotonically_increasing_id())).otherwise(F.col("_row"))
+    # Cut, as the numbers of copies are not the same when they are computed again.
+    copies = cut(met.select(*docs.columns, copy.alias("_row")))
+    return held.where("not _held").select(*docs.columns, "_row").unionByName(copies)
+
+
 def repeated_passages(docs: DataFrame, text: str = "text", key: str = "doc_id", least: int = LEAST, window: int = WINDOW, run: int = RUN) -> DataFrame:
-    """Rows (key, first, last, again): passages of ``least`` words, by the first word of the first and of the last of them, that stand elsewhere too.
+    """Rows (key, row, first, last, again): passages of ``least`` words, by the first word of the first and of the last of them, that stand elsewhere too.
 
-    ``again`` is false at the least place, by key and position. Rows of equal keys are
-    taken for one document only where their texts are equal; null keys come last.
+    ``again`` is false at the least place, by key, row and position; null keys come
+    last. Every row is a document of its own, whatever its key; rows that repeat key
+    and text as well, in any order.
     """
-    small_batches(docs.sparkSession)
-    own = docs.select(F.col(key).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("body"))
-    place = F.struct(F.coalesce("doc", F.lit(LAST)).alias("doc"), "pos")
-    found, drop_found = written(own.select("doc", F.inline(_suffixes(least, window, run)("body"))))
+    return _repeated(numbered(docs.select(key, text), text, key), text, key, least, window, run)
+
+
+def _repeated(rows: DataFrame, text: str, key: str, least: int, window: int = WINDOW, run: int = RUN) -> DataFrame:
+    small_batches(rows.sparkSession)
+    own = rows.select(F.col(key).cast("long").alias("doc"), F.col("_row").alias("row"), F.coalesce(F.col(text), F.lit("")).alias("body"))
+    place = F.struct(F.coalesce("doc", F.lit(LAST)).alias("doc"), F.col("doc").isNull().alias("none"), "row", "pos")
+    found, drop_found = written(own.select("doc", "row", F.inline(_suffixes(least, window, run)("body"))))
     groups = found.groupBy("core").agg(F.count("*").alias("n"), F.min("extended").alias("low"), F.max("extended").alias("high"), F.min(place).alias("least"))
     # Written, so that both sides of the join are plain shuffles, whose skewed partitions Spark splits.
     groups, drop_groups = written(groups.where("n > 1").select("core", (F.col("low") == F.col("high")).alias("alike"), "least"))
-    shared, drop_shared = written(found.join(groups, "core").select("doc", "first", "last", "alike", (place != F.col("least")).alias("again")))
+    shared, drop_shared = written(found.join(groups, "core").select("doc", "row", "first", "last", "alike", (place != F.col("least")).alias("again")))
     drop_found()
     drop_groups()
-    asked = shared.where("not alike").groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("spans")).withColumnRenamed("doc", "_doc")
-    meant = own.where(maybe_among(shared.where("not alike"), "doc")(F.col("doc")))
-    hashed = meant.join(asked, F.col("doc").eqNullSafe(F.col("_doc"))).select("doc", F.inline(_passages(least)("body", "spans")))
+    asked = shared.where("not alike").groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("spans")).withColumnRenamed("row", "_asked")
+    meant = own.where(maybe_among(shared.where("not alike"), "row")(F.col("row")))
+    hashed = meant.join(asked, F.col("row") == F.col("_asked")).select("doc", "row", F.inline(_passages(least)("body", "spans")))
     passages, drop_passages = written(hashed.withColumnRenamed("first", "pos"))
     counted, drop_counted = written(passages.groupBy("passage").agg(F.count("*").alias("n"), F.min(place).alias("least")).where("n > 1").drop("n"))
-    single = passages.join(counted, "passage").select("doc", F.col("pos").alias("first"), F.col("pos").alias("last"), (place != F.col("least")).alias("again"))
-    whole = shared.where("alike").select("doc", "first", "last", "again")
+    single = passages.join(counted, "passage").select("doc", "row", F.col("pos").alias("first"), F.col("pos").alias("last"), (place != F.col("least")).alias("again"))
+    whole = shared.where("alike").select("doc", "row", "first", "last", "again")
     result = written(whole.unionByName(single).withColumnRenamed("doc", key))[0]
     drop_shared()
     drop_passages()
@@ -134,11 +153,11 @@ def repeated_passages(docs: DataFrame, text: str = "text", key: str = "doc_id",
 
 
 def spans(passages: DataFrame, key: str = "doc_id", least: int = LEAST) -> DataFrame:
-    """Unites overlapping and touching passages of each document: key, start, stop (words from 0, stop excluded)."""
-    within = Window.partitionBy(key).orderBy("first", "last")
+    """Unites overlapping and touching passages of each row: key, row, start, stop (words from 0, stop excluded)."""
+    within = Window.partitionBy("row").orderBy("first", "last")
     reach = F.max(F.col("last") + least).over(within.rowsBetween(Window.unboundedPreceding, -1))
     opened = passages.withColumn("opens", F.when(F.col("first") <= reach, 0).otherwise(1)).withColumn("island", F.sum("opens").over(within))
-    return opened.groupBy(key, "island").agg(F.min("first").alias("start"), (F.max("last") + least).alias("stop")).drop("island")
+    return opened.groupBy("row", "island").agg(F.first(key).alias(key), F.min("first").alias("start"), (F.max("last") + least).alias("stop")).drop("island")
 
 
 def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", least: int = LEAST) -> DataFrame:
@@ -146,13 +165,18 @@ def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", least: int
 
     ``spans`` are all words in repeated passages; ``cut_spans`` those in passages that
     stand at an earlier place too. Texts of fewer than ``least`` words, empty and null
-    ones have none. Whole documents that repeat are passages like others.
+    ones have none. Whole documents that repeat are passages like others, and rows of
+    equal or null keys are documents like others.
     """
-    found = repeated_passages(docs, text, key, least)
+    return _spans_of(numbered(docs.select(key, text), text, key), text, key, least).drop("row")
+
+
+def _spans_of(rows: DataFrame, text: str, key: str, least: int) -> DataFrame:
+    found = _repeated(rows, text, key, least)
     listed = F.sort_array(F.collect_list(F.struct("start", "stop")))
-    every = spans(found, key, least).groupBy(key).agg(listed.alias("spans"))
-    later = spans(found.where("again"), key, least).groupBy(key).agg(listed.alias("cut_spans"))
-    return join_null_safe(every, later, [key], "left").withColumn("cut_spans", F.coalesce("cut_spans", F.array().cast("array<struct<start:bigint,stop:bigint>>")))
+    every = spans(found, key, least).groupBy("row").agg(F.first(key).alias(key), listed.alias("spans"))
+    later = spans(found.where("again"), key, least).groupBy("row").agg(listed.alias("cut_spans"))
+    return every.join(later, "row", "left").withColumn("cut_spans", F.coalesce("cut_spans", F.array().cast("array<struct<start:bigint,stop:bigint>>")))
 
 
 @pandas_udf(StringType())
@@ -179,9 +203,10 @@ def drop_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", least
     A document of which no word is left goes; one that had no words stays. An integer
     column n_chars, where there is one, gets the new length.
     """
-    found = cut(repeats(docs, text, key, least).select(F.col(key).alias("_key"), F.col("cut_spans").alias("_cut")).where(F.size("_cut") > 0))
-    held = docs.withColumn("_held", maybe_among(found, "_key")(F.col(key).cast("long")))
-    joined = held.where("_held").join(found, F.col(key).cast("long").eqNullSafe(F.col("_key")), "left")
+    rows = numbered(docs, text, key)
+    found = cut(_spans_of(rows, text, key, least).select(F.col("row").alias("_found"), F.col("cut_spans").alias("_cut")).where(F.size("_cut") > 0))
+    held = rows.withColumn("_held", maybe_among(found, "_found")(F.col("_row")))
+    joined = held.where("_held").join(found, F.col("_row") == F.col("_found"), "left")
     changed = joined.withColumn("_new", F.when(F.col("_cut").isNotNull(), without_spans(F.col(text), F.col("_cut"))))
     kept = changed.where(F.col("_cut").isNull() | F.rlike("_new", F.lit(r"[^\x20\x09-\x0D]")))
     columns = [F.coalesce("_new", text).alias(text) if c == text else F.when(F.col("_new").isNotNull(), F.length("_new").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]

@@ -303,3 +303,15 @@ def test_equal_and_null_ids_are_different_documents(spark):
     c_stays = (7, c + " end") if (simhash.simhash(c) ^ simhash.simhash(c + " end")).bit_count() <= 3 else None
     want = [(3, a), (5, b), (9, "alone here"), (9, "other words"), (0, "lone text"), *([c_stays] if c_stays else [(0, c), (7, c + " end")])]
     assert kept == sorted(want)
+
+
+def test_passages_of_equal_and_null_ids(spark):
+    passage, long = (" ".join(f"{x}{i}" for i in range(60)) for x in "pq")
+    rows = [(1, f"one {passage}"), (None, f"clean words only {' '.join(f'k{i}' for i in range(200))}"), (None, "short"), (None, f"a b c {passage} end"), (4, f"{passage} left"), (4, "tiny"), (4, f"x {long}"), (8, f"y {long} z"), (8, f"y {long} z"), (8, "few words")]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], DOCS)
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in suffix_dedup.drop_repeats(docs).collect())
+    gone = {3: "a b c end", 4: "left", 7: "y z"}
+    # Of the two equal rows the later is repeated as a whole.
+    assert got == sorted((k or 0, gone.get(i, t)) for i, (k, t) in enumerate(rows) if i != 8)
+    found = sorted((r["doc_id"] or 0, [tuple(s) for s in r["spans"]]) for r in suffix_dedup.repeats(docs).collect())
+    assert found == [(0, [(3, 63)]), (1, [(1, 61)]), (4, [(0, 60)]), (4, [(1, 61)]), (8, [(0, 62)]), (8, [(0, 62)])]
