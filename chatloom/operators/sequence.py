@@ -195,26 +195,53 @@ def due_periods(periods: DataFrame, done: DataFrame, now: int) -> DataFrame:
     return periods.where(F.col("period_end") <= now).join(done, ["session_id", "period_start", "period_end"], "left_anti")
 
 
-def profile_score(content: Column) -> Column:
-    """How telling a message is: length to 80, questions, exclamations, words of feeling, long text."""
-    c = F.coalesce(content, F.lit(""))
-    n = F.length(c)
-    felt = F.rlike(F.lower(c), F.lit("love|hate|happy|sad|angry|sorry|thank|miss|afraid|worried|tired"))
-    return F.least(n, F.lit(80)) + F.when(F.rlike(c, F.lit("[?\\uFF1F]")), 20).otherwise(0) + F.when(F.rlike(c, F.lit("[!\\uFF01]")), 12).otherwise(0) + F.when(felt, 24).otherwise(0) + F.when(n >= 40, 10).otherwise(0)
-
-
-def representative(msgs: DataFrame, buckets: int = 12, top: int = 40) -> DataFrame:
-    """For each session: the ends, the edges and middle of equal parts, and the most telling messages, with neighbours."""
-    w = Window.partitionBy("session_id").orderBy(*ORDER)
-    every = Window.partitionBy("session_id")
-    ranked = msgs.withColumn("i", F.row_number().over(w) - 1).withColumn("size", F.count("*").over(every)).withColumn("part", F.ntile(buckets).over(w))
-    in_part = Window.partitionBy("session_id", "part").orderBy("i")
-    ranked = ranked.withColumn("p", F.row_number().over(in_part)).withColumn("p_size", F.count("*").over(Window.partitionBy("session_id", "part")))
-    ranked = ranked.withColumn("score", profile_score(F.col("content"))).withColumn("s", F.row_number().over(every.orderBy(F.desc("score"), "i")))
-    end = (F.col("i") <= 3) | (F.col("i") >= F.col("size") - 4)
-    edge = (F.col("p") <= 2) | (F.col("p") >= F.col("p_size") - 1) | (F.abs(F.col("p") - F.expr("(p_size + 1) div 2")) <= 1)
-    near = F.min("s").over(w.rowsBetween(-2, 2)) <= top
-    return ranked.withColumn("near", near).where(end | edge | F.col("near")).drop("part", "p", "p_size", "s", "near")
+#: Words of feeling and of meeting, each of which tells more of a message.
+FEELING = "谢谢 感谢 抱歉 对不起 开心 高兴 难过 委屈 生气 焦虑 压力 累 想你 喜欢 爱 在乎 担心 害怕 烦 崩溃 见面 一起 约 陪 帮".split()
+MARKUP = r"(?i)^(<\?xml|<msg\b|<appmsg\b|<img\b|<emoji\b|<voip\b|<sysmsg\b|&lt;)"
+
+
+def profile_score(content: Column, quoted: Column | None = None) -> Column:
+    """How telling a message is: length to 80, question, exclamation, words of feeling, a quotation, long text; 0 without plain text."""
+    c = F.substring(F.regexp_replace(F.coalesce(content, F.lit("")), r"^\s+|\s+$", ""), 1, 600)
+    # In UTF-16 units, as the reference counts.
+    n = F.length(c) + F.length(F.regexp_replace(c, r"[^\x{10000}-\x{10FFFF}]", ""))
+    score = F.least(n, F.lit(80)) + F.when(F.rlike(c, F.lit("[?\\uFF1F]")), 18).otherwise(0) + F.when(F.rlike(c, F.lit("[!\\uFF01]")), 8).otherwise(0)
+    for word in FEELING:
+        score = score + F.when(F.contains(c, F.lit(word)), 24).otherwise(0)
+    if quoted is not None:
+        score = score + F.when(F.coalesce(quoted, F.lit("")) != "", 12).otherwise(0)
+    score = score + F.when(n >= 80, 16).otherwise(0)
+    return F.when((c == "") | F.startswith(c, F.lit("[")) | F.rlike(c, F.lit(MARKUP)), 0).otherwise(score)
+
+
+def with_place(msgs: DataFrame, bucket: int = DAY) -> DataFrame:
+    """Adds ``i``, the place from 0 in the session, and ``size``, its number of messages; ordered bucket by bucket."""
+    dealt = msgs.withColumn("_bucket", F.expr(f"create_time div {bucket}"))
+    counts = dealt.groupBy("session_id", "_bucket").agg(F.count("*").alias("_n"))
+    whole = Window.partitionBy("session_id")
+    upto = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = counts.select(F.col("session_id").alias("_s"), F.col("_bucket").alias("_b"), (F.sum("_n").over(upto) - F.col("_n")).alias("_before"), F.sum("_n").over(whole).alias("size"))
+    ranked = dealt.withColumn("_i", F.row_number().over(Window.partitionBy("session_id", "_bucket").orderBy(*ORDER)) - 1)
+    placed = ranked.join(before, F.col("session_id").eqNullSafe(F.col("_s")) & F.col("_bucket").eqNullSafe(F.col("_b")))
+    return placed.withColumn("i", F.col("_before") + F.col("_i")).drop("_s", "_b", "_i", "_before")
+
+
+def representative(msgs: DataFrame, top: int = 120, bucket: int = DAY) -> DataFrame:
+    """For each session: its ends and middle, the edges and middles of 6 to 24 equal parts, and the ``top`` most telling messages, with neighbours."""
+    quoted = F.col("quoted_content") if "quoted_content" in msgs.columns else None
+    placed = with_place(msgs, bucket).withColumn("score", profile_score(F.col("content"), quoted))
+    order = (F.desc("score"), "i")
+    # The best of a session are among the best of its buckets.
+    some = placed.where("score > 0").select("session_id", "_bucket", "i", "score").withColumn("s", F.row_number().over(Window.partitionBy("session_id", "_bucket").orderBy(*order))).where(F.col("s") <= top)
+    best = some.withColumn("s", F.row_number().over(Window.partitionBy("session_id").orderBy(*order))).where(F.col("s") <= top)
+    near = best.select(F.col("session_id").alias("_s"), F.explode(F.sequence(F.col("i") - 2, F.col("i") + 2)).alias("_near")).distinct()
+    parts = placed.withColumn("_parts", F.least(F.lit(24), F.greatest(F.lit(6), F.ceil(F.col("size") / 250))).cast("long"))
+    around = """exists(sequence(0L, _parts - 1), b -> abs(i - size * b div _parts) <= 1
+      or abs(i - greatest(size * b div _parts, size * (b + 1) div _parts - 1)) <= 1
+      or abs(i - (size * b div _parts + greatest(size * b div _parts, size * (b + 1) div _parts - 1)) div 2) <= 1)"""
+    fixed = (F.col("i") <= 3) | (F.col("i") >= F.col("size") - 4) | (F.abs(F.col("i") - F.expr("size div 2")) <= 3) | F.expr(around)
+    joined = parts.join(near, F.col("session_id").eqNullSafe(F.col("_s")) & (F.col("i") == F.col("_near")), "left")
+    return joined.where(fixed | F.col("_near").isNotNull()).drop("_bucket", "_parts", "_s", "_near")
 
 
 def within_budget(lines: DataFrame, budget: int) -> DataFrame:

@@ -119,3 +119,39 @@ def test_empty_tables(spark):
     assert sequence.segments(empty).count() == 0
     assert stats.overall(empty).first()["total"] == 0
     assert sequence.longest_streaks(empty).count() == 0
+
+
+def brute_representative(texts):
+    n, chosen = len(texts), set()
+
+    def window(center, radius):
+        chosen.update(range(max(0, center - radius), min(n - 1, center + radius) + 1))
+
+    def score(c):
+        if not c or c.startswith("["):
+            return 0
+        return min(80, len(c)) + 18 * any(x in c for x in "?？") + 8 * any(x in c for x in "!！") + 24 * sum(w in c for w in sequence.FEELING) + 16 * (len(c) >= 80)
+
+    parts = min(24, max(6, -(-n // 250)))
+    for b in range(parts):
+        start = n * b // parts
+        end = max(start, n * (b + 1) // parts - 1)
+        for center in (start, (start + end) // 2, end):
+            window(center, 1)
+    scores = [score(t) for t in texts]
+    for i in sorted((i for i in range(n) if scores[i] > 0), key=lambda i: -scores[i])[:120]:
+        window(i, 2)
+    for center in (0, n // 2, n - 1):
+        window(center, 3)
+    return chosen
+
+
+def test_representative_is_the_references(spark):
+    sessions = {"one": 1, "few": 9, "some": 700, "many": 4000}
+    text = lambda i: ["", "[图片]", "短", "喜欢你吗？", "x" * (i * 37 % 120), "谢谢！ 一起 见面"][i * 7919 % 1013 % 6] if i % 5 == 0 else ""
+    rows = [(s, i, T + i * 900, 1, 0, text(i)) for s, n in sessions.items() for i in range(n)]
+    got = {}
+    for r in sequence.representative(msgs(spark, rows)).collect():
+        assert r["local_id"] == r["i"] and r["size"] == sessions[r["session_id"]]
+        got.setdefault(r["session_id"], []).append(r["i"])
+    assert {s: sorted(x) for s, x in got.items()} == {s: sorted(brute_representative([text(i) for i in range(n)])) for s, n in sessions.items()}
