@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -86,12 +88,30 @@ def merge_stats(old: DataFrame, fresh: DataFrame) -> DataFrame:
     return old.join(fresh.select("session_id"), "session_id", "left_anti").unionByName(fresh)
 
 
+def _folder(spark: SparkSession) -> str:
+    """A new folder that executors and driver share."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="chatloom-")
+    return f"{top}/feed-{uuid.uuid4().hex}"
+
+
 def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is there and returns its rows (for small results: they stay in the driver's memory table)."""
-    spark = stream.sparkSession
-    run = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Runs a stream over what is there and returns its rows, which tasks write as Parquet to the shared folder.
+
+    In complete mode these are the rows of the last batch, in update mode of all.
+    """
+    spark, top = stream.sparkSession, _folder(stream.sparkSession)
+    written: list[str] = []
+
+    def put(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{top}/out/{batch}")
+        written[:] = [*(written if mode == "update" else []), f"{top}/out/{batch}"]
+
+    sink = stream.writeStream.queryName(name).outputMode(mode).option("checkpointLocation", f"{top}/checkpoint").trigger(availableNow=True)
+    run = sink.format("parquet").start(f"{top}/out") if mode == "append" else sink.foreachBatch(put).start()
     try:
         run.awaitTermination()
     finally:
         run.stop()
-    return spark.table(name)
+    if mode == "append" and run.lastProgress is not None:
+        written = [f"{top}/out"]
+    return spark.read.schema(stream.schema).parquet(*written) if written else spark.createDataFrame([], stream.schema)

@@ -42,3 +42,15 @@ def test_replay(spark):
     log = spark.createDataFrame([(i, T + i) for i in range(1, 6)], "event_id bigint, timestamp bigint")
     assert [r["event_id"] for r in feed.replay(log, 2, T + 5).collect()] == [3, 4, 5]
     assert feed.replay(log, 0, T + 5, most=2).count() == 2
+
+
+def test_drained_rows_stay_out_of_the_driver(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    put(spark, folder, [("s", 1, T, 1, 0, "a", None, "m"), ("s", 2, T + 1, 1, 0, "b", None, "m")])
+    put(spark, folder, [("s", 3, T + 3601, 1, 0, "c", None, "m"), ("t", 4, T + 3602, 1, 0, "d", None, "m")])
+    stream = lambda: feed.file_stream(spark, folder, SCHEMA, 1)
+    once = feed.drained(feed.new_messages(stream()), "kept_new")
+    hours = feed.drained(feed.period_counts(stream(), "1 hour"), "kept_hours", "complete")
+    assert sorted(r["local_id"] for r in once.collect()) == [1, 2, 3, 4]
+    assert sorted((r["session_id"], r["period_start"] - T, r["n"]) for r in hours.collect()) == [("s", 0, 2), ("s", 3600, 1), ("t", 3600, 1)]
+    assert once.inputFiles() and hours.inputFiles() and not spark.catalog.tableExists("kept_new")
