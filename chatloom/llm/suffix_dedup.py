@@ -3,10 +3,10 @@
 Suffixes are kept only where content selects them: for a passage of LEAST words the
 start of its minimiser, the word run of the least hash among the passage's first
 WINDOW runs. Equal passages select the same suffix, and its next CORE words lie in
-the passage. Sorting the suffixes by those words brings equal ones together (the
-runs of the suffix array with that long a common prefix); only those that have an
-equal neighbour go on. They are extended: left as far as the passages that select
-the suffix reach, right to LEAST words. Where all neighbours have the same extension,
+the passage. Suffixes are not sorted: grouping by a hash of those words brings equal
+ones together (the runs of the suffix array with that long a common prefix); only
+those that have an equal one go on. A hash of their extension, left as far as the
+passages that select the suffix reach and right to LEAST words, is compared. Where all neighbours have the same extension,
 that is one row; elsewhere every passage of LEAST words is compared by itself. So
 exactly the passages of LEAST words that stand at two or more places are found.
 """
