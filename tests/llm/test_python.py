@@ -107,12 +107,9 @@ def test_ids_are_tiktokens(spark, sf, encoding):
 
 
 def test_round_trip_and_long_words(spark, encoding, monkeypatch):
-    monkeypatch.setattr(byte_bpe, "REMEMBERED", 10)
+    monkeypatch.setattr(byte_bpe, "REMEMBERED_BYTES", 1000)
     path, pattern = byte_bpe.public_vocabulary()
     texts = EDGE + ["a" * 1500, "supercalifragilistic" * 20, "x\n\n  y\t z  ", "don't we'll I'm", "é́​"]
-    c = byte_bpe.WordCodec(path)
-    for t in texts:
-        c.learn(set(encoding._pat_str and __import__("regex").findall(pattern, t or "")))
     rows = frame(spark, texts).withColumn("ids", byte_bpe.token_ids(path, pattern)("text")).withColumn("back", byte_bpe.token_text(path)("ids")).collect()
     for r in rows:
         assert list(r["ids"]) == encoding.encode_ordinary(r["text"] or "") and r["back"] == (r["text"] or "")
@@ -121,6 +118,41 @@ def test_round_trip_and_long_words(spark, encoding, monkeypatch):
     assert byte_bpe.encode_documents(odd(spark, texts).limit(0), path, pattern).count() == 0
 
 
+def test_long_words_by_windows(encoding):
+    path, pattern = byte_bpe.public_vocabulary()
+    c, split, rng = byte_bpe.WordCodec(path), byte_bpe.splitter(pattern), random.Random(2)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    for text in ["".join(rng.choices(letters, k=20_000)), "a" * 5000, "abc" * 2000, "é" * 1300, "!?" * 900, "x" * 513, "".join(rng.choices("0123456789", k=3000))]:
+        words = split(text)
+        c.learn(set(words))
+        assert [int(i) for w in words for i in np.frombuffer(c.known[w][0], "<u4")] == encoding.encode_ordinary(text)
+        assert b"".join(c.known[w][1] for w in words) == text.encode()
+
+
+def test_windows_that_share_no_token(encoding, monkeypatch):
+    c = byte_bpe.WordCodec(byte_bpe.public_vocabulary()[0])
+    monkeypatch.setattr(c, "_stitched", lambda size, windows: None)
+    c.learn({"qxz" * 300})
+    assert np.frombuffer(c.known["qxz" * 300][0], "<u4").tolist() == encoding.encode_ordinary("qxz" * 300)
+
+
+def test_splitter_is_the_pattern():
+    import regex
+
+    _, pattern = byte_bpe.public_vocabulary()
+    rng, chars = random.Random(6), [chr(i) for i in range(256)] + ["ſ", "日", "\u2028", "'s", "'ll", " ", "  ", "\n"]
+    for own in (pattern, r"\p{L}+|[^\p{L}\s]+|\s+", r"\p{Lu}?\w+|."):
+        for _ in range(300):
+            text = "".join(rng.choices(chars, k=rng.randint(0, 60)))
+            assert byte_bpe.splitter(own)(text) == regex.findall(own, text)
+
+
+def test_encoding_keeps_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b", "x", "y", 3), (1, "a b", "x", "y", 3)], "doc_id bigint, text string, _e string, _encoded string, n_tokens int")
+    rows = byte_bpe.encode_documents(docs, *byte_bpe.public_vocabulary()).collect()
+    assert [(r["_e"], r["_encoded"], r["n_tokens"]) for r in rows] == [("x", "y", 2)] * 2
+
+
 # 9: SimHash.
 
 
