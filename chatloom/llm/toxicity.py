@@ -1,19 +1,20 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over an inverted index with greatest weights.
-
-Every word of the examples, and how it begins, is a term; document frequencies are
-counted over all documents. A term weighs more, the less likely by chance it is that
-its presence in the examples differs so much between labels; none is left out. Every
-term knows its greatest weight in any example, so a text reads the postings of its
-strongest terms first and stops when the others cannot lift an example among the K
-nearest; those that may be among them are compared in full. The votes of the K,
-weighted by cosine, go through a curve fitted on labelled documents that are no examples.
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
+
+Every word of the examples is a term; document frequencies are counted over all
+documents. A term weighs more, the less likely by chance it is that its presence in
+the examples differs so much between labels; none is left out. Examples stand in
+blocks of like ones, and a posting list knows its greatest weight in each block. A
+text sums these up to a bound for each block, reads the postings of the most promising
+blocks, and then of those whose bound still reaches the K-th cosine: no other example
+can be among the K nearest. The votes of the K, weighted by squared cosine, go through a curve
+fitted on labelled documents that are no examples.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -23,30 +24,23 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
 from .calibration import Curve, fit_curve
-from .common import cut, fold, python_lower, read, small_batches
+from .common import cut, fold, read, small_batches
 from .quality_classifier import label_weights, labelled_sample
 
-#: Bound of the labelled sample for each label; nearest examples; examples in a dense block.
-SAMPLE_ROWS, K, BLOCK = 4_000, 25, 64
-#: Lengths of word beginnings that are terms.
-STEMS = range(3, 8)
+#: Bound of the labelled sample for each label; nearest examples; examples in a block.
+SAMPLE_ROWS, K, BLOCK = 4_000, 15, 64
 THRESHOLD = 0.3
-#: Terms shown as evidence; strongest terms that a search reads first; words whose terms a worker remembers.
-WORDS, FIRST, REMEMBERED = 20, 32, 100_000
-_BLANKS = {i: " " for i in range(128) if not chr(i).isalnum()}
+#: What the share of all examples weighs in a vote (in squared cosines).
+PRIOR = 0.1
+#: Terms shown as evidence; blocks that a search opens first.
+WORDS, FIRST = 20, 8
+#: Lower-cases A-Z and blanks all other ASCII characters but letters and digits.
+_CLEAN = bytes(i + 32 if 65 <= i <= 90 else i if i >= 128 or chr(i).isalnum() else 32 for i in range(256))
 
 
-def words_of(text: str | None) -> Counter:
-    """Lower-cased words of letters and digits (and all beyond ASCII) with their numbers."""
-    return Counter(python_lower(text).translate(_BLANKS).split())
-
-
-def terms_of(words: Iterable[str]) -> set[str]:
-    """The words themselves and, marked by ``*``, how they begin: insults bend and compound."""
-    found = set(words)
-    for w in list(found):
-        found.update(f"{w[:n]}*" for n in STEMS if len(w) > n)
-    return found
+def words_of(text: str | None) -> list[bytes]:
+    """Lower-cased words of letters and digits (and all beyond ASCII), in UTF-8."""
+    return (text or "").encode("utf-8", "replace").translate(_CLEAN).split()
 
 
 def gathered(start: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -59,106 +53,95 @@ def gathered(start: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarra
 class Index:
     """Bounded by the terms of 2 * SAMPLE_ROWS examples."""
 
-    terms: dict[str, int]
+    terms: dict[bytes, int]
     #: Inverse document frequency of each term, times its tie to the label.
     weights: np.ndarray
+    #: Examples in order of blocks.
     ids: np.ndarray
     labels: np.ndarray
-    #: Unit vectors: the entries of an example lie between its start and the next one's.
+    #: Vectors: the entries (term, weight) of an example lie between its start and the next one's.
     start: np.ndarray
     at: np.ndarray
     w: np.ndarray
     k: int = K
-    _known: dict[str, tuple[int, ...]] = field(default_factory=dict, repr=False)
 
     def __post_init__(self) -> None:
         order = np.argsort(self.at, kind="stable")
         places = np.repeat(np.arange(len(self.ids), dtype=np.int32), np.diff(self.start))
         self.places, self.posted = places[order], self.w[order]
-        self.lists = np.searchsorted(self.at[order], np.arange(len(self.terms) + 1))
-        #: Greatest weight of each term in any example.
-        self.tops = np.zeros(len(self.terms))
-        np.maximum.at(self.tops, self.at, self.w)
+        term = self.at[order].astype(np.int64)
+        blocks = -(-len(self.ids) // BLOCK)
+        #: Postings of one term in one block are a group: its block, first posting and greatest weight.
+        group = term * max(blocks, 1) + self.places // BLOCK
+        first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.empty(0, np.int64)
+        self.group_block = (self.places[first] // BLOCK).astype(np.int64)
+        self.group_start = np.r_[first, len(group)].astype(np.int64)
+        self.group_top = np.maximum.reduceat(self.posted, first) if len(first) else np.empty(0, np.float32)
+        self.lists = np.searchsorted(term[first], np.arange(len(self.terms) + 1))
+        self.n_blocks = blocks
 
     def __reduce__(self):  # noqa: ANN204
         return Index, (self.terms, self.weights, self.ids, self.labels, self.start, self.at, self.w, self.k)
 
-    @property
-    def blocks(self) -> list[np.ndarray]:
-        """Dense parts of the unit vectors, terms by examples: only for small indexes."""
-        dense = np.zeros((len(self.terms), -(-len(self.ids) // BLOCK) * BLOCK))
-        dense[self.at, np.repeat(np.arange(len(self.ids)), np.diff(self.start))] = self.w
-        return [dense[:, i : i + BLOCK] for i in range(0, dense.shape[1], BLOCK)]
-
-    def terms_in(self, word: str) -> tuple[int, ...]:
-        found = self._known.get(word)
-        if found is None:
-            if len(self._known) >= REMEMBERED:
-                self._known.clear()
-            found = self._known[word] = tuple(self.terms[t] for t in terms_of((word,)) if t in self.terms)
-        return found
-
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """(terms in order, how often each is in the text)."""
-        at, times = [], []
-        for word, n in words_of(text).items():
-            found = self.terms_in(word)
-            at += found
-            times += [n] * len(found)
-        terms, which = np.unique(np.array(at, np.int64), return_inverse=True)
-        return terms, np.bincount(which, times, len(terms))
+        """(terms, how often each is in the text)."""
+        terms, held = self.terms, Counter(words_of(text))
+        known = [*(terms.keys() & held.keys())]
+        at = np.array([terms[w] for w in known], np.int64)
+        order = np.argsort(at)
+        return at[order], np.array([held[w] for w in known], float)[order]
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """(terms, unit weights) of a text."""
+        """(terms, unit weights) of a text; words that are in no example take no part."""
         at, n = self.counts(text)
         return at, unit(n, self.weights[at])
 
     def nearest(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """(places, cosines) of the K nearest examples with a cosine above 0, nearest first; ties by place."""
+        """(places, cosines) of the K nearest examples with a cosine above 0, nearest first; ties by id."""
         return self.nearest_to(*self.vector(text))
 
     def nearest_to(self, at: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(at) or not len(self.ids):
             return np.empty(0, np.int64), np.empty(0)
-        bounds = w * self.tops[at]
-        order = np.argsort(-bounds, kind="stable")
-        rest = np.r_[np.cumsum(bounds[order][::-1])[::-1], 0.0]
-        sums, done, step = np.zeros(len(self.ids)), 0, FIRST
-        while True:
-            some = order[done : done + step]
-            held, n = gathered(self.lists, at[some])
-            sums += np.bincount(self.places[held], np.repeat(w[some], n) * self.posted[held], len(sums))
-            done += len(some)
-            worst = float(np.partition(sums, -self.k)[-self.k]) if len(sums) > self.k else 0.0
-            # An example that reaches the K-th cosine exactly may have a lower place.
-            may = np.flatnonzero(sums + rest[done] >= worst - 1e-9)
-            if done == len(at) or len(may) <= 4 * self.k:
-                break
-            step = 2 * done
-        if done < len(at):
-            own = np.zeros(len(self.terms))
-            own[at] = w
-            held, n = gathered(self.start, may)
-            cosines = np.bincount(np.repeat(np.arange(len(may)), n), own[self.at[held]] * self.w[held], len(may))
-        else:
-            cosines = sums[may]
-        cosines = np.round(cosines, 12)
-        best = np.lexsort((may, -cosines))[: self.k]
+        groups, n = gathered(self.lists, at)
+        own, block = np.repeat(w, n), self.group_block[groups]
+        bounds = np.bincount(block, own * self.group_top[groups], self.n_blocks)
+        sums = np.zeros(len(self.ids))
+
+        def read(opened: np.ndarray) -> None:
+            some = opened[block]
+            held, m = gathered(self.group_start, groups[some])
+            sums[:] += np.bincount(self.places[held], np.repeat(own[some], m) * self.posted[held], len(sums))
+
+        opened = np.zeros(self.n_blocks, bool)
+        opened[np.argsort(-bounds, kind="stable")[:FIRST]] = True
+        read(opened)
+        worst = float(np.partition(sums, -self.k)[-self.k]) if len(sums) > self.k else 0.0
+        # An example that reaches the K-th cosine exactly may have a lesser id.
+        more = ~opened & (bounds > 0) & (bounds >= worst - 1e-9)
+        if more.any():
+            read(more)
+        worst = float(np.partition(sums, -self.k)[-self.k]) if len(sums) > self.k else 0.0
+        may = np.flatnonzero((sums > 0) & (sums >= worst - 1e-9))
+        cosines = np.round(sums[may], 12)
+        best = np.lexsort((self.ids[may], -cosines))[: self.k]
         best = best[cosines[best] > 0]
         return may[best], cosines[best]
 
     def vote(self, places: np.ndarray, cosines: np.ndarray) -> float:
-        """Cosine-weighted share of toxic examples, -1 where no example is near."""
-        return float((cosines * self.labels[places]).sum() / cosines.sum()) if len(places) else -1.0
+        """Share of toxic examples, each weighted by its squared cosine, and all examples' share by PRIOR: faint likeness says little. -1 where no example is near."""
+        near = cosines * cosines
+        return float(((near * self.labels[places]).sum() + PRIOR * self.labels.mean()) / (near.sum() + PRIOR)) if len(places) else -1.0
 
     def shared(self, at: np.ndarray, w: np.ndarray, places: np.ndarray) -> list[int]:
         """At most WORDS terms that add most to the cosines of the examples at ``places``."""
         held, _ = gathered(self.start, places)
         own = np.zeros(len(self.terms))
         own[at] = w
-        added = np.bincount(np.searchsorted(at, self.at[held]).clip(0, max(0, len(at) - 1)), own[self.at[held]] * self.w[held], len(at))
-        most = np.lexsort((at, -added))[:WORDS]
-        return at[most[added[most] > 0]].tolist()
+        term, added = self.at[held], own[self.at[held]] * self.w[held]
+        found, which = np.unique(term[added > 0], return_inverse=True)
+        sums = np.bincount(which, added[added > 0], len(found))
+        return found[np.lexsort((found, -sums))[:WORDS]].tolist()
 
 
 def unit(n: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -175,39 +158,39 @@ def ties(a: np.ndarray, m: np.ndarray, share: float) -> np.ndarray:
     return 1 + np.maximum(0, part(a, share) + part(m - a, 1 - share))
 
 
-def build_index(examples: list[tuple[int, int, str]], terms: list[str], frequencies: dict[str, int], n_docs: int, k: int = K) -> Index:
-    """From (doc_id, label, text); terms of the texts that are not among ``terms`` do not count."""
-    idf = np.log((1 + n_docs) / (1 + np.array([frequencies.get(t, 0) for t in terms], float))) + 1
-    return weighted(counted(examples, {t: i for i, t in enumerate(terms)}, k), idf)
-
+def counted(examples: list[tuple[int, int, str]], k: int = K) -> Index:
+    """From (doc_id, label, text): an index whose vectors are still numbers of occurrences. Examples without words are near nothing and left out.
 
-def counted(examples: list[tuple[int, int, str]], terms: dict[str, int], k: int = K) -> Index:
-    """An index whose vectors are still numbers of occurrences. Examples without terms are near nothing and left out."""
-    index = Index(terms, np.ones(len(terms)), np.empty(0, np.int64), np.empty(0), np.zeros(1, np.int64), np.empty(0, np.int32), np.empty(0, np.float32), k)
+    Ids are as given and only told apart and ordered, so they may be of any type.
+    """
+    terms: dict[bytes, int] = {}
     rows = []
     for doc_id, label, text in sorted(examples):
-        at, n = index.counts(text)
-        if len(at):
-            rows.append((doc_id, label, at.astype(np.int32), n.astype(np.float32)))
-    if not rows:
-        return index
-    ids, labels, at, n = zip(*rows)
+        held = Counter(words_of(text))
+        if held:
+            rows.append((doc_id, label, [terms.setdefault(w, len(terms)) for w in held], [*held.values()]))
+    ids, labels, at, n = zip(*rows) if rows else ((), (), (), ())
     start = np.cumsum([0, *map(len, at)])
-    return Index(terms, index.weights, np.array(ids, np.int64), np.array(labels, float), start, np.concatenate(at), np.concatenate(n), k)
+    flat = [np.array([x for part in y for x in part], t) for y, t in ((at, np.int32), (n, np.float32))]
+    return Index(terms, np.ones(len(terms)), np.array(ids), np.array(labels, float), start, *flat, k)
 
 
 def weighted(index: Index, idf: np.ndarray) -> Index:
-    """The index with weights from ``idf`` and the terms' ties to the label, and unit vectors."""
+    """The index with weights from ``idf`` and the terms' ties to the label, and unit vectors; examples ordered by label and strongest term, so that blocks hold like ones."""
+    if not len(index.ids):
+        return index
     at, y = index.at, np.repeat(index.labels, np.diff(index.start))
     m, a = np.bincount(at, minlength=len(idf)).astype(float), np.bincount(at, y, len(idf))
-    weights = idf * ties(a, m, float(index.labels.mean())) if len(index.ids) else idf
+    weights = idf * ties(a, m, float(index.labels.mean()))
     w = (1 + np.log(index.w)) * weights[at]
-    length = np.sqrt(np.add.reduceat(w * w, index.start[:-1])) if len(index.ids) else np.empty(0)
-    w = (w / np.repeat(length, np.diff(index.start))).astype(np.float32)
-    return Index(index.terms, weights, index.ids, index.labels, index.start, at, w, index.k)
+    w = (w / np.repeat(np.sqrt(np.add.reduceat(w * w, index.start[:-1])), np.diff(index.start))).astype(np.float32)
+    strongest = np.array([at[i + w[i:j].argmax()] for i, j in zip(index.start, index.start[1:])])
+    order = np.lexsort((np.arange(len(index.ids)), strongest, index.labels))
+    held, n = gathered(index.start, order)
+    return Index(index.terms, weights, index.ids[order], index.labels[order], np.r_[0, np.cumsum(n)], at[held], w[held], index.k)
 
 
-RESULT = StructType([StructField("vote", DoubleType()), StructField("examples", ArrayType(LongType())), StructField("cosines", ArrayType(DoubleType())), StructField("words", ArrayType(StringType()))])
+RESULT = StructType([StructField("vote", DoubleType()), StructField("examples", ArrayType(StringType())), StructField("cosines", ArrayType(DoubleType())), StructField("words", ArrayType(StringType()))])
 
 
 @dataclass
@@ -228,8 +211,8 @@ def _judge(spark: SparkSession, index: Index, evidence: int):
             for text in batch:
                 at, w = index.vector(text)
                 places, cosines = index.nearest_to(at, w)
-                words = [names.value[i] for i in index.shared(at, w, places[:evidence])] if evidence and len(places) else []
-                rows.append((index.vote(places, cosines), index.ids[places[:evidence]].tolist(), cosines[:evidence].tolist(), words))
+                words = [names.value[i].decode("utf-8", "replace") for i in index.shared(at, w, places[:evidence])] if evidence and len(places) else []
+                rows.append((index.vote(places, cosines), [str(x) for x in index.ids[places[:evidence]]], cosines[:evidence].tolist(), words))
             yield pd.DataFrame(rows, columns=[f.name for f in RESULT], index=batch.index)
 
     return judge
@@ -237,14 +220,14 @@ def _judge(spark: SparkSession, index: Index, evidence: int):
 
 def frequencies_of(docs: DataFrame, index: Index) -> np.ndarray:
     """How many documents have each term of the index: one array in each task, summed by term."""
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+    shared = docs.sparkSession.sparkContext.broadcast(index.terms)
 
     def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = shared.value
-        n = np.zeros(len(index.terms), np.int64)
+        terms = shared.value
+        known, n = terms.keys(), np.zeros(len(terms), np.int64)
         for batch in batches:
             for text in batch["text"]:
-                n[list({t for word in words_of(text) for t in index.terms_in(word)})] += 1
+                n[[terms[w] for w in known & set(words_of(text))]] += 1
         at = np.flatnonzero(n)
         yield pd.DataFrame({"term": at, "n": n[at]})
 
@@ -260,15 +243,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
     small_batches(docs.sparkSession)
     sample = cut(labelled_sample(docs, labels, label, rows))
     examples = [tuple(r) for r in sample.where("part = 1").select("doc_id", "y", "text").collect()]
-    terms: dict[str, int] = {}
     # Without examples of both labels nothing can be told.
-    if len({y for _, y, _ in examples}) == 2:
-        for _, _, text in sorted(examples):
-            for t in sorted(terms_of(words_of(text))):
-                terms.setdefault(t, len(terms))
-    index = counted(examples, terms)
+    index = counted(examples if len({y for _, y, _ in examples}) == 2 else [])
     del examples
-    if terms:
+    if index.terms:
         index = weighted(index, np.log((1 + docs.count()) / (1 + frequencies_of(docs, index))) + 1)
     fitted = sample.where("part = 0").select("y", _judge(docs.sparkSession, index, 0)("text")["vote"].alias("x")).toPandas()
     return Model(index, fit_curve(fitted["x"].to_numpy(float), fitted["y"].to_numpy(float), label_weights(labels, label, rows)))
