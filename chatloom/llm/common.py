@@ -23,10 +23,15 @@ BROADCAST_ROWS = 100_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder: ``spark.checkpoint.dir``, or a temporary one only where that is unset (tests)."""
+    """The session's checkpoint folder: ``spark.checkpoint.dir``; where that is unset, a temporary one on a local master (tests) and an error on a cluster."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="chatloom-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="chatloom-")
+        sc.setCheckpointDir(folder)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -44,7 +49,7 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialises ``df`` in the shared folder and cuts its lineage; Spark's cleaner removes the files."""
+    """Materialises ``df`` in the shared folder and cuts its lineage; the files stay unless spark.cleaner.referenceTracking.cleanCheckpoints is set."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
 
@@ -87,6 +92,18 @@ def maybe_among(keys: DataFrame, key: str) -> Callable[[Column], Column]:
     return lambda column: held(F.xxhash64(column).bitwiseAND(F.lit((1 << FILTER_BITS) - 1)))
 
 
+def numbered_columns(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns named in0, in1, ..., that no inner name clashes with, and the new name of each."""
+    names = {c: f"in{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` over all cores, where its bytes alone would let Spark read it in too few tasks for the rows it is about to make."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism), *keys)
+
+
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hints a broadcast only when ``df`` was counted to have at most ``rows`` rows."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
@@ -113,13 +130,10 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS), "")
 
 
-def python_words(text: str | None) -> list[str]:
-    return WORD.findall(text or "")
-
-
-def python_lower(text: str | None) -> str:
-    """Lower-cases A-Z only."""
-    return (text or "").encode("utf-8", "replace").lower().decode("utf-8")
+def byte_words(text: str | None, lower: bool = False) -> list[bytes]:
+    """The words in UTF-8 (bytes are split at the same six characters); ``lower`` lower-cases A-Z only."""
+    raw = (text or "").encode("utf-8", "replace")
+    return (raw.lower() if lower else raw).split()
 
 
 def fold(doc_id: Column) -> Column:

@@ -10,10 +10,12 @@ seeded hash.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, cut, join_null_safe, read, words
+from .common import bounded, cut, join_null_safe, numbered_columns, read, words
 
 SEED, MAX_EPOCHS, SHARE = 17, 4, 0.5
 #: Weights of the tree's nodes by level; a node that is not named has weight 1.
@@ -46,15 +48,18 @@ def _weight(level: str, weights: dict[str, dict[str, int]]) -> Column:
 def allocate(leaves: DataFrame, budget: Column, weights: dict[str, dict[str, int]] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """From leaves (domain, lang, source, tokens): adds ``target``, the tokens that each leaf shall give.
 
-    Works on one row for each leaf. Nodes of weight 0 or without tokens get 0.
+    Works on one row for each leaf. Leaves under a node of weight 0 and those without
+    tokens get 0 and are no capacity of the nodes above. What rounding down leaves of a
+    grant goes, a token each, to the open siblings of the least names, as far as they
+    have room.
     """
     parents: list[str] = []
-    plan = leaves.withColumn("cap", (F.col("tokens") * max_epochs).cast("double"))
-    given = plan.agg(F.sum("cap").alias("all"), F.sum("tokens").alias("tokens")).select(F.least(F.col("all"), budget).alias("grant"))
+    live = (F.col("tokens") > 0) & (F.least(*[_weight(level, weights) for level in LEVELS]) > 0)
+    plan = leaves.where(live).withColumn("cap", (F.col("tokens") * max_epochs).cast("double"))
+    given = plan.agg(F.coalesce(F.sum("cap"), F.lit(0.0)).alias("all")).select(F.least(F.col("all"), budget).alias("grant"))
     grants = given
     for level in LEVELS:
         nodes = plan.groupBy(*parents, level).agg(F.sum("cap").alias("cap")).withColumn("w", _weight(level, weights))
-        nodes = nodes.where((F.col("w") > 0) & (F.col("cap") > 0))
         nodes = join_null_safe(nodes, grants, parents) if parents else nodes.crossJoin(F.broadcast(grants))
         group = Window.partitionBy(*(parents or [F.lit(0)]))
         ordered = group.orderBy(F.col("cap") / F.col("w"), F.col(level).asc_nulls_first())
@@ -64,8 +69,12 @@ def allocate(leaves: DataFrame, budget: Column, weights: dict[str, dict[str, int
         taken = F.sum(F.when(F.col("full"), F.col("cap")).otherwise(0.0)).over(group)
         open_weight = F.sum(F.when(F.col("full"), 0.0).otherwise(F.col("w"))).over(group)
         share = F.floor(F.col("w") * (F.col("grant") - taken) / open_weight).cast("double")
+        nodes = nodes.withColumn("share", F.when(F.col("full"), F.col("cap")).otherwise(share)).withColumn("room", ~F.col("full") & (F.col("share") < F.col("cap")))
+        left = F.col("grant") - F.sum("share").over(group)
+        nth = F.sum(F.col("room").cast("int")).over(group.orderBy(F.col(level).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        nodes = nodes.withColumns({"left_over": left, "nth": nth})
         parents = [*parents, level]
-        grants = nodes.select(*parents, F.when(F.col("full"), F.col("cap")).otherwise(share).alias("grant"))
+        grants = nodes.select(*parents, (F.col("share") + F.when(F.col("room") & (F.col("nth") <= F.col("left_over")), 1.0).otherwise(0.0)).alias("grant"))
     joined = join_null_safe(leaves, grants, parents, "left")
     return joined.withColumn("target", F.coalesce(F.col("grant"), F.lit(0.0)).cast("long")).drop("grant")
 
@@ -78,41 +87,44 @@ def _boundary(rows: DataFrame, leaf: list[str], shift: int) -> DataFrame:
     return found.groupBy(*leaf, "rest").agg(F.min(F.struct("bucket", (F.col("upto") - F.col("tokens")).alias("base"))).alias("b")).select(*leaf, "rest", "b.bucket", "b.base")
 
 
-def mix(docs: DataFrame, share: float = SHARE, weights: dict[str, dict[str, int]] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED, text: str = "text", key: str = "doc_id", lang: str = "lang", source: str = "source", tokens: Column | None = None) -> DataFrame:
+def mix(docs: DataFrame, share: float = SHARE, weights: dict[str, dict[str, int]] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED, text: str = "text", key: str = "doc_id", lang: str = "lang", source: str = "source", tokens: Column | None = None, domain: Callable[[Column], Column] = domain_of) -> DataFrame:
     """Rows of ``docs`` once for each epoch that takes them, with ``mix_epoch`` (from 0) and ``mix_tokens``.
 
     The budget is ``share`` of all tokens (words, unless ``tokens`` is given). Null
     languages and sources are nodes of their own; null texts have no tokens; rows with
-    equal keys in one leaf are taken or left together. The cut of a leaf's last epoch
+    equal keys in one leaf, null ones too, are taken or left together. ``domain`` tells a
+    source's domain. Columns mix_epoch and mix_tokens of the input are replaced. The cut of a leaf's last epoch
     is found by sums over ever finer ranges of the hash, so no task orders a leaf.
     """
-    count = F.size(words(F.col(text))).cast("long") if tokens is None else tokens.cast("long")
-    tree = {"_domain": domain_of(F.col(source)), "_lang": F.col(lang), "_source": F.col(source)}
+    columns = docs.columns
+    docs, names = numbered_columns(docs if tokens is None else docs.withColumn("mix_tokens", tokens.cast("long")))
+    text, key, lang, source = (names[c] for c in (text, key, lang, source))
+    count = F.size(words(F.col(text))).cast("long") if tokens is None else F.col(names["mix_tokens"])
+    tree = {"domain": domain(F.col(source)), "lang": F.col(lang), "source": F.col(source)}
     leaf = [*tree]
-    slim = cut(docs.select(F.col(key).alias("_key"), *[c.alias(n) for n, c in tree.items()], count.alias("tokens")))
+    slim = cut(docs.select(F.col(key).alias("key"), *[c.alias(n) for n, c in tree.items()], count.alias("tokens")))
     leaves = slim.groupBy(*leaf).agg(F.sum("tokens").alias("tokens"))
     total = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("t")).first()["t"]
-    named = leaves.toDF(*LEVELS, "tokens")
-    plan = cut(allocate(named, F.lit(float(int(total * share))), weights, max_epochs).toDF(*leaf, "leaf_tokens", "target").where("target > 0"))
+    plan = cut(allocate(leaves, F.lit(float(int(total * share))), weights, max_epochs).withColumnRenamed("tokens", "leaf_tokens").where("target > 0"))
     plan = plan.withColumn("whole", F.expr("target div leaf_tokens")).withColumn("rest", F.expr("target % leaf_tokens"))
     plan = bounded(plan)
-    keyed = join_null_safe(slim, plan, leaf).select(*leaf, "_key", "tokens", "whole", "rest").withColumn("h", order_hash(F.col("_key"), F.col("whole"), seed)).withColumn("base", F.lit(0).cast("long"))
-    rows, shift = keyed, BITS - STEP
+    # Rows of equal keys in a leaf are taken together, so they are one row from here on.
+    keyed = join_null_safe(slim, plan, leaf).groupBy(*leaf, "key", "whole", "rest").agg(F.sum("tokens").alias("tokens"))
+    rows = keyed.withColumn("h", order_hash(F.col("key"), F.col("whole"), seed)).withColumn("base", F.lit(0).cast("long"))
     for shift in (BITS - STEP, BITS - 2 * STEP):
         edge = bounded(_boundary(rows, leaf, shift)).withColumnsRenamed({"base": "e_base", "rest": "e_rest"})
-        rows = join_null_safe(rows.withColumn("bucket", F.expr(f"shiftright(h, {shift})")), edge, [*leaf, "bucket"]).select(*leaf, "_key", "tokens", "rest", F.col("e_base").alias("base"), "h")
-    run = F.col("base") + F.sum("tokens").over(Window.partitionBy(*leaf).orderBy("h", "_key").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        rows = join_null_safe(rows.withColumn("bucket", F.expr(f"shiftright(h, {shift})")), edge, [*leaf, "bucket"]).select(*leaf, "key", "tokens", "rest", F.col("e_base").alias("base"), "h")
+    run = F.col("base") + F.sum("tokens").over(Window.partitionBy(*leaf).orderBy("h", "key").rangeBetween(Window.unboundedPreceding, Window.currentRow))
     last = rows.withColumn("upto", run).groupBy(*leaf).agg(
-        F.max(F.when(F.col("upto") <= F.col("rest"), F.struct("h", "_key"))).alias("last"), F.min(F.expr(f"shiftleft(shiftright(h, {shift}), {shift})")).alias("edge")
+        F.max(F.when(F.col("upto") <= F.col("rest"), F.struct("h", "key"))).alias("last"), F.min(F.expr(f"shiftleft(shiftright(h, {shift}), {shift})")).alias("edge")
     )
-    ends = join_null_safe(plan, last, leaf, "left").select(*leaf, "whole", "last", "edge")
-    ends = bounded(cut(ends)).withColumnsRenamed({c: f"_end{c}" for c in leaf} | {c: f"_{c}" for c in ("whole", "last", "edge")})
-    h = order_hash(F.col(key), F.col("_whole"), seed)
-    upto = F.struct(h.alias("h"), F.col(key).alias("_key")) <= F.col("_last")
-    taken = F.coalesce((h < F.col("_edge")) | F.coalesce(upto, F.lit(False)), F.lit(False))
-    out = docs.join(ends, on=[c.eqNullSafe(F.col(f"_end{n}")) for n, c in tree.items()]).withColumn("_n", F.col("_whole") + F.when(taken, 1).otherwise(0)).where("_n > 0")
-    extra = {"mix_tokens": count, "mix_epoch": F.explode(F.sequence(F.lit(0), (F.col("_n") - 1).cast("int")))}
-    return out.select(*[docs[c] for c in docs.columns if c not in extra], *[c.alias(n) for n, c in extra.items()])
+    ends = bounded(cut(join_null_safe(plan, last, leaf, "left").select(*leaf, "whole", "last", "edge")))
+    h = order_hash(F.col(key), F.col("whole"), seed)
+    upto = F.struct(h.alias("h"), F.col(key).alias("key")) <= F.col("last")
+    taken = F.coalesce((h < F.col("edge")) | F.coalesce(upto, F.lit(False)), F.lit(False))
+    out = docs.join(ends, on=[c.eqNullSafe(F.col(n)) for n, c in tree.items()]).withColumn("copies", F.col("whole") + F.when(taken, 1).otherwise(0)).where("copies > 0")
+    extra = {"mix_tokens": count, "mix_epoch": F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int")))}
+    return out.select(*[F.col(names[c]).alias(c) for c in columns if c not in extra], *[c.alias(n) for n, c in extra.items()])
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,15 +143,20 @@ def mix_sql(docs: str = "documents", share: float = SHARE, weights: dict[str, di
         cols = ", ".join([*parents, level])
         part = "partition by " + ", ".join(parents) if parents else ""
         ctes.append(f"""
-n_{level} as (select {cols}, sum(cap) as cap, {weight(level)} as w from leaf group by {cols}),
+n_{level} as (select {cols}, sum(cap) as cap, {weight(level)} as w from leaf where live group by {cols}),
 s_{level} as (
   select {', '.join(f'n.{c}' for c in [*parents, level])}, cap, w, "grant",
          cap * sum(w) over (o rows between current row and unbounded following) <= ("grant" - coalesce(sum(cap) over (o rows between unbounded preceding and 1 preceding), 0)) * w as is_full
-  from n_{level} n join {grants} g on {on} where w > 0 and cap > 0
+  from n_{level} n join {grants} g on {on}
   window o as ({part.replace('by ', 'by n.').replace(', ', ', n.')} order by cap / w, n.{level} nulls first)),
+h_{level} as (
+  select *, case when is_full then cap else floor(w * ("grant" - sum(case when is_full then cap else 0 end) over ({part})) / sum(case when is_full then 0 else w end) over ({part})) end as share
+  from s_{level}),
+r_{level} as (
+  select *, not is_full and share < cap as room, "grant" - sum(share) over ({part}) as left_over from h_{level}),
 g_{level} as (
-  select {cols}, case when is_full then cap else floor(w * ("grant" - sum(case when is_full then cap else 0 end) over ({part})) / sum(case when is_full then 0 else w end) over ({part})) end as "grant"
-  from s_{level})""")
+  select {cols}, share + case when room and sum(cast(room as int)) over ({part} order by {level} nulls first rows unbounded preceding) <= left_over then 1 else 0 end as "grant"
+  from r_{level})""")
         parents, grants = [*parents, level], f"g_{level}"
     same = " and ".join(f"{{a}}.{p} is not distinct from {{b}}.{p}" for p in parents)
     return f"""
@@ -148,8 +165,10 @@ with d as (
          case when regexp_extract(coalesce(source, ''), '([0-9]{{1,9}})$', 1) = '' then 'other'
               else 'd' || (cast(regexp_extract(source, '([0-9]{{1,9}})$', 1) as integer) % 4) end as domain
   from {docs}),
-leaf as (select domain, lang, source, sum(n_tokens) as tokens, cast(sum(n_tokens) * {MAX_EPOCHS} as double) as cap from d group by all),
-root as (select least(sum(cap), floor(sum(tokens) * {share})) as "grant" from leaf),{','.join(ctes)},
+leaf as (
+  select domain, lang, source, sum(n_tokens) as tokens, cast(sum(n_tokens) * {MAX_EPOCHS} as double) as cap,
+         sum(n_tokens) > 0 and least({', '.join(weight(level) for level in LEVELS)}) > 0 as live from d group by all),
+root as (select least(coalesce(sum(cap) filter (where live), 0), floor(sum(tokens) * {share})) as "grant" from leaf),{','.join(ctes)},
 plan as (
   select l.*, cast(g."grant" as bigint) // tokens as whole, cast(g."grant" as bigint) % tokens as rest
   from leaf l join g_source g on {same.format(a='l', b='g')} where g."grant" >= 1),

@@ -1,46 +1,63 @@
 """SimHash near-duplicates with deletion-variant signatures.
 
-Fingerprints of 64 bits are cut into so few segments that of two fingerprints within
-``max_bits`` one segment differs in one bit at most: (max_bits + 2) // 2 segments.
-The index has every segment as it is and, for each of its bits, without that bit.
-Equal whole segments, and equal variants whose left-out bits differ, are the
-candidates; they are compared in full. Only different fingerprints are indexed, so
-copies, however many, are one entry.
+Fingerprints are cut into so few segments that of two alike ones a segment differs in
+one bit at most. The index has every segment without each of its bits, so equality
+joins find such segments; candidates are compared in full. Only different fingerprints
+are indexed, so copies, however many, are one entry.
+
+There are two forms. ``near_duplicates`` links 64-bit fingerprints within ``max_bits``:
+(max_bits + 2) // 2 segments lose no link. ``drop_near_duplicates`` links texts whose
+sets of shingles have a Jaccard similarity of ``least`` or more. These differ in about
+15 of 100 bits, so no few segments of one fingerprint do; it takes as many segments of
+``width`` bits from a longer fingerprint as find a pair of just that similarity with
+the probability ``recall``, and exact similarities decide. Members of a bucket are
+compared with its least one first, and then only those that are still apart, so large
+groups of near copies don't make all their pairs.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import LongType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from .common import cut, maybe_among, python_lower, python_words, read, small_batches
+from .common import bounded, byte_words, cut, dealt, numbered_columns, read, small_batches
 from .components import label_components
+from .suffix_dedup import mixed, rolled
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 3
 #: Shingles whose bits are summed at a time.
 BLOCK = 65_536
+#: Of the stage on texts: words of a shingle, similarity, bits of a segment, share of pairs of just that similarity to be found.
+WORDS, LEAST, WIDTH, RECALL = 5, 0.8, 22, 0.9
 
 
 def simhash(text: str | None, n: int = SHINGLE) -> int:
     """The fingerprint as an unsigned number; 0 for a text without words."""
-    ws = python_words(python_lower(text))
+    ws = byte_words(text, lower=True)
     if not ws:
         return 0
     count = max(1, len(ws) - n + 1)
     ones = np.zeros(64, np.int64)
     for at in range(0, count, BLOCK):
-        hashes = np.fromiter((xxhash.xxh64_intdigest(" ".join(ws[i : i + n]), SEED) for i in range(at, min(count, at + BLOCK))), np.uint64)
-        ones += np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        hashes = np.fromiter((xxhash.xxh64_intdigest(b" ".join(ws[i : i + n]), SEED) for i in range(at, min(count, at + BLOCK))), np.uint64)
+        ones += ones_by_bit(hashes.astype(">u8").view(np.uint8).reshape(-1, 8))
     return int.from_bytes(np.packbits(2 * ones > count).tobytes(), "big")
 
 
+def ones_by_bit(rows: np.ndarray) -> np.ndarray:
+    """How many rows of bytes have each bit; sums of at most 255 rows fit in a byte."""
+    bits = np.unpackbits(rows, axis=1)
+    return sum((bits[i : i + 255].sum(0, dtype=np.uint8).astype(np.int64) for i in range(0, len(bits), 255)), np.zeros(bits.shape[1], np.int64))
+
+
 @pandas_udf(LongType())
 def simhash_long(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """The fingerprint's 64 bits as a signed number."""
@@ -70,6 +87,7 @@ def link_fingerprints(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     Segments and variants are equality keys, so the work is a shuffle of 64 + the
     number of segments rows for each fingerprint.
     """
+    prints = dealt(prints, "bits")
     whole, variants = [], []
     for k, (low, width) in enumerate(segment_bounds(max_bits)):
         value = _segment(F.col("bits"), low, width)
@@ -105,36 +123,149 @@ def row_hash(key: str, text: str) -> Column:
 
 
 def _linked(docs: DataFrame, key: str, max_bits: int) -> tuple[DataFrame, DataFrame]:
-    """(rows of key, bits, row; what is known of each fingerprint: component, links, root, its least row and number of rows)."""
+    """(rows of key, bits; what is known of each fingerprint: component, number of links)."""
     small_batches(docs.sparkSession)
-    slim = cut(docs.select(F.col(key), simhash_long(F.col("_text")).alias("bits"), row_hash(key, "_text").alias("row")))
-    first = F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "row"))["row"]
-    prints = cut(slim.groupBy("bits").agg(F.min(key).cast("long").alias("least"), first.alias("first_row"), F.count("*").alias("n_rows")))
+    slim = cut(docs.select(F.col(key), simhash_long(F.col("_text")).alias("bits")))
+    prints = cut(slim.groupBy("bits").agg(F.min(key).cast("long").alias("least")))
     links = cut(link_fingerprints(prints.select("bits"), max_bits).distinct())
     parts = label_components(prints.select(F.col("bits").alias("node"), "least"), links)
     ends = links.select(F.explode(F.array("left", "right")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     # Cut, so that both sides of the last join are plain shuffles, whose skewed partitions Spark splits.
-    known = parts.join(ends, "node", "left").join(prints.select(F.col("bits").alias("node"), "first_row", "n_rows"), "node")
-    return slim, cut(known.select(F.col("node").alias("bits"), F.col("least").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "root", "first_row", "n_rows"))
+    known = parts.join(ends, "node", "left")
+    return slim, cut(known.select(F.col("node").alias("bits"), F.col("least").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
+
+
+# Texts by the similarity of their shingles.
+
+
+def differing_share(similarity: float) -> float:
+    """Share of bits in which fingerprints of two sets of that Jaccard similarity (and like size) differ: their angle over pi."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def segment_count(width: int = WIDTH, least: float = LEAST, recall: float = RECALL) -> int:
+    """Segments so that of two texts of that similarity one segment differs in one bit at most with the probability ``recall``."""
+    p = differing_share(least)
+    one = (1 - p) ** width + width * p * (1 - p) ** (width - 1)
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - one)))
+
+
+def shingle_hashes(words: list[bytes], n: int = WORDS) -> np.ndarray:
+    """The different hashes of all shingles of ``n`` words; fewer words are one shingle, no words have none."""
+    own = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64)
+    return np.unique(rolled(own, min(n, len(own)))) if len(own) else own
+
+
+def segments_of(hashes: np.ndarray, count: int, width: int) -> np.ndarray:
+    """A fingerprint of count * width bits as ``count`` numbers; mixtures of the hashes give as many bits as it takes."""
+    bits = count * width
+    odd = np.arange(1, 2 * -(-bits // 64), 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
+    ones = np.zeros(64 * len(odd), np.int64)
+    for at in range(0, len(hashes), BLOCK // 8):
+        ones += ones_by_bit(mixed((hashes[at : at + BLOCK // 8, None] ^ (hashes[at : at + BLOCK // 8, None] >> np.uint64(31))) * odd).view(np.uint8))
+    return (2 * ones > len(hashes))[:bits].reshape(count, width) @ (1 << np.arange(width, dtype=np.int64))
+
+
+def _segments(n: int, count: int, width: int):
+    @pandas_udf(StructType([StructField("node", LongType()), StructField("segments", ArrayType(IntegerType()))]))
+    def made(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in texts:
+            nodes, rows = [], []
+            for text in batch:
+                words = byte_words(text, lower=True)
+                nodes.append(xxhash.xxh64_intdigest(b" ".join(words), SEED))
+                rows.append(segments_of(shingle_hashes(words, n), count, width))
+            yield pd.DataFrame({"node": np.array(nodes, np.uint64).view(np.int64), "segments": rows}, index=batch.index)
 
+    return made
 
-def drop_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", max_bits: int = MAX_BITS) -> DataFrame:
-    """``docs`` with one document of each component, that of the least key.
+
+def _similarity(n: int):
+    @pandas_udf(DoubleType())
+    def jaccard(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for left, right in pairs:
+            out = []
+            for a, b in zip(left, right):
+                x, y = (shingle_hashes(byte_words(t, lower=True), n) for t in (a, b))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                out.append(both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0)
+            yield pd.Series(out, index=left.index, dtype="float64")
+
+    return jaccard
+
+
+#: Nodes whose texts may be asked for by a broadcast: two numbers each.
+ASKED = 500_000
+
+
+def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, least: float, count: int, width: int) -> DataFrame:
+    """Of candidates (left, right): those with a similarity of ``least``; bits far beyond the expected number spare the texts."""
+    p = differing_share(least)
+    most = int(count * width * p + 6 * math.sqrt(count * width * p * (1 - p)))
+    bits = nodes.select("node", "segments")
+    met = pairs.join(bits.toDF("left", "a"), "left").join(bits.toDF("right", "b"), "right")
+    apart = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    near = cut(met.where(apart <= most).select("left", "right"))
+    asked = nodes.join(near.select(F.explode(F.array("left", "right")).alias("node")).distinct(), "node", "left_semi").select("node", F.col("first_row").alias("row"))
+    texts = cut(docs.join(bounded(cut(asked), ASKED), "row").dropDuplicates(["node"]).select("node", "_text"))
+    return near.join(texts.toDF("left", "a"), "left").join(texts.toDF("right", "b"), "right").where(_similarity(n)("a", "b") >= least).select("left", "right")
+
+
+def similar_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = WORDS, least: float = LEAST, width: int = WIDTH, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
+    """(rows of key, row, node; for each node, a text up to case and white space: component_id, root, first_row, n_rows, linked).
+
+    ``row`` hashes key and text. Texts without words are one node, linked to no other.
+    """
+    count = segment_count(width, least, recall)
+    small_batches(docs.sparkSession)
+    own = docs.select(F.col(key), F.col(text).alias("_text"))
+    slim = cut(own.select(F.col(key), row_hash(key, "_text").alias("row"), _segments(n, count, width)("_text").alias("s")).select(key, "row", "s.*"))
+    first = F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "row"))["row"]
+    # Equal nodes have equal segments.
+    nodes = cut(dealt(slim.groupBy("node").agg(F.min(key).cast("long").alias("least"), first.alias("first_row"), F.count("*").alias("n_rows"), F.first("segments").alias("segments")), "node"))
+
+    # One number for segment, left-out bit and the other bits.
+    parted = nodes.select("node", F.posexplode("segments").alias("k", "v"))
+    keys = F.array(*[((F.col("k") * width + b).cast("long") * (1 << width)) + F.col("v").bitwiseAND(~(1 << b)).cast("long") for b in range(width)])
+    index = parted.select("node", F.explode(keys).alias("bucket"))
+    leader = F.min("node").over(Window.partitionBy("bucket"))
+    member = cut(index.withColumn("left", leader).where("left <> node"))
+    texts = own.withColumn("row", row_hash(key, "_text"))
+    chosen = member.select("left", F.col("node").alias("right")).distinct()
+    stars = cut(_alike(chosen, nodes, texts, n, least, count, width))
+    plain = nodes.select("node", "least")
+    parts = cut(label_components(plain, stars).select("node", "root"))
+    # A member that is not in the component of its bucket's leader meets all others of the bucket.
+    placed = cut(member.join(parts, "node").join(parts.toDF("left", "lead"), "left").select("bucket", "node", "root", (F.col("root") != F.col("lead")).alias("minor")))
+    minor = placed.where("minor").select("bucket", F.col("node").alias("one"), F.col("root").alias("one_root"))
+    others = placed.select("bucket", F.col("node").alias("other"), F.col("root").alias("other_root"), F.col("minor").alias("too"))
+    apart = minor.join(others, "bucket").where("one_root <> other_root and (not too or one < other)").select(F.least("one", "other").alias("left"), F.greatest("one", "other").alias("right"))
+    links = cut(stars.unionByName(_alike(apart.distinct(), nodes, texts, n, least, count, width)))
+    known = label_components(plain, links).join(nodes.select("node", "first_row", "n_rows"), "node")
+    return slim.select(key, "row", "node"), cut(known.select("node", F.col("least").alias("component_id"), "root", "first_row", "n_rows"))
+
+
+def drop_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = WORDS, least: float = LEAST, width: int = WIDTH, recall: float = RECALL) -> DataFrame:
+    """``docs`` with one document of each component of texts alike, that of the least key.
 
     Null keys come last; of equal keys in a component the least hash of key and text
     decides, and of rows that repeat both any one stays. Rows of equal or null keys in
-    different components are different documents.
+    different components are different documents. Null, empty and wordless texts are
+    copies of one another.
     """
-    slim, known = _linked(docs.select(F.col(key), F.col(text).alias("_text")), key, max_bits)
+    columns = docs.columns
+    docs, names = numbered_columns(docs)
+    text, key = names[text], names[key]
+    slim, known = similar_texts(docs, text, key, n, least, width, recall)
     # The root has the component's least key, so the first of its rows is the one that stays.
-    parts = slim.join(known, "bits").withColumn("stays", (F.col("bits") == F.col("root")) & (F.col("row") == F.col("first_row")))
+    parts = slim.join(known, "node").withColumn("stays", (F.col("node") == F.col("root")) & (F.col("row") == F.col("first_row")))
     touched = cut(parts.where("not stays or n_rows > 1").groupBy(F.col("row").alias("_row")).agg(F.max("stays").alias("_stays")))
     held = docs.withColumn("_own", row_hash(key, text))
-    held = held.withColumn("_held", maybe_among(touched, "_row")(F.col("_own")))
-    met = held.where("_held").join(touched, F.col("_own") == F.col("_row"), "left")
+    met = held.join(touched, F.col("_own") == F.col("_row"), "left")
+    # Rows that repeat key and text have one hash; one of them stays.
     alone = met.where(F.col("_row").isNull())
     one = met.where("_stays").dropDuplicates(["_own"])
-    return held.where("not _held").select(*docs.columns).unionByName(alone.select(*docs.columns)).unionByName(one.select(*docs.columns))
+    return alone.select(*docs.columns).unionByName(one.select(*docs.columns)).toDF(*columns)
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

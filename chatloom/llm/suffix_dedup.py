@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .common import cut, maybe_among, python_words, read, small_batches, written, WORD
+from .common import byte_words, cut, maybe_among, numbered_columns, read, small_batches, written, WORD
 
 LEAST, WINDOW, RUN = 50, 40, 4
 LAST = 9223372036854775807
@@ -32,7 +32,7 @@ SUFFIXES = ArrayType(StructType([StructField(n, LongType()) for n in ("core", "e
 
 
 def word_hashes(text: str | None) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh64_intdigest, python_words(text)), np.uint64)
+    return np.fromiter(map(xxhash.xxh64_intdigest, byte_words(text)), np.uint64)
 
 
 def rolled(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -203,14 +203,17 @@ def drop_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", least
     A document of which no word is left goes; one that had no words stays. An integer
     column n_chars, where there is one, gets the new length.
     """
+    originals = docs.columns
+    docs, names = numbered_columns(docs)
+    text, key, size = names[text], names[key], names.get("n_chars")
     rows = numbered(docs, text, key)
     found = cut(_spans_of(rows, text, key, least).select(F.col("row").alias("_found"), F.col("cut_spans").alias("_cut")).where(F.size("_cut") > 0))
     held = rows.withColumn("_held", maybe_among(found, "_found")(F.col("_row")))
     joined = held.where("_held").join(found, F.col("_row") == F.col("_found"), "left")
     changed = joined.withColumn("_new", F.when(F.col("_cut").isNotNull(), without_spans(F.col(text), F.col("_cut"))))
     kept = changed.where(F.col("_cut").isNull() | F.rlike("_new", F.lit(r"[^\x20\x09-\x0D]")))
-    columns = [F.coalesce("_new", text).alias(text) if c == text else F.when(F.col("_new").isNotNull(), F.length("_new").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return kept.select(*columns).unionByName(held.where("not _held").select(*docs.columns))
+    columns = [F.coalesce("_new", text).alias(text) if c == text else F.when(F.col("_new").isNotNull(), F.length("_new").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == size else F.col(c) for c in docs.columns]
+    return kept.select(*columns).unionByName(held.where("not _held").select(*docs.columns)).toDF(*originals)
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -194,3 +194,22 @@ def test_op10_choice_is_context_free(spark):
     assert inside and inside <= b
     best = fingerprint.aligned(df.where("doc_id = 1"), df.where("doc_id = 2")).orderBy(F.desc("n_anchors")).first()
     assert best["shift"] == -37 and best["n_anchors"] == len(inside)
+
+
+def test_weight_zero_and_remainders(spark):
+    """Tokens that a child of weight 0 would hold go to others, and no token is lost to rounding."""
+    leaves = spark.createDataFrame([("d0", "en", "a", 100), ("d0", "de", "a", 100), ("d1", "en", "a", 1000), ("d1", "en", "b", 1000), ("d1", "en", None, 1000)], "domain string, lang string, source string, tokens bigint")
+    weights = {"domain": {"d0": 1, "d1": 1}, "lang": {"de": 0}}
+    got = {(r["domain"], r["lang"], r["source"]): r["target"] for r in mixing.allocate(leaves, F.lit(601.0), weights, 1).collect()}
+    assert got == {("d0", "en", "a"): 100, ("d0", "de", "a"): 0, ("d1", "en", None): 167, ("d1", "en", "a"): 167, ("d1", "en", "b"): 167}
+    got = {r["target"] for r in mixing.allocate(leaves, F.lit(1e9), weights, 1).collect()}
+    assert got == {0, 100, 1000}
+    assert mixing.allocate(leaves, F.lit(10.0), {"lang": {"en": 0, "de": 0}}, 1).agg(F.sum("target")).first()[0] == 0
+
+
+def test_mixing_keeps_clashing_columns(spark):
+    docs = spark.createDataFrame([(i % 4, f"a b c {i}", "en", f"s{i % 2}") for i in range(12)], "doc_id bigint, text string, lang string, source string")
+    for c in ("_n", "_whole", "_last", "_edge", "_end_domain", "domain", "h", "copies", "key", "tokens", "mix_tokens"):
+        docs = docs.withColumn(c, F.lit("clash"))
+    rows = mixing.mix(docs, share=1.0, max_epochs=2).collect()
+    assert rows and all(r["_n"] == r["domain"] == r["copies"] == "clash" and r["mix_tokens"] == 4 for r in rows)
