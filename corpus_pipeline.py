@@ -8,13 +8,11 @@ after the fourth.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatloom.llm import byte_bpe, mixing, simhash, suffix_dedup, toxicity
+from chatloom.llm.common import written
 
 #: All tokens of the input are the budget: what the weights take from a leaf they give to others.
 SHARE = 1.0
@@ -30,7 +28,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the least doc_id of each group of near copies."""
+    """Keeps the document of the least doc_id of each group of texts whose five-word shingles are alike to 0.8 or more."""
     return simhash.drop_near_duplicates(docs)
 
 
@@ -62,11 +60,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; each result but the last is written to the shared folder and read again."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="chatloom-")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        out = f"{folder}/pipeline-{uuid.uuid4().hex}/{name}"
-        stage(spark, docs, sf_dir).write.parquet(out)
-        docs = spark.read.parquet(out)
+    """Applies the stages to documents; each result but the last is written to the shared folder and read again, and removed when the next is written."""
+    docs, drop = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for _, stage in STAGES[:-1]:
+        before = drop
+        docs, drop = written(stage(spark, docs, sf_dir))
+        if before:
+            before()
     return STAGES[-1][1](spark, docs, sf_dir)
