@@ -2,21 +2,22 @@
 
 A window of K words is chosen when the least of its inner S-word hashes is the first
 or the last of them. The choice looks at the window's own words only, so an edit
-moves no anchor outside the windows it touches. A fingerprint holds the least SIZE
-anchor values of a text; likeness compares two fingerprints, ``aligned`` compares
-anchors with their places.
+moves no anchor outside the windows it touches. A fingerprint has all anchors of a
+text with their places. Two texts are matched by position: neighbouring anchors of
+equal values at an equal distance lie on one diagonal. Likeness is the share of such
+pairs; ``aligned`` matches tables of texts and tells the diagonals.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, let, read, words
+from .common import bounded, cut, let, read, words
 
-K, S, SIZE = 6, 2, 64
-#: Buckets of neighbouring ids: at most so many, of about so many documents each.
-MAX_BUCKETS, BUCKET_DOCS = 65_536, 2_000
+K, S = 6, 2
+#: Buckets of neighbouring ids: at most so many, of about so many documents each; documents of a task; buckets of rows that share an id.
+MAX_BUCKETS, BUCKET_DOCS, TASK_DOCS, SHARED_BITS = 32_768, 2_000, 4_000, 6
 
 
 def anchors(text: Column, k: int = K, s: int = S) -> Column:
@@ -47,24 +48,26 @@ def anchors(text: Column, k: int = K, s: int = S) -> Column:
     return let(F.transform(words(text), lambda w: F.xxhash64(w)), chosen)
 
 
-def sketch(text: Column, k: int = K, s: int = S, size: int = SIZE) -> Column:
-    """The least ``size`` different anchor values, in order."""
-    return F.slice(F.sort_array(F.array_distinct(F.transform(anchors(text, k, s), lambda a: a["value"]))), 1, size)
+def matches(found: Column) -> Column:
+    """From anchors: the different hashes of neighbouring anchors' values and distance; of a single anchor its value."""
 
+    def pairs(a: Column) -> Column:
+        at = F.sequence(F.lit(0), F.size(a) - 2)
+        both = F.transform(at, lambda i: F.xxhash64(F.get(a, i)["value"], F.get(a, i + 1)["value"], F.get(a, i + 1)["word"] - F.get(a, i)["word"]))
+        return F.when(F.size(a) > 1, F.array_distinct(both)).otherwise(F.transform(a, lambda x: x["value"]))
 
-def spelled(values: Column) -> Column:
-    """Eight lower-case hex digits for each value."""
-    return F.array_join(F.transform(values, lambda v: F.lower(F.lpad(F.hex(v), 8, "0"))), "")
+    return let(found, pairs)
 
 
-def likeness(left: Column, right: Column, size: int = SIZE) -> Column:
-    """Shared part of two sketches, 0 to 1 (Dice, estimated on the least values of both); two empty ones are alike."""
+def spelled(found: Column) -> Column:
+    """Sixteen lower-case hex digits for each anchor: its value, then its place (7 digits)."""
+    return F.lower(F.array_join(F.transform(found, lambda a: F.lpad(F.hex(a["value"] * (1 << 28) + a["word"]), 16, "0")), ""))
 
-    def of(both: Column) -> Column:
-        shared = F.size(F.array_intersect(F.array_intersect(both, left), right))
-        return 2.0 * shared / (shared + F.size(both))
 
-    return F.when((F.size(left) == 0) & (F.size(right) == 0), 1.0).otherwise(let(F.slice(F.sort_array(F.array_union(left, right)), 1, size), of))
+def likeness(left: Column, right: Column) -> Column:
+    """Shared part of two texts' matches, 0 to 1 (Dice); two empty ones are alike."""
+    n = F.size(left) + F.size(right)
+    return F.when(n == 0, 1.0).otherwise(2.0 * F.size(F.array_intersect(left, right)) / n)
 
 
 def aligned(left: DataFrame, right: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -79,59 +82,68 @@ def aligned(left: DataFrame, right: DataFrame, key: str = "doc_id") -> DataFrame
     return lhs.join(rhs, "value").groupBy("left_key", "right_key", (F.col("right_word") - F.col("left_word")).alias("shift")).agg(F.count("*").alias("n_anchors"))
 
 
-def with_next(docs: DataFrame, columns: list[str], key: str = "doc_id") -> DataFrame:
+def with_next(docs: DataFrame, columns: list[str], text: str, key: str = "doc_id") -> DataFrame:
     """Adds next_<column>: the value in the row of the next smaller key; after the least comes the greatest.
 
-    Rows go by ranges of keys, at most MAX_BUCKETS of equal width, and each range is
-    ordered in its own task. The first row of each range is also dealt to the range
-    before it, so texts are shuffled once. Rows with equal or null keys follow one
-    another in the order of the columns; null keys come last.
+    Rows of equal or null keys follow one another by a hash of ``text``; null keys come
+    last. Rows go by ranges of about BUCKET_DOCS, whose edges are quantiles of the keys
+    and stay in Spark; rows that share an edge's key, or have none, go by ranges of
+    their hashes. Each range is ordered by itself, and the first row of each is dealt to
+    the range before it too, so texts are shuffled once.
     """
-    keyed = docs.withColumn("_k", F.col(key).cast("long"))
-    low, high, n = keyed.agg(F.min("_k"), F.max("_k"), F.count("*")).first()
-    low, high = low or 0, high or 0
+    keyed = docs.withColumns({"_k": F.col(key).cast("long"), "_h": F.bitwise_not(F.xxhash64(text))})
+    n = keyed.count()
     buckets = max(1, min(MAX_BUCKETS, n // BUCKET_DOCS))
-    width = (high - low) // buckets + 1
-    keyed = keyed.withColumn("_bucket", F.coalesce(F.expr(f"(_k - {low}) div {width}"), F.lit(-1)).cast("long"))
-    order = [F.col("_k").desc_nulls_last(), *[F.col(c).asc_nulls_first() for c in columns]]
-    top = F.max(F.struct(F.coalesce(F.col("_k"), F.lit(low)).alias("_top")))
-    filled = keyed.groupBy("_bucket").agg(top.alias("t")).select("_bucket", "t._top")
-    # At most MAX_BUCKETS + 1 rows.
-    by_place = filled.withColumn("_one", F.lit(1))
-    from pyspark.sql import Window
-
-    around = Window.partitionBy("_one").orderBy("_bucket")
-    to = by_place.select("_bucket", F.coalesce(F.lead("_bucket").over(around), F.min("_bucket").over(Window.partitionBy("_one"))).alias("_to"))
-    placed = keyed.join(bounded(to, MAX_BUCKETS + 1), "_bucket")
-    within = Window.partitionBy("_bucket").orderBy(*order)
-    heads = keyed.select("_bucket", "_k").groupBy("_bucket").agg(F.max("_k").alias("_head"))
-    placed = placed.join(bounded(heads, MAX_BUCKETS + 1).withColumnRenamed("_bucket", "_b"), F.col("_bucket") == F.col("_b")).drop("_b")
-    is_head = F.col("_k").eqNullSafe(F.col("_head"))
+    steps = [1 << i for i in reversed(range(buckets.bit_length()))]
+    # One row with at most MAX_BUCKETS numbers.
+    edges = keyed.agg(F.percentile_approx("_k", [i / buckets for i in range(1, buckets)] or [0.5], max(10_000, 4 * buckets)).alias("_edges"))
+    keyed = keyed.crossJoin(F.broadcast(edges))
+    # How many edges are not greater than the key, by halving steps.
+    below = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when(F.get("_edges", at + step - 1) <= F.col("_k"), at + step).otherwise(at))
+    own = F.shiftright("_h", 64 - SHARED_BITS) + (1 << (SHARED_BITS - 1))
+
+    def bucket(at: Column) -> Column:
+        shared = F.col("_k").isNull() | (F.get("_edges", at - 1) == F.col("_k"))
+        level = F.when(F.col("_k").isNull(), -1).otherwise(2 * at + F.when(F.coalesce(shared, F.lit(False)), 0).otherwise(1))
+        return level.cast("long") * (1 << SHARED_BITS) + F.when(F.coalesce(shared, F.lit(False)), own).otherwise(0)
+
+    keyed = keyed.withColumn("_bucket", let(below, bucket)).drop("_edges")
+    # Bounded: at most 2 * MAX_BUCKETS ranges, and 64 for each edge that rows share.
+    heads = keyed.groupBy("_bucket").agg(F.max(F.struct("_k", "_h")).alias("_head"))
+    around = Window.partitionBy(F.lit(1)).orderBy("_bucket")
+    to = heads.select(F.col("_bucket").alias("_b"), "_head", F.coalesce(F.lead("_bucket").over(around), F.min("_bucket").over(Window.partitionBy(F.lit(1)))).alias("_to"))
+    placed = keyed.join(bounded(cut(to), 4 * MAX_BUCKETS), F.col("_bucket") == F.col("_b"))
+    is_head = F.struct("_k", "_h").eqNullSafe(F.col("_head"))
     dealt = placed.withColumn("_ghost", F.explode(F.when(is_head, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
-    dealt = dealt.withColumn("_bucket", F.when(F.col("_ghost"), F.col("_to")).otherwise(F.col("_bucket"))).drop("_to", "_head")
+    dealt = dealt.withColumn("_bucket", F.when(F.col("_ghost"), F.col("_to")).otherwise(F.col("_bucket"))).drop("_to", "_head", "_b")
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // TASK_DOCS)
     # Guests stand behind the range's own rows.
-    within = Window.partitionBy("_bucket").orderBy("_ghost", *order)
-    nexts = dealt.withColumns({f"next_{c}": F.lead(c).over(within) for c in columns})
-    return nexts.where(~F.col("_ghost")).drop("_ghost", "_bucket", "_k")
+    within = Window.partitionBy("_bucket").orderBy("_ghost", F.col("_k").desc_nulls_last(), F.col("_h").desc())
+    nexts = dealt.repartition(tasks, "_bucket").withColumns({f"next_{c}": F.lead(c).over(within) for c in columns})
+    return nexts.where(~F.col("_ghost")).drop("_ghost", "_bucket", "_k", "_h")
 
 
 def edited_fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Fingerprints of every text and of its edited form (see op10); one row for each row of ``docs``.
 
-    Null texts count as empty. A text without words has an empty fingerprint.
+    Null texts count as empty. A text without words has an empty fingerprint. Texts of
+    any length are taken whole; repeated rows and equal or null keys follow one another
+    by a hash of the text (see ``with_next``).
     """
     own = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("body"))
-    own = own.withColumn("print", sketch(F.col("body")))
+    own = own.withColumn("anchors", anchors(F.col("body")))
     n = F.length("body")
-    cut = F.floor(n / 3).cast("int")
-    rows = with_next(own, ["body", "print"], key).withColumn("n", n).withColumn("cut", cut)
+    rows = with_next(own, ["body", "anchors"], "body", key).withColumn("n", n).withColumn("cut", F.floor(n / 3).cast("int"))
     edited = F.concat(F.substring(F.col("body"), F.lit(1), F.col("n") - F.col("cut")), F.substring(F.col("next_body"), F.lit(1), F.col("cut")))
-    rows = rows.withColumn("edited", edited)
-    rows = rows.select(key, F.col("n").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "print", "next_print", sketch(F.col("edited")).alias("edited_print"))
-    return rows.select(
-        key, "n_chars", "edited_sha256", spelled(F.col("print")).alias("fingerprint"), spelled(F.col("edited_print")).alias("edited_fingerprint"),
-        likeness(F.col("print"), F.col("edited_print")).alias("near_edited"), likeness(F.col("print"), F.col("next_print")).alias("near_next"),
-    )
+
+    def compared(own: Column) -> Column:
+        return F.struct(
+            spelled(F.col("anchors")).alias("fingerprint"), spelled(own["anchors"]).alias("edited_fingerprint"),
+            let(matches(F.col("anchors")), lambda m: F.struct(likeness(m, matches(own["anchors"])).alias("edited"), likeness(m, matches(F.col("next_anchors"))).alias("next"))).alias("near"),
+        )
+
+    rows = rows.withColumn("edited", edited).select(key, F.col("n").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), let(F.struct(anchors(F.col("edited")).alias("anchors")), compared).alias("c"))
+    return rows.select(key, "n_chars", "edited_sha256", "c.fingerprint", "c.edited_fingerprint", F.col("c.near.edited").alias("near_edited"), F.col("c.near.next").alias("near_next"))
 
 
 def op10_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,10 @@
 
 import hashlib
 import re
+import struct
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from chatloom.llm import fingerprint, license_scan, mixing, quality_rules, url_filter
@@ -168,13 +170,73 @@ def test_op10_neighbours_over_buckets(spark, monkeypatch):
     monkeypatch.setattr(fingerprint, "BUCKET_DOCS", 3)
     keys = [5, 6, 7, 100, 101, 1000, -4, 0]
     df = spark.createDataFrame([(k, f"t{k}") for k in keys], "doc_id bigint, text string")
-    got = {r["doc_id"]: r["next_text"] for r in fingerprint.with_next(df, ["text"]).collect()}
+    got = {r["doc_id"]: r["next_text"] for r in fingerprint.with_next(df, ["text"], "text").collect()}
     order = sorted(keys, reverse=True)
     assert got == {k: f"t{order[(i + 1) % len(order)]}" for i, k in enumerate(order)}
 
 
+def test_op10_neighbours_of_shared_and_null_keys(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "BUCKET_DOCS", 3)
+    keys = [1 << 60, *range(20), *[7] * 60, *[None] * 50, -(1 << 60)]
+    rows = [(k, f"t{i}") for i, k in enumerate(keys)]
+    got = fingerprint.with_next(spark.createDataFrame(rows, "doc_id bigint, text string"), ["text"], "text").collect()
+    after = {r["text"]: r["next_text"] for r in got}
+    assert len(got) == len(rows) == len(set(after.values()))
+    # One ring, in which keys only descend, nulls last.
+    key_of = {t: k for k, t in rows}
+    ring, at = [], f"t{0}"
+    while at not in ring:
+        ring.append(at)
+        at = after[at]
+    assert len(ring) == len(rows) and at == "t0"
+    want = sorted(keys, key=lambda k: (k is None, -(k or 0)))
+    assert [key_of[t] for t in ring] == want
+
+
+def brute_anchors(text, k=fingerprint.K, s=fingerprint.S):
+    def signed(x):
+        return x - (1 << 64) if x >> 63 else x
+
+    def chain(numbers):
+        seed = 42
+        for n in numbers:
+            seed = xxhash.xxh64_intdigest(struct.pack("<q", n), seed)
+        return signed(seed)
+
+    h = [signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in re.findall(r"[^\x20\x09-\x0d]+", text or "")]
+    if len(h) < k:
+        array = 42
+        for x in h:
+            array = xxhash.xxh64_intdigest(struct.pack("<q", x), array)
+        return [((array & (1 << 64) - 1) >> 33, 0)] if h else []
+    pairs = [chain(h[i : i + s]) for i in range(len(h) - s + 1)]
+    out = []
+    for i in range(len(h) - k + 1):
+        inner = pairs[i : i + k - s + 1]
+        if min(inner) in (inner[0], inner[-1]):
+            out.append(((chain(h[i : i + k]) & (1 << 64) - 1) >> 33, i))
+    return out
+
+
+def brute_likeness(a, b):
+    x, y = ({(p[0], q[0], q[1] - p[1]) for p, q in zip(f, f[1:])} if len(f) > 1 else {v for v, _ in f} for f in (a, b))
+    return 2 * len(x & y) / (len(x) + len(y)) if x or y else 1.0
+
+
+def test_op10_is_brute_force(spark, sf):
+    docs = sorted(((r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()), reverse=True)
+    rows = {r["doc_id"]: r for r in fingerprint.op10_syncmer_fingerprints(spark, sf).collect()}
+    for i, (key, text) in enumerate(docs):
+        after = docs[(i + 1) % len(docs)][1]
+        cut = len(text) // 3
+        own, edited, other = (brute_anchors(t) for t in (text, text[: len(text) - cut] + after[:cut], after))
+        r = rows[key]
+        assert r["fingerprint"] == "".join(f"{(v << 28) + w:016x}" for v, w in own) and r["edited_fingerprint"] == "".join(f"{(v << 28) + w:016x}" for v, w in edited)
+        assert abs(r["near_edited"] - brute_likeness(own, edited)) < 1e-12 and abs(r["near_next"] - brute_likeness(own, other)) < 1e-12
+
+
 def test_op10_edges(spark):
-    docs = with_clashes(frame(spark, EDGE), "body", "print", "n", "cut", "_k")
+    docs = with_clashes(frame(spark, EDGE), "body", "anchors", "n", "cut", "_k", "_h", "_bucket")
     rows = fingerprint.edited_fingerprints(docs).collect()
     assert len(rows) == len(EDGE) + 2
     by = {r["doc_id"]: r for r in rows}
