@@ -30,10 +30,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .common import read, small_batches
+from .common import read, small_batches, tidy
 
 #: Bytes of the words that a worker remembers (twice that much is held); bytes of new words and rows of one query; rounds of one query.
-REMEMBERED_BYTES, QUERY_BYTES, QUERY_ROWS, ROUNDS = 64 << 20, 200_000, 2_000_000, 64
+REMEMBERED_BYTES, QUERY_BYTES, QUERY_ROWS, ROUNDS = 24 << 20, 150_000, 1_500_000, 64
 #: What a remembered word takes besides its own bytes (key, pair and dictionary entry).
 ENTRY_BYTES = 300
 #: Words of more bytes are encoded by windows of so many bytes, half of which overlap.
@@ -198,12 +198,19 @@ class WordCodec:
         for at in range(0, len(new), 1 << 16):
             self._ask(new[at : at + (1 << 16)])
 
+    def forget(self) -> None:
+        """Drops all remembered words: a worker may go on to other work."""
+        self.known, self.before, self.size = {}, {}, 0
+        self.db.execute("drop table if exists state")
+        for view in ("start", "final"):
+            self.db.unregister(view)
+
 
 _CODECS: dict[str, WordCodec] = {}
 
 
 def codec(path: str) -> WordCodec:
-    """One for a worker's life; what it remembers is bounded."""
+    """One for a worker's life; what it remembers is bounded and goes at the end of a partition."""
     if path not in _CODECS:
         _CODECS[path] = WordCodec(path)
     return _CODECS[path]
@@ -246,7 +253,7 @@ def splitter(pattern: str) -> Callable[[str], list[str]]:
 
 
 #: Words of texts that are looked up together; a single text may have more.
-WORDS_AT_ONCE = 200_000
+WORDS_AT_ONCE = 120_000
 ENCODED = StructType([StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())])
 
 
@@ -254,6 +261,7 @@ def encode_texts(path: str, pattern: str):
     """A pandas function from texts to ENCODED; null counts as empty."""
 
     @pandas_udf(ENCODED)
+    @tidy
     def encode(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         split, c = splitter(pattern), codec(path)
         for batch in texts:
@@ -268,7 +276,7 @@ def encode_texts(path: str, pattern: str):
                     waiting, n = [], 0
             rows += _digests(c, waiting)
             yield pd.DataFrame(rows, columns=[f.name for f in ENCODED], index=batch.index)
-        pa.default_memory_pool().release_unused()
+        c.forget()
 
     return encode
 
@@ -302,6 +310,7 @@ def token_ids(path: str, pattern: str):
     """A pandas function from texts to arrays of ids."""
 
     @pandas_udf(ArrayType(LongType()))
+    @tidy
     def ids(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         split, c = splitter(pattern), codec(path)
         for batch in texts:
@@ -311,6 +320,7 @@ def token_ids(path: str, pattern: str):
                 c.learn(set(words))
                 out.append(np.frombuffer(b"".join(c.known[w][0] for w in words), "<u4").astype(np.int64))
             yield pd.Series(out, index=batch.index)
+        c.forget()
 
     return ids
 
@@ -319,6 +329,7 @@ def token_text(path: str):
     """A pandas function from arrays of ids to texts (bytes that are no UTF-8 are replaced)."""
 
     @pandas_udf(StringType())
+    @tidy
     def text(ids: Iterator[pd.Series]) -> Iterator[pd.Series]:
         c = codec(path)
         for batch in ids:

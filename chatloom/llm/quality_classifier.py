@@ -21,7 +21,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
 from .calibration import Curve, fit_curve
-from .common import fold, read, small_batches
+from .common import fold, read, small_batches, tidy
 
 #: Bytes of a piece; size of a dictionary; compression level.
 PIECE, DICTIONARY, LEVEL = 512, 112_640, 3
@@ -63,6 +63,7 @@ def difference(text: str | None, good: bytes, bad: bytes) -> float:
 
 def _differ(good: bytes, bad: bytes):
     @pandas_udf(DoubleType())
+    @tidy
     def differ(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
             yield pd.Series([difference(t, good, bad) for t in batch], index=batch.index, dtype="float64")

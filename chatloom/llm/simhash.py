@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from .common import bounded, byte_words, cut, dealt, numbered_columns, read, small_batches
+from .common import bounded, byte_words, cut, dealt, numbered_columns, read, small_batches, tidy
 from .components import label_components
 from .suffix_dedup import mixed, rolled
 
@@ -59,6 +59,7 @@ def ones_by_bit(rows: np.ndarray) -> np.ndarray:
 
 
 @pandas_udf(LongType())
+@tidy
 def simhash_long(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """The fingerprint's 64 bits as a signed number."""
     for batch in texts:
@@ -168,6 +169,7 @@ def segments_of(hashes: np.ndarray, count: int, width: int) -> np.ndarray:
 
 def _segments(n: int, count: int, width: int):
     @pandas_udf(StructType([StructField("node", LongType()), StructField("segments", ArrayType(IntegerType()))]))
+    @tidy
     def made(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
             nodes, rows = [], []
@@ -182,6 +184,7 @@ def _segments(n: int, count: int, width: int):
 
 def _similarity(n: int):
     @pandas_udf(DoubleType())
+    @tidy
     def jaccard(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for left, right in pairs:
             out = []

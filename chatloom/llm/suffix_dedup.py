@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .common import byte_words, cut, maybe_among, numbered_columns, read, small_batches, written, WORD
+from .common import byte_words, cut, maybe_among, numbered_columns, read, small_batches, tidy, written, WORD
 
 LEAST, WINDOW, RUN = 50, 40, 4
 LAST = 9223372036854775807
@@ -82,6 +82,7 @@ def suffixes_of(text: str | None, least: int = LEAST, window: int = WINDOW, run:
 
 def _suffixes(least: int, window: int, run: int):
     @pandas_udf(SUFFIXES)
+    @tidy
     def find(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
             yield pd.Series([suffixes_of(t, least, window, run) for t in batch], index=batch.index)
@@ -91,6 +92,7 @@ def _suffixes(least: int, window: int, run: int):
 
 def _passages(least: int):
     @pandas_udf(ArrayType(StructType([StructField("passage", LongType()), StructField("first", LongType())])))
+    @tidy
     def of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for texts, spans in batches:
             rows = []

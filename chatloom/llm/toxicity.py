@@ -24,7 +24,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
 from .calibration import Curve, fit_curve
-from .common import cut, fold, read, small_batches
+from .common import cut, fold, read, small_batches, tidy
 from .quality_classifier import label_weights, labelled_sample
 
 #: Bound of the labelled sample for each label; nearest examples; examples in a block.
@@ -204,6 +204,7 @@ def _judge(spark: SparkSession, index: Index, evidence: int):
     names = spark.sparkContext.broadcast(list(index.terms) if evidence else [])
 
     @pandas_udf(RESULT)
+    @tidy
     def judge(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         index = shared.value
         for batch in texts:
@@ -222,6 +223,7 @@ def frequencies_of(docs: DataFrame, index: Index) -> np.ndarray:
     """How many documents have each term of the index: one array in each task, summed by term."""
     shared = docs.sparkSession.sparkContext.broadcast(index.terms)
 
+    @tidy
     def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         terms = shared.value
         known, n = terms.keys(), np.zeros(len(terms), np.int64)
