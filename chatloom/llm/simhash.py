@@ -10,9 +10,10 @@ There are two forms. ``near_duplicates`` links 64-bit fingerprints within ``max_
 sets of shingles have a Jaccard similarity of ``least`` or more. These differ in about
 15 of 100 bits, so no few segments of one fingerprint do; it takes as many segments of
 ``width`` bits from a longer fingerprint as find a pair of just that similarity with
-the probability ``recall``, and exact similarities decide. Members of a bucket are
-compared with its least one first, and then only those that are still apart, so large
-groups of near copies don't make all their pairs.
+the probability ``recall``, and exact similarities decide. Members of a bucket meet a
+few leaders first, and in the end all those of other components, so large groups of
+near copies don't make all their pairs, and no candidate pair of two components is
+left out.
 """
 
 from __future__ import annotations
@@ -36,7 +37,9 @@ SHINGLE, SEED, MAX_BITS = 3, 42, 3
 #: Shingles whose bits are summed at a time.
 BLOCK = 65_536
 #: Of the stage on texts: words of a shingle, similarity, bits of a segment, share of pairs of just that similarity to be found.
-WORDS, LEAST, WIDTH, RECALL = 5, 0.8, 22, 0.9
+WORDS, LEAST, WIDTH, RECALL = 5, 0.8, 24, 0.85
+#: Rounds in which members meet some leaders of their buckets; leaders of one round; pairs for each member that the last step may compare before that.
+ROUNDS, LEADERS, PAIRS = 6, 4, 4
 
 
 def simhash(text: str | None, n: int = SHINGLE) -> int:
@@ -188,8 +191,10 @@ def _similarity(n: int):
     def jaccard(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for left, right in pairs:
             out = []
+            # Texts of large groups come many times in a batch.
+            known = {t: shingle_hashes(byte_words(t, lower=True), n) for t in {*left, *right}}
             for a, b in zip(left, right):
-                x, y = (shingle_hashes(byte_words(t, lower=True), n) for t in (a, b))
+                x, y = known[a], known[b]
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 out.append(both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0)
             yield pd.Series(out, index=left.index, dtype="float64")
@@ -202,9 +207,9 @@ ASKED = 500_000
 
 
 def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, least: float, count: int, width: int) -> DataFrame:
-    """Of candidates (left, right): those with a similarity of ``least``; bits far beyond the expected number spare the texts."""
+    """Of candidates (left, right): those with a similarity of ``least``; bits beyond the expected number by four deviations spare the texts."""
     p = differing_share(least)
-    most = int(count * width * p + 6 * math.sqrt(count * width * p * (1 - p)))
+    most = int(count * width * p + 4 * math.sqrt(count * width * p * (1 - p)))
     bits = nodes.select("node", "segments")
     met = pairs.join(bits.toDF("left", "a"), "left").join(bits.toDF("right", "b"), "right")
     apart = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
@@ -227,23 +232,38 @@ def similar_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", n: i
     # Equal nodes have equal segments.
     nodes = cut(dealt(slim.groupBy("node").agg(F.min(key).cast("long").alias("least"), first.alias("first_row"), F.count("*").alias("n_rows"), F.first("segments").alias("segments")), "node"))
 
-    # One number for segment, left-out bit and the other bits.
+    # One number for segment, left-out bit and the other bits. Equal segments count at bit 0 only, others where they differ.
     parted = nodes.select("node", F.posexplode("segments").alias("k", "v"))
-    keys = F.array(*[((F.col("k") * width + b).cast("long") * (1 << width)) + F.col("v").bitwiseAND(~(1 << b)).cast("long") for b in range(width)])
-    index = parted.select("node", F.explode(keys).alias("bucket"))
-    leader = F.min("node").over(Window.partitionBy("bucket"))
-    member = cut(index.withColumn("left", leader).where("left <> node"))
+    keys = [F.struct(((F.col("k") * width + b).cast("long") * (1 << width) + F.col("v").bitwiseAND(~(1 << b)).cast("long")).alias("bucket"), F.lit(b).alias("b"), (F.col("v").bitwiseAND(1 << b) != 0).alias("one")) for b in range(width)]
+    index = parted.select("node", F.inline(F.array(*keys)))
+    whole = Window.partitionBy("bucket")
+    member = cut(index.withColumns({"low": F.min("node").over(whole), "high": F.max("node").over(whole)}).where("low <> high").drop("low", "high"))
     texts = own.withColumn("row", row_hash(key, "_text"))
-    chosen = member.select("left", F.col("node").alias("right")).distinct()
-    stars = cut(_alike(chosen, nodes, texts, n, least, count, width))
     plain = nodes.select("node", "least")
-    parts = cut(label_components(plain, stars).select("node", "root"))
-    # A member that is not in the component of its bucket's leader meets all others of the bucket.
-    placed = cut(member.join(parts, "node").join(parts.toDF("left", "lead"), "left").select("bucket", "node", "root", (F.col("root") != F.col("lead")).alias("minor")))
-    minor = placed.where("minor").select("bucket", F.col("node").alias("one"), F.col("root").alias("one_root"))
-    others = placed.select("bucket", F.col("node").alias("other"), F.col("root").alias("other_root"), F.col("minor").alias("too"))
-    apart = minor.join(others, "bucket").where("one_root <> other_root and (not too or one < other)").select(F.least("one", "other").alias("left"), F.greatest("one", "other").alias("right"))
-    links = cut(stars.unionByName(_alike(apart.distinct(), nodes, texts, n, least, count, width)))
+    links, roots = None, nodes.select("node", F.col("node").alias("root"))
+    for turn in range(ROUNDS):
+        # Each round has other leaders; those already in the leader's component don't meet it.
+        placed = cut(member.join(roots, "node"))
+        order = F.struct(F.xxhash64("node", F.lit(turn), F.pmod("bucket", F.lit(LEADERS))).alias("h"), F.col("node").alias("lead"), F.col("root").alias("lead_root"), F.col("one").alias("lead_one"))
+        led = placed.groupBy("bucket").agg(F.min(order).alias("m"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket", "m.*")
+        met = cut(placed.join(led, "bucket").withColumn("minor", F.col("root") != F.col("lead_root")))
+        chosen = met.where("minor and (b = 0 or one <> lead_one)").select(F.least("node", "lead").alias("left"), F.greatest("node", "lead").alias("right"))
+        found = _alike(chosen.distinct(), nodes, texts, n, least, count, width)
+        links = cut(found if links is None else links.unionByName(found))
+        roots = cut(label_components(plain, links).select("node", "root"))
+        # What is left for the last step: pairs of a bucket in different components.
+        left = member.join(roots, "node").groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
+        pairs, members = left.agg(F.coalesce(F.sum(F.col("n") * F.col("n") - F.col("same")), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+        if pairs <= PAIRS * members:
+            break
+    # The others of different components meet all; components of most members of a bucket are on one side only.
+    placed = cut(member.join(roots, "node"))
+    sizes = placed.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "root"))["root"].alias("major"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
+    mixed = cut(placed.join(sizes, "bucket").withColumn("minor", F.col("root") != F.col("major")))
+    minor = mixed.where("minor").select("bucket", F.col("node").alias("left"), F.col("root").alias("left_root"), F.col("one").alias("left_one"))
+    other = mixed.select("bucket", "b", F.col("node").alias("right"), F.col("root").alias("right_root"), F.col("one").alias("right_one"), F.col("minor").alias("too"))
+    apart = minor.join(other, "bucket").where("left_root <> right_root and (b = 0 or left_one <> right_one) and (not too or left < right)").select(F.least("left", "right").alias("left"), F.greatest("left", "right").alias("right"))
+    links = cut(links.unionByName(_alike(apart.distinct(), nodes, texts, n, least, count, width)))
     known = label_components(plain, links).join(nodes.select("node", "first_row", "n_rows"), "node")
     return slim.select(key, "row", "node"), cut(known.select("node", F.col("least").alias("component_id"), "root", "first_row", "n_rows"))
 
