@@ -3,8 +3,8 @@
 A text is lower-cased (A-Z), its words joined by single spaces. Every rule is a
 regular expression gated by a keyword that any text it fits must hold; a text
 without keywords runs no rule. Detections are intervals of words. A detection that
-lies in one found before it of the same or a higher priority is suppressed, and of
-two that overlap in part the one of lower priority goes.
+lies in one of the same or a higher priority is suppressed, and of two that overlap in
+part the one of lower priority goes (of equal ones the later).
 """
 
 from __future__ import annotations
@@ -122,20 +122,26 @@ def _spans(norm: Column, rule: Column) -> Column:
 
 
 def _suppressed(found: Column) -> Column:
-    """Keeps what containment and priority leave of detections in order of place, longest first."""
-    kind = "array<struct<first:int,stop:int,below:int,label:string,base:boolean,last:int,priority:int>>"
+    """Keeps what containment and priority leave, in order of place.
+
+    The higher priority goes first, then the earlier and longer. One goes that lies in
+    one kept before or overlaps it in part; one that holds kept ones inside stays.
+    """
+    names = ("first", "stop", "below", "label", "base", "last", "priority")
+
+    def ordered(d: Column, lead: str) -> Column:
+        return F.struct(*[d[n].alias(n) for n in (lead, *(n for n in names if n != lead))])
 
     def step(acc: Column, d: Column) -> Column:
-        before = F.element_at(acc, -1)
-        return (
-            F.when((F.size(acc) == 0) | (d["first"] > before["last"]), F.array_append(acc, d))
-            .when((d["last"] <= before["last"]) & (before["priority"] >= d["priority"]), acc)
-            .when(d["last"] <= before["last"], F.array_append(acc, d))
-            .when(d["priority"] > before["priority"], F.array_append(F.slice(acc, F.lit(1), F.size(acc) - 1), d))
-            .otherwise(acc)
-        )
-
-    return F.aggregate(F.sort_array(found), F.array().cast(kind), step)
+        def against(k: Column) -> Column:
+            holds = (d["first"] <= k["first"]) & (k["last"] <= d["last"]) & ((d["first"] < k["first"]) | (k["last"] < d["last"]))
+            return (k["first"] <= d["last"]) & (d["first"] <= k["last"]) & ~holds
+
+        return F.when(F.exists(acc, against), acc).otherwise(F.array_append(acc, d))
+
+    ranked = F.sort_array(F.transform(found, lambda d: ordered(d, "below")))
+    kept = F.aggregate(ranked, F.array().cast("array<struct<below:int,first:int,stop:int,label:string,base:boolean,last:int,priority:int>>"), step)
+    return F.sort_array(F.transform(kept, lambda d: ordered(d, "first")))
 
 
 def scan_licenses(docs: DataFrame, rules: list[Signature] | None = None, text: str = "text") -> DataFrame:

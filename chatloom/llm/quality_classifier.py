@@ -25,9 +25,8 @@ from .common import fold, read, small_batches, tidy
 
 #: Bytes of a piece; size of a dictionary; compression level.
 PIECE, DICTIONARY, LEVEL = 512, 112_640, 3
-#: Bound of the sample of labelled rows for each label, and of the characters of
-#: their pieces that train a dictionary.
-SAMPLE_ROWS, SAMPLE_PIECES, PIECE_CHARS = 4_000, 16_000, 512
+#: Bound of the sample of labelled rows for each label; characters of the pieces, of all their text, that train a dictionary.
+SAMPLE_ROWS, PIECE_CHARS = 4_000, 512
 THRESHOLD = 0.7
 
 
@@ -98,7 +97,8 @@ def label_weights(labels: DataFrame, label: str, rows: int = SAMPLE_ROWS) -> dic
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     """Dictionaries from one part of the labelled sample, the curve from the other.
 
-    With too little labelled text for a trained dictionary its raw bytes serve; without
+    All text of the sample's rows takes part, so only their number is bounded. Rows that
+    repeat a doc_id are all of its label. With too little labelled text for a trained dictionary its raw bytes serve; without
     labels of both kinds the score is the share of label 1, or 0.5 without labels.
     """
     small_batches(docs.sparkSession)
@@ -107,7 +107,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     cut = sample.where("part = 1").select("doc_id", "y", F.inline(pieces)).withColumn("h", F.xxhash64("doc_id", "i"))
     raw = {}
     for y in (0, 1):
-        got = [r["piece"].encode("utf-8", "replace") for r in cut.where(F.col("y") == y).orderBy("h", "doc_id", "i").select("piece", "h", "doc_id", "i").limit(SAMPLE_PIECES).collect()]
+        got = [r["piece"].encode("utf-8", "replace") for r in cut.where(F.col("y") == y).orderBy("h", "doc_id", "i").select("piece").collect()]
         try:
             raw[y] = zstandard.train_dictionary(DICTIONARY, [p for p in got if p]).as_bytes()
         except (zstandard.ZstdError, ValueError):

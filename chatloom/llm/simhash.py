@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from .common import bounded, byte_words, cut, dealt, numbered_columns, read, small_batches, tidy
+from .common import bounded, byte_words, cut, dealt, numbered_columns, read, small_batches, tidy, written
 from .components import label_components
 from .suffix_dedup import mixed, rolled
 
@@ -37,7 +37,7 @@ SHINGLE, SEED, MAX_BITS = 3, 42, 3
 #: Shingles whose bits are summed at a time.
 BLOCK = 65_536
 #: Of the stage on texts: words of a shingle, similarity, bits of a segment, share of pairs of just that similarity to be found.
-WORDS, LEAST, WIDTH, RECALL = 5, 0.8, 24, 0.85
+WORDS, LEAST, WIDTH, RECALL = 5, 0.8, 23, 0.9
 #: Rounds in which members meet some leaders of their buckets; leaders of one round; pairs for each member that the last step may compare before that.
 ROUNDS, LEADERS, PAIRS = 6, 4, 4
 
@@ -234,22 +234,26 @@ def similar_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", n: i
 
     # One number for segment, left-out bit and the other bits. Equal segments count at bit 0 only, others where they differ.
     parted = nodes.select("node", F.posexplode("segments").alias("k", "v"))
-    keys = [F.struct(((F.col("k") * width + b).cast("long") * (1 << width) + F.col("v").bitwiseAND(~(1 << b)).cast("long")).alias("bucket"), F.lit(b).alias("b"), (F.col("v").bitwiseAND(1 << b) != 0).alias("one")) for b in range(width)]
-    index = parted.select("node", F.inline(F.array(*keys)))
+    keys = F.array(*[(F.col("k") * width + b).cast("long") * (1 << width) + F.col("v").bitwiseAND(~(1 << b)).cast("long") for b in range(width)])
+    index = parted.select("node", F.explode(keys).alias("bucket"))
     whole = Window.partitionBy("bucket")
-    member = cut(index.withColumns({"low": F.min("node").over(whole), "high": F.max("node").over(whole)}).where("low <> high").drop("low", "high"))
+    shared = index.withColumns({"low": F.min("node").over(whole), "high": F.max("node").over(whole)}).where("low <> high").select("node", "bucket")
+    b = F.expr(f"cast(shiftright(bucket, {width}) % {width} as int)")
+    value = F.get("segments", F.expr(f"cast(shiftright(bucket, {width}) div {width} as int)"))
+    member, drop_member = written(shared.join(nodes.select("node", "segments"), "node").select("node", "bucket", b.alias("b"), (value.cast("long").bitwiseAND(F.expr(f"shiftleft(1L, cast(shiftright(bucket, {width}) % {width} as int))")) != 0).alias("one")))
     texts = own.withColumn("row", row_hash(key, "_text"))
     plain = nodes.select("node", "least")
     links, roots = None, nodes.select("node", F.col("node").alias("root"))
     for turn in range(ROUNDS):
         # Each round has other leaders; those already in the leader's component don't meet it.
-        placed = cut(member.join(roots, "node"))
+        placed, drop = written(member.join(roots, "node"))
         order = F.struct(F.xxhash64("node", F.lit(turn), F.pmod("bucket", F.lit(LEADERS))).alias("h"), F.col("node").alias("lead"), F.col("root").alias("lead_root"), F.col("one").alias("lead_one"))
         led = placed.groupBy("bucket").agg(F.min(order).alias("m"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket", "m.*")
-        met = cut(placed.join(led, "bucket").withColumn("minor", F.col("root") != F.col("lead_root")))
-        chosen = met.where("minor and (b = 0 or one <> lead_one)").select(F.least("node", "lead").alias("left"), F.greatest("node", "lead").alias("right"))
+        met = placed.join(led, "bucket").where("root <> lead_root and (b = 0 or one <> lead_one)")
+        chosen = met.select(F.least("node", "lead").alias("left"), F.greatest("node", "lead").alias("right"))
         found = _alike(chosen.distinct(), nodes, texts, n, least, count, width)
         links = cut(found if links is None else links.unionByName(found))
+        drop()
         roots = cut(label_components(plain, links).select("node", "root"))
         # What is left for the last step: pairs of a bucket in different components.
         left = member.join(roots, "node").groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
@@ -257,13 +261,15 @@ def similar_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", n: i
         if pairs <= PAIRS * members:
             break
     # The others of different components meet all; components of most members of a bucket are on one side only.
-    placed = cut(member.join(roots, "node"))
+    placed, drop = written(member.join(roots, "node"))
+    drop_member()
     sizes = placed.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "root"))["root"].alias("major"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
-    mixed = cut(placed.join(sizes, "bucket").withColumn("minor", F.col("root") != F.col("major")))
+    mixed = placed.join(sizes, "bucket").withColumn("minor", F.col("root") != F.col("major"))
     minor = mixed.where("minor").select("bucket", F.col("node").alias("left"), F.col("root").alias("left_root"), F.col("one").alias("left_one"))
     other = mixed.select("bucket", "b", F.col("node").alias("right"), F.col("root").alias("right_root"), F.col("one").alias("right_one"), F.col("minor").alias("too"))
     apart = minor.join(other, "bucket").where("left_root <> right_root and (b = 0 or left_one <> right_one) and (not too or left < right)").select(F.least("left", "right").alias("left"), F.greatest("left", "right").alias("right"))
     links = cut(links.unionByName(_alike(apart.distinct(), nodes, texts, n, least, count, width)))
+    drop()
     known = label_components(plain, links).join(nodes.select("node", "first_row", "n_rows"), "node")
     return slim.select(key, "row", "node"), cut(known.select("node", F.col("least").alias("component_id"), "root", "first_row", "n_rows"))
 

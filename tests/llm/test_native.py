@@ -275,3 +275,43 @@ def test_mixing_keeps_clashing_columns(spark):
         docs = docs.withColumn(c, F.lit("clash"))
     rows = mixing.mix(docs, share=1.0, max_epochs=2).collect()
     assert rows and all(r["_n"] == r["domain"] == r["copies"] == "clash" and r["mix_tokens"] == 4 for r in rows)
+
+
+def brute_suppressed(found):
+    kept = []
+    for first, last, priority, label in sorted(found, key=lambda d: (-d[2], d[0], -d[1], d[3])):
+        clash = False
+        for a, b, _, _ in kept:
+            overlap = a <= last and first <= b
+            holds = first <= a and b <= last and (first, last) != (a, b)
+            clash |= overlap and not holds
+        if not clash:
+            kept.append((first, last, priority, label))
+    return sorted(kept)
+
+
+def test_op5_suppression_is_brute_force(spark):
+    rule = license_scan.Signature
+    rules = [rule("outer", "aa", "aa bb cc dd ee ff", 60), rule("in1", "bb", "bb cc", 70), rule("in2", "ee", "ee ff", 50), rule("long", "cc", "cc dd ee", 65), rule("tail", "ff", "ff gg hh", 55), rule("pair", "aa", "aa(?: aa)?", 40), rule("same", "bb", "bb cc", 70)]
+    rng = __import__("random").Random(4)
+    texts = ["aa bb cc dd ee ff", "aa bb cc dd ee ff gg hh"] + [" ".join(rng.choices(["aa", "bb", "cc", "dd", "ee", "ff", "gg", "hh"], weights=[3, 3, 3, 2, 2, 2, 1, 1], k=rng.randint(0, 40))) for _ in range(80)]
+    texts += ["aa bb cc dd ee ff gg hh " * 30]
+    for own in (rules[:3], rules):
+        rows = license_scan.scan_licenses(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string"), own).collect()
+        for r in rows:
+            found, kept = ([(d["first"], d["last"], d["priority"], d["label"]) for d in r[c]] for c in ("license_found", "license_kept"))
+            assert sorted(kept) == brute_suppressed(found)
+    first = license_scan.scan_licenses(spark.createDataFrame([("aa bb cc dd ee ff",)], "text string"), rules[:3]).first()
+    assert [d["label"] for d in first["license_kept"]] == ["outer", "in1"]
+
+
+def test_op5_labels_and_score(spark, sf):
+    """The query's labels and score from the operator's own detections, suppressed by brute force."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    got = {r["doc_id"]: r for r in license_scan.op5_license_scan(spark, sf).collect()}
+    for r in license_scan.scan_licenses(docs).collect():
+        found = [(d["first"], d["last"], d["priority"], d["label"]) for d in r["license_found"]]
+        kept = brute_suppressed(found)
+        base = {d["label"] for d in r["license_found"] if d["base"]}
+        row = got[r["doc_id"]]
+        assert row["labels"] == ",".join(sorted(base | {d[3] for d in kept})) and row["score"] == max([d[2] for d in kept], default=0) / 100
