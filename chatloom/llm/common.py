@@ -92,6 +92,12 @@ def written(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
     return spark.read.schema(df.schema).parquet(path), drop
 
 
+def collect_shuffles(spark: SparkSession) -> None:
+    """Lets the driver see which shuffles no plan needs any more, so that Spark removes their files after a large step."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 #: Bits of the filter of ``maybe_among``: 1 MB, however many keys there are.
 FILTER_BITS = 23
 

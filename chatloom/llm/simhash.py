@@ -19,7 +19,7 @@ left out.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from .common import bounded, byte_words, cut, dealt, numbered_columns, read, small_batches, tidy, written
+from .common import bounded, byte_words, collect_shuffles, cut, dealt, numbered_columns, read, small_batches, tidy, written
 from .components import label_components
 from .suffix_dedup import mixed, rolled
 
@@ -39,7 +39,7 @@ BLOCK = 65_536
 #: Of the stage on texts: words of a shingle, similarity, bits of a segment, share of pairs of just that similarity to be found.
 WORDS, LEAST, WIDTH, RECALL = 5, 0.8, 23, 0.9
 #: Rounds in which members meet some leaders of their buckets; leaders of one round; pairs for each member that the last step may compare before that.
-ROUNDS, LEADERS, PAIRS = 6, 4, 4
+ROUNDS, LEADERS, PAIRS = 6, 4, 0.25
 
 
 def simhash(text: str | None, n: int = SHINGLE) -> int:
@@ -206,17 +206,21 @@ def _similarity(n: int):
 ASKED = 500_000
 
 
-def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, least: float, count: int, width: int) -> DataFrame:
-    """Of candidates (left, right): those with a similarity of ``least``; bits beyond the expected number by four deviations spare the texts."""
+def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, least: float, count: int, width: int) -> tuple[DataFrame, Callable[[], None]]:
+    """Of candidates (left, right): those with a similarity of ``least``; bits beyond the expected number by four deviations spare the texts. A written table and what removes it."""
     p = differing_share(least)
     most = int(count * width * p + 4 * math.sqrt(count * width * p * (1 - p)))
     bits = nodes.select("node", "segments")
     met = pairs.join(bits.toDF("left", "a"), "left").join(bits.toDF("right", "b"), "right")
     apart = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    near = cut(met.where(apart <= most).select("left", "right"))
+    near, drop_near = written(met.where(apart <= most).select("left", "right"))
     asked = nodes.join(near.select(F.explode(F.array("left", "right")).alias("node")).distinct(), "node", "left_semi").select("node", F.col("first_row").alias("row"))
-    texts = cut(docs.join(bounded(cut(asked), ASKED), "row").dropDuplicates(["node"]).select("node", "_text"))
-    return near.join(texts.toDF("left", "a"), "left").join(texts.toDF("right", "b"), "right").where(_similarity(n)("a", "b") >= least).select("left", "right")
+    asked, drop_asked = written(asked)
+    texts, drop_texts = written(docs.join(bounded(asked, ASKED), "row").dropDuplicates(["node"]).select("node", "_text"))
+    found = written(near.join(texts.toDF("left", "a"), "left").join(texts.toDF("right", "b"), "right").where(_similarity(n)("a", "b") >= least).select("left", "right"))
+    for drop in (drop_near, drop_asked, drop_texts):
+        drop()
+    return found
 
 
 def similar_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = WORDS, least: float = LEAST, width: int = WIDTH, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
@@ -241,6 +245,7 @@ def similar_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", n: i
     b = F.expr(f"cast(shiftright(bucket, {width}) % {width} as int)")
     value = F.get("segments", F.expr(f"cast(shiftright(bucket, {width}) div {width} as int)"))
     member, drop_member = written(shared.join(nodes.select("node", "segments"), "node").select("node", "bucket", b.alias("b"), (value.cast("long").bitwiseAND(F.expr(f"shiftleft(1L, cast(shiftright(bucket, {width}) % {width} as int))")) != 0).alias("one")))
+    collect_shuffles(docs.sparkSession)
     texts = own.withColumn("row", row_hash(key, "_text"))
     plain = nodes.select("node", "least")
     links, roots = None, nodes.select("node", F.col("node").alias("root"))
@@ -251,10 +256,10 @@ def similar_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", n: i
         led = placed.groupBy("bucket").agg(F.min(order).alias("m"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket", "m.*")
         met = placed.join(led, "bucket").where("root <> lead_root and (b = 0 or one <> lead_one)")
         chosen = met.select(F.least("node", "lead").alias("left"), F.greatest("node", "lead").alias("right"))
-        found = _alike(chosen.distinct(), nodes, texts, n, least, count, width)
-        links = cut(found if links is None else links.unionByName(found))
+        found, _ = _alike(chosen.distinct(), nodes, texts, n, least, count, width)
+        links = found if links is None else links.unionByName(found)
         drop()
-        roots = cut(label_components(plain, links).select("node", "root"))
+        roots, _ = written(label_components(plain, links).select("node", "root"))
         # What is left for the last step: pairs of a bucket in different components.
         left = member.join(roots, "node").groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
         pairs, members = left.agg(F.coalesce(F.sum(F.col("n") * F.col("n") - F.col("same")), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
@@ -268,7 +273,7 @@ def similar_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", n: i
     minor = mixed.where("minor").select("bucket", F.col("node").alias("left"), F.col("root").alias("left_root"), F.col("one").alias("left_one"))
     other = mixed.select("bucket", "b", F.col("node").alias("right"), F.col("root").alias("right_root"), F.col("one").alias("right_one"), F.col("minor").alias("too"))
     apart = minor.join(other, "bucket").where("left_root <> right_root and (b = 0 or left_one <> right_one) and (not too or left < right)").select(F.least("left", "right").alias("left"), F.greatest("left", "right").alias("right"))
-    links = cut(links.unionByName(_alike(apart.distinct(), nodes, texts, n, least, count, width)))
+    links = links.unionByName(_alike(apart.distinct(), nodes, texts, n, least, count, width)[0])
     drop()
     known = label_components(plain, links).join(nodes.select("node", "first_row", "n_rows"), "node")
     return slim.select(key, "row", "node"), cut(known.select("node", F.col("least").alias("component_id"), "root", "first_row", "n_rows"))
