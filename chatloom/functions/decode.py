@@ -10,21 +10,26 @@ import pandas as pd
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-ZSTD_MAGIC = b"\x28\xb5\x2f\xfd"
+# The head of a zstd frame, and the share of unreadable characters from which bytes are no UTF-8.
+ZSTD_MAGIC, UNREADABLE = b"\x28\xb5\x2f\xfd", 0.2
+# End of fixed values.
 _HEX, _BASE64 = re.compile(r"^[0-9a-fA-F]+$"), re.compile(r"^[A-Za-z0-9+/=]+$")
 
 
-def decode_bytes(raw: bytes) -> str:
-    """Unpacks a zstd frame; reads UTF-8 unless a fifth of it is unreadable, else Latin-1."""
-    if raw[:4] == ZSTD_MAGIC:
+def decode_bytes(raw: bytes, fallback: str = "") -> str:
+    """Unpacks a zstd frame; reads UTF-8 without unreadable characters unless a fifth are; then the fallback, else Latin-1. A broken frame is read as it is."""
+    if raw[:4] in (ZSTD_MAGIC, ZSTD_MAGIC[::-1]):
         import zstandard
 
         try:
-            raw = zstandard.ZstdDecompressor().decompressobj().decompress(raw)
+            return zstandard.ZstdDecompressor().decompressobj().decompress(raw).decode("utf-8", "replace")
         except zstandard.ZstdError:
-            return ""
+            pass
     text = raw.decode("utf-8", "replace")
-    return text if text.count("\ufffd") < 0.2 * max(1, len(text)) else raw.decode("latin-1")
+    bad = text.count("\ufffd")
+    if bad < UNREADABLE * len(text):
+        return text.replace("\ufffd", "")
+    return fallback if fallback and bad else raw.decode("latin-1")
 
 
 def decode_text(value: str | None) -> str | None:
@@ -33,10 +38,10 @@ def decode_text(value: str | None) -> str | None:
         return value
     try:
         if len(value) % 2 == 0 and _HEX.match(value):
-            return decode_bytes(bytes.fromhex(value)) or value
+            return decode_bytes(bytes.fromhex(value), value) or value
         if len(value) % 4 == 0 and _BASE64.match(value):
             raw = base64.b64decode(value, validate=True)
-            return decode_bytes(raw) if raw[:4] == ZSTD_MAGIC else value
+            return decode_bytes(raw, value) if raw[:4] == ZSTD_MAGIC else value
     except (ValueError, binascii.Error):
         pass
     return value

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 OWN_PREFIX = "wxid_"
 GROUP_MARK, OFFICIAL_PREFIX, ENTERPRISE_MARK, SERVICE_DESK_MARK = "@chatroom", "gh_", "@openim", "@kefu.openim"
 SYSTEM_IDS = ("weixin", "qqmail", "fmessage", "medianote", "floatbottle", "newsapp", "brandsessionholder", "brandservicesessionholder", "notifymessage", "opencustomerservicemsg", "notification_messages", "userexperience_alarm", "helper_folders", "placeholder_foldgroup", "filehelper", "@helper_folders", "@placeholder_foldgroup")
+#: Ids that begin with these are the system's.
+SYSTEM_HEADS = ("qqmail", "fmessage", "medianote", "floatbottle", "newsapp", "brandsessionholder", "brandservicesessionholder", "notifymessage", "opencustomerservicemsg", "notification_messages", "userexperience_alarm", "helper_folders", "placeholder_foldgroup", "@helper_folders", "@placeholder_foldgroup")
+SERVICE_MARK = "service_"
 # End of fixed values.
 
 
@@ -26,7 +29,12 @@ def identity_keys(raw: Column) -> Column:
 
 
 def same_account(left: Column, right: Column) -> Column:
-    return F.arrays_overlap(identity_keys(left), identity_keys(right))
+    """Keys of both are equal, or one is the other with a tail behind ``_``."""
+
+    def alike(a: Column, b: Column) -> Column:
+        return (a == b) | F.startswith(a, F.concat(b, F.lit("_"))) | F.startswith(b, F.concat(a, F.lit("_")))
+
+    return F.exists(identity_keys(left), lambda a: F.exists(identity_keys(right), lambda b: alike(a, b)))
 
 
 def sent_by_me(is_send: Column, sender: Column, me: str) -> Column:
@@ -51,9 +59,13 @@ def is_enterprise(username: Column) -> Column:
 
 
 def is_private(username: Column, me: str = "") -> Column:
-    """No group, official account, system id or oneself."""
-    u = F.lower(F.trim(F.coalesce(username, F.lit(""))))
-    return (u != "") & ~is_group(u) & ~F.startswith(u, F.lit(OFFICIAL_PREFIX)) & ~u.isin(*SYSTEM_IDS) & ~F.contains(u, F.lit(SERVICE_DESK_MARK)) & (F.lit(True) if not me else ~same_account(u, F.lit(me)))
+    """No group, official or enterprise account, service, system id or oneself. Ids are compared as they are, two of them in any case."""
+    u = F.trim(F.coalesce(username, F.lit("")))
+    system = F.lower(u).isin("weixin") | (u == "filehelper")
+    for head in SYSTEM_HEADS:
+        system |= F.startswith(u, F.lit(head))
+    other = F.startswith(u, F.lit(OFFICIAL_PREFIX)) | F.contains(u, F.lit(ENTERPRISE_MARK)) | F.contains(u, F.lit(SERVICE_DESK_MARK)) | F.contains(u, F.lit(SERVICE_MARK))
+    return (u != "") & ~is_group(u) & ~system & ~other & (F.lit(True) if not me else F.lower(u) != F.lower(clean_id(F.lit(me))))
 
 
 def keeps_session(username: Column, local_type: Column) -> Column:

@@ -13,7 +13,9 @@ from .text import app_type, call_text, clean_system, decode_entities, strip_send
 # Names and exchange codes of types.
 NAMES = {m.TEXT: "text", m.IMAGE: "image", m.VOICE: "voice", m.CARD: "card", m.VIDEO: "video", m.EMOJI: "emoji", m.LOCATION: "location", m.APP: "link", m.CALL: "call", m.SYSTEM: "system", m.QUOTE: "quote", m.PAT: "pat", m.CHAT_RECORD: "chat record", m.MINI_PROGRAM: "mini program", m.RED_PACKET: "red packet", m.TRANSFER: "transfer", **{f: "file" for f in m.FILES}}
 API_CODES = {m.TEXT: 0, m.IMAGE: 1, m.VOICE: 2, m.VIDEO: 3, m.EMOJI: 5, m.LOCATION: 8, m.CARD: 27, m.CALL: 23, m.SYSTEM: 80}
-API_APP_CODES = {5: 7, 6: 4, 19: 26, 33: 24, 36: 24, 57: 25, 62: 22, 2000: 99, 2001: 20}
+API_ONLY_CODES = {m.QUOTE: 25, m.PAT: 22, m.RED_PACKET: 20, m.TRANSFER: 21}
+API_APP_CODES = {5: 7, 6: 4, 19: 26, 33: 24, 36: 24, 49: 7, 57: 25, 2000: 21, 2001: 20}
+EXPORT_APP_CODES = {6: 4, 33: 24, 36: 24, 57: 25, 2000: 99}
 # End of fixed values.
 
 
@@ -26,9 +28,18 @@ def type_name(local_type: Column) -> Column:
 
 
 def api_code(local_type: Column, content: Column) -> Column:
-    """Exchange code of the service; app messages go by the type in their markup."""
-    app = _of(API_APP_CODES, F.coalesce(app_type(content), F.lit(-1)), 7)
-    return F.when(local_type == m.APP, app).when(local_type == m.QUOTE, 25).otherwise(_of(API_CODES, local_type.cast("bigint"), 99))
+    """Exchange code of the service; app messages go by the type in their markup, 99 for others."""
+    app = _of(API_APP_CODES, F.coalesce(app_type(content), F.lit(-1)), 99)
+    return F.when(local_type == m.APP, app).otherwise(_of(API_CODES | API_ONLY_CODES, local_type.cast("bigint"), 99))
+
+
+def export_code(local_type: Column, content: Column) -> Column:
+    """Exchange code of exported files: whatever has app markup goes by its type, a link where that is not told apart."""
+    c = F.coalesce(content, F.lit(""))
+    kind = F.coalesce(app_type(c), F.lit(0))
+    app = (local_type == m.APP) | F.contains(c, F.lit("<appmsg")) | F.contains(c, F.lit("<msg>")) | (kind != 0)
+    plain = _of(API_CODES | dict.fromkeys(m.FILES, 7), local_type.cast("bigint"), 99)
+    return F.when(local_type.isin(m.SYSTEM, m.REVOKE), 80).when(app, _of(EXPORT_APP_CODES, kind, 7)).otherwise(plain)
 
 
 def is_file(local_type: Column, content: Column) -> Column:

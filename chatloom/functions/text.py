@@ -163,4 +163,5 @@ def percent(part: Column, whole: Column) -> Column:
 
 
 def safe_int(value: Column, default: int = 0) -> Column:
-    return F.coalesce(value.try_cast("double").cast("bigint"), F.lit(default))
+    """Whole numbers of 64 bits stay exact; others lose their fraction."""
+    return F.coalesce(value.try_cast("bigint"), value.try_cast("double").try_cast("bigint"), F.lit(default))

@@ -98,3 +98,15 @@ def preset_range(name: str, today: Column) -> Column:
         first = F.date_sub(today, PRESETS[name])
     last = F.date_sub(today, 1) if name == "yesterday" else today
     return F.struct(first.alias("first"), last.alias("last"))
+
+
+def last_days_range(now: Column, days: int) -> Column:
+    """struct<begin, end>: from the first second of the day ``days`` - 1 days before that of ``now`` to ``now``."""
+    first = F.unix_timestamp(F.date_sub(day(now), max(1, days) - 1).cast("timestamp"))
+    return F.struct(first.alias("begin"), now.cast("bigint").alias("end"))
+
+
+def month_window(create_time: Column) -> Column:
+    """struct<begin, end> of the month that holds a time: its first second and that of the next month."""
+    first = F.trunc(day(create_time), "month")
+    return F.struct(F.unix_timestamp(first.cast("timestamp")).alias("begin"), F.unix_timestamp(F.add_months(first, 1).cast("timestamp")).alias("end"))

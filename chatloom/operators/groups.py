@@ -58,13 +58,18 @@ def _top(counted: DataFrame, what: str, limit: int) -> DataFrame:
 
 
 def member_panel(members: DataFrame, names: DataFrame, friends: DataFrame, counts: DataFrame) -> DataFrame:
-    """Members with name, owner, friend and count; owners, friends and talkers first."""
+    """Members with name, owner, friend and count, in no order (see ``member_order``)."""
     known = friends.select("username", F.lit(True).alias("is_friend")).distinct()
     said = counts.select(F.col("session_id").alias("chatroom_id"), F.col("sender").alias("username"), "n")
     joined = members.join(names, "username", "left").join(known, "username", "left").join(said, ["chatroom_id", "username"], "left")
     return joined.select("chatroom_id", "username", F.coalesce("display_name", "username").alias("display_name"), "is_owner", F.coalesce("is_friend", F.lit(False)).alias("is_friend"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def member_order() -> list:
+    """Sort keys of a panel: owners, then friends, then who says most, then by name."""
+    return [F.desc("is_owner"), F.desc("is_friend"), F.desc("n"), F.asc("display_name"), F.asc("username")]
+
+
 def group_list(members: DataFrame, sessions: DataFrame) -> DataFrame:
     size = members.groupBy("chatroom_id").agg(F.count("*").alias("members"), F.max(F.when(F.col("is_owner"), F.col("username"))).alias("owner"))
     return size.join(sessions.select(F.col("username").alias("chatroom_id"), "last_timestamp"), "chatroom_id", "left")

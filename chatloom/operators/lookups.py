@@ -93,6 +93,15 @@ def revoked_nearest(msgs: DataFrame, is_revoke: str, seconds: int = 300) -> Data
     return near.groupBy("session_id", "revoke_id").agg(F.max(F.struct("create_time", "original_id")).alias("o")).select("session_id", "revoke_id", F.col("o.original_id").alias("original_id"), F.col("o.create_time").alias("original_time"))
 
 
+def revoked_original(msgs: DataFrame, revokes: DataFrame, is_revoke: str, seconds: int = 300) -> DataFrame:
+    """Each revoke (session_id, revoke_id, tokens) with its message: by id where a token is one, else the nearest before. ``how`` tells which."""
+    by_id = revoked_by_id(msgs, revokes).withColumnRenamed("original_id", "by_id")
+    nearest = revoked_nearest(msgs, is_revoke, seconds).select("session_id", "revoke_id", F.col("original_id").alias("nearest"))
+    both = revokes.select("session_id", "revoke_id").join(by_id, ["session_id", "revoke_id"], "left").join(nearest, ["session_id", "revoke_id"], "left")
+    how = F.when(F.col("by_id").isNotNull(), "id").when(F.col("nearest").isNotNull(), "nearest").otherwise("none")
+    return both.select("session_id", "revoke_id", F.coalesce("by_id", "nearest").alias("original_id"), how.alias("how"))
+
+
 def hash_lookup(sessions: DataFrame) -> DataFrame:
     """Message tables are named by the md5 of their session: full and, where unambiguous, 16 digits."""
     full = sessions.select("username", F.md5(F.col("username").cast("binary")).alias("hash"))

@@ -531,7 +531,7 @@ def day_keys(spark: SparkSession, d: str) -> DataFrame:
     return m.table(spark, d, "events").select("event_id", time.day_key(t).alias("day"), time.month_key(t).alias("month"), time.hour(t).alias("hour"), time.weekday(t).alias("weekday"), time.clock(t).alias("clock"))
 
 
-@query("type_names", "select distinct local_type, case local_type when 1 then 'text' when 3 then 'image' when 34 then 'voice' when 49 then 'link' else 'system' end as name, case local_type when 1 then 0 when 3 then 1 when 34 then 2 when 49 then 7 else 80 end as code from msg_events")
+@query("type_names", "select distinct local_type, case local_type when 1 then 'text' when 3 then 'image' when 34 then 'voice' when 49 then 'link' else 'system' end as name, case local_type when 1 then 0 when 3 then 1 when 34 then 2 when 49 then 99 else 80 end as code from msg_events")
 def type_names(spark: SparkSession, d: str) -> DataFrame:
     kind = F.col("local_type")
     return m.msg_events(spark, d).select("local_type").distinct().select("local_type", labels.type_name(kind).alias("name"), labels.api_code(kind, F.lit(None).cast("string")).alias("code"))
@@ -664,3 +664,127 @@ def stream_new_messages(spark: SparkSession, d: str) -> DataFrame:
 @query("stream_unread", "select session_id, count(*) filter (where is_send = 0) as unread from msg_events group by 1")
 def stream_unread(spark: SparkSession, d: str) -> DataFrame:
     return feed.drained(feed.unread(feed.event_stream(spark, d)), "stream_unread", "complete")
+
+
+# Predicates and codes, over ids and types made of customers and events.
+
+#: Type codes that a message may have, and app types in its markup.
+CODES_SQL = "[1, 3, 34, 42, 43, 47, 48, 49, 50, 10000, 244813135921, 266287972401, 8594229559345, 8589934592049, 34359738417, 77][event_id % 16 + 1]"
+APPS_SQL = "[5, 6, 19, 33, 36, 49, 57, 62, 2000, 2001, 7][event_id % 11 + 1]"
+TYPED_SQL = f"select event_id, {CODES_SQL} as t, case when {CODES_SQL} = 49 or event_id % 7 = 0 then {APPS_SQL} end as app from events"
+
+
+def _typed(spark: SparkSession, d: str) -> DataFrame:
+    e = F.col("event_id")
+    codes = F.array(*[F.lit(c).cast("bigint") for c in (m.TEXT, m.IMAGE, m.VOICE, m.CARD, m.VIDEO, m.EMOJI, m.LOCATION, m.APP, m.CALL, m.SYSTEM, m.QUOTE, m.PAT, m.RED_PACKET, m.TRANSFER, m.FILES[0], 77)])
+    apps = F.array(*[F.lit(a) for a in (5, 6, 19, 33, 36, 49, 57, 62, 2000, 2001, 7)])
+    typed = m.table(spark, d, "events").select("event_id", F.get(codes, (e % 16).cast("int")).alias("t"), F.get(apps, (e % 11).cast("int")).alias("app"))
+    return typed.withColumn("content", F.when((F.col("t") == m.APP) | (e % 7 == 0), F.concat(F.lit("<appmsg><type>"), F.col("app").cast("string"), F.lit("</type></appmsg>"))))
+
+
+@query("api_codes", f"""
+select event_id, case t when 49 then case app when 5 then 7 when 49 then 7 when 6 then 4 when 19 then 26 when 33 then 24 when 36 then 24 when 57 then 25 when 2000 then 21 when 2001 then 20 else 99 end
+  when 1 then 0 when 3 then 1 when 34 then 2 when 43 then 3 when 47 then 5 when 48 then 8 when 42 then 27 when 50 then 23 when 10000 then 80
+  when 244813135921 then 25 when 266287972401 then 22 when 8594229559345 then 20 when 8589934592049 then 21 else 99 end as code from ({TYPED_SQL})""")
+def api_codes(spark: SparkSession, d: str) -> DataFrame:
+    return _typed(spark, d).select("event_id", labels.api_code(F.col("t"), F.col("content")).alias("code"))
+
+
+@query("export_codes", f"""
+select event_id, case when t = 10000 then 80 when app is not null then case app when 6 then 4 when 33 then 24 when 36 then 24 when 57 then 25 when 2000 then 99 else 7 end
+  else case t when 1 then 0 when 3 then 1 when 34 then 2 when 43 then 3 when 47 then 5 when 48 then 8 when 42 then 27 when 50 then 23 when 34359738417 then 7 else 99 end end as code from ({TYPED_SQL})""")
+def export_codes(spark: SparkSession, d: str) -> DataFrame:
+    return _typed(spark, d).select("event_id", labels.export_code(F.col("t"), F.col("content")).alias("code"))
+
+
+IDS_SQL = "select c_custkey, concat(['wxid_', 'gh_', 'Weixin', 'fmessage', 'brandsessionholder_', '@helper_folders', 'service_', 'name'][c_custkey % 8 + 1], case when c_custkey % 8 = 2 then '' else cast(c_custkey as varchar) end, ['', '', '@chatroom', '@openim', '@kefu.openim'][c_custkey % 5 + 1]) as id from customer"
+
+
+def _ids(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    head = F.get(F.array(*map(F.lit, ("wxid_", "gh_", "Weixin", "fmessage", "brandsessionholder_", "@helper_folders", "service_", "name"))), (k % 8).cast("int"))
+    tail = F.get(F.array(*map(F.lit, ("", "", "@chatroom", "@openim", "@kefu.openim"))), (k % 5).cast("int"))
+    return m.table(spark, d, "customer").select("c_custkey", F.concat(head, F.when(k % 8 == 2, "").otherwise(k.cast("string")), tail).alias("id"))
+
+
+@query("private_ids", f"""
+select c_custkey, id, not (contains(id, '@chatroom') or starts_with(id, 'gh_') or lower(id) = 'weixin' or starts_with(id, 'fmessage') or starts_with(id, 'brandsessionholder') or starts_with(id, '@helper_folders')
+  or contains(id, '@openim') or contains(id, '@kefu.openim') or contains(id, 'service_') or lower(id) = 'wxid_16') as is_private from ({IDS_SQL})""")
+def private_ids(spark: SparkSession, d: str) -> DataFrame:
+    return _ids(spark, d).select("c_custkey", "id", identity.is_private(F.col("id"), "wxid_16_ab12").alias("is_private"))
+
+
+@query("sent_by_me", """
+select event_id, (user_id % 4 <> 3 and user_id % 3 = 0) or event_id % 5 = 0 as mine from events""")
+def sent_by_me(spark: SparkSession, d: str) -> DataFrame:
+    u, e = F.col("user_id"), F.col("event_id")
+    own = F.get(F.array(*map(F.lit, ("wxid_me", "WXID_ME_9f2d", "wxid_me_old_phone", "other"))), (u % 4).cast("int"))
+    sender = F.when(u % 3 == 0, own).otherwise(F.concat(F.lit("u"), u.cast("string")))
+    return m.table(spark, d, "events").select("event_id", identity.sent_by_me(F.when(e % 5 == 0, "true").otherwise("0"), sender, "wxid_me_ab12").alias("mine"))
+
+
+@query("revoke_original", """
+with r as (select session_id, local_id as revoke_id, create_time as t, local_id - 150 as target from msg_events where local_type = 10000),
+b as (select r.session_id, revoke_id, o.local_id as by_id from r join msg_events o on o.session_id = r.session_id and o.local_id = target),
+n as (
+  select r.session_id, revoke_id, arg_max(o.local_id, (o.create_time, o.local_id)) as nearest
+  from r join msg_events o on o.session_id = r.session_id and o.local_type <> 10000 and o.is_send = 0 and o.create_time >= t - 7200 and (o.create_time, o.local_id) < (t, revoke_id) group by 1, 2)
+select session_id, revoke_id, coalesce(by_id, nearest) as original_id, case when by_id is not null then 'id' when nearest is not null then 'nearest' else 'none' end as how
+from r left join b using (session_id, revoke_id) left join n using (session_id, revoke_id)""")
+def revoke_original(spark: SparkSession, d: str) -> DataFrame:
+    msgs = m.msg_events(spark, d).withColumn("server_id", F.concat(F.lit("s"), F.col("local_id").cast("string")))
+    revokes = msgs.where(REVOKE).select("session_id", F.col("local_id").alias("revoke_id"), F.array(F.concat(F.lit("s"), (F.col("local_id") - 150).cast("string"))).alias("tokens"))
+    return lookups.revoked_original(msgs, revokes, REVOKE, 7200)
+
+
+@query("month_windows", "select distinct cast(epoch(date_trunc('month', ts)) as bigint) as month_begin, cast(epoch(date_trunc('month', ts) + interval 1 month) as bigint) as month_end from events")
+def month_windows(spark: SparkSession, d: str) -> DataFrame:
+    return m.msg_events(spark, d).select(time.month_window(F.col("create_time")).alias("w")).distinct().select(F.col("w.begin").alias("month_begin"), F.col("w.end").alias("month_end"))
+
+
+@query("last_days", "select local_id, create_time // 86400 * 86400 - 6 * 86400 as first_second, create_time as last_second from msg_events")
+def last_days(spark: SparkSession, d: str) -> DataFrame:
+    w = time.last_days_range(F.col("create_time"), 7)
+    return m.msg_events(spark, d).select("local_id", w["begin"].alias("first_second"), w["end"].alias("last_second"))
+
+
+@query("day_ranges", "select distinct day, cast(epoch(cast(day as timestamp)) as bigint) as day_begin, cast(epoch(cast(day as timestamp)) as bigint) + 86400 as day_end from (select strftime(ts, '%Y-%m-%d') as day from events)")
+def day_ranges(spark: SparkSession, d: str) -> DataFrame:
+    day = F.col("day")
+    return m.msg_events(spark, d).select(time.day_key(F.col("create_time")).alias("day")).distinct().select("day", time.day_range(day)["begin"].alias("day_begin"), time.day_range(day)["end"].alias("day_end"))
+
+
+@query("parsed_times", "select local_id, create_time as of_number, create_time as of_millis, create_time as of_digits, create_time // 86400 * 86400 as of_day from msg_events")
+def parsed_times(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("create_time")
+    forms = {"of_number": t.cast("string"), "of_millis": (t * 1000 + 7).cast("string"), "of_digits": F.date_format(time.moment(t), "yyyyMMddHHmmss"), "of_day": F.date_format(time.moment(t), "yyyyMMdd")}
+    return m.msg_events(spark, d).select("local_id", *[time.parse_seconds(f).alias(n) for n, f in forms.items()])
+
+
+@query("by_server_id", "select session_id, local_id, create_time from msg_events where session_id = 'u7' and local_id % 10 = 3")
+def by_server_id(spark: SparkSession, d: str) -> DataFrame:
+    msgs = m.msg_events(spark, d).withColumn("server_id", F.concat(F.lit("18446744073709551"), (F.col("local_id") % 10).cast("string")))
+    return scan.by_server_id(msgs, SESSION, "184467440737095513").select("session_id", "local_id", "create_time")
+
+
+@query("filled_senders", "select local_id, case when local_id % 3 = 0 then sender else concat('name', right(sender, 1)) end as sender from msg_group where right(sender, 1) <> '9' or local_id % 3 = 0 union all select local_id, null from msg_group where right(sender, 1) = '9' and local_id % 3 <> 0")
+def filled_senders(spark: SparkSession, d: str) -> DataFrame:
+    last = F.right(F.col("sender"), F.lit(1))
+    msgs = m.msg_group(spark, d).select("local_id", last.alias("sender_id"), F.when(F.col("local_id") % 3 == 0, F.col("sender")).alias("sender"))
+    known = spark.range(9).select(F.col("id").cast("string").alias("sender_id"), F.concat(F.lit("name"), F.col("id").cast("string")).alias("username"))
+    return lookups.with_senders(msgs, known).select("local_id", "sender")
+
+
+@query("member_page", "select local_id, create_time from msg_group where session_id = 'g3@chatroom' and sender = 'u3' and local_id < 400 order by local_id desc limit 20")
+def member_page(spark: SparkSession, d: str) -> DataFrame:
+    return groups.member_page(m.msg_group(spark, d), GROUP, "u3", 20, 400).select("local_id", "create_time")
+
+
+@query("display_texts", "select local_id, case local_type when 1 then 'hello ' || local_id when 3 then '[image]' when 34 then '[voice ' || (local_id % 60 + 1) || 's]' when 49 then '[link] T&' || local_id else 'note ' || local_id || ' seen' end as shown from msg_events")
+def display_texts(spark: SparkSession, d: str) -> DataFrame:
+    i, kind = F.col("local_id").cast("string"), F.col("local_type")
+    content = (
+        F.when(kind == m.TEXT, F.concat(F.lit("hello "), i)).when(kind == m.VOICE, F.concat(F.lit('<voicemsg voicelength="'), ((F.col("local_id") % 60 + 1) * 1000).cast("string"), F.lit('"/>')))
+        .when(kind == m.APP, F.concat(F.lit("<msg><appmsg><title>T&amp;"), i, F.lit("</title><type>5</type></appmsg></msg>"))).when(kind == m.SYSTEM, F.concat(F.lit("note "), i, F.lit(" seen")))
+    )
+    return m.msg_events(spark, d).select("local_id", labels.display_text(kind, content).alias("shown"))

@@ -42,7 +42,7 @@ def test_clean_id(spark, raw, want):
     assert one(spark, identity.clean_id(F.col("v")), v=raw) == want
 
 
-@pytest.mark.parametrize("raw, want", [("12@chatroom", False), ("gh_1", False), ("filehelper", False), ("u1", True), ("", False), (None, False), ("x@kefu.openim", False)])
+@pytest.mark.parametrize("raw, want", [("12@chatroom", False), ("gh_1", False), ("filehelper", False), ("u1", True), ("", False), (None, False), ("x@kefu.openim", False), ("a@openim", False), ("service_9", False), ("fmessage_2", False), ("Weixin", False), ("WEIXINS", True)])
 def test_private(spark, raw, want):
     assert one(spark, identity.is_private(F.col("v")), v=raw) is want
 
@@ -100,3 +100,18 @@ def test_nested_records(spark):
     rows = one(spark, decode.forwarded_records(F.col("v")), v=xml)
     assert [(r["depth"], r["kind"], r["sender"], r["text"]) for r in rows] == [(0, "17", "A", "out"), (1, "1", "B", "in")]
     assert one(spark, decode.forwarded_records(F.col("v")), v="<dataitem") == []
+
+
+def test_decoded_bytes_drop_what_is_unreadable():
+    import zstandard
+
+    frame = zstandard.ZstdCompressor().compress("grüße".encode())
+    assert decode.decode_bytes(frame) == "grüße"
+    assert decode.decode_bytes(b"plain text here \xff end") == "plain text here  end"
+    assert decode.decode_bytes(b"\xff\xfe\xfd", "given") == "given" and decode.decode_bytes(b"\xff\xfe\xfd") == "\xff\xfe\xfd"
+    assert decode.decode_bytes(decode.ZSTD_MAGIC + b"broken frame with text") != ""
+
+
+def test_whole_numbers_stay_exact(spark):
+    assert one(spark, text.safe_int(F.col("v")), v="9007199254740993") == 9007199254740993
+    assert one(spark, text.safe_int(F.col("v")), v="12.7") == 12 and one(spark, text.safe_int(F.col("v")), v="x") == 0
