@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-LAST = 9223372036854775807
+LAST, ROWS_A_FILE = 9223372036854775807, 100_000
 
 
 def label_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -21,15 +21,17 @@ def label_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """
     both = links.select(F.col("left").alias("node"), F.col("right").alias("other")).unionByName(links.select(F.col("right").alias("node"), F.col("left").alias("other")))
     both, drop_both = written(both.distinct())
+    # Small tables go to few files, however many partitions the session's shuffles have.
+    files = both.count() // ROWS_A_FILE + 1
     own = nodes.select("node", F.struct(F.coalesce("least", F.lit(LAST)).alias("least"), F.col("node").alias("at")).alias("label"))
-    linked, drop = written(own.join(both.select("node").distinct(), "node", "left_semi"))
+    linked, drop = written(own.join(both.select("node").distinct(), "node", "left_semi").coalesce(files))
     while True:
         heard = both.join(linked.select(F.col("node").alias("other"), F.col("label").alias("said")), "other").groupBy("node").agg(F.min("said").alias("said"))
         known = linked.join(heard, "node")
         further = linked.select(F.col("node").alias("at"), F.col("label").alias("said"))
         told = known.select("node", "said").unionByName(known.select(F.col("label.at").alias("node"), "said")).unionByName(linked.select("node", F.col("label.at").alias("at")).join(further, "at").select("node", "said"))
         best = told.groupBy("node").agg(F.min("said").alias("said"))
-        moved, drop_moved = written(linked.join(best, "node").select("node", F.col("label").alias("old"), F.least("label", "said").alias("label")))
+        moved, drop_moved = written(linked.join(best, "node").select("node", F.col("label").alias("old"), F.least("label", "said").alias("label")).coalesce(files))
         drop()
         changed = moved.where(F.col("old") != F.col("label")).limit(1).count()
         linked, drop = moved.drop("old"), drop_moved

@@ -39,7 +39,7 @@ BLOCK = 65_536
 #: Of the stage on texts: words of a shingle, similarity, bits of a segment, share of pairs of just that similarity to be found.
 WORDS, LEAST, WIDTH, RECALL = 5, 0.8, 23, 0.9
 #: Rounds in which members meet some leaders of their buckets; leaders of one round; pairs for each member that the last step may compare before that.
-ROUNDS, LEADERS, PAIRS = 6, 4, 0.25
+ROUNDS, LEADERS, PAIRS = 3, 8, 0.25
 
 
 def simhash(text: str | None, n: int = SHINGLE) -> int:
