@@ -41,7 +41,7 @@ BLOCK = 65_536
 #: Of the stage on texts: words of a shingle, similarity, bits of a segment, share of pairs of just that similarity to be found.
 WORDS, LEAST, WIDTH, RECALL = 5, 0.8, 23, 0.9
 #: Rounds in which members meet some leaders of their buckets; leaders of one round; pairs for each member that the last step may compare before that.
-ROUNDS, LEADERS, PAIRS = 2, 8, 0.25
+ROUNDS, LEADERS, PAIRS = 1, 8, 0.25
 #: Simulated pairs of just the similarity 0.8 that have more differing bits: 0.3 per cent at most, but a tenth where four of five shingles agree.
 DEVIATIONS = 3.5
 
@@ -273,6 +273,8 @@ def similar_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", n: i
         links = found if links is None else links.unionByName(found)
         drop()
         roots, _ = written(label_components(plain, links).select("node", "root"))
+        if turn + 1 == ROUNDS:
+            break
         # What is left for the last step: pairs of a bucket in different components.
         left = member.join(roots, "node").groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
         pairs, members = left.agg(F.coalesce(F.sum(F.col("n") * F.col("n") - F.col("same")), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
