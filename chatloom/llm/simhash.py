@@ -42,8 +42,8 @@ BLOCK = 65_536
 WORDS, LEAST, WIDTH, RECALL = 5, 0.8, 23, 0.9
 #: Rounds in which members meet some leaders of their buckets; leaders of one round; pairs for each member that the last step may compare before that.
 ROUNDS, LEADERS, PAIRS = 1, 8, 0.25
-#: Simulated pairs of just the similarity 0.8 that have more differing bits: 0.3 per cent at most, but a tenth where four of five shingles agree.
-DEVIATIONS = 3.5
+#: Deviations from the expected number of differing bits up to which texts are compared, and those for texts of few shingles, whose bits are tied more often; of simulated pairs of just the similarity 0.8 one or two in 100 have more.
+DEVIATIONS, FEW, DEVIATIONS_OF_FEW = 2.5, 5, 5.0
 
 
 def simhash(text: str | None, n: int = SHINGLE) -> int:
@@ -175,16 +175,18 @@ def segments_of(hashes: np.ndarray, count: int, width: int) -> np.ndarray:
 
 
 def _segments(n: int, count: int, width: int):
-    @pandas_udf(StructType([StructField("node", LongType()), StructField("segments", ArrayType(IntegerType()))]))
+    @pandas_udf(StructType([StructField("node", LongType()), StructField("segments", ArrayType(IntegerType())), StructField("size", IntegerType())]))
     @tidy
     def made(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
-            nodes, rows = [], []
+            nodes, rows, sizes = [], [], []
             for text in batch:
                 words = byte_words(text, lower=True)
                 nodes.append(xxhash.xxh64_intdigest(b" ".join(words), SEED))
-                rows.append(segments_of(shingle_hashes(words, n), count, width))
-            yield pd.DataFrame({"node": np.array(nodes, np.uint64).view(np.int64), "segments": rows}, index=batch.index)
+                hashes = shingle_hashes(words, n)
+                rows.append(segments_of(hashes, count, width))
+                sizes.append(len(hashes))
+            yield pd.DataFrame({"node": np.array(nodes, np.uint64).view(np.int64), "segments": rows, "size": np.array(sizes, np.int32)}, index=batch.index)
 
     return made
 
@@ -210,20 +212,20 @@ def _similarity(n: int):
 ASKED = 500_000
 
 
-def _most_apart(count: int, width: int, least: float) -> int:
-    """Differing bits beyond which candidates are not compared by text: the expected number at ``least`` and DEVIATIONS times its standard deviation."""
+def _near(a: str, b: str, count: int, width: int, least: float) -> Column:
+    """Whether two structs (segments, size) may have a similarity of ``least``: sizes at that ratio, differing bits by their expected number and some deviations."""
     bits, p = count * width, differing_share(least)
-    return int(bits * p + DEVIATIONS * math.sqrt(bits * p * (1 - p)))
-
-
-def _apart(a: str, b: str, count: int) -> Column:
-    """Differing bits of two arrays of segments."""
-    return reduce(add, (F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(count)))
+    most = [int(bits * p + d * math.sqrt(bits * p * (1 - p))) for d in (DEVIATIONS, DEVIATIONS_OF_FEW)]
+    x, y = F.col(a), F.col(b)
+    small, large = F.least(x["size"], y["size"]), F.greatest(x["size"], y["size"])
+    apart = reduce(add, (F.bit_count(F.get(x["segments"], F.lit(k)).bitwiseXOR(F.get(y["segments"], F.lit(k)))) for k in range(count)))
+    return (small >= least * large) & (apart <= F.when(small <= FEW, most[1]).otherwise(most[0]))
 
 
 def _alike(near: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, least: float) -> DataFrame:
     """Of candidates (left, right), each once: those whose texts have a similarity of ``least``; a written table."""
-    asked = nodes.join(near.select(F.explode(F.array("left", "right")).alias("node")).distinct(), "node", "left_semi").select("node", F.col("first_row").alias("row"))
+    ends = near.select(F.col("left").alias("node")).distinct().unionByName(near.select(F.col("right").alias("node")).distinct())
+    asked = nodes.join(ends, "node", "left_semi").select("node", F.col("first_row").alias("row"))
     asked, drop_asked = written(asked)
     texts, drop_texts = written(docs.join(bounded(asked, ASKED), "row").dropDuplicates(["node"]).select("node", "_text"))
     found, _ = written(near.join(texts.toDF("left", "a"), "left").join(texts.toDF("right", "b"), "right").where(_similarity(n)("a", "b") >= least).select("left", "right"))
@@ -242,8 +244,8 @@ def similar_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", n: i
     own = docs.select(F.col(key), F.col(text).alias("_text"))
     slim = cut(own.select(F.col(key), row_hash(key, "_text").alias("row"), _segments(n, count, width)("_text").alias("s")).select(key, "row", "s.*"))
     first = F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "row"))["row"]
-    # Equal nodes have equal segments.
-    nodes = cut(dealt(slim.groupBy("node").agg(F.min(key).cast("long").alias("least"), first.alias("first_row"), F.count("*").alias("n_rows"), F.first("segments").alias("segments")), "node"))
+    # Equal nodes have equal segments and sizes.
+    nodes = cut(dealt(slim.groupBy("node").agg(F.min(key).cast("long").alias("least"), first.alias("first_row"), F.count("*").alias("n_rows"), F.first("segments").alias("segments"), F.first("size").alias("size")), "node"))
 
     # One number for segment, left-out bit and the other bits. Equal segments count at bit 0 only, others where they differ.
     parted = nodes.select("node", F.posexplode("segments").alias("k", "v"))
@@ -257,7 +259,7 @@ def similar_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", n: i
     collect_shuffles(docs.sparkSession)
     texts = own.withColumn("row", row_hash(key, "_text"))
     plain = nodes.select("node", "least")
-    bits, most = nodes.select("node", "segments"), _most_apart(count, width, least)
+    bits = nodes.select("node", F.struct("segments", "size").alias("seen"))
     links, roots = None, nodes.select("node", F.col("node").alias("root"))
     for turn in range(ROUNDS):
         # Each round has other leaders; those already in the leader's component don't meet it.
@@ -267,7 +269,7 @@ def similar_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", n: i
         met = placed.join(led, "bucket").where("root <> lead_root and (b = 0 or one <> lead_one)")
         chosen = met.select(F.least("node", "lead").alias("left"), F.greatest("node", "lead").alias("right")).distinct()
         wide = chosen.join(bits.toDF("left", "a"), "left").join(bits.toDF("right", "b"), "right")
-        near, drop_near = written(wide.where(_apart("a", "b", count) <= most).select("left", "right"))
+        near, drop_near = written(wide.where(_near("a", "b", count, width, least)).select("left", "right"))
         found = _alike(near, nodes, texts, n, least)
         drop_near()
         links = found if links is None else links.unionByName(found)
@@ -286,9 +288,9 @@ def similar_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", n: i
     sizes = placed.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "root"))["root"].alias("major"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
     # The bits are part of the join's condition: pairs that are too far apart are no rows.
     mixed = placed.join(sizes, "bucket").withColumn("minor", F.col("root") != F.col("major")).join(bits, "node")
-    minor = mixed.where("minor").select("bucket", F.col("node").alias("left"), F.col("root").alias("left_root"), F.col("one").alias("left_one"), F.col("segments").alias("a"))
-    other = mixed.select("bucket", "b", F.col("node").alias("right"), F.col("root").alias("right_root"), F.col("one").alias("right_one"), F.col("minor").alias("too"), F.col("segments").alias("c"))
-    met = (minor["bucket"] == other["bucket"]) & F.expr("left_root <> right_root and (b = 0 or left_one <> right_one) and (not too or left < right)") & (_apart("a", "c", count) <= most)
+    minor = mixed.where("minor").select("bucket", F.col("node").alias("left"), F.col("root").alias("left_root"), F.col("one").alias("left_one"), F.col("seen").alias("a"))
+    other = mixed.select("bucket", "b", F.col("node").alias("right"), F.col("root").alias("right_root"), F.col("one").alias("right_one"), F.col("minor").alias("too"), F.col("seen").alias("c"))
+    met = (minor["bucket"] == other["bucket"]) & F.expr("left_root <> right_root and (b = 0 or left_one <> right_one) and (not too or left < right)") & _near("a", "c", count, width, least)
     near, drop_near = written(minor.join(other, met).select(F.least("left", "right").alias("left"), F.greatest("left", "right").alias("right")).distinct())
     links = links.unionByName(_alike(near, nodes, texts, n, least))
     drop_near()
