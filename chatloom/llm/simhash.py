@@ -12,8 +12,8 @@ sets of shingles have a Jaccard similarity of ``least`` or more. These differ in
 ``width`` bits from a longer fingerprint as find a pair of just that similarity with
 the probability ``recall``, and exact similarities decide. Members of a bucket meet a
 few leaders first, and in the end all those of other components, so large groups of
-near copies don't make all their pairs, and no candidate pair of two components is
-left out.
+near copies don't make all their pairs. Candidates of two components whose bits are
+``DEVIATIONS`` or more too far apart are not compared by text; all others are.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ BLOCK = 65_536
 WORDS, LEAST, WIDTH, RECALL = 5, 0.8, 23, 0.9
 #: Rounds in which members meet some leaders of their buckets; leaders of one round; pairs for each member that the last step may compare before that.
 ROUNDS, LEADERS, PAIRS = 1, 8, 0.25
-#: Deviations from the expected number of differing bits up to which texts are compared, and those for texts of few shingles, whose bits are tied more often; of simulated pairs of just the similarity 0.8 one or two in 100 have more.
+#: Deviations from the expected number of differing bits up to which texts are compared, and those for texts of few shingles, whose bits are tied more often; of simulated pairs of just the similarity 0.8 at most one in 100 has more.
 DEVIATIONS, FEW, DEVIATIONS_OF_FEW = 2.5, 5, 5.0
 
 
