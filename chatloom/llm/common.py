@@ -80,14 +80,19 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
-    """``df`` as a compressed table in the shared folder, and a function that removes it once no plan reads it any more."""
+    """``df`` as a compressed table in the shared folder, and a function that removes it once no plan reads it any more.
+
+    A table that is not removed before goes when the application ends.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     df.write.parquet(path)
+    files.deleteOnExit(place)
 
     def drop() -> None:
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        files.delete(place, True)
 
     return spark.read.schema(df.schema).parquet(path), drop
 

@@ -167,7 +167,7 @@ with d as (
   from {docs}),
 leaf as (
   select domain, lang, source, sum(n_tokens) as tokens, cast(sum(n_tokens) * {MAX_EPOCHS} as double) as cap,
-         sum(n_tokens) > 0 and least({', '.join(weight(level) for level in LEVELS)}) > 0 as live from d group by all),
+         sum(n_tokens) > 0 and least({', '.join(weight(level) for level in LEVELS)}) > 0 as live from d group by domain, lang, source),
 root as (select least(coalesce(sum(cap) filter (where live), 0), floor(sum(tokens) * {share})) as "grant" from leaf),{','.join(ctes)},
 plan as (
   select l.*, cast(g."grant" as bigint) // tokens as whole, cast(g."grant" as bigint) % tokens as rest
