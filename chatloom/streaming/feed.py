@@ -90,7 +90,11 @@ def merge_stats(old: DataFrame, fresh: DataFrame) -> DataFrame:
 
 def _folder(spark: SparkSession) -> str:
     """A new folder that executors and driver share."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="chatloom-")
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        top = tempfile.mkdtemp(prefix="chatloom-")
     return f"{top}/feed-{uuid.uuid4().hex}"
 
 
