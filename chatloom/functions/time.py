@@ -100,6 +100,47 @@ def preset_range(name: str, today: Column) -> Column:
     return F.struct(first.alias("first"), last.alias("last"))
 
 
+# Names of stored ranges, of now and of old, and days of the range that has no name any more.
+STORED = ("all", "today", "yesterday", "last3days", "last7days", "last30days", "last1year", "last2years")
+OLD_NAMES = {"7d": "last7days", "30d": "last30days"}
+OLD_DAYS = {"90d": 90}
+# End of fixed values.
+
+
+def stored_moment(value: Column) -> Column:
+    """Seconds of a stored date: yyyy-MM-dd with or without HH:mm, another form of time, or digits of milliseconds; else null."""
+    t = F.trim(value.cast("string"))
+    forms = F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in ("yyyy-MM-dd", "yyyy-MM-dd HH:mm")], F.try_to_timestamp(t))
+    return F.when(F.rlike(t, F.lit("^[0-9]{9,16}$")), F.floor(t.try_cast("bigint") / 1000)).otherwise(F.unix_timestamp(forms))
+
+
+def stored_range(preset: Column, all_time: Column, start: Column, end: Column, now: Column) -> Column:
+    """struct<preset, all_time, begin, end> of a stored range at ``now``; begin and end are seconds, null for all time.
+
+    A known name counts first, then two dates (an end before its start is its start);
+    anything else is today.
+    """
+    name = preset
+    for old, new in OLD_NAMES.items():
+        name = F.when(preset == old, new).otherwise(name)
+    whole = F.coalesce(all_time, F.lit(False)) | F.coalesce(name == "all", F.lit(False))
+    a, b = stored_moment(start), stored_moment(end)
+
+    def ranged(kind: Column, begin: Column, stop: Column) -> Column:
+        return F.struct(kind.alias("preset"), F.lit(False).alias("all_time"), begin.cast("bigint").alias("begin"), stop.cast("bigint").alias("end"))
+
+    out = F.when(whole, F.struct(F.lit("all").alias("preset"), F.lit(True).alias("all_time"), F.lit(None).cast("bigint").alias("begin"), F.lit(None).cast("bigint").alias("end")))
+    for known in STORED[1:]:
+        days = preset_range(known, day(now))
+        stop = F.unix_timestamp(day(now).cast("timestamp")) - 1 if known == "yesterday" else now
+        out = out.when(name == known, ranged(F.lit(known), F.unix_timestamp(days["first"].cast("timestamp")), stop))
+    for old, n in OLD_DAYS.items():
+        days = last_days_range(now, n)
+        out = out.when(preset == old, ranged(F.lit("custom"), days["begin"], days["end"]))
+    out = out.when(a.isNotNull() & b.isNotNull(), ranged(F.lit("custom"), a, F.greatest(a, b)))
+    return out.otherwise(ranged(F.lit("today"), F.unix_timestamp(day(now).cast("timestamp")), now))
+
+
 def last_days_range(now: Column, days: int) -> Column:
     """struct<begin, end>: from the first second of the day ``days`` - 1 days before that of ``now`` to ``now``."""
     first = F.unix_timestamp(F.date_sub(day(now), max(1, days) - 1).cast("timestamp"))

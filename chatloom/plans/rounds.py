@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import time
+from ..operators import triggers
 from ..sources import model as m
 from ..streaming import feed, push
 from .queries import query
@@ -64,3 +66,54 @@ def stream_pushes(spark: SparkSession, d: str) -> DataFrame:
     """The same as a stream from its beginning, when no session is known; the files are one round."""
     told = _with_text(feed.event_stream(spark, d)).withColumns({"kind": F.lit("message"), "unread_count": F.lit(None).cast("bigint")})
     return feed.drained(push.pushes(told), "pushes")
+
+
+def _triggers_sql(table: str, cooldown: int) -> str:
+    return f"""
+with recursive e as (select session_id, create_time, min(local_id) as local_id from {table} group by 1, 2),
+t as (
+  select session_id, min(create_time) as create_time from e group by 1
+  union all
+  select t.session_id, min(e.create_time) from t join e on e.session_id = t.session_id and e.create_time >= t.create_time + {cooldown} group by t.session_id)
+select session_id, create_time, local_id from e join t using (session_id, create_time)"""
+
+
+@query("activity_triggers", _triggers_sql("msg_events", 36 * 3600))
+def activity_triggers(spark: SparkSession, d: str) -> DataFrame:
+    return triggers.activity_triggers(m.msg_events(spark, d), 36 * 3600)
+
+
+@query("group_activity_triggers", _triggers_sql("msg_group", 7200))
+def group_activity_triggers(spark: SparkSession, d: str) -> DataFrame:
+    return triggers.activity_triggers(m.msg_group(spark, d).drop("sender", "source"), 7200)
+
+
+@query("due_schedules", """
+with s as (select o_orderkey as task, o_orderkey % 4 as days, o_orderkey % 26 as hours, epoch_ms(o_orderdate) as created, case when o_orderkey % 3 = 0 then epoch_ms(o_orderdate) + 5000 else 0 end as first_at, case when o_orderkey % 5 < 2 then epoch_ms(o_orderdate) + 86400000 * (o_orderkey % 11) end as ran from orders),
+i as (select *, (days * 24 + least(hours, 23)) * 3600000 as step from s),
+b as (select *, case when step > 0 then case when first_at > 0 then first_at else created + step end end as initial, coalesce(ran, 0) as last from i)
+select task, case when step > 0 then case when last > 0 then last + step else initial end end as next_at,
+       case when step > 0 then case when last > 0 then case when 900000000000 >= last + step then 'interval:' || last || ':' || (900000000000 - last) // step end when 900000000000 >= initial then 'first:' || initial end end as due
+from b""")
+def due_schedules(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as tasks that recur every 0 to 3 days and 0 to 25 hours."""
+    k, created = F.col("o_orderkey"), F.unix_millis(F.col("o_orderdate").cast("timestamp"))
+    first, ran = F.when(k % 3 == 0, created + 5000).otherwise(0), F.when(k % 5 < 2, created + 86400000 * (k % 11))
+    return m.table(spark, d, "orders").select(k.alias("task"), triggers.next_trigger(k % 4, k % 26, first, created, ran).alias("next_at"), triggers.due_key(k % 4, k % 26, first, created, ran, F.lit(900_000_000_000)).alias("due"))
+
+
+@query("stored_ranges", """
+with s as (select local_id, create_time, local_id % 9 as k, create_time // 86400 * 86400 as d0 from msg_events)
+select local_id,
+  case k when 1 then 'last7days' when 3 then 'custom' when 4 then 'all' when 5 then 'yesterday' when 6 then 'custom' when 7 then 'custom' else 'today' end as preset, k = 4 as all_time,
+  case k when 1 then d0 - 6 * 86400 when 3 then d0 - 89 * 86400 when 4 then null when 5 then d0 - 86400 when 6 then create_time - 1000 when 7 then d0 else d0 end as range_begin,
+  case k when 1 then create_time when 3 then create_time when 4 then null when 5 then d0 - 1 when 6 then create_time when 7 then d0 else create_time end as range_end
+from s""")
+def stored_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """Stored export ranges of all forms, resolved at each message's time: names of now and of old, dates, numbers, an end before its start."""
+    k, t = F.col("local_id") % 9, F.col("create_time")
+    preset = F.when(k == 1, "7d").when(k == 2, " last3days ").when(k == 3, "90d").when(k == 4, "all").when(k == 5, "yesterday").when(k.isin(6, 7), "custom").when(k == 8, "nothing")
+    start = F.when(k == 6, ((t - 1000) * 1000).cast("string")).when(k == 7, time.day_key(t))
+    end = F.when(k == 6, (t * 1000).cast("string")).when(k == 7, time.day_key(t - 86400))
+    found = time.stored_range(preset, F.lit(False), start, end, t)
+    return m.msg_events(spark, d).select("local_id", found["preset"].alias("preset"), found["all_time"].alias("all_time"), found["begin"].alias("range_begin"), found["end"].alias("range_end"))

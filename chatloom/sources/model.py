@@ -129,4 +129,6 @@ def with_views(sql: str) -> str:
     needed = [n for n in SQL if n in sql or (n == "msg_group" and ("group_members" in sql or "sessions" in sql)) or (n == "msg_events" and "sessions" in sql)]
     ctes = ", ".join(f"{n} as ({SQL[n]})" for n in SQL if n in needed)
     body = sql.strip()
+    if body.startswith("with recursive "):
+        return f"with recursive {ctes}, {body.removeprefix('with recursive ')}"
     return f"with {ctes}, {body.removeprefix('with ')}" if body.startswith("with ") else f"with {ctes} {body}"
