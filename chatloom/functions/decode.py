@@ -88,6 +88,60 @@ def field_strings(raw: bytes | None, field: int) -> list[str]:
     return found
 
 
+# Marks before a member's id and its nickname in a group's extra bytes, their greatest lengths, and what an id and a nickname look like.
+ID_MARK, NICKNAME_MARK, ID_BYTES, NICKNAME_BYTES = 0x0A, 0x12, 96, 128
+MEMBER_ID, OWN_ID = re.compile(r"[A-Za-z][A-Za-z0-9_.@-]{3,79}", re.A), re.compile(r"wxid_[a-z0-9_]+", re.A | re.I)
+NO_NAME, NAME_SIGN, ONE_SIGN = re.compile("[\"'@]+"), re.compile("[\u4e00-\u9fff\u3400-\u4dbfA-Za-z0-9_]"), re.compile("[\u3400-\u9fff]")
+# End of fixed values.
+
+
+def likely_nickname(text: str) -> str:
+    """The cleaned nickname, or nothing where it can be none."""
+    name = re.sub(r"[\x00-\x1f\x7f]", "", text).strip()
+    fits = name and not NO_NAME.fullmatch(name) and not OWN_ID.fullmatch(name) and "@chatroom" not in name and NAME_SIGN.search(name)
+    return name if fits and (len(name) > 1 or ONE_SIGN.fullmatch(name)) else ""
+
+
+def piece(raw: bytes, at: int, mark: int, most: int) -> tuple[bytes, int] | None:
+    """The bytes behind ``mark`` and their length at ``at``, and where they end; None where that is no such piece."""
+    if at >= len(raw) or raw[at] != mark:
+        return None
+    try:
+        size, start = varint(raw, at + 1)
+    except ValueError:
+        return None
+    return (raw[start : start + size], start + size) if 0 < size <= most and start + size <= len(raw) else None
+
+
+def nickname_pairs(raw: bytes | None, among: frozenset[str] = frozenset()) -> list[tuple[str, str]]:
+    """(member, nickname) of pairs that stand anywhere in bytes without a frame; a member's first one counts.
+
+    From a mark that begins no pair the search goes on at the next byte; behind an id
+    without a nickname, at the id's end. ``among``: only these ids, in lower case.
+    """
+    found: dict[str, str] = {}
+    raw, at = raw or b"", 0
+    while (at := raw.find(ID_MARK, at)) >= 0 and at < len(raw) - 2:
+        head = piece(raw, at, ID_MARK, ID_BYTES)
+        member = head[0].decode("utf-8", "replace").strip() if head else ""
+        if not MEMBER_ID.fullmatch(member) or "@chatroom" in member:
+            at += 1
+            continue
+        at = head[1]
+        tail = piece(raw, at, NICKNAME_MARK, NICKNAME_BYTES) if not among or member.lower() in among else None
+        if tail:
+            at = tail[1]
+            if name := likely_nickname(tail[0].decode("utf-8", "replace")):
+                found.setdefault(member, name)
+    return list(found.items())
+
+
+@pandas_udf(ArrayType(StructType([StructField("username", StringType()), StructField("nickname", StringType())])))
+def buffer_nicknames(blobs: pd.Series) -> pd.Series:
+    """The pairs of ``nickname_pairs`` of each blob."""
+    return pd.Series([nickname_pairs(bytes(b) if b is not None else None) for b in blobs], index=blobs.index)
+
+
 def protobuf_strings(field: int):
     @pandas_udf(ArrayType(StringType()))
     def strings(blobs: pd.Series) -> pd.Series:

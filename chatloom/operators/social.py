@@ -60,6 +60,63 @@ def place_of(xml):  # noqa: ANN001, ANN201
     return F.struct(xml_attribute(xml, "location", "latitude").try_cast("double").alias("latitude"), xml_attribute(xml, "location", "longitude").try_cast("double").alias("longitude"), xml_attribute(xml, "location", "city").alias("city"), xml_attribute(xml, "location", "poiName").alias("name"))
 
 
+# Names of the elements of a post's comments; the first that is there counts.
+COMMENT_LISTS = ("CommentUserList", "commentList", "comment_user_list")
+COMMENT = "CommentUser|comment|user_comment"
+COMMENT_ID, COMMENT_REF, COMMENT_REF_NAME = "cmtid|commentId|comment_id|id", "refCommentId|replyCommentId|ref_comment_id", "refNickname|replyNickname"
+# End of fixed values.
+
+
+def comments_of(xml):  # noqa: ANN001, ANN201
+    """array<struct<id, nickname, username, content, ref, ref_username, ref_nickname, emojis>> of a post's comments.
+
+    A comment has a nickname, and content or a picture. ``ref`` is the id of the comment
+    it answers; the name of whom it answers is taken from the others where it is not
+    told. Missing values are null, but an empty content is empty.
+    """
+
+    def value(part, names):  # noqa: ANN001, ANN202
+        """Trimmed text of the first such element without elements inside, null without one."""
+        pattern = f"(?is)<(?:{names})>([^<]*)</(?:{names})>"
+        return F.when(F.rlike(part, F.lit(pattern)), F.trim(F.regexp_extract(part, pattern, 1)))
+
+    def parts(part, names):  # noqa: ANN001, ANN202
+        return F.regexp_extract_all(part, F.lit(f"(?is)<(?:{names})>(.*?)</(?:{names})>"), F.lit(1))
+
+    def address(text):  # noqa: ANN001, ANN202
+        return F.replace(text, F.lit("&amp;"), F.lit("&"))
+
+    def emoji(e):  # noqa: ANN001, ANN202
+        number = lambda n: F.coalesce(F.regexp_extract(F.coalesce(value(e, n), F.lit("")), "^[+-]?[0-9]+", 0).try_cast("int"), F.lit(0))
+        return F.struct(
+            F.coalesce(address(F.coalesce(value(e, "extern_url"), value(e, "cdn_url"), value(e, "url"))), F.lit("")).alias("url"), F.coalesce(value(e, "md5"), F.lit("")).alias("md5"),
+            number("width").alias("width"), number("height").alias("height"), address(value(e, "encrypt_url")).alias("encrypt_url"), value(e, "aes_key").alias("aes_key"),
+        )
+
+    def comment(c):  # noqa: ANN001, ANN202
+        pictures = F.filter(F.transform(parts(c, "emojiinfo"), emoji), lambda e: (e["url"] != "") | (F.coalesce(e["encrypt_url"], F.lit("")) != ""))
+        ref = F.coalesce(value(c, COMMENT_REF), F.lit(""))
+        return F.struct(
+            value(c, COMMENT_ID).alias("id"), value(c, "nickname").alias("nickname"), value(c, "username").alias("username"), value(c, "content").alias("content"),
+            F.when(~ref.isin("", "0"), ref).alias("ref"), value(c, "ref_username").alias("ref_username"), F.nullif(value(c, COMMENT_REF_NAME), F.lit("")).alias("ref_nickname"), pictures.alias("emojis"),
+        )
+
+    text = F.coalesce(xml, F.lit(""))
+    listed = F.coalesce(*[F.when(F.rlike(text, F.lit(f"(?is)<{n}>.*?</{n}>")), F.regexp_extract(text, f"(?is)<{n}>(.*?)</{n}>", 1)) for n in COMMENT_LISTS], F.lit(""))
+    found = F.filter(F.transform(parts(listed, COMMENT), comment), lambda c: c["nickname"].isNotNull() & (c["content"].isNotNull() | (F.size(c["emojis"]) > 0)))
+
+    def named(all_comments):  # noqa: ANN001, ANN202
+        def one(c):  # noqa: ANN001, ANN202
+            same = F.filter(all_comments, lambda o: (o["username"] == c["ref_username"]) & (o["nickname"] != "") & (o["username"] != ""))
+            known = F.when(c["ref"].isNotNull(), F.get(same, F.size(same) - 1)["nickname"])
+            return c.withField("ref_nickname", F.coalesce(c["ref_nickname"], known)).withField("content", F.coalesce(c["content"], F.lit("")))
+
+        return F.transform(all_comments, one)
+
+    # The array is made once and passed on, so that names are not sought in the markup again.
+    return F.get(F.transform(F.array(found), named), F.lit(0))
+
+
 def articles_of(xml):  # noqa: ANN001, ANN201
     """array<struct<title, url, cover, digest>> of an official message."""
     return F.transform(xml_values(xml, "item"), lambda i: F.struct(xml_value(i, "title").alias("title"), xml_value(i, "url").alias("url"), xml_value(i, "cover").alias("cover"), xml_value(i, "digest").alias("digest")))
