@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import decode
 from ..operators import identities, records, social
 from ..sources import model as m
+from ..sources import rows
 from .queries import query
 
 
@@ -139,3 +140,62 @@ def greatest_candidate_counts(spark: SparkSession, d: str) -> DataFrame:
     counts = events.groupBy(F.concat(F.lit("u"), n.cast("string")).alias("sender")).agg(F.count("*").alias("n"))
     asked = events.select(n).distinct().select(F.concat(F.lit("m"), n.cast("string")).alias("username"), F.array(F.concat(F.lit("U"), n.cast("string"), F.lit("_ab12")), F.concat(F.lit("u"), (n + 1).cast("string")), F.lit(None).cast("string")).alias("candidates"))
     return identities.greatest_count(asked, counts)
+
+
+def _raw(spark: SparkSession, d: str) -> DataFrame:
+    """Events as raw rows of four forms: names of three kinds, times in seconds, milliseconds and dates, ids as numbers, texts and halves."""
+    i, t = F.col("event_id"), F.unix_timestamp("ts")
+    big = (F.lit(1 << 62).cast("decimal(20,0)") * 2 + i).cast("decimal(20,0)")
+    user = F.concat(F.lit("user_"), F.col("user_id").cast("string"))
+    plain = F.struct(i.alias("local_id"), big.alias("server_id"), F.lit(1).alias("local_type"), t.alias("create_time"), (i % 2).cast("string").alias("is_send"), user.alias("sender_username"), F.col("event_type").alias("message_content"), F.lit("db one").alias("db_name"), F.lit("Msg_1").alias("table_name"))
+    camel = F.struct(i.cast("string").alias("msgLocalId"), F.struct(i.cast("int").alias("low"), F.lit(-2147483648).alias("high")).alias("MsgSvrId"), F.lit("34").alias("msgType"), (t * 1000 + 7).alias("msgTime"), (i % 2).alias("computed_is_send"), F.concat(user, F.lit(":\n"), F.col("event_type")).alias("message_content"), F.lit("/a/b (1).db").alias("_db_path"))
+    other = F.struct(F.lit(None).cast("int").alias("local_id"), F.struct(F.lit("18446744073709551615").alias("value")).alias("SERVER_ID"), F.date_format("ts", "yyyyMMddHHmmss").alias("Create_Time"), F.lit(None).cast("int").alias("is_send"), F.lit("me_abcd").alias("sender_username"), (t * 1000 + i).alias("SORT_SEQ"), F.hex(F.concat(F.lit("content of event "), i.cast("string")).cast("binary")).alias("compress_content"))
+    none = F.struct(F.lit("1.5e3").alias("svrId"), F.lit("x").alias("local_type"), F.lit(1).alias("is_send"))
+    form = F.when(i % 4 == 0, F.to_json(plain)).when(i % 4 == 1, F.to_json(camel)).when(i % 4 == 2, F.to_json(other)).otherwise(F.to_json(none))
+    return m.table(spark, d, "events").select(i.alias("event"), F.parse_json(form).alias("row"))
+
+
+@query("raw_messages", """
+with e as (select event_id as event, event_id % 4 as k, cast(floor(epoch(ts)) as bigint) as t, user_id, event_type from events),
+m as (select event, k,
+  case k when 0 then event when 1 then event else 0 end as local_id,
+  case k when 0 then cast(cast(9223372036854775808 as hugeint) + event as varchar) when 1 then cast(cast(9223372036854775808 as hugeint) + event as varchar) when 2 then '18446744073709551615' else '1500' end as server_id,
+  case k when 1 then 34 else 1 end::bigint as local_type, case k when 3 then 0 else t end as create_time,
+  case k when 0 then t * 1000 when 1 then t * 1000 when 2 then t * 1000 + event else 0 end as sort_seq,
+  case k when 2 then 1 when 3 then 1 else cast(event % 2 as integer) end as is_send,
+  case k when 2 then 'me_abcd' when 3 then 'me' else concat('user_', user_id) end as sender,
+  case k when 0 then event_type when 1 then concat('user_', user_id, ':', chr(10), event_type) when 2 then concat('content of event ', event) else '' end as content from e)
+select *, case when k = 0 and local_id > 0 then concat('db%20one:Msg_1:', local_id) when k = 0 then concat('server:db%20one:', server_id, ':', create_time, ':', sort_seq, ':0:', sender, ':1') when k = 1 then concat('local:%2Fa%2Fb%20(1).db:', local_id, ':', create_time, ':', sort_seq, ':', sender, ':34') else concat('server:', server_id, ':', create_time, ':', sort_seq, ':0:', sender, ':1') end as message_key from m""")
+def raw_messages(spark: SparkSession, d: str) -> DataFrame:
+    found = rows.messages_of(_raw(spark, d), "me")
+    return found.select("event", (F.col("event") % 4).alias("k"), *[c for c in found.columns if c != "event"])
+
+
+def _shards(spark: SparkSession, d: str) -> list[DataFrame]:
+    """A group's messages in two shards of different columns that both have some of them, each with other text."""
+    g = m.msg_group(spark, d).where("session_id = 'g3@chatroom'")
+    i, kind = F.col("local_id"), F.col("local_type")
+    system = F.when(i % 3 == 0, "<sysmsg><revokemsg><session>u3</session></revokemsg></sysmsg>").when(i % 3 == 1, "你撤回了一条消息").otherwise("joined")
+    content = F.when(kind == m.SYSTEM, system).otherwise("first")
+    one = g.where(i % 10 < 7).select("local_id", (i + 5).alias("server_id"), "local_type", "create_time", "is_send", F.col("sender").alias("sender_username"), content.alias("message_content"))
+    other = g.where(i % 10 > 4).select(i.cast("string").alias("MsgLocalId"), F.format_string("00%d", i + 5).alias("svrId"), kind.cast("string").alias("type"), (F.col("create_time") * 1000).alias("msgTime"), F.col("is_send").cast("string").alias("computed_is_send"), F.col("sender").alias("sender_username"), F.when(kind == m.SYSTEM, system).otherwise("second").alias("message_content"), F.lit("x").alias("extra"))
+    return [one, other]
+
+
+COLLECTED_SQL = "c as (select concat(local_id, ':', create_time, ':', local_id + 5) as export_key, create_time, local_type, case when local_id % 10 < 7 then 0 else 1 end as shard, case when local_type = 10000 then case local_id % 3 when 0 then 'u3' when 1 then 'me' else session_id end when is_send = 1 then 'me' else sender end as sender, case when local_type = 10000 then null when local_id % 10 < 7 then 'first' else 'second' end as content from msg_group where session_id = 'g3@chatroom')"
+
+
+@query("collected_shards", f"with {COLLECTED_SQL} select export_key, create_time, shard, sender, content from c where create_time between 1704499200 and 1705708800 and local_type in (1, 3, 10000)")
+def collected_shards(spark: SparkSession, d: str) -> DataFrame:
+    found = rows.collected(_shards(spark, d), "g3@chatroom", "me", 1_704_499_200, 1_705_708_800, types=(1, 3, 10000))
+    return found.select("export_key", "create_time", "shard", "sender", F.when(F.col("local_type") != m.SYSTEM, F.col("content")).alias("content"))
+
+
+@query("collected_of_sender", f"with {COLLECTED_SQL} select export_key, shard from c where sender = 'u3'")
+def collected_of_sender(spark: SparkSession, d: str) -> DataFrame:
+    return rows.collected(_shards(spark, d), "g3@chatroom", "me", sender=" U3 ").select("export_key", "shard")
+
+
+@query("collected_members", f"with {COLLECTED_SQL} select sender, count(*) as n, min(create_time) as first_time, max(create_time) as last_time from c group by 1")
+def collected_members(spark: SparkSession, d: str) -> DataFrame:
+    return rows.outline(rows.collected(_shards(spark, d), "g3@chatroom", "me"))
