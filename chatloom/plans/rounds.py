@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import time
 from ..operators import triggers
 from ..sources import model as m
-from ..streaming import feed, push
+from ..streaming import changes, feed, push
 from .queries import query
 
 #: The round before, by its time; what came later is new.
@@ -117,3 +117,26 @@ def stored_ranges(spark: SparkSession, d: str) -> DataFrame:
     end = F.when(k == 6, (t * 1000).cast("string")).when(k == 7, time.day_key(t - 86400))
     found = time.stored_range(preset, F.lit(False), start, end, t)
     return m.msg_events(spark, d).select("local_id", found["preset"].alias("preset"), found["all_time"].alias("all_time"), found["begin"].alias("range_begin"), found["end"].alias("range_end"))
+
+
+def _edits(msgs: DataFrame, first: bool) -> DataFrame:
+    """Changes of some messages: two updates each, of which the later one came first, deletions, and one of no message."""
+    i, s = F.col("local_id"), F.col("session_id")
+    number = F.substring(s, 2, 9).cast("bigint") + i
+    own = msgs.withColumn("number", number).where(number % 2 == (0 if first else 1))
+    made = own.select(*changes.KEY, F.inline(F.when(number % 5 == 0, F.array(F.struct(F.lit(9).alias("version"), F.lit("update").alias("op"), F.concat(F.lit("new "), i.cast("string")).alias("content")), F.struct(F.lit(3).alias("version"), F.lit("update").alias("op"), F.lit("old").alias("content")))).when(number % 7 == 0, F.array(F.struct(F.lit(1).alias("version"), F.lit("delete").alias("op"), F.lit(None).cast("string").alias("content"))))))
+    return made.unionByName(made.limit(1).select(F.lit("nobody").alias("session_id"), *[c for c in made.columns if c != "session_id"]))
+
+
+@query("changed_messages", """
+with e as (select *, cast(substr(session_id, 2, 9) as bigint) + local_id as number from msg_conv)
+select session_id, local_id, create_time, local_type, is_send, case when number % 5 = 0 then concat('new ', local_id) else content end as content from e where number % 5 = 0 or number % 7 <> 0""")
+def changed_messages(spark: SparkSession, d: str) -> DataFrame:
+    """Messages after two batches of changes, one of them compacted into the tables, one still in the log."""
+    msgs = m.msg_conv(spark, d)
+    log = changes.ChangeLog(spark, feed._folder(spark))
+    log.write(msgs)
+    log.append(_edits(msgs, True))
+    log.compact()
+    log.append(_edits(msgs, False))
+    return log.read()
