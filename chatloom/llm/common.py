@@ -134,6 +134,14 @@ def numbered_columns(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return df.toDF(*names.values()), names
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as it takes to be no column of ``df`` in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def dealt(df: DataFrame, *keys: str) -> DataFrame:
     """``df`` dealt by ``keys`` over all cores, where its bytes alone would let Spark read it in too few tasks for the rows it is about to make."""
     spark = df.sparkSession

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, let, read
+from .common import ascii_lower, free_name, let, read
 
 #: What stands between words of a lower-cased text.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -168,10 +168,11 @@ def scan_licenses(docs: DataFrame, rules: list[Signature] | None = None, text: s
         return F.struct((_count(n) - 1).cast("long").alias("words"), let(all_of, lambda f: F.struct(f.alias("found"), F.when(f.isNotNull(), _suppressed(f)).alias("kept"))).alias("hits"))
 
     none = F.array().cast("array<struct<first:int,stop:int,below:int,label:string,base:boolean,last:int,priority:int>>")
+    scan = free_name(docs, "_scan")
     return (
-        docs.withColumn("_scan", let(norm, scanned))
-        .withColumns({"license_words": F.col("_scan.words"), "license_found": F.coalesce(F.col("_scan.hits.found"), none), "license_kept": F.coalesce(F.col("_scan.hits.kept"), none)})
-        .drop("_scan")
+        docs.withColumn(scan, let(norm, scanned))
+        .withColumns({"license_words": F.col(f"{scan}.words"), "license_found": F.coalesce(F.col(f"{scan}.hits.found"), none), "license_kept": F.coalesce(F.col(f"{scan}.hits.kept"), none)})
+        .drop(scan)
     )
 
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, bounded, cut, let, read, words
+from .common import bounded, cut, free_name, let, read, SPACE_CLASS, words
 
 #: Rules of the method over the base columns; each is a test that a document fails.
 RULES = {
@@ -49,18 +49,19 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     lines = F.filter(F.split(t, "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))
     per_line = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("again")))
     per_word = let(words(t), lambda w: F.struct(F.size(w).cast("long").alias("n"), _repeat_words(w).cast("long").alias("again")))
+    w, l = free_name(docs, "_w"), free_name(docs, "_l")  # noqa: E741
     return (
-        docs.withColumns({"_w": per_word, "_l": per_line})
+        docs.withColumns({w: per_word, l: per_line})
         .withColumns({
-            "n_words": F.col("_w.n"),
+            "n_words": F.col(f"{w}.n"),
             "word_chars": F.length(F.regexp_replace(t, SPACE_CLASS, "")).cast("long"),
             "n_symbols": F.length(F.regexp_replace(t, "[^#*$%&|<>]+", "")).cast("long"),
-            "n_dup_lines": F.col("_l.again"),
-            "n_repeat_words": F.col("_w.again"),
-            "n_lines": F.col("_l.n"),
+            "n_dup_lines": F.col(f"{l}.again"),
+            "n_repeat_words": F.col(f"{w}.again"),
+            "n_lines": F.col(f"{l}.n"),
             "n_marks": F.length(F.regexp_replace(t, "[^!]+", "")).cast("long"),
         })
-        .drop("_w", "_l")
+        .drop(w, l)
     )
 
 

@@ -39,11 +39,13 @@ SHINGLE, SEED, MAX_BITS = 3, 42, 3
 #: Shingles whose bits are summed at a time.
 BLOCK = 65_536
 #: Of the stage on texts: words of a shingle, similarity, bits of a segment, share of pairs of just that similarity to be found.
-WORDS, LEAST, WIDTH, RECALL = 5, 0.8, 23, 0.9
-#: Rounds in which members meet some leaders of their buckets; leaders of one round; pairs for each member that the last step may compare before that.
-ROUNDS, LEADERS, PAIRS = 1, 8, 0.25
-#: Deviations from the expected number of differing bits up to which texts are compared, and those for texts of few shingles, whose bits are tied more often; of simulated pairs of just the similarity 0.8 at most one in 100 has more.
-DEVIATIONS, FEW, DEVIATIONS_OF_FEW = 2.5, 5, 5.0
+WORDS, LEAST, WIDTH, RECALL = 5, 0.8, 23, 0.91
+#: Sets of at most so many shingles are compared exactly, by a prefix filter: their bits are tied to each other.
+SHORT = 50
+#: Leaders that members of a bucket meet before all others.
+LEADERS = 8
+#: Deviations from the expected number of differing bits up to which larger texts are compared; under 1 in 10,000 of pairs at the least similarity has more.
+DEVIATIONS = 4.0
 
 
 def simhash(text: str | None, n: int = SHINGLE) -> int:
@@ -174,19 +176,27 @@ def segments_of(hashes: np.ndarray, count: int, width: int) -> np.ndarray:
     return (2 * ones > len(hashes))[:bits].reshape(count, width) @ (1 << np.arange(width, dtype=np.int64))
 
 
+def prefix_length(size: int, least: float = LEAST) -> int:
+    """How many of the first of ``size`` ordered shingles a set as similar as ``least`` must share one of."""
+    return size - math.ceil(least * size - 1e-9) + 1
+
+
 def _segments(n: int, count: int, width: int):
-    @pandas_udf(StructType([StructField("node", LongType()), StructField("segments", ArrayType(IntegerType())), StructField("size", IntegerType())]))
+    number = IntegerType() if width <= 31 else LongType()
+
+    @pandas_udf(StructType([StructField("node", LongType()), StructField("segments", ArrayType(number)), StructField("size", IntegerType()), StructField("shingles", ArrayType(LongType()))]))
     @tidy
     def made(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
-            nodes, rows, sizes = [], [], []
+            nodes, rows, sizes, short = [], [], [], []
             for text in batch:
                 words = byte_words(text, lower=True)
                 nodes.append(xxhash.xxh64_intdigest(b" ".join(words), SEED))
                 hashes = shingle_hashes(words, n)
                 rows.append(segments_of(hashes, count, width))
                 sizes.append(len(hashes))
-            yield pd.DataFrame({"node": np.array(nodes, np.uint64).view(np.int64), "segments": rows, "size": np.array(sizes, np.int32)}, index=batch.index)
+                short.append(hashes.view(np.int64) if len(hashes) <= SHORT else None)
+            yield pd.DataFrame({"node": np.array(nodes, np.uint64).view(np.int64), "segments": rows, "size": np.array(sizes, np.int32), "shingles": short}, index=batch.index)
 
     return made
 
@@ -213,13 +223,15 @@ ASKED = 500_000
 
 
 def _near(a: str, b: str, count: int, width: int, least: float) -> Column:
-    """Whether two structs (segments, size) may have a similarity of ``least``: sizes at that ratio, differing bits by their expected number and some deviations."""
+    """Whether two structs (segments, size, shingles) may have a similarity of ``least``: sizes at that ratio, and exactly so for two short sets; else differing bits by their expected number and some deviations."""
     bits, p = count * width, differing_share(least)
-    most = [int(bits * p + d * math.sqrt(bits * p * (1 - p))) for d in (DEVIATIONS, DEVIATIONS_OF_FEW)]
+    most = int(bits * p + DEVIATIONS * math.sqrt(bits * p * (1 - p)))
     x, y = F.col(a), F.col(b)
     small, large = F.least(x["size"], y["size"]), F.greatest(x["size"], y["size"])
     apart = reduce(add, (F.bit_count(F.get(x["segments"], F.lit(k)).bitwiseXOR(F.get(y["segments"], F.lit(k)))) for k in range(count)))
-    return (small >= least * large) & (apart <= F.when(small <= FEW, most[1]).otherwise(most[0]))
+    both = F.size(F.array_intersect(x["shingles"], y["shingles"]))
+    exact = both >= least * (x["size"] + y["size"] - both) - 1e-9
+    return (small >= least * large) & F.when(large <= SHORT, exact).otherwise(apart <= most)
 
 
 def _alike(near: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, least: float) -> DataFrame:
@@ -239,49 +251,43 @@ def similar_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", n: i
 
     ``row`` hashes key and text. Texts without words are one node, linked to no other.
     """
+    # As many different segments as there are texts, so that chance meetings of a bucket grow with the corpus and not with its square.
+    width = max(width, docs.count().bit_length())
     count = segment_count(width, least, recall)
     small_batches(docs.sparkSession)
     own = docs.select(F.col(key), F.col(text).alias("_text"))
     slim = cut(own.select(F.col(key), row_hash(key, "_text").alias("row"), _segments(n, count, width)("_text").alias("s")).select(key, "row", "s.*"))
     first = F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "row"))["row"]
     # Equal nodes have equal segments and sizes.
-    nodes = cut(dealt(slim.groupBy("node").agg(F.min(key).cast("long").alias("least"), first.alias("first_row"), F.count("*").alias("n_rows"), F.first("segments").alias("segments"), F.first("size").alias("size")), "node"))
+    nodes = cut(dealt(slim.groupBy("node").agg(F.min(key).cast("long").alias("least"), first.alias("first_row"), F.count("*").alias("n_rows"), F.first("segments").alias("segments"), F.first("size").alias("size"), F.first("shingles").alias("shingles")), "node"))
 
     # One number for segment, left-out bit and the other bits. Equal segments count at bit 0 only, others where they differ.
     parted = nodes.select("node", F.posexplode("segments").alias("k", "v"))
     keys = F.array(*[(F.col("k") * width + b).cast("long") * (1 << width) + F.col("v").bitwiseAND(~(1 << b)).cast("long") for b in range(width)])
     index = parted.select("node", F.explode(keys).alias("bucket"))
+    # Short sets meet by the least of their shingles, of which two alike share one; these buckets are negative numbers.
+    firsts = F.slice("shingles", F.lit(1), F.greatest(F.lit(1), (F.col("size") - F.ceil(least * F.col("size") - 1e-9) + 1).cast("int")))
+    index = index.unionByName(nodes.where("shingles is not null").select("node", F.explode(firsts).alias("bucket")).withColumn("bucket", -F.col("bucket").bitwiseAND(F.lit((1 << 63) - 1)) - 1))
     whole = Window.partitionBy("bucket")
     shared = index.withColumns({"low": F.min("node").over(whole), "high": F.max("node").over(whole)}).where("low <> high").select("node", "bucket")
-    b = F.expr(f"cast(shiftright(bucket, {width}) % {width} as int)")
-    value = F.get("segments", F.expr(f"cast(shiftright(bucket, {width}) div {width} as int)"))
-    member, drop_member = written(shared.join(nodes.select("node", "segments"), "node").select("node", "bucket", b.alias("b"), (value.cast("long").bitwiseAND(F.expr(f"shiftleft(1L, cast(shiftright(bucket, {width}) % {width} as int))")) != 0).alias("one")))
+    b = F.expr(f"if(bucket < 0, 0, cast(shiftright(bucket, {width}) % {width} as int))").alias("b")
+    value = F.get("segments", F.expr(f"cast(shiftright(bucket, {width}) div {width} as int)")).cast("long")
+    one = F.expr("bucket >= 0") & (value.bitwiseAND(F.expr(f"shiftleft(1L, cast(shiftright(bucket, {width}) % {width} as int))")) != 0)
+    member, drop_member = written(shared.join(nodes.select("node", "segments"), "node").select("node", "bucket", b, F.coalesce(one, F.lit(False)).alias("one")))
     collect_shuffles(docs.sparkSession)
     texts = own.withColumn("row", row_hash(key, "_text"))
     plain = nodes.select("node", "least")
-    bits = nodes.select("node", F.struct("segments", "size").alias("seen"))
-    links, roots = None, nodes.select("node", F.col("node").alias("root"))
-    for turn in range(ROUNDS):
-        # Each round has other leaders; those already in the leader's component don't meet it.
-        placed, drop = written(member.join(roots, "node"))
-        order = F.struct(F.xxhash64("node", F.lit(turn), F.pmod("bucket", F.lit(LEADERS))).alias("h"), F.col("node").alias("lead"), F.col("root").alias("lead_root"), F.col("one").alias("lead_one"))
-        led = placed.groupBy("bucket").agg(F.min(order).alias("m"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket", "m.*")
-        met = placed.join(led, "bucket").where("root <> lead_root and (b = 0 or one <> lead_one)")
-        chosen = met.select(F.least("node", "lead").alias("left"), F.greatest("node", "lead").alias("right")).distinct()
-        wide = chosen.join(bits.toDF("left", "a"), "left").join(bits.toDF("right", "b"), "right")
-        near, drop_near = written(wide.where(_near("a", "b", count, width, least)).select("left", "right"))
-        found = _alike(near, nodes, texts, n, least)
-        drop_near()
-        links = found if links is None else links.unionByName(found)
-        drop()
-        roots, _ = written(label_components(plain, links).select("node", "root"))
-        if turn + 1 == ROUNDS:
-            break
-        # What is left for the last step: pairs of a bucket in different components.
-        left = member.join(roots, "node").groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
-        pairs, members = left.agg(F.coalesce(F.sum(F.col("n") * F.col("n") - F.col("same")), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
-        if pairs <= PAIRS * members:
-            break
+    bits = nodes.select("node", F.struct("segments", "size", "shingles").alias("seen"))
+    # Members first meet some leaders of their bucket, so that most of a large group is one component.
+    order = F.struct(F.xxhash64("node", F.pmod("bucket", F.lit(LEADERS))).alias("h"), F.col("node").alias("lead"), F.col("one").alias("lead_one"))
+    led = member.groupBy("bucket").agg(F.min(order).alias("m")).select("bucket", "m.*")
+    met = member.join(led, "bucket").where("node <> lead and (b = 0 or one <> lead_one)")
+    chosen = met.select(F.least("node", "lead").alias("left"), F.greatest("node", "lead").alias("right")).distinct()
+    wide = chosen.join(bits.toDF("left", "a"), "left").join(bits.toDF("right", "b"), "right")
+    near, drop_near = written(wide.where(_near("a", "b", count, width, least)).select("left", "right"))
+    links = _alike(near, nodes, texts, n, least)
+    drop_near()
+    roots, drop_roots = written(label_components(plain, links).select("node", "root"))
     # The others of different components meet all; components of most members of a bucket are on one side only.
     placed, drop = written(member.join(roots, "node"))
     drop_member()
@@ -295,6 +301,7 @@ def similar_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", n: i
     links = links.unionByName(_alike(near, nodes, texts, n, least))
     drop_near()
     drop()
+    drop_roots()
     known = label_components(plain, links).join(nodes.select("node", "first_row", "n_rows"), "node")
     return slim.select(key, "row", "node"), cut(known.select("node", F.col("least").alias("component_id"), "root", "first_row", "n_rows"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatloom.llm import byte_bpe, mixing, simhash, suffix_dedup, toxicity
-from chatloom.llm.common import written
+from chatloom.llm.common import numbered_columns, written
 
 #: All tokens of the input are the budget: what the weights take from a leaf they give to others.
 SHARE = 1.0
@@ -24,7 +24,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if labels.where("toxic is not null").isEmpty():
         return docs
     model = toxicity.train(docs, labels)
-    return toxicity.score(docs, model, evidence=0).where(F.col("toxic_score") < toxicity.THRESHOLD).select(*docs.columns)
+    # Inner names, so that columns of the input that are called like the score stay what they are.
+    inner, names = numbered_columns(docs)
+    kept = toxicity.score(inner, model, text=names["text"], evidence=0).where(F.col("toxic_score") < toxicity.THRESHOLD)
+    return kept.select(*names.values()).toDF(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -411,7 +411,7 @@ def test_near_texts_are_brute_force(spark):
 
 
 def test_enough_segments():
-    assert simhash.segment_count(22, 0.8, 0.9) == 17 and simhash.segment_count(22, 0.9, 0.9) < 10 and simhash.segment_count() == 19
+    assert simhash.segment_count(22, 0.8, 0.9) == 17 and simhash.segment_count(22, 0.9, 0.9) < 10 and simhash.segment_count() == 20
     rng = np.random.default_rng(1)
     apart = []
     for _ in range(60):
@@ -422,6 +422,38 @@ def test_enough_segments():
     assert abs(np.mean(apart) - simhash.differing_share(0.8)) < 0.01
 
 
+def test_short_near_texts_are_all_found(spark):
+    """Pairs at a similarity of just 0.8 and above, of 1 to 50 shingles: the prefix filter loses none."""
+    rng = random.Random(5)
+    rows = []
+    for n in range(1, 51):
+        base = [f"t{n}w{i}" for i in range(n + 4)]
+        # The last words only: each that goes takes one shingle along.
+        rows += [(10 * n, " ".join(base)), (10 * n + 1, " ".join(base[: len(base) - n // 5])), (10 * n + 2, " ".join(base[: len(base) - n // 5 - 1])), (10 * n + 3, " ".join([*base[:-1], "other"]))]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()) == sorted(k for k, _ in brute_kept(rows))
+
+
+@pytest.mark.parametrize("size", [51, 60, 100, 300, 1000, 2000])
+def test_recall_of_larger_texts(size):
+    """Pairs at a similarity of just 0.8, one in the other and of like size: 0.9 and more meet in a bucket and pass the bits."""
+    rng = np.random.default_rng(size)
+    width, count = simhash.WIDTH, simhash.segment_count()
+    p = simhash.differing_share(simhash.LEAST)
+    most = int(count * width * p + simhash.DEVIATIONS * np.sqrt(count * width * p * (1 - p)))
+    found, pairs = 0, 400 if size < 500 else 150
+    for i in range(pairs):
+        x = rng.integers(0, 2**63, size, dtype=np.uint64)
+        held = -(-8 * size // 10) if i % 2 else -(-16 * size // 18)
+        y = x[:held] if i % 2 else np.concatenate([x[:held], rng.integers(0, 2**63, size - held, dtype=np.uint64)])
+        a, b = (simhash.segments_of(np.unique(h), count, width) for h in (x, y))
+        apart = [int(u ^ v).bit_count() for u, v in zip(a.tolist(), b.tolist())]
+        found += min(apart) <= 1 and sum(apart) <= most
+    # Two deviations of the measurement are allowed for.
+    assert found / pairs >= 0.9 - 2 * (0.09 / pairs) ** 0.5
+
+
 def test_passages_of_equal_and_null_ids(spark):
     passage, long = (" ".join(f"{x}{i}" for i in range(60)) for x in "pq")
     rows = [(1, f"one {passage}"), (None, f"clean words only {' '.join(f'k{i}' for i in range(200))}"), (None, "short"), (None, f"a b c {passage} end"), (4, f"{passage} left"), (4, "tiny"), (4, f"x {long}"), (8, f"y {long} z"), (8, f"y {long} z"), (8, "few words")]
