@@ -43,7 +43,7 @@ WORDS, LEAST, WIDTH, RECALL = 5, 0.8, 23, 0.91
 #: Sets of at most so many shingles are compared exactly, by a prefix filter: their bits are tied to each other.
 SHORT = 50
 #: Leaders that members of a bucket meet before all others.
-LEADERS = 8
+LEADERS = 2
 #: Deviations from the expected number of differing bits up to which larger texts are compared; under 1 in 10,000 of pairs at the least similarity has more.
 DEVIATIONS = 4.0
 
