@@ -13,12 +13,12 @@ def js_length(text: Column) -> Column:
 
 def strip_sender(content: Column) -> Column:
     """Without an ``id:`` line head, unless it is the head of an address."""
-    return F.regexp_replace(content, r"^[\s]*([a-zA-Z0-9_@\-]+):(?!//)(?:\s*(?:\r?\n|<br\s*/?>))?\s*", "")
+    return F.regexp_replace(content, r"(?i)^[\s]*([a-zA-Z0-9_@\-]+):(?!//)(?:\s*(?:\r?\n|<br\s*/?>))?\s*", "")
 
 
 def sender_of(content: Column) -> Column:
-    """The id of such a head, of at least four characters; else empty."""
-    return F.regexp_extract(content, r"^\s*([a-zA-Z0-9_@\-]{4,}):(?!//)\s*(?:\r?\n|<br\s*/?>)", 1)
+    """The id of such a head, of at least four characters; else empty. Entities are read as what they stand for."""
+    return F.regexp_extract(clean_controls(decode_entities(content)), r"(?i)^\s*([a-zA-Z0-9_@\-]{4,}):(?!//)\s*(?:\r?\n|<br\s*/?>)", 1)
 
 
 def decode_entities(text: Column) -> Column:
@@ -38,10 +38,15 @@ def clean_controls(text: Column) -> Column:
     return F.regexp_replace(text, "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x9F]", "")
 
 
-def clean_system(text: Column) -> Column:
-    """System text without markup, trailing digits and repeated white space."""
-    bare = F.regexp_replace(F.regexp_replace(text, "(?s)<!\\[CDATA\\[(.*?)\\]\\]>", "$1"), "</?[a-zA-Z][^>]*>", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(bare, "[0-9]+\\s*$", ""), "\\s+", " "))
+def clean_system(text: Column, empty: str = "") -> Column:
+    """Readable text of a system line: the plain text or the text of its markup, else what is left without markup and trailing digits; ``empty`` where nothing is."""
+    t = clean_controls(decode_entities(F.coalesce(text, F.lit(""))))
+    inside = F.regexp_extract(t, r"(?is)<sysmsg\b[^>]*>(.*?)</sysmsg>", 1)
+    source = F.when(inside != "", inside).otherwise(t)
+    tidy = lambda c: F.trim(F.regexp_replace(strip_sender(c), "\\s+", " "))
+    told = tidy(F.coalesce(F.nullif(xml_value(source, "plain"), F.lit("")), xml_value(source, "text")))
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"(?i)<\?xml[^?]*\?>", ""), "<[^>]+>", ""), "[0-9]+\\s*$", "")
+    return F.coalesce(F.nullif(told, F.lit("")), F.nullif(tidy(bare), F.lit("")), F.lit(empty))
 
 
 def clamp(text: Column, most: int) -> Column:

@@ -115,3 +115,20 @@ def test_decoded_bytes_drop_what_is_unreadable():
 def test_whole_numbers_stay_exact(spark):
     assert one(spark, text.safe_int(F.col("v")), v="9007199254740993") == 9007199254740993
     assert one(spark, text.safe_int(F.col("v")), v="12.7") == 12 and one(spark, text.safe_int(F.col("v")), v="x") == 0
+
+
+def test_sender_heads_and_system_lines(spark):
+    v = F.col("v")
+    assert one(spark, text.strip_sender(v), v="user_1:<BR/>hello") == "hello" and one(spark, text.strip_sender(v), v=" ab: x") == "x"
+    assert one(spark, text.sender_of(v), v="user_1:&lt;BR&gt;hello") == "user_1" and one(spark, text.sender_of(v), v="abc:\nx") == ""
+    cases = {
+        "<sysmsg type='x'><sysmsgtemplate><plain><![CDATA[user_1:\n A  joined ]]></plain></sysmsgtemplate></sysmsg>": "A joined",
+        "<sysmsg><text>told</text></sysmsg> <plain>outside</plain>": "told",
+        "&lt;b&gt;A&lt;/b&gt; recalled 1700000000 ": "A recalled",
+        '<?xml version="1.0"?><x>note</x>': "note",
+        "<x/> 12 ": "[system]",
+        "": "[system]",
+    }
+    for raw, want in cases.items():
+        assert one(spark, text.clean_system(v, "[system]"), v=raw) == want
+    assert one(spark, text.clean_system(v), v="<x/>") == ""
