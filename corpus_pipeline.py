@@ -42,7 +42,9 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes each source's share of the budget, some documents more than once and some not."""
-    return mixing.mix(docs, share=SHARE).select(*docs.columns)
+    inner, names = numbered_columns(docs)
+    mixed = mixing.mix(inner, share=SHARE, text=names["text"], key=names["doc_id"], lang=names["lang"], source=names["source"])
+    return mixed.select(*names.values()).toDF(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
