@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import time
-from ..functions.text import emoji_tokens, is_phrase
+from ..functions.text import emoji_tokens, js_length, strip_sender
+from ..sources import model as m
 from .stats import in_time
 
+MEMBER = ("session_id", "sender")
+# Types of messages that are text, and units of a text that counts as a phrase.
+TEXTS, PHRASE_UNITS = (m.TEXT, m.QUOTE), 20
+# End of fixed values.
+
 
 def rankings(msgs: DataFrame, begin: int = 0, end: int = 0) -> DataFrame:
     """Messages of each sender of each group."""
@@ -40,20 +46,37 @@ def member_stats(msgs: DataFrame) -> DataFrame:
     return base.join(busiest, ["session_id", "sender"])
 
 
-def member_phrases(msgs: DataFrame, limit: int = 10) -> DataFrame:
-    """A member's most frequent short texts."""
-    return _top(msgs.where((F.col("local_type") == 1) & is_phrase(F.col("content"))).groupBy("session_id", F.trim("content").alias("phrase")).agg(F.count("*").alias("n")), "phrase", limit)
+def member_phrases(msgs: DataFrame, limit: int = 10, by: tuple[str, ...] = MEMBER) -> DataFrame:
+    """A member's most frequent texts of up to 20 units (UTF-16), with their counts; of equally frequent ones the least text."""
+    said = _said(msgs, by).where(js_length(F.col("text")).between(1, PHRASE_UNITS))
+    return _top(said.groupBy(*by, F.col("text").alias("phrase")).agg(F.count("*").alias("n")), "phrase", limit, by)
+
+
+def member_emoji(msgs: DataFrame, limit: int = 10, by: tuple[str, ...] = MEMBER) -> DataFrame:
+    """A member's most frequent bracketed tokens in texts; each time counts."""
+    found = _said(msgs, by).select(*by, F.explode(emoji_tokens(F.col("text"))).alias("token"))
+    return _top(found.groupBy(*by, "token").agg(F.count("*").alias("n")), "token", limit, by)
+
 
+def member_profiles(msgs: DataFrame) -> DataFrame:
+    """Each member of each group: messages by kind, active days, first and last time, and the 24 counts of hours, comma-joined. Messages without a time count in the kinds only."""
+    kind, at = F.col("local_type"), F.when(F.col("create_time") > 0, F.col("create_time"))
+    own = {"text": kind.isin(*TEXTS), "image": kind == m.IMAGE, "voice": kind == m.VOICE, "video": kind == m.VIDEO, "emoji": kind == m.EMOJI}
+    counts = [F.count_if(c).alias(k) for k, c in own.items()]
+    # Sums by hour and day first, so that exact days need no set of all of a member's messages.
+    slim = msgs.groupBy(*MEMBER, F.expr("create_time > 0").alias("_timed"), time.day(at).alias("_day"), time.hour(at).alias("_hour")).agg(F.count("*").alias("total"), *counts, F.min(at).alias("first_time"), F.max(at).alias("last_time"))
+    hours = [F.coalesce(F.sum(F.when(F.col("_hour") == h, F.col("total"))), F.lit(0)).cast("string") for h in range(24)]
+    whole = slim.groupBy(*MEMBER).agg(*[F.sum(k).alias(k) for k in ("total", *own)], F.count_distinct("_day").alias("active_days"), F.min("first_time").alias("first_time"), F.max("last_time").alias("last_time"), F.concat_ws(",", *hours).alias("hours"))
+    return whole.withColumn("other", F.col("total") - sum((F.col(k) for k in own), F.lit(0)))
 
-def member_emoji(msgs: DataFrame, limit: int = 10) -> DataFrame:
-    """A member's most frequent bracketed tokens."""
-    return _top(msgs.select("session_id", F.explode(emoji_tokens(F.col("content"))).alias("token")).groupBy("session_id", "token").agg(F.count("*").alias("n")), "token", limit)
 
+def _said(msgs: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Texts and quoting texts, without a line head that names the sender, trimmed."""
+    return msgs.where(F.col("local_type").isin(*TEXTS)).select(*by, F.trim(F.regexp_replace(strip_sender(F.coalesce("content", F.lit(""))), r"^\s+|\s+$", "")).alias("text"))
 
-def _top(counted: DataFrame, what: str, limit: int) -> DataFrame:
-    from pyspark.sql import Window
 
-    nth = F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("n"), what))
+def _top(counted: DataFrame, what: str, limit: int, by: tuple[str, ...]) -> DataFrame:
+    nth = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), what))
     return counted.withColumn("nth", nth).where(F.col("nth") <= limit).drop("nth")
 
 

@@ -14,7 +14,7 @@ from ..functions import time
 from ..functions.text import is_phrase, percent
 from .stats import sent
 
-GAP, SEGMENT_GAP, DAY, BUCKET = 3600, 300, 86400, 30 * 86400
+GAP, SEGMENT_GAP, HOUR, DAY, BUCKET = 3600, 300, 3600, 86400, 30 * 86400
 ORDER = ("create_time", "local_id")
 
 
@@ -152,16 +152,26 @@ def first_messages(msgs: DataFrame, limit: int = 10, begin: int = 0, end: int =
 
 
 def segments(msgs: DataFrame, begin: int = 0, end: int = 0, gap: int = SEGMENT_GAP) -> DataFrame:
-    """Exchanges without a silence of more than ``gap`` seconds: counts, first incoming message, first reply behind it."""
+    """Exchanges without a silence of more than ``gap`` seconds: counts, first incoming message, first reply behind it.
+
+    An exchange may last for years, so its messages are summed up by the hour first
+    (with at most as many different times as an hour has seconds); what follows sees
+    one slim row for each of its hours.
+    """
     kept = msgs.where(time.in_range(F.col("create_time"), begin, end))
     marked = with_opening(kept, gap)
-    incoming = F.min(F.when(~sent(), F.col("create_time")))
-    outline = marked.groupBy("session_id", "opening").agg(
-        F.count("*").alias("total"), F.count_if(sent()).alias("sent"), F.count_if(~sent()).alias("received"), F.max("create_time").alias("last_time"), incoming.alias("first_incoming"),
-        F.sort_array(F.collect_set(F.when(sent(), F.col("create_time")))).alias("replies"),
+    hours = marked.groupBy("session_id", "opening", F.expr(f"create_time div {HOUR}").alias("_hour")).agg(
+        F.count("*").alias("total"), F.count_if(sent()).alias("sent"), F.count_if(~sent()).alias("received"), F.max("create_time").alias("last_time"),
+        F.min(F.when(~sent(), F.col("create_time"))).alias("_in"), F.min(F.when(sent(), F.col("create_time"))).alias("_out"), F.collect_set(F.when(sent(), F.col("create_time"))).alias("_outs"),
     )
-    reply = F.array_min(F.filter("replies", lambda t: t >= F.col("first_incoming")))
-    return outline.select("session_id", F.col("opening").alias("first_time"), "last_time", "total", "sent", "received", "first_incoming", reply.alias("first_reply"), (F.col("last_time") - F.col("opening")).alias("duration"))
+    answered = F.array_min(F.filter("_outs", lambda t: t >= F.col("_in")))
+    slim = hours.withColumn("_answer", answered).drop("_outs")
+    slim = slim.withColumn("_first", F.min("_in").over(Window.partitionBy("session_id", "opening")))
+    reply = F.when(F.col("_in") == F.col("_first"), F.col("_answer")).when(F.col("_out") > F.col("_first"), F.col("_out"))
+    outline = slim.withColumn("_reply", reply).groupBy("session_id", "opening").agg(
+        F.max("last_time").alias("last_time"), *[F.sum(c).alias(c) for c in ("total", "sent", "received")], F.min("_first").alias("first_incoming"), F.min("_reply").alias("first_reply")
+    )
+    return outline.select("session_id", F.col("opening").alias("first_time"), "last_time", "total", "sent", "received", "first_incoming", "first_reply", (F.col("last_time") - F.col("opening")).alias("duration"))
 
 
 def silent_sessions(msgs: DataFrame, now: int, days: int) -> DataFrame:
@@ -214,14 +224,14 @@ def profile_score(content: Column, quoted: Column | None = None) -> Column:
     return F.when((c == "") | F.startswith(c, F.lit("[")) | F.rlike(c, F.lit(MARKUP)), 0).otherwise(score)
 
 
-def with_place(msgs: DataFrame, bucket: int = DAY) -> DataFrame:
-    """Adds ``i``, the place from 0 in the session, and ``size``, its number of messages; ordered bucket by bucket."""
+def with_place(msgs: DataFrame, bucket: int = DAY, order: tuple[str, ...] = ORDER) -> DataFrame:
+    """Adds ``i``, the place from 0 in the session, and ``size``, its number of messages; ordered bucket by bucket. ``order`` begins with the time."""
     dealt = msgs.withColumn("_bucket", F.expr(f"create_time div {bucket}"))
     counts = dealt.groupBy("session_id", "_bucket").agg(F.count("*").alias("_n"))
     whole = Window.partitionBy("session_id")
     upto = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = counts.select(F.col("session_id").alias("_s"), F.col("_bucket").alias("_b"), (F.sum("_n").over(upto) - F.col("_n")).alias("_before"), F.sum("_n").over(whole).alias("size"))
-    ranked = dealt.withColumn("_i", F.row_number().over(Window.partitionBy("session_id", "_bucket").orderBy(*ORDER)) - 1)
+    ranked = dealt.withColumn("_i", F.row_number().over(Window.partitionBy("session_id", "_bucket").orderBy(*order)) - 1)
     placed = ranked.join(before, F.col("session_id").eqNullSafe(F.col("_s")) & F.col("_bucket").eqNullSafe(F.col("_b")))
     return placed.withColumn("i", F.col("_before") + F.col("_i")).drop("_s", "_b", "_i", "_before")
 
@@ -244,10 +254,22 @@ def representative(msgs: DataFrame, top: int = 120, bucket: int = DAY) -> DataFr
     return joined.where(fixed | F.col("_near").isNotNull()).drop("_bucket", "_parts", "_s", "_near")
 
 
-def within_budget(lines: DataFrame, budget: int) -> DataFrame:
-    """A session's first lines as long as they fit, line ends counted."""
-    run = F.sum(F.length("line") + 1).over(Window.partitionBy("session_id").orderBy(*ORDER))
-    return lines.withColumn("run", run).where(F.col("run") <= budget)
+def within_budget(lines: DataFrame, budget: int, bucket: int = DAY) -> DataFrame:
+    """A session's first lines as long as they fit, line ends counted; a null line takes no room.
+
+    Adds ``run``, the room taken so far. Sums of time buckets are carried over, and
+    buckets behind the budget go before any of their lines is ordered.
+    """
+    cost = F.coalesce(F.length("line") + 1, F.lit(0)).cast("long")
+    dealt = lines.withColumn("_bucket", F.expr(f"create_time div {bucket}"))
+    sums = dealt.groupBy("session_id", "_bucket").agg(F.sum(cost).alias("_cost"))
+    upto = Window.partitionBy("session_id").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = sums.withColumn("_before", F.sum("_cost").over(upto) - F.col("_cost")).where(F.col("_before") <= budget)
+    before = before.select(F.col("session_id").alias("_s"), F.col("_bucket").alias("_b"), "_before")
+    near = dealt.join(before, F.col("session_id").eqNullSafe(F.col("_s")) & F.col("_bucket").eqNullSafe(F.col("_b")))
+    within = Window.partitionBy("session_id", "_bucket").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = F.col("_before") + F.sum(cost).over(within)
+    return near.withColumn("run", run).where(F.col("run") <= budget).drop("_s", "_b", "_before", "_bucket")
 
 
 def transcript(msgs: DataFrame, names: DataFrame) -> DataFrame:

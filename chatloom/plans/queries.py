@@ -195,17 +195,25 @@ def lost_friend(spark: SparkSession, d: str) -> DataFrame:
 PHRASE_SQL = "local_type = 1 and length(trim(content)) between 2 and {most} and not contains(trim(content), 'http') and not contains(trim(content), '<') and not starts_with(trim(content), '[')"
 
 
-@query("top_phrases", f"select trim(content) as phrase, count(*) as n from msg_conv where is_send = 1 and {PHRASE_SQL.format(most=20)} group by 1 having n >= 2 order by n desc, phrase limit 32")
+def _two_words(spark: SparkSession, d: str) -> DataFrame:
+    return m.msg_conv(spark, d).withColumn("content", F.substring_index("content", " ", 2))
+
+
+TWO_WORDS_SQL = "select * replace (array_to_string(string_split(content, ' ')[1:2], ' ') as content) from msg_conv"
+
+
+@query("top_phrases", f"with w as ({TWO_WORDS_SQL}) select trim(content) as phrase, count(*) as n from w where is_send = 1 and {PHRASE_SQL.format(most=20)} group by 1 having n >= 2 order by n desc, phrase limit 32")
 def top_phrases(spark: SparkSession, d: str) -> DataFrame:
-    return sequence.top_phrases(m.msg_conv(spark, d))
+    return sequence.top_phrases(_two_words(spark, d))
 
 
 @query("exclusive_phrases", f"""
-with c as (select trim(content) as phrase, count(*) filter (where is_send = 1) as a, count(*) filter (where is_send <> 1) as b from msg_conv where {PHRASE_SQL.format(most=20)} group by 1)
+with w as ({TWO_WORDS_SQL}),
+c as (select trim(content) as phrase, count(*) filter (where is_send = 1) as a, count(*) filter (where is_send <> 1) as b from w where {PHRASE_SQL.format(most=20)} group by 1)
 (select 'mine' as side, phrase, a as own, b as other from c where a >= 2 and a >= 0.75 * (a + b) order by a desc, phrase limit 20)
 union all (select 'theirs', phrase, b, a from c where b >= 2 and b >= 0.75 * (a + b) order by b desc, phrase limit 20)""")
 def exclusive_phrases(spark: SparkSession, d: str) -> DataFrame:
-    return sequence.exclusive_phrases(m.msg_conv(spark, d))
+    return sequence.exclusive_phrases(_two_words(spark, d))
 
 
 @query("first_messages", "select session_id, local_id, create_time, local_type, is_send, content, row_number() over (partition by session_id order by create_time, local_id) as nth from msg_conv qualify nth <= 10")
@@ -358,9 +366,9 @@ def nickname_consensus(spark: SparkSession, d: str) -> DataFrame:
     return lookups.nickname_consensus(given)
 
 
-@query("emoji_tokens", "with t as (select session_id, unnest(regexp_extract_all(replace(replace(content, '(', '['), '.', ']'), '\\[.*?\\]')) as token from msg_conv), c as (select session_id, token, count(*) as n from t group by 1, 2) select * from c qualify row_number() over (partition by session_id order by n desc, token) <= 10")
+@query("emoji_tokens", "with t as (select session_id, unnest(regexp_extract_all(translate(content, 'ae', '[]'), '\\[.*?\\]')) as token from msg_conv where local_type = 1), c as (select session_id, token, count(*) as n from t group by 1, 2) select * from c qualify row_number() over (partition by session_id order by n desc, token) <= 10")
 def emoji_tokens(spark: SparkSession, d: str) -> DataFrame:
-    return groups.member_emoji(m.msg_conv(spark, d).withColumn("content", F.translate("content", "(.", "[]")))
+    return groups.member_emoji(m.msg_conv(spark, d).withColumn("content", F.translate("content", "ae", "[]")), by=("session_id",))
 
 
 # Scans and pages.
@@ -602,17 +610,24 @@ def export_csv(spark: SparkSession, d: str) -> DataFrame:
     return sinks.csv(m.msg_events(spark, d))
 
 
-@query("export_markdown")
+SHOWN_SQL = "case when local_type = 10000 then trim(regexp_replace(coalesce(content, ''), '\\s+', ' ', 'g')) else coalesce(content, '') end"
+TALKER_SQL = "case when is_send = 1 then 'me' else session_id end"
+
+
+@query("export_markdown", f"select session_id, create_time, local_id, concat('**', {TALKER_SQL}, '** ', {CLOCK_SQL}, '  ', chr(10), {SHOWN_SQL}, chr(10)) as line from msg_conv")
 def export_markdown(spark: SparkSession, d: str) -> DataFrame:
     return sinks.markdown(m.msg_conv(spark, d))
 
 
-@query("export_html")
+ESCAPED_SQL = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#39;')"
+
+
+@query("export_html", f"select session_id, create_time, local_id, concat('<div class=\"', case when is_send = 1 then 'mine' else 'theirs' end, '\"><time>', {CLOCK_SQL}, '</time><b>', {TALKER_SQL}, '</b><p>', {ESCAPED_SQL.format(SHOWN_SQL)}, '</p></div>') as line from msg_conv")
 def export_html(spark: SparkSession, d: str) -> DataFrame:
     return sinks.html(m.msg_conv(spark, d))
 
 
-@query("export_document")
+@query("export_document", f"select session_id, create_time, local_id, concat('{{\"_type\":\"message\",\"sender\":', to_json({TALKER_SQL}), ',\"timestamp\":', create_time, ',\"type\":', case local_type when 1 then 0 else 80 end, ',\"content\":', to_json({SHOWN_SQL}), '}}') as line from msg_conv")
 def export_document(spark: SparkSession, d: str) -> DataFrame:
     return sinks.document_lines(m.msg_conv(spark, d))
 

@@ -70,7 +70,7 @@ FORMS = {"txt": txt, "markdown": markdown, "html": html, "csv": csv, "sql": sql,
 def export(msgs: DataFrame, form: str, path: str, mode: str = "errorifexists") -> None:
     """Writes one folder of lines for each session, in order within files. A hot session is written in several files."""
     lines = FORMS[form](msgs).withColumn("month", F.date_format(time.moment(F.col("create_time")), "yyyy-MM"))
-    ordered = lines.repartition("session_id", "month").sortWithinPartitions("session_id", *ORDER)
+    ordered = lines.repartition("session_id", "month").sortWithinPartitions("session_id", "month", *ORDER)
     ordered.select("session_id", "month", F.col("line").alias("value")).write.partitionBy("session_id", "month").mode(mode).text(path)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,6 +15,8 @@ from ..sources import model
 
 #: How long a message may be seen again, and how far back a revoke may reach.
 LOOK_BACK, REVOKE_BACK = "10 minutes", "150 seconds"
+#: Seconds of event time that a read may come late.
+READ_DELAY = 86400
 KEY = ("session_id", "local_id", "create_time")
 
 
@@ -51,20 +54,34 @@ def unread(stream: DataFrame) -> DataFrame:
     return stream.groupBy("session_id").agg(F.count_if(F.col("is_send") == 0).alias("unread"))
 
 
-def unread_since_read(stream: DataFrame) -> DataFrame:
-    """Running unread counts where rows of ``kind`` 'read' reset a session: keyed state of the last read time and the unread times."""
+def unread_since_read(stream: DataFrame, delay: int = READ_DELAY) -> DataFrame:
+    """Running unread counts where rows of ``kind`` 'read' reset a session up to their time.
+
+    State of a session: the last read time, the latest time seen, the count of unread
+    messages older than ``delay`` seconds before that, and counts by second of newer
+    ones, so it holds at most ``delay`` numbers. A read may come ``delay`` seconds of
+    event time late; one of an older time than that leaves counts as they are, and a
+    message of a time already read counts as read. Rows without a time are left out.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:  # noqa: ANN001
-        read_time, times = state.get if state.exists else (0, [])
-        for rows in batches:
-            reads = rows.loc[rows["kind"] == "read", "create_time"]
-            read_time = max([read_time, *map(int, reads)])
-            times = list(times) + [int(t) for t in rows.loc[(rows["kind"] != "read") & (rows["is_send"] == 0), "create_time"]]
-            times = [t for t in times if t > read_time]
-        state.update((read_time, times))
-        yield pd.DataFrame({"session_id": [key[0]], "unread": [len(times)]})
-
-    return stream.groupBy("session_id").applyInPandasWithState(step, "session_id string, unread bigint", "read_time bigint, times array<bigint>", "update", "NoTimeout")
+        read_time, latest, settled, seconds, counts = state.get if state.exists else (0, 0, 0, [], [])
+        recent, known = Counter(dict(zip(seconds, counts))), latest - delay
+        for batch in batches:
+            rows = batch[batch["create_time"].notna()]
+            latest = max([latest, *map(int, rows["create_time"])])
+            read_time = max([read_time, *map(int, rows.loc[rows["kind"] == "read", "create_time"])])
+            recent.update(map(int, rows.loc[(rows["kind"] != "read") & (rows["is_send"] == 0), "create_time"]))
+        # What is settled lies before the horizon that was known before these rows.
+        settled = 0 if read_time >= known else settled
+        recent = {t: n for t, n in recent.items() if t > read_time}
+        settled += sum(n for t, n in recent.items() if t <= latest - delay)
+        recent = {t: n for t, n in recent.items() if t > latest - delay}
+        state.update((read_time, latest, settled, list(recent), list(recent.values())))
+        yield pd.DataFrame({"session_id": [key[0]], "unread": [settled + sum(recent.values())]})
+
+    kept = "read_time bigint, latest bigint, settled bigint, seconds array<bigint>, counts array<bigint>"
+    return stream.groupBy("session_id").applyInPandasWithState(step, "session_id string, unread bigint", kept, "update", "NoTimeout")
 
 
 def message_events(rows: DataFrame) -> DataFrame:
