@@ -9,6 +9,8 @@ part the one of lower priority goes (of equal ones the later).
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +20,10 @@ from .common import ascii_lower, free_name, let, read
 
 #: What stands between words of a lower-cased text.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Marks around matches; they are gaps, so no normalised text holds them.
+OPEN, CLOSE = "\x01", "\x02"
+#: Values whose states are gathered in one array before it is put away.
+CHUNK = 256
 
 
 @dataclass(frozen=True)
@@ -106,19 +112,41 @@ def _count(norm: Column) -> Column:
     return F.length(norm) - F.length(F.replace(norm, F.lit(" "), F.lit("")))
 
 
+def _running(values: Column, seed: int, step: Callable[[Column, Column], Column]) -> Column:
+    """The states (int) behind each of ``values``: ``step(state, value)``, from ``seed`` on.
+
+    Appending copies an array, so states are gathered chunk by chunk, which takes time
+    in proportion to the number of values.
+    """
+    numbers = F.sequence(F.lit(0), F.call_function("div", F.size(values) - 1, F.lit(CHUNK)).cast("int"))
+    chunks = let(values, lambda v: F.transform(numbers, lambda c: F.slice(v, c * CHUNK + 1, F.lit(CHUNK))))
+
+    def over(state: Column, chunk: Column) -> Column:
+        start = F.struct(state.alias("s"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(chunk, start, lambda acc, v: let(step(acc["s"], v).cast("int"), lambda n: F.struct(n.alias("s"), F.array_append(acc["out"], n).alias("out"))))
+
+    start = F.struct(F.lit(seed).alias("s"), F.array().cast("array<array<int>>").alias("out"))
+    return F.flatten(F.aggregate(chunks, start, lambda acc, c: let(over(acc["s"], c), lambda r: F.struct(r["s"].alias("s"), F.array_append(acc["out"], r["out"]).alias("out"))))["out"])
+
+
 def _spans(norm: Column, rule: Column) -> Column:
-    """One struct for each place where the rule's expression fits, from left to right."""
-    found = F.regexp_extract_all(norm, F.concat(F.lit(" "), rule["regex"], F.lit("(?= )")), F.lit(0))
-    seed = F.struct(F.lit(1).alias("at"), F.lit(0).alias("word"), F.array().cast("array<struct<first:int,last:int>>").alias("out"))
+    """One struct for each place where the rule's expression fits, from left to right.
 
-    def step(acc: Column, m: Column) -> Column:
-        # A match has the words of an earlier one only where that one is a match itself, so the next place is the next match.
-        at = F.call_function("locate", F.concat(m, F.lit(" ")), norm, acc["at"])
-        return let(at, lambda p: let(acc["word"] + _count(F.substring(norm, acc["at"], p - acc["at"])), lambda w: F.struct(
-            (p + F.length(m)).alias("at"), (w + _count(m)).alias("word"),
-            F.array_append(acc["out"], F.struct(w.cast("int").alias("first"), (w + _count(m) - 1).cast("int").alias("last"))).alias("out"))))
+    Matches are put between two marks that no normalised text holds. The spaces before
+    a match tell the place of its first word, those inside how many more follow.
+    """
+    marked = F.regexp_replace(norm, F.concat(F.lit(" ("), rule["regex"], F.lit(")(?= )")), F.lit(f" {OPEN}$1{CLOSE}"))
+
+    def placed(pieces: Column) -> Column:
+        before = _running(F.transform(pieces, _count), -1, lambda total, n: total + n)
+        return let(before, lambda at: F.transform(F.slice(pieces, 2, F.size(pieces) - 1), lambda p, k: let(F.get(at, k), lambda w: F.struct(
+            w.alias("first"), (w + _count(F.substring_index(p, CLOSE, 1))).cast("int").alias("last")))))
+
+    none = F.array().cast("array<struct<first:int,last:int>>")
+    return let(F.split(marked, OPEN), lambda pieces: F.when(F.size(pieces) > 1, placed(pieces)).otherwise(none))
 
-    return F.aggregate(found, seed, step, lambda acc: acc["out"])
+
+FOUND = "array<struct<below:int,first:int,stop:int,label:string,base:boolean,last:int,priority:int>>"
 
 
 def _suppressed(found: Column) -> Column:
@@ -126,6 +154,9 @@ def _suppressed(found: Column) -> Column:
 
     The higher priority goes first, then the earlier and longer. One goes that lies in
     one kept before or overlaps it in part; one that holds kept ones inside stays.
+    Detections are cut where none reaches over, and each chain of overlapping ones is
+    judged alone, so time grows with the number of detections, and with the square only
+    of those in one chain.
     """
     names = ("first", "stop", "below", "label", "base", "last", "priority")
 
@@ -139,9 +170,18 @@ def _suppressed(found: Column) -> Column:
 
         return F.when(F.exists(acc, against), acc).otherwise(F.array_append(acc, d))
 
-    ranked = F.sort_array(F.transform(found, lambda d: ordered(d, "below")))
-    kept = F.aggregate(ranked, F.array().cast("array<struct<below:int,first:int,stop:int,label:string,base:boolean,last:int,priority:int>>"), step)
-    return F.sort_array(F.transform(kept, lambda d: ordered(d, "first")))
+    def judged(chain: Column) -> Column:
+        ranked = F.sort_array(F.transform(chain, lambda d: ordered(d, "below")))
+        return F.transform(F.aggregate(ranked, F.array().cast(FOUND), step), lambda d: ordered(d, "first"))
+
+    def chains(by_place: Column) -> Column:
+        reach = _running(F.transform(by_place, lambda d: d["last"]), -1, F.greatest)
+        opens = let(reach, lambda top: F.filter(F.sequence(F.lit(1), F.size(by_place)), lambda i: (i == 1) | (F.get(by_place, i - 1)["first"] > F.get(top, i - 2))))
+        return let(opens, lambda at: F.transform(at, lambda i, k: F.slice(by_place, i, F.coalesce(F.get(at, k + 1), F.size(by_place) + 1) - i)))
+
+    in_order = F.sort_array(F.transform(found, lambda d: ordered(d, "first")))
+    kept = let(in_order, lambda d: F.flatten(F.transform(chains(d), lambda c: F.when(F.size(c) == 1, c).otherwise(judged(c)))))
+    return F.when(F.size(found) == 0, found).otherwise(F.sort_array(kept))
 
 
 def scan_licenses(docs: DataFrame, rules: list[Signature] | None = None, text: str = "text") -> DataFrame:
@@ -149,16 +189,19 @@ def scan_licenses(docs: DataFrame, rules: list[Signature] | None = None, text: s
 
     Null and empty texts have no words and no detections. Rows and all other
     columns stay as they are. No shuffle; a text meets a rule only by its keyword.
+    Texts of any length are scanned whole, in time that grows with their length.
     """
     rules = signatures() if rules is None else rules
     norm = normalised(F.col(text))
     keywords = sorted({r.keyword for r in rules})
-    table = F.array(*[F.struct(F.lit(f" {r.keyword}").alias("keyword"), F.lit(r.regex).alias("regex"), F.lit(r.priority).alias("priority"), F.lit(r.label).alias("label"), F.lit(r.base).alias("base")) for r in rules])
+    # One literal for all rules: thousands of small ones take seconds to plan.
+    spelled = json.dumps([{"keyword": f" {r.keyword}", "regex": r.regex, "priority": r.priority, "label": r.label, "base": r.base} for r in rules])
+    table = F.from_json(F.lit(spelled), "array<struct<keyword:string,regex:string,priority:int,label:string,base:boolean>>")
     # Keywords open with one of few words; the first look at a text is for those alone.
     opening = " (?:" + "|".join(sorted({k.split(" ")[0] for k in keywords})) + ")"
 
     def detections(n: Column) -> Column:
-        held = F.filter(F.array(*[F.lit(f" {k}") for k in keywords]), lambda k: F.contains(n, k))
+        held = F.filter(F.from_json(F.lit(json.dumps([f" {k}" for k in keywords])), "array<string>"), lambda k: F.contains(n, k))
         met = let(held, lambda h: F.filter(table, lambda r: F.array_contains(h, r["keyword"])))
         return F.flatten(F.transform(met, lambda r: F.transform(_spans(n, r), lambda s: F.struct(
             s["first"].alias("first"), (-s["last"]).alias("stop"), (-r["priority"]).alias("below"), r["label"].alias("label"), r["base"].alias("base"), s["last"].alias("last"), r["priority"].alias("priority")))))

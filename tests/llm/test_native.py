@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import struct
 
 import pytest
@@ -315,3 +316,30 @@ def test_op5_labels_and_score(spark, sf):
         base = {d["label"] for d in r["license_found"] if d["base"]}
         row = got[r["doc_id"]]
         assert row["labels"] == ",".join(sorted(base | {d[3] for d in kept})) and row["score"] == max([d[2] for d in kept], default=0) / 100
+
+
+def test_op5_long_texts_take_time_with_their_length(spark):
+    """Quarter of a megabyte full of detections, one with letters of several bytes, and long chains of overlapping ones."""
+    texts = ["cc by x " * 32_000, "ümläut cc by é mit license " * 9_000, "mit license " * 20_000]
+    start = time.monotonic()
+    rows = {r["i"]: r for r in license_scan.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "i int, text string")).collect()}
+    assert time.monotonic() - start < 90
+    for i, text in enumerate(texts):
+        rules = [x for x in license_scan.signatures() if x.keyword in text]
+        want = sorted((a, b, x.label, x.priority) for x in rules for a, b in brute_spans(text, x)[1])
+        assert sorted((d["first"], d["last"], d["label"], d["priority"]) for d in rows[i]["license_found"]) == want
+    assert [len(rows[i]["license_kept"]) for i in range(3)] == [32_000, 18_000, 20_000]
+    assert [d["first"] for d in rows[0]["license_kept"]] == list(range(0, 96_000, 3))
+
+
+@pytest.mark.parametrize("chunk", [1, 2, 3, 256])
+def test_op5_chains_at_edges_of_chunks(spark, monkeypatch, chunk):
+    monkeypatch.setattr(license_scan, "CHUNK", chunk)
+    rule = license_scan.Signature
+    rules = [rule("ab", "aa", "aa bb", 60), rule("bc", "bb", "bb cc", 50), rule("ca", "cc", "cc aa", 70), rule("all", "aa", "aa bb cc aa bb", 55), rule("a", "aa", "aa", 60)]
+    rng = __import__("random").Random(chunk)
+    texts = ["aa bb cc " * 40, "aa bb", "bb", " ".join(rng.choices(["aa", "bb", "cc", "xx"], k=200))] + [" ".join(rng.choices(["aa", "bb", "cc", "xx"], k=rng.randint(0, 30))) for _ in range(20)]
+    for r in license_scan.scan_licenses(spark.createDataFrame([(t,) for t in texts], "text string"), rules).collect():
+        found, kept = ([(d["first"], d["last"], d["priority"], d["label"]) for d in r[c]] for c in ("license_found", "license_kept"))
+        assert sorted(found) == sorted((a, b, x.priority, x.label) for x in rules for a, b in brute_spans(r["text"], x)[1])
+        assert sorted(kept) == brute_suppressed(found) and [k[0] for k in kept] == sorted(k[0] for k in kept)
