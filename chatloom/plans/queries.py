@@ -187,9 +187,9 @@ def mutual_friend(spark: SparkSession, d: str) -> DataFrame:
     return sequence.mutual_friend(m.msg_events(spark, d), least=5)
 
 
-@query("lost_friend", "select session_id, count(*) filter (where create_time between 694224000 and 788918400) as early, count(*) filter (where create_time between 788918400 and 915148800) as late from msg_orders group by 1 having early > 2 and early > 2 * late order by early desc, session_id limit 1")
+@query("lost_friend", "select session_id, count(*) filter (where create_time between 694224000 and 852076800) as early, count(*) filter (where create_time between 852076800 and 867715200) as late from msg_orders group by 1 having early > 2 and early > 2 * late order by early desc, session_id limit 1")
 def lost_friend(spark: SparkSession, d: str) -> DataFrame:
-    return sequence.lost_friend(m.msg_orders(spark, d), 694224000, 788918400, 915148800, least=2, fall=2)
+    return sequence.lost_friend(m.msg_orders(spark, d), 694224000, 852076800, 867715200, least=2, fall=2)
 
 
 PHRASE_SQL = "local_type = 1 and length(trim(content)) between 2 and {most} and not contains(trim(content), 'http') and not contains(trim(content), '<') and not starts_with(trim(content), '[')"
