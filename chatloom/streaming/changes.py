@@ -1,7 +1,8 @@
 """Updated and deleted messages: an append-only log of changes over tables that are never written in place.
 
-Files lie in days of the messages' times. A generation holds some days anew; of a day
-the latest generation counts. Changes lie in batches. Compaction writes the days that
+Files hold ranges of days of the messages' times, so their number grows with the rows
+and not with the days. A generation holds some days anew; of a day the latest
+generation counts. Changes lie in batches. Compaction writes the days that
 have changes as a new generation, and then removes the batches that went into it. To
 apply a change twice changes nothing, so it may end at any place and be begun again.
 """
@@ -34,6 +35,10 @@ def with_changes(msgs: DataFrame, changes: DataFrame) -> DataFrame:
     return joined.select(*[F.when(F.col("_last").isNotNull(), F.col("_last.content")).otherwise(F.col(c)).alias(c) if c == "content" else F.col(c) for c in msgs.columns])
 
 
+def with_day(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("_day", F.coalesce(F.expr(f"create_time div {DAY}"), F.lit(-1)))
+
+
 class ChangeLog:
     """Messages with a change log in ``folder``, which driver and executors share."""
 
@@ -56,22 +61,20 @@ class ChangeLog:
         """The days of ``msgs`` as a new generation."""
         generations = self._parts("messages")
         nth = int(generations[-1].split("-")[0]) + 1 if generations else 0
-        path, dated = f"{self.folder}/messages/{nth:09}-{uuid.uuid4().hex[:8]}", msgs.withColumn("_day", F.coalesce(F.expr(f"create_time div {DAY}"), F.lit(-1)))
-        if dated.isEmpty():
-            dated.limit(0).write.parquet(path)  # no days, but a schema
-        else:
-            dated.repartition("_day").write.partitionBy("_day").parquet(path)
+        # Ranges by the keys too, so that a day of very many messages is many tasks; the order lets a filter on days skip parts of files.
+        ranged = with_day(msgs).repartitionByRange("_day", *KEY).sortWithinPartitions("_day")
+        ranged.write.parquet(f"{self.folder}/messages/{nth:09}-{uuid.uuid4().hex[:8]}")
 
     def append(self, changes: DataFrame) -> None:
         """A batch of changes."""
         own = changes.select(*[F.col(c.split()[0]).cast(c.split()[1]).alias(c.split()[0]) for c in CHANGES.split(", ")])
-        own.withColumn("_day", F.coalesce(F.expr(f"create_time div {DAY}"), F.lit(-1))).write.partitionBy("_day").parquet(f"{self.folder}/changes/{uuid.uuid4().hex}")
+        with_day(own).write.parquet(f"{self.folder}/changes/{uuid.uuid4().hex}")
 
     def _messages(self) -> DataFrame:
         """The rows of each day's latest generation."""
         found = None
         for name in self._parts("messages"):
-            part = self.spark.read.parquet(f"{self.folder}/messages/{name}").withColumn("_day", F.col("_day").cast("bigint"))
+            part = self.spark.read.parquet(f"{self.folder}/messages/{name}")
             found = part if found is None else found.join(small(part.select("_day").distinct()), "_day", "left_anti").unionByName(part)
         if found is None:
             raise ValueError(f"no messages in {self.folder}")
@@ -92,14 +95,15 @@ class ChangeLog:
         """Puts the changes so far into the days that they change, and forgets them; days without changes stay as they are.
 
         A day of which nothing is left is written as before and stays in the log, as an
-        empty day has no file that could hide the older one.
+        empty day has no row that could hide the older one.
         """
         batches = self._parts("changes")
         if not batches:
             return
         changes = self._changes(batches)
-        days = small(changes.select("_day").distinct())
-        touched = self._messages().join(days, "_day", "left_semi")
+        days = changes.select("_day").distinct()
+        first, last = changes.agg(F.min("_day"), F.max("_day")).first()
+        touched = self._messages().where(F.col("_day").between(first, last)).join(small(days), "_day", "left_semi")
         kept = with_changes(touched, changes.drop("_day"))
         empty = touched.select("_day").distinct().join(kept.select("_day").distinct(), "_day", "left_anti")
         if kept.isEmpty():

@@ -77,3 +77,19 @@ def test_no_messages_at_all(spark, msgs, tmp_path):
     log.append(changed(spark, ("s", 1, 1, "update", "new")))
     log.compact()
     assert log.read().count() == 0 and log.read().columns == msgs.columns
+
+
+def test_files_do_not_grow_with_days(spark, tmp_path):
+    """A message a day for 300 days: few files in each generation and batch, and a hot day among them is whole."""
+    days = spark.range(300).selectExpr("'s' as session_id", "id as local_id", f"id * {DAY} as create_time", "concat('text ', id) as content")
+    hot = spark.range(1000).selectExpr("'hot' as session_id", "id as local_id", f"{DAY} + id as create_time", "'x' as content")
+    log = changes.ChangeLog(spark, str(tmp_path))
+    log.write(days.unionByName(hot))
+    edit = F.struct(F.lit(1).alias("version"), F.when(F.col("local_id") % 2 == 0, "update").otherwise("delete").alias("op"), F.lit("new").alias("content"))
+    log.append(days.drop("content").where("local_id >= 100").select(*changes.KEY, F.inline(F.array(edit))))
+    assert len(list((tmp_path / "changes").rglob("*.parquet"))) < 40
+    want = rows_of(log.read())
+    assert len(want) == 1200 and sum(c == "new" for _, _, c in want) == 100
+    log.compact()
+    assert len(list((tmp_path / "messages").rglob("*.parquet"))) < 40
+    assert rows_of(log.read()) == want
