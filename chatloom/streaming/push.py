@@ -170,21 +170,42 @@ class Originals:
 
     def __init__(self, messages: Iterable[dict]) -> None:
         held = [m for m in messages if not m["revoke"]]
-        self.by_token = {t: m for m in reversed(held) for t in m["tokens"]}
+        self.by_token: dict[str, list[dict]] = {}
+        for m in held:
+            for t in m["tokens"]:
+                self.by_token.setdefault(t, []).append(m)
         self.incoming = sorted(((tuple(m[c] for c in POSITION), m) for m in held if not m["mine"]), key=lambda x: x[0])
 
-    def of(self, revoke: dict) -> dict | None:
-        found = self.by_token.get(revoke["revoked_id"]) if revoke["revoked_id"] else None
+    def of(self, revoke: dict, since: int | None = None) -> dict | None:
+        """Among the messages from ``since`` on."""
+        told = self.by_token.get(revoke["revoked_id"], ()) if revoke["revoked_id"] else ()
+        found = next((m for m in told if since is None or m["create_time"] >= since), None)
         at = bisect_left(self.incoming, tuple(revoke[c] for c in POSITION), key=lambda x: x[0])
-        return found or (self.incoming[at - 1][1] if at else None)
+        near = self.incoming[at - 1][1] if at else None
+        return found or (near if near and (since is None or near["create_time"] >= since) else None)
+
+
+def _in_order(frames: Iterable[pd.DataFrame]) -> list[dict]:
+    """Rows of each message_key once, by POSITION, nulls last; plain rows, as most sessions have few."""
+
+    def at(row: dict) -> list[tuple]:
+        return [(v is None or v != v, 0 if v is None or v != v else v) for v in map(row.get, POSITION)]
+
+    rows = [dict(zip(f.columns, values)) for f in frames for values in zip(*(s.tolist() for _, s in f.items()))]
+    first: dict[str, dict] = {}
+    for r in sorted(rows, key=at):
+        first.setdefault(r["message_key"], r)
+    return list(first.values())
 
 
 class PushRounds(StatefulProcessor):
     """State of one session; a micro-batch is a round.
 
     Rows of ``kind`` 'session' tell the session's time and unread count, others are
-    messages. Maps of messages and revoked ids are emptied by timers of event time, so
-    they hold REMEMBERED seconds before the watermark and no more.
+    messages. A round looks at messages from LOOK_BACK before the baseline on, and for
+    originals REVOKE_BACK further; baselines never go back, so older messages, and ids
+    of messages revoked over REMEMBERED before, are not put into the state. Timers of
+    event time empty it.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -194,17 +215,19 @@ class PushRounds(StatefulProcessor):
         self.revoked = handle.getMapState("revoked", "token string", "time bigint")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        batch = pd.concat(list(rows)).sort_values([*POSITION]).drop_duplicates("message_key")
-        told, found = batch[batch["kind"] == "session"], batch[batch["kind"] != "session"]
-        before = self.baseline.get() if self.baseline.exists() else None
+        batch = _in_order(rows)
+        told, found = [r for r in batch if r["kind"] == "session"], [r for r in batch if r["kind"] != "session"]
+        before = self.baseline.get()
         time, unread, primed = before or (0, 0, False)
-        now_unread = int(told["unread_count"].iloc[-1]) if len(told) else unread
+        now_unread = int(told[-1]["unread_count"]) if told else unread
         expected = max(0, now_unread - unread) if before else 0
         since = max(0, time - LOOK_BACK) if before else 0
         out, chosen, same, observed = [], [], [], 0
-        fetched = found[found["create_time"] >= since].to_dict("records")
+        fetched = [r for r in found if r["create_time"] >= since]
+        # A session that was never seen has nothing in the state.
+        kept = {r["message_key"]: self.messages.getValue((r["message_key"],)) for r in found if r["create_time"] >= since - REVOKE_BACK} if before else {}
         for r in fetched:
-            known = self.messages.getValue((r["message_key"],)) if self.messages.containsKey((r["message_key"],)) else None
+            known = kept.get(r["message_key"])
             seen, recent, t = known is not None, known is not None and known[-1], r["create_time"]
             if not r["mine"] and (not before or t > time or (primed and t == time)):
                 observed += 1
@@ -217,14 +240,17 @@ class PushRounds(StatefulProcessor):
         later = sum(not before or primed or r["create_time"] > time for r in chosen)
         allowed = max(0, expected - later) if before and not primed else 0
         push = [*(same[-allowed:] if allowed else []), *chosen]
-        keys, near = {r["message_key"] for r in push}, Originals(fetched)
+        keys, near, held = {r["message_key"] for r in push}, Originals(fetched if any(r["revoke"] for r in push) else ()), None
         gone = {o["message_key"] for o in (near.of(r) for r in push if r["revoke"]) if o and o["message_key"] in keys}
-        pushed = set()
+        pushed, revoked, remembers = set(), {}, bool(before) and self.revoked.exists()
         for r in push:
             if r["revoke"]:
                 if not r["own"]:
-                    o = near.of(r) or Originals(self._held(r["create_time"] - REVOKE_BACK)).of(r)
-                    self._remember([*((o["raw_id"],) if o else ()), r["revoked_id"], r["raw_id"]], r["create_time"])
+                    o = near.of(r)
+                    if o is None and before:
+                        held = held or Originals(self._held(since - REVOKE_BACK))
+                        o = held.of(r, r["create_time"] - REVOKE_BACK)
+                    revoked |= dict.fromkeys(filter(None, [*((o["raw_id"],) if o else ()), r["revoked_id"], r["raw_id"]]), r["create_time"])
                     raw = (o["raw_id"] if o else None) or r["revoked_id"] or (None if o else r["raw_id"]) or UNKNOWN_ID
                     instead = r["replaced"] if r["replaced"] and REVOKE_MARKS[2] not in r["replaced"] else ""
                     text = (((o["content"] or "").strip() if o else "") or instead).strip()
@@ -232,15 +258,23 @@ class PushRounds(StatefulProcessor):
                     pushed.add(r["message_key"])
                 continue
             pushed.add(r["message_key"])
-            if r["message_key"] not in gone and not self._was_revoked(r):
+            if r["message_key"] not in gone and not self._was_revoked(r, revoked, remembers):
                 out.append(("message.new", r["session_type"], r["raw_id"] or "", r["message_key"], r["content"], r["create_time"]))
-        for r in found.to_dict("records"):
-            held = self.messages.containsKey((r["message_key"],)) and self.messages.getValue((r["message_key"],))[-1]
-            self.messages.updateValue((r["message_key"],), (r["create_time"], r["sort_seq"], r["local_id"], r["mine"], r["revoke"], r["raw_id"], "\n".join(r["tokens"]), r["content"], bool(held or r["message_key"] in pushed)))
         waits = expected > 0 and observed < expected
-        last = int(max(time, batch["create_time"].max()))
-        self.baseline.update((time if waits else last, unread if waits else now_unread, primed or len(found) > 0))
-        self.handle.registerTimer((int(batch["create_time"].max()) + REMEMBERED) * 1000)
+        newest = max((int(r["create_time"]) for r in batch if r["create_time"] == r["create_time"] and r["create_time"] is not None), default=time)
+        last = max(time, newest)
+        baseline = time if waits else last
+        for r in found:
+            if r["create_time"] >= baseline - LOOK_BACK - REVOKE_BACK:
+                known = kept.get(r["message_key"])
+                self.messages.updateValue((r["message_key"],), (r["create_time"], r["sort_seq"], r["local_id"], r["mine"], r["revoke"], r["raw_id"], "\n".join(r["tokens"]), r["content"], bool(known and known[-1] or r["message_key"] in pushed)))
+        for token, then in revoked.items():
+            if then >= baseline - LOOK_BACK - REMEMBERED:
+                self.revoked.updateValue((token,), (then,))
+            elif remembers and self.revoked.containsKey((token,)):
+                self.revoked.removeKey((token,))
+        self.baseline.update((baseline, unread if waits else now_unread, primed or len(found) > 0))
+        self.handle.registerTimer((newest + REMEMBERED) * 1000)
         if out:
             yield pd.DataFrame([(e, key[0], *rest) for e, *rest in out], columns=["event", "session_id", "session_type", "raw_id", "message_key", "content", "timestamp"])
 
@@ -261,12 +295,14 @@ class PushRounds(StatefulProcessor):
             if v[0] >= since:
                 yield {"message_key": k[0], **dict(zip(names, v)), "tokens": v[6].split("\n")}
 
-    def _remember(self, tokens: list, time: int) -> None:
-        for token in filter(None, tokens):
-            self.revoked.updateValue((token,), (time,))
+    def _was_revoked(self, message: dict, revoked: dict[str, int], remembers: bool) -> bool:
+        """Whether an id is among those ``revoked`` in this round or, where the state ``remembers`` any, before."""
+
+        def time_of(token: str) -> int | None:
+            known = self.revoked.getValue((token,)) if remembers and token not in revoked else None
+            return known[0] if known else revoked.get(token)
 
-    def _was_revoked(self, message: dict) -> bool:
-        return any(self.revoked.containsKey((t,)) and message["create_time"] - self.revoked.getValue((t,))[0] <= REMEMBERED for t in message["tokens"])
+        return any(then is not None and message["create_time"] - then <= REMEMBERED for then in map(time_of, message["tokens"]))
 
 
 def pushes(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:

@@ -105,3 +105,55 @@ def test_nearest_crosses_buckets(spark):
     for bucket in (700, 5000, 10**9):
         got = push.nearest_before(df, ~F.col("revoke"), ["local_id"], bucket).where("session_id = 's'").collect()
         assert all((r["nearest"]["local_id"] if r["nearest"] else None) == max((i for i in range(r["local_id"]) if i % 4), default=None) for r in got)
+
+
+class Held:
+    """A state variable that counts calls."""
+
+    calls = 0
+
+    def __init__(self):
+        self.held = {}
+
+    def __getattr__(self, name):
+        def call(*args):
+            Held.calls += 1
+            if name in ("update", "updateValue"):
+                self.held[args[0] if name == "updateValue" else 0] = args[-1]
+            if name == "removeKey":
+                self.held.pop(args[0], None)
+            return {"get": self.held.get(0), "getValue": self.held.get(*args[:1] or [0]) if name == "getValue" else None, "exists": bool(self.held), "containsKey": bool(args) and args[0] in self.held, "iterator": iter(list(self.held.items()))}.get(name)
+
+        return call
+
+
+def test_state_keeps_what_later_rounds_ask_for():
+    """Calls and entries of the state do not grow with a long history; what is near the baseline is kept, late rows too."""
+    import pandas as pd
+
+    states = {}
+
+    class Handle:
+        registerTimer = staticmethod(lambda time: None)  # noqa: N815
+
+        def _state(self, name, *schema):
+            return states.setdefault(name, Held())
+
+        getValueState = getMapState = _state  # noqa: N815
+
+    rounds = push.PushRounds()
+    rounds.init(Handle())
+
+    def go(*messages):
+        rows = [{"session_id": "s", "message_key": f"s:{T + t}:{i}", "create_time": T + t, "sort_seq": 0, "local_id": i, "mine": False, "revoke": what == "revoke", "own": False, "revoked_id": None, "raw_id": str(i), "tokens": [str(i)], "content": what, "ts": None, "unread_count": 0, "kind": "message", "session_type": "other", "replaced": None} for i, t, what in messages]
+        return [tuple(r) for out in rounds.handleInputRows(("s",), iter([pd.DataFrame(rows)]), None) for r in out.itertuples(index=False)]
+
+    Held.calls = 0
+    assert len(go(*[(i, 1000 * i, "text") for i in range(1, 501)])) == 500
+    assert Held.calls < 20 and len(states["messages"].held) == 1
+    # Late, behind the baseline: no news, but a revoke may mean it.
+    assert not go((501, 499_900, "late"))
+    revoked = go((502, 500_001, "revoke"))
+    assert [r[0] for r in revoked] == ["message.revoke"] and revoked[0][3] == "500"
+    assert not go((500, 500_000, "text")) and set(states["messages"].held) == {(f"s:{T + t}:{i}",) for i, t in ((500, 500_000), (501, 499_900), (502, 500_001))}
+    assert go((500, 500_100, "same id again")) == [] and len(go((503, 501_000, "new"))) == 1
