@@ -11,18 +11,29 @@ walked by itself from what that gives; a hot session is as many tasks as it has
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 COOLDOWN, SPAN = 7200, 86400
 STEPS = ArrayType(StructType([StructField("upto", LongType()), StructField("last", LongType())]))
 NEVER = -(1 << 62)
+#: Bytes of spans or sessions that go to a Python worker at a time, save for a single larger one.
+BATCH_BYTES = 16 << 20
 
 
-def steps_of(times: np.ndarray, cooldown: int) -> list[tuple[int, int]]:
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's bytes of an Arrow batch, where they are more."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).strip().lower()
+    # Without a unit, or in bytes as the default is; others are not compared but set.
+    if not now.removesuffix("b").isdigit() or not 0 < int(now.removesuffix("b")) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def steps_of(times: np.ndarray, cooldown: int) -> tuple[np.ndarray, np.ndarray]:
     """(upto, last): a walk that may begin at any time behind the step before, ``upto`` at the latest, takes ``last`` last. ``times`` ascend."""
     follow = np.searchsorted(times, times + cooldown)
     at = np.arange(len(times))
@@ -33,47 +44,68 @@ def steps_of(times: np.ndarray, cooldown: int) -> list[tuple[int, int]]:
             break
         at = np.where(going, np.minimum(further, len(times) - 1), at)
     ends = np.flatnonzero(np.r_[at[1:] != at[:-1], True])
-    return list(zip(times[ends].tolist(), times[at[ends]].tolist()))
+    return times[ends], times[at[ends]]
+
+
+# Lists stay flat Arrow arrays: a Python object for each number would take many times the bytes.
+
+
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
+    """Where each list begins, and in the end ends, among all values, and the values."""
+    offsets = lists.offsets.to_numpy()
+    return offsets - offsets[0], lists.flatten()
+
+
+def _lists(parts: list[np.ndarray]) -> tuple[pa.Array, np.ndarray]:
+    return pa.array(np.r_[0, np.cumsum([len(p) for p in parts], dtype=np.int64)].astype(np.int32)), np.concatenate(parts) if parts else np.empty(0, np.int64)
 
 
 def _steps(cooldown: int):
-    @pandas_udf(STEPS)
-    def steps(spans: pd.Series) -> pd.Series:
-        return pd.Series([steps_of(np.asarray(t, np.int64), cooldown) for t in spans], index=spans.index)
+    @arrow_udf(STEPS)
+    def steps(spans: pa.Array) -> pa.Array:
+        at, values = _flat(spans)
+        times = values.to_numpy()
+        found = [steps_of(times[a:b], cooldown) for a, b in zip(at, at[1:])]
+        offsets, upto = _lists([u for u, _ in found])
+        return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(upto), pa.array(_lists([x for _, x in found])[1])], ["upto", "last"]))
 
     return steps
 
 
 def _composed(cooldown: int):
-    @pandas_udf(ArrayType(LongType()))
-    def composed(sessions: pd.Series) -> pd.Series:
+    @arrow_udf(ArrayType(LongType()))
+    def composed(sessions: pa.Array) -> pa.Array:
         """For each span of a session, in order, the last message taken before it."""
-
-        def one(spans: list) -> list[int]:
-            last, out = NEVER, []
-            for span in spans:
-                out.append(last)
-                upto = [s["upto"] for s in span["steps"]]
-                at = int(np.searchsorted(upto, last + cooldown))
-                last = span["steps"][at]["last"] if at < len(upto) else last
-            return out
-
-        return pd.Series([one(s) for s in sessions], index=sessions.index)
+        at, spans = _flat(sessions)
+        begins, steps = _flat(spans.flatten()[1])
+        upto, lasts = (f.to_numpy() for f in steps.flatten())
+        before = np.empty(len(spans), np.int64)
+        for a, b in zip(at, at[1:]):
+            last = NEVER
+            for i in range(a, b):
+                before[i] = last
+                own = upto[begins[i] : begins[i + 1]]
+                step = int(np.searchsorted(own, last + cooldown))
+                last = int(lasts[begins[i] + step]) if step < len(own) else last
+        return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(before))
 
     return composed
 
 
 def _walked(cooldown: int):
-    @pandas_udf(ArrayType(LongType()))
-    def walked(spans: pd.Series, befores: pd.Series) -> pd.Series:
-        def one(times: np.ndarray, last: int) -> list[int]:
-            out, at = [], int(np.searchsorted(times, last + cooldown))
-            while at < len(times):
-                out.append(int(times[at]))
-                at = int(np.searchsorted(times, times[at] + cooldown))
-            return out
+    @arrow_udf(ArrayType(LongType()))
+    def walked(spans: pa.Array, befores: pa.Array) -> pa.Array:
+        at, values = _flat(spans)
+        times = values.to_numpy()
+
+        def one(own: np.ndarray, last: int) -> np.ndarray:
+            taken, i = [], int(np.searchsorted(own, last + cooldown))
+            while i < len(own):
+                taken.append(i)
+                i = int(np.searchsorted(own, own[i] + cooldown))
+            return own[taken] if taken else own[:0]
 
-        return pd.Series([one(np.asarray(t, np.int64), b) for t, b in zip(spans, befores)], index=spans.index)
+        return pa.ListArray.from_arrays(*map(pa.array, _lists([one(times[a:b], x) for a, b, x in zip(at, at[1:], befores.to_numpy())])))
 
     return walked
 
@@ -86,6 +118,7 @@ def activity_triggers(msgs: DataFrame, cooldown: int = COOLDOWN, span: int = SPA
     and a session's by its days and steps.
     """
     cooldown = max(1, cooldown)
+    small_batches(msgs.sparkSession)
     own = msgs.where("session_id is not null and create_time is not null").groupBy("session_id", "create_time").agg(F.min("local_id").alias("local_id"))
     cut = own.withColumn("span", F.expr(f"create_time div {span}"))
     spans = cut.groupBy("session_id", "span").agg(F.sort_array(F.collect_list("create_time")).alias("times"))

@@ -73,3 +73,26 @@ def test_stored_ranges(spark):
     got = df.select("i", time.stored_range(F.col("preset"), F.col("whole"), F.col("a"), F.col("b"), F.lit(now)).alias("r")).orderBy("i").collect()
     assert [(r["r"]["preset"], r["r"]["begin"], r["r"]["end"]) for r in got] == [c[4:] for c in cases]
     assert [r["r"]["all_time"] for r in got] == [c[4] == "all" for c in cases]
+
+
+def test_batches_of_spans_are_flat_and_bounded(spark):
+    """Numbers of a batch are no Python objects: 400,000 steps of one session, as where the cooldown exceeds the span, take less than 80 MB."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    times = np.arange(400_000, dtype=np.int64)
+    spans = pa.ListArray.from_arrays(pa.array(np.arange(0, 400_001, 1000, dtype=np.int32)), pa.array(times))
+    tracemalloc.start()
+    steps = triggers._steps(5000).func(spans)
+    whole = pa.ListArray.from_arrays(pa.array([0, 400], pa.int32()), pa.StructArray.from_arrays([pa.array(np.arange(400)), steps], ["span", "steps"]))
+    before = triggers._composed(5000).func(whole)
+    taken = triggers._walked(5000).func(spans, before.flatten())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert taken.flatten().to_pylist() == list(range(0, 400_000, 5000)) and peak < 80e6
+    # Slices of batches count from their own first row.
+    assert triggers._walked(5000).func(spans.slice(5, 2), before.flatten().slice(5, 2)).to_pylist() == [[5000], []]
+    triggers.activity_triggers(spark.createDataFrame([], "session_id string, create_time bigint, local_id bigint"))
+    assert 0 < int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= triggers.BATCH_BYTES
