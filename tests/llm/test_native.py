@@ -343,3 +343,14 @@ def test_op5_chains_at_edges_of_chunks(spark, monkeypatch, chunk):
         found, kept = ([(d["first"], d["last"], d["priority"], d["label"]) for d in r[c]] for c in ("license_found", "license_kept"))
         assert sorted(found) == sorted((a, b, x.priority, x.label) for x in rules for a, b in brute_spans(r["text"], x)[1])
         assert sorted(kept) == brute_suppressed(found) and [k[0] for k in kept] == sorted(k[0] for k in kept)
+
+
+def test_anchors_are_shuffled_packed(spark, monkeypatch):
+    """One long for each anchor goes through the shuffle, a quarter of the structs; unpacking gives the same anchors."""
+    seen = {}
+    with_next = fingerprint.with_next
+    monkeypatch.setattr(fingerprint, "with_next", lambda docs, *rest: seen.update(docs.dtypes) or with_next(docs, *rest))
+    docs = spark.createDataFrame([(1, " ".join(f"w{i * i % 97}" for i in range(500))), (2, "one two"), (3, ""), (4, None)], "doc_id bigint, text string")
+    assert fingerprint.edited_fingerprints(docs).count() == 4 and seen["anchors"] == "array<bigint>"
+    found = docs.select(fingerprint.anchors(F.col("text")).alias("a"))
+    assert found.where(~fingerprint.unpacked(fingerprint.packed(F.col("a"))).eqNullSafe(F.col("a"))).count() == 0
