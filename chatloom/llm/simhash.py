@@ -10,7 +10,10 @@ There are two forms. ``near_duplicates`` links 64-bit fingerprints within ``max_
 sets of shingles have a Jaccard similarity of ``least`` or more. These differ in about
 15 of 100 bits, so no few segments of one fingerprint do; it takes as many segments of
 ``width`` bits from a longer fingerprint as find a pair of just that similarity with
-the probability ``recall``, and exact similarities decide. Members of a bucket meet a
+the probability ``recall``, and exact similarities decide. Only texts whose mark of the
+segment is equal meet (two shingles that stand first and last in an order of their
+own), so unlike texts don't meet by chance, however many there are; bits alone would
+let them, as often as there are pairs. Members of a bucket meet a
 few leaders first, and in the end all those of other components, so large groups of
 near copies don't make all their pairs. Candidates of two components whose bits are
 ``DEVIATIONS`` or more too far apart are not compared by text; all others are.
@@ -38,8 +41,12 @@ from .suffix_dedup import mixed, rolled
 SHINGLE, SEED, MAX_BITS = 3, 42, 3
 #: Shingles whose bits are summed at a time.
 BLOCK = 65_536
-#: Of the stage on texts: words of a shingle, similarity, bits of a segment, share of pairs of just that similarity to be found.
+#: Of the stage on texts: words of a shingle, similarity, bits of a segment without a mark, share of pairs of just that similarity to be found.
 WORDS, LEAST, WIDTH, RECALL = 5, 0.8, 23, 0.91
+#: Bits of a segment whose buckets have its mark, shingles in a mark.
+MARKED, SHARED = 16, 2
+#: The tag of buckets of single shingles, in the low 16 bits; others have their segment and bit there.
+SINGLE = (1 << 16) - 1
 #: Sets of at most so many shingles are compared exactly, by a prefix filter: their bits are tied to each other.
 SHORT = 50
 #: Leaders that members of a bucket meet before all others.
@@ -153,10 +160,10 @@ def differing_share(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def segment_count(width: int = WIDTH, least: float = LEAST, recall: float = RECALL) -> int:
-    """Segments so that of two texts of that similarity one segment differs in one bit at most with the probability ``recall``."""
+def segment_count(width: int = WIDTH, least: float = LEAST, recall: float = RECALL, shared: int = 0) -> int:
+    """Segments so that of two texts of that similarity one segment differs in one bit at most, and its ``shared`` shingles are equal, with the probability ``recall``."""
     p = differing_share(least)
-    one = (1 - p) ** width + width * p * (1 - p) ** (width - 1)
+    one = ((1 - p) ** width + width * p * (1 - p) ** (width - 1)) * least**shared
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - one)))
 
 
@@ -176,27 +183,38 @@ def segments_of(hashes: np.ndarray, count: int, width: int) -> np.ndarray:
     return (2 * ones > len(hashes))[:bits].reshape(count, width) @ (1 << np.arange(width, dtype=np.int64))
 
 
+def marks_of(hashes: np.ndarray, count: int) -> np.ndarray:
+    """``count`` numbers, each made of the least and the greatest of the hashes in an order of its own (two sets have equal ones with about the square of their similarity)."""
+    odd = np.arange(1, 2 * count, 2, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) | np.uint64(1)
+    low, high = np.full(count, np.iinfo(np.uint64).max), np.zeros(count, np.uint64)
+    for at in range(0, len(hashes), BLOCK // 8):
+        held = mixed((hashes[at : at + BLOCK // 8, None] ^ (hashes[at : at + BLOCK // 8, None] >> np.uint64(29))) * odd)
+        low, high = np.minimum(low, held.min(0)), np.maximum(high, held.max(0))
+    return (low * np.uint64(0x9E3779B97F4A7C15) ^ high).view(np.int64)
+
+
 def prefix_length(size: int, least: float = LEAST) -> int:
     """How many of the first of ``size`` ordered shingles a set as similar as ``least`` must share one of."""
     return size - math.ceil(least * size - 1e-9) + 1
 
 
-def _segments(n: int, count: int, width: int):
+def _segments(n: int, count: int, width: int, marks: int):
     number = IntegerType() if width <= 31 else LongType()
 
-    @pandas_udf(StructType([StructField("node", LongType()), StructField("segments", ArrayType(number)), StructField("size", IntegerType()), StructField("shingles", ArrayType(LongType()))]))
+    @pandas_udf(StructType([StructField("node", LongType()), StructField("segments", ArrayType(number)), StructField("marks", ArrayType(LongType())), StructField("size", IntegerType()), StructField("shingles", ArrayType(LongType()))]))
     @tidy
     def made(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
-            nodes, rows, sizes, short = [], [], [], []
+            nodes, rows, marked, sizes, short = [], [], [], [], []
             for text in batch:
                 words = byte_words(text, lower=True)
                 nodes.append(xxhash.xxh64_intdigest(b" ".join(words), SEED))
                 hashes = shingle_hashes(words, n)
                 rows.append(segments_of(hashes, count, width))
+                marked.append(marks_of(hashes, marks))
                 sizes.append(len(hashes))
                 short.append(hashes.view(np.int64) if len(hashes) <= SHORT else None)
-            yield pd.DataFrame({"node": np.array(nodes, np.uint64).view(np.int64), "segments": rows, "size": np.array(sizes, np.int32), "shingles": short}, index=batch.index)
+            yield pd.DataFrame({"node": np.array(nodes, np.uint64).view(np.int64), "segments": rows, "marks": marked, "size": np.array(sizes, np.int32), "shingles": short}, index=batch.index)
 
     return made
 
@@ -246,45 +264,49 @@ def _alike(near: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, least: fl
     return found
 
 
-def similar_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = WORDS, least: float = LEAST, width: int = WIDTH, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
+def similar_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = WORDS, least: float = LEAST, width: int = MARKED, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
     """(rows of key, row, node; for each node, a text up to case and white space: component_id, root, first_row, n_rows, linked).
 
     ``row`` hashes key and text. Texts without words are one node, linked to no other.
     """
-    # As many different segments as there are texts, so that chance meetings of a bucket grow with the corpus and not with its square.
-    width = max(width, docs.count().bit_length())
-    count = segment_count(width, least, recall)
+    count = segment_count(width, least, recall, SHARED)
+    if width > 31 or count * width > SINGLE:
+        raise ValueError(f"{count} segments of {width} bits are too many or too wide for a bucket's tag")
+    # Bits that are compared, beyond those that meet: as many as segments without marks would have.
+    compared = max(count, -(-segment_count(WIDTH, least, recall) * WIDTH // width))
     small_batches(docs.sparkSession)
     own = docs.select(F.col(key), F.col(text).alias("_text"))
-    slim = cut(own.select(F.col(key), row_hash(key, "_text").alias("row"), _segments(n, count, width)("_text").alias("s")).select(key, "row", "s.*"))
+    slim = cut(own.select(F.col(key), row_hash(key, "_text").alias("row"), _segments(n, compared, width, count)("_text").alias("s")).select(key, "row", "s.*"))
     first = F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "row"))["row"]
     # Equal nodes have equal segments and sizes.
-    nodes = cut(dealt(slim.groupBy("node").agg(F.min(key).cast("long").alias("least"), first.alias("first_row"), F.count("*").alias("n_rows"), F.first("segments").alias("segments"), F.first("size").alias("size"), F.first("shingles").alias("shingles")), "node"))
+    nodes = cut(dealt(slim.groupBy("node").agg(F.min(key).cast("long").alias("least"), first.alias("first_row"), F.count("*").alias("n_rows"), F.first("segments").alias("segments"), F.first("marks").alias("marks"), F.first("size").alias("size"), F.first("shingles").alias("shingles")), "node"))
 
-    # One number for segment, left-out bit and the other bits. Equal segments count at bit 0 only, others where they differ.
-    parted = nodes.select("node", F.posexplode("segments").alias("k", "v"))
-    keys = F.array(*[(F.col("k") * width + b).cast("long") * (1 << width) + F.col("v").bitwiseAND(~(1 << b)).cast("long") for b in range(width)])
+    # A bucket's number hashes the mark and the segment without one bit; its tag tells which. Equal segments count at bit 0 only, others where they differ.
+    # Sets so short that no partner is larger than SHORT meet by their shingles alone.
+    parted = nodes.where(F.col("size") >= least * (SHORT + 1) - 1e-9).select("node", "marks", F.posexplode(F.slice("segments", 1, count)).alias("k", "v"))
+    keys = F.array(*[F.shiftleft(F.xxhash64(F.get("marks", F.col("k")), F.col("v").bitwiseAND(~(1 << b))), 16).bitwiseOR((F.col("k") * width + b).cast("long")) for b in range(width)])
     index = parted.select("node", F.explode(keys).alias("bucket"))
-    # Short sets meet by the least of their shingles, of which two alike share one; these buckets are negative numbers.
+    # Short sets meet by the least of their shingles, of which two alike share one; these buckets have a tag of their own.
     firsts = F.slice("shingles", F.lit(1), F.greatest(F.lit(1), (F.col("size") - F.ceil(least * F.col("size") - 1e-9) + 1).cast("int")))
-    index = index.unionByName(nodes.where("shingles is not null").select("node", F.explode(firsts).alias("bucket")).withColumn("bucket", -F.col("bucket").bitwiseAND(F.lit((1 << 63) - 1)) - 1))
+    index = index.unionByName(nodes.where("shingles is not null").select("node", F.explode(firsts).alias("s")).select("node", F.shiftleft(F.xxhash64("s"), 16).bitwiseOR(F.lit(SINGLE)).alias("bucket")))
     whole = Window.partitionBy("bucket")
     shared = index.withColumns({"low": F.min("node").over(whole), "high": F.max("node").over(whole)}).where("low <> high").select("node", "bucket")
-    b = F.expr(f"if(bucket < 0, 0, cast(shiftright(bucket, {width}) % {width} as int))").alias("b")
-    value = F.get("segments", F.expr(f"cast(shiftright(bucket, {width}) div {width} as int)")).cast("long")
-    one = F.expr("bucket >= 0") & (value.bitwiseAND(F.expr(f"shiftleft(1L, cast(shiftright(bucket, {width}) % {width} as int))")) != 0)
+    tag = F.col("bucket").bitwiseAND(F.lit(SINGLE)).cast("int")
+    b = F.when(tag == SINGLE, 0).otherwise(tag % width).alias("b")
+    value = F.get("segments", F.floor(tag / width).cast("int"))
+    one = (tag != SINGLE) & (F.call_function("shiftright", value, tag % width).bitwiseAND(1) != 0)
     member, drop_member = written(shared.join(nodes.select("node", "segments"), "node").select("node", "bucket", b, F.coalesce(one, F.lit(False)).alias("one")))
     collect_shuffles(docs.sparkSession)
     texts = own.withColumn("row", row_hash(key, "_text"))
     plain = nodes.select("node", "least")
     bits = nodes.select("node", F.struct("segments", "size", "shingles").alias("seen"))
     # Members first meet some leaders of their bucket, so that most of a large group is one component.
-    order = F.struct(F.xxhash64("node", F.pmod("bucket", F.lit(LEADERS))).alias("h"), F.col("node").alias("lead"), F.col("one").alias("lead_one"))
+    order = F.struct(F.xxhash64("node", F.pmod(F.shiftright("bucket", 16), F.lit(LEADERS))).alias("h"), F.col("node").alias("lead"), F.col("one").alias("lead_one"))
     led = member.groupBy("bucket").agg(F.min(order).alias("m")).select("bucket", "m.*")
     met = member.join(led, "bucket").where("node <> lead and (b = 0 or one <> lead_one)")
     chosen = met.select(F.least("node", "lead").alias("left"), F.greatest("node", "lead").alias("right")).distinct()
     wide = chosen.join(bits.toDF("left", "a"), "left").join(bits.toDF("right", "b"), "right")
-    near, drop_near = written(wide.where(_near("a", "b", count, width, least)).select("left", "right"))
+    near, drop_near = written(wide.where(_near("a", "b", compared, width, least)).select("left", "right"))
     links = _alike(near, nodes, texts, n, least)
     drop_near()
     roots, drop_roots = written(label_components(plain, links).select("node", "root"))
@@ -296,7 +318,7 @@ def similar_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", n: i
     mixed = placed.join(sizes, "bucket").withColumn("minor", F.col("root") != F.col("major")).join(bits, "node")
     minor = mixed.where("minor").select("bucket", F.col("node").alias("left"), F.col("root").alias("left_root"), F.col("one").alias("left_one"), F.col("seen").alias("a"))
     other = mixed.select("bucket", "b", F.col("node").alias("right"), F.col("root").alias("right_root"), F.col("one").alias("right_one"), F.col("minor").alias("too"), F.col("seen").alias("c"))
-    met = (minor["bucket"] == other["bucket"]) & F.expr("left_root <> right_root and (b = 0 or left_one <> right_one) and (not too or left < right)") & _near("a", "c", count, width, least)
+    met = (minor["bucket"] == other["bucket"]) & F.expr("left_root <> right_root and (b = 0 or left_one <> right_one) and (not too or left < right)") & _near("a", "c", compared, width, least)
     near, drop_near = written(minor.join(other, met).select(F.least("left", "right").alias("left"), F.greatest("left", "right").alias("right")).distinct())
     links = links.unionByName(_alike(near, nodes, texts, n, least))
     drop_near()
@@ -306,7 +328,7 @@ def similar_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", n: i
     return slim.select(key, "row", "node"), cut(known.select("node", F.col("least").alias("component_id"), "root", "first_row", "n_rows"))
 
 
-def drop_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = WORDS, least: float = LEAST, width: int = WIDTH, recall: float = RECALL) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = WORDS, least: float = LEAST, width: int = MARKED, recall: float = RECALL) -> DataFrame:
     """``docs`` with one document of each component of texts alike, that of the least key.
 
     Null keys come last; of equal keys in a component the least hash of key and text

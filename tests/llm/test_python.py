@@ -454,6 +454,46 @@ def test_recall_of_larger_texts(size):
     assert found / pairs >= 0.9 - 2 * (0.09 / pairs) ** 0.5
 
 
+def test_unlike_texts_do_not_meet_by_chance(spark, monkeypatch):
+    """Of 2,000 texts without a shingle in common none is in a bucket with another; by 23 bits alone about 100 pairs are."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(5_000)]
+    rows = [(i, " ".join(rng.choices(words, k=70))) for i in range(2_000)]
+    members = []
+
+    def kept(df):
+        found = simhash_written(df)
+        if "bucket" in df.columns and "one" in df.columns and "root" not in df.columns:
+            members.append(found[0].count())
+        return found
+
+    simhash_written = simhash.written
+    monkeypatch.setattr(simhash, "written", kept)
+    assert simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).count() == len(rows)
+    assert members == [0]
+
+
+@pytest.mark.parametrize("size", [51, 60, 100, 300, 1000, 2000])
+def test_recall_of_marked_segments(size):
+    """Pairs at a similarity of just 0.8, one in the other and of like size: 0.9 and more have a segment of equal mark that differs in one bit at most, and pass the bits."""
+    rng = np.random.default_rng(size + 1)
+    width, count = simhash.MARKED, simhash.segment_count(simhash.MARKED, shared=simhash.SHARED)
+    compared = -(-simhash.segment_count() * simhash.WIDTH // width)
+    p = simhash.differing_share(simhash.LEAST)
+    most = int(compared * width * p + simhash.DEVIATIONS * np.sqrt(compared * width * p * (1 - p)))
+    found, pairs = 0, 400 if size < 500 else 150
+    for i in range(pairs):
+        x = rng.integers(0, 2**63, size, dtype=np.uint64)
+        held = -(-8 * size // 10) if i % 2 else -(-16 * size // 18)
+        y = x[:held] if i % 2 else np.concatenate([x[:held], rng.integers(0, 2**63, size - held, dtype=np.uint64)])
+        a, b = (simhash.segments_of(np.unique(h), compared, width) for h in (x, y))
+        m = simhash.marks_of(np.unique(x), count) == simhash.marks_of(np.unique(y), count)
+        apart = [int(u ^ v).bit_count() for u, v in zip(a.tolist(), b.tolist())]
+        found += any(m[k] and apart[k] <= 1 for k in range(count)) and sum(apart) <= most
+    # Two deviations of the measurement are allowed for.
+    assert found / pairs >= 0.9 - 2 * (0.09 / pairs) ** 0.5
+
+
 def test_passages_of_equal_and_null_ids(spark):
     passage, long = (" ".join(f"{x}{i}" for i in range(60)) for x in "pq")
     rows = [(1, f"one {passage}"), (None, f"clean words only {' '.join(f'k{i}' for i in range(200))}"), (None, "short"), (None, f"a b c {passage} end"), (4, f"{passage} left"), (4, "tiny"), (4, f"x {long}"), (8, f"y {long} z"), (8, f"y {long} z"), (8, "few words")]
