@@ -43,8 +43,8 @@ SHINGLE, SEED, MAX_BITS = 3, 42, 3
 BLOCK = 65_536
 #: Of the stage on texts: words of a shingle, similarity, bits of a segment without a mark, share of pairs of just that similarity to be found.
 WORDS, LEAST, WIDTH, RECALL = 5, 0.8, 23, 0.91
-#: Bits of a segment whose buckets have its mark, shingles in a mark.
-MARKED, SHARED = 16, 2
+#: Bits of a segment whose buckets have its mark, shingles in a mark, bits that are compared where texts meet.
+MARKED, SHARED, BITS = 16, 2, 1280
 #: The tag of buckets of single shingles, in the low 16 bits; others have their segment and bit there.
 SINGLE = (1 << 16) - 1
 #: Sets of at most so many shingles are compared exactly, by a prefix filter: their bits are tied to each other.
@@ -173,14 +173,23 @@ def shingle_hashes(words: list[bytes], n: int = WORDS) -> np.ndarray:
     return np.unique(rolled(own, min(n, len(own)))) if len(own) else own
 
 
-def segments_of(hashes: np.ndarray, count: int, width: int) -> np.ndarray:
-    """A fingerprint of count * width bits as ``count`` numbers; mixtures of the hashes give as many bits as it takes."""
-    bits = count * width
+def bits_of(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """A fingerprint as an array of booleans; mixtures of the hashes give as many bits as it takes."""
     odd = np.arange(1, 2 * -(-bits // 64), 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
     ones = np.zeros(64 * len(odd), np.int64)
     for at in range(0, len(hashes), BLOCK // 8):
         ones += ones_by_bit(mixed((hashes[at : at + BLOCK // 8, None] ^ (hashes[at : at + BLOCK // 8, None] >> np.uint64(31))) * odd).view(np.uint8))
-    return (2 * ones > len(hashes))[:bits].reshape(count, width) @ (1 << np.arange(width, dtype=np.int64))
+    return (2 * ones > len(hashes))[:bits]
+
+
+def numbers(bits: np.ndarray, count: int, width: int) -> np.ndarray:
+    """The first count * width bits as ``count`` numbers."""
+    return bits[: count * width].reshape(count, width) @ (1 << np.arange(width, dtype=np.int64))
+
+
+def segments_of(hashes: np.ndarray, count: int, width: int) -> np.ndarray:
+    """A fingerprint of count * width bits as ``count`` numbers."""
+    return numbers(bits_of(hashes, count * width), count, width)
 
 
 def marks_of(hashes: np.ndarray, count: int) -> np.ndarray:
@@ -198,23 +207,25 @@ def prefix_length(size: int, least: float = LEAST) -> int:
     return size - math.ceil(least * size - 1e-9) + 1
 
 
-def _segments(n: int, count: int, width: int, marks: int):
+def _segments(n: int, count: int, width: int, bits: int):
     number = IntegerType() if width <= 31 else LongType()
 
-    @pandas_udf(StructType([StructField("node", LongType()), StructField("segments", ArrayType(number)), StructField("marks", ArrayType(LongType())), StructField("size", IntegerType()), StructField("shingles", ArrayType(LongType()))]))
+    @pandas_udf(StructType([StructField("node", LongType()), StructField("segments", ArrayType(number)), StructField("marks", ArrayType(LongType())), StructField("bits", ArrayType(LongType())), StructField("size", IntegerType()), StructField("shingles", ArrayType(LongType()))]))
     @tidy
     def made(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
-            nodes, rows, marked, sizes, short = [], [], [], [], []
+            nodes, rows, marked, whole, sizes, short = [], [], [], [], [], []
             for text in batch:
                 words = byte_words(text, lower=True)
                 nodes.append(xxhash.xxh64_intdigest(b" ".join(words), SEED))
                 hashes = shingle_hashes(words, n)
-                rows.append(segments_of(hashes, count, width))
-                marked.append(marks_of(hashes, marks))
+                own = bits_of(hashes, bits)
+                rows.append(numbers(own, count, width))
+                marked.append(marks_of(hashes, count))
+                whole.append(numbers(own, bits // 64, 64))
                 sizes.append(len(hashes))
                 short.append(hashes.view(np.int64) if len(hashes) <= SHORT else None)
-            yield pd.DataFrame({"node": np.array(nodes, np.uint64).view(np.int64), "segments": rows, "marks": marked, "size": np.array(sizes, np.int32), "shingles": short}, index=batch.index)
+            yield pd.DataFrame({"node": np.array(nodes, np.uint64).view(np.int64), "segments": rows, "marks": marked, "bits": whole, "size": np.array(sizes, np.int32), "shingles": short}, index=batch.index)
 
     return made
 
@@ -240,13 +251,13 @@ def _similarity(n: int):
 ASKED = 500_000
 
 
-def _near(a: str, b: str, count: int, width: int, least: float) -> Column:
-    """Whether two structs (segments, size, shingles) may have a similarity of ``least``: sizes at that ratio, and exactly so for two short sets; else differing bits by their expected number and some deviations."""
-    bits, p = count * width, differing_share(least)
+def _near(a: str, b: str, bits: int, least: float) -> Column:
+    """Whether two structs (bits, size, shingles) may have a similarity of ``least``: sizes at that ratio, and exactly so for two short sets; else differing bits by their expected number and some deviations."""
+    p = differing_share(least)
     most = int(bits * p + DEVIATIONS * math.sqrt(bits * p * (1 - p)))
     x, y = F.col(a), F.col(b)
     small, large = F.least(x["size"], y["size"]), F.greatest(x["size"], y["size"])
-    apart = reduce(add, (F.bit_count(F.get(x["segments"], F.lit(k)).bitwiseXOR(F.get(y["segments"], F.lit(k)))) for k in range(count)))
+    apart = reduce(add, (F.bit_count(F.get(x["bits"], F.lit(k)).bitwiseXOR(F.get(y["bits"], F.lit(k)))) for k in range(bits // 64)))
     both = F.size(F.array_intersect(x["shingles"], y["shingles"]))
     exact = both >= least * (x["size"] + y["size"] - both) - 1e-9
     return (small >= least * large) & F.when(large <= SHORT, exact).otherwise(apart <= most)
@@ -272,18 +283,17 @@ def similar_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", n: i
     count = segment_count(width, least, recall, SHARED)
     if width > 31 or count * width > SINGLE:
         raise ValueError(f"{count} segments of {width} bits are too many or too wide for a bucket's tag")
-    # Bits that are compared, beyond those that meet: as many as segments without marks would have.
-    compared = max(count, -(-segment_count(WIDTH, least, recall) * WIDTH // width))
+    bits = max(BITS, -(-count * width // 64) * 64)
     small_batches(docs.sparkSession)
     own = docs.select(F.col(key), F.col(text).alias("_text"))
-    slim = cut(own.select(F.col(key), row_hash(key, "_text").alias("row"), _segments(n, compared, width, count)("_text").alias("s")).select(key, "row", "s.*"))
+    slim = cut(own.select(F.col(key), row_hash(key, "_text").alias("row"), _segments(n, count, width, bits)("_text").alias("s")).select(key, "row", "s.*"))
     first = F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "row"))["row"]
     # Equal nodes have equal segments and sizes.
-    nodes = cut(dealt(slim.groupBy("node").agg(F.min(key).cast("long").alias("least"), first.alias("first_row"), F.count("*").alias("n_rows"), F.first("segments").alias("segments"), F.first("marks").alias("marks"), F.first("size").alias("size"), F.first("shingles").alias("shingles")), "node"))
+    nodes = cut(dealt(slim.groupBy("node").agg(F.min(key).cast("long").alias("least"), first.alias("first_row"), F.count("*").alias("n_rows"), F.first("segments").alias("segments"), F.first("marks").alias("marks"), F.first("bits").alias("bits"), F.first("size").alias("size"), F.first("shingles").alias("shingles")), "node"))
 
     # A bucket's number hashes the mark and the segment without one bit; its tag tells which. Equal segments count at bit 0 only, others where they differ.
     # Sets so short that no partner is larger than SHORT meet by their shingles alone.
-    parted = nodes.where(F.col("size") >= least * (SHORT + 1) - 1e-9).select("node", "marks", F.posexplode(F.slice("segments", 1, count)).alias("k", "v"))
+    parted = nodes.where(F.col("size") >= least * (SHORT + 1) - 1e-9).select("node", "marks", F.posexplode("segments").alias("k", "v"))
     keys = F.array(*[F.shiftleft(F.xxhash64(F.get("marks", F.col("k")), F.col("v").bitwiseAND(~(1 << b))), 16).bitwiseOR((F.col("k") * width + b).cast("long")) for b in range(width)])
     index = parted.select("node", F.explode(keys).alias("bucket"))
     # Short sets meet by the least of their shingles, of which two alike share one; these buckets have a tag of their own.
@@ -299,14 +309,14 @@ def similar_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", n: i
     collect_shuffles(docs.sparkSession)
     texts = own.withColumn("row", row_hash(key, "_text"))
     plain = nodes.select("node", "least")
-    bits = nodes.select("node", F.struct("segments", "size", "shingles").alias("seen"))
+    seen = nodes.select("node", F.struct("bits", "size", "shingles").alias("seen"))
     # Members first meet some leaders of their bucket, so that most of a large group is one component.
     order = F.struct(F.xxhash64("node", F.pmod(F.shiftright("bucket", 16), F.lit(LEADERS))).alias("h"), F.col("node").alias("lead"), F.col("one").alias("lead_one"))
     led = member.groupBy("bucket").agg(F.min(order).alias("m")).select("bucket", "m.*")
     met = member.join(led, "bucket").where("node <> lead and (b = 0 or one <> lead_one)")
     chosen = met.select(F.least("node", "lead").alias("left"), F.greatest("node", "lead").alias("right")).distinct()
-    wide = chosen.join(bits.toDF("left", "a"), "left").join(bits.toDF("right", "b"), "right")
-    near, drop_near = written(wide.where(_near("a", "b", compared, width, least)).select("left", "right"))
+    wide = chosen.join(seen.toDF("left", "a"), "left").join(seen.toDF("right", "b"), "right")
+    near, drop_near = written(wide.where(_near("a", "b", bits, least)).select("left", "right"))
     links = _alike(near, nodes, texts, n, least)
     drop_near()
     roots, drop_roots = written(label_components(plain, links).select("node", "root"))
@@ -315,10 +325,10 @@ def similar_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", n: i
     drop_member()
     sizes = placed.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "root"))["root"].alias("major"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
     # The bits are part of the join's condition: pairs that are too far apart are no rows.
-    mixed = placed.join(sizes, "bucket").withColumn("minor", F.col("root") != F.col("major")).join(bits, "node")
+    mixed = placed.join(sizes, "bucket").withColumn("minor", F.col("root") != F.col("major")).join(seen, "node")
     minor = mixed.where("minor").select("bucket", F.col("node").alias("left"), F.col("root").alias("left_root"), F.col("one").alias("left_one"), F.col("seen").alias("a"))
     other = mixed.select("bucket", "b", F.col("node").alias("right"), F.col("root").alias("right_root"), F.col("one").alias("right_one"), F.col("minor").alias("too"), F.col("seen").alias("c"))
-    met = (minor["bucket"] == other["bucket"]) & F.expr("left_root <> right_root and (b = 0 or left_one <> right_one) and (not too or left < right)") & _near("a", "c", compared, width, least)
+    met = (minor["bucket"] == other["bucket"]) & F.expr("left_root <> right_root and (b = 0 or left_one <> right_one) and (not too or left < right)") & _near("a", "c", bits, least)
     near, drop_near = written(minor.join(other, met).select(F.least("left", "right").alias("left"), F.greatest("left", "right").alias("right")).distinct())
     links = links.unionByName(_alike(near, nodes, texts, n, least))
     drop_near()

@@ -270,6 +270,21 @@ def test_weight_zero_and_remainders(spark):
     assert mixing.allocate(leaves, F.lit(10.0), {"lang": {"en": 0, "de": 0}}, 1).agg(F.sum("target")).first()[0] == 0
 
 
+def test_mixing_plans_stay_small(spark, monkeypatch):
+    """No plan of the allocation holds all levels, and none of the cut all refinements; in one piece they had 34 windows, aggregates and joins."""
+    docs = spark.createDataFrame([(i, f"a b c {i}", "en", f"s{i % 3}") for i in range(30)], "doc_id bigint, text string, lang string, source string")
+    sizes, plain = [], mixing.cut
+
+    def watched(df):
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        sizes.append(sum(plan.count(x) for x in ("Window ", "Aggregate(", "Join ", "Aggregate ")))
+        return plain(df)
+
+    monkeypatch.setattr(mixing, "cut", watched)
+    assert mixing.mix(docs, share=1.0).count() > 0
+    assert max(sizes) < 20
+
+
 def test_mixing_keeps_clashing_columns(spark):
     docs = spark.createDataFrame([(i % 4, f"a b c {i}", "en", f"s{i % 2}") for i in range(12)], "doc_id bigint, text string, lang string, source string")
     for c in ("_n", "_whole", "_last", "_edge", "_end_domain", "domain", "h", "copies", "key", "tokens", "mix_tokens"):

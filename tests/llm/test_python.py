@@ -478,18 +478,17 @@ def test_recall_of_marked_segments(size):
     """Pairs at a similarity of just 0.8, one in the other and of like size: 0.9 and more have a segment of equal mark that differs in one bit at most, and pass the bits."""
     rng = np.random.default_rng(size + 1)
     width, count = simhash.MARKED, simhash.segment_count(simhash.MARKED, shared=simhash.SHARED)
-    compared = -(-simhash.segment_count() * simhash.WIDTH // width)
     p = simhash.differing_share(simhash.LEAST)
-    most = int(compared * width * p + simhash.DEVIATIONS * np.sqrt(compared * width * p * (1 - p)))
+    most = int(simhash.BITS * p + simhash.DEVIATIONS * np.sqrt(simhash.BITS * p * (1 - p)))
     found, pairs = 0, 400 if size < 500 else 150
     for i in range(pairs):
         x = rng.integers(0, 2**63, size, dtype=np.uint64)
         held = -(-8 * size // 10) if i % 2 else -(-16 * size // 18)
         y = x[:held] if i % 2 else np.concatenate([x[:held], rng.integers(0, 2**63, size - held, dtype=np.uint64)])
-        a, b = (simhash.segments_of(np.unique(h), compared, width) for h in (x, y))
+        a, b = (simhash.bits_of(np.unique(h), simhash.BITS) for h in (x, y))
         m = simhash.marks_of(np.unique(x), count) == simhash.marks_of(np.unique(y), count)
-        apart = [int(u ^ v).bit_count() for u, v in zip(a.tolist(), b.tolist())]
-        found += any(m[k] and apart[k] <= 1 for k in range(count)) and sum(apart) <= most
+        apart = (a != b)[: count * width].reshape(count, width).sum(1)
+        found += any(m & (apart <= 1)) and sum(a != b) <= most
     # Two deviations of the measurement are allowed for.
     assert found / pairs >= 0.9 - 2 * (0.09 / pairs) ** 0.5
 
