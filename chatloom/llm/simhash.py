@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from .common import bounded, byte_words, collect_shuffles, cut, dealt, numbered_columns, read, small_batches, tidy, written
+from .common import bounded, byte_words, collect_shuffles, cut, dealt, numbered_columns, read, shuffled, small_batches, tidy, written
 from .components import label_components
 from .suffix_dedup import mixed, rolled
 
@@ -102,7 +102,7 @@ def link_fingerprints(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """From different fingerprints (bits: long): links (left, right, distance), each at least once.
 
     Segments and variants are equality keys, so the work is a shuffle of 64 + the
-    number of segments rows for each fingerprint.
+    number of segments rows for each fingerprint; they are never broadcast.
     """
     prints = dealt(prints, "bits")
     whole, variants = [], []
@@ -114,11 +114,11 @@ def link_fingerprints(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
             variants.append(F.struct(F.lit(k * 64 + b).alias("segment"), value.bitwiseAND(_long(((1 << width) - 1) & ~(1 << b))).alias("value"), one.alias("one")))
     same = prints.select("bits", F.inline(F.array(*whole)))
     other = same.withColumnRenamed("bits", "right")
-    equal = same.withColumnRenamed("bits", "left").join(other, ["segment", "value"]).where("left < right").select("left", "right")
+    equal = same.withColumnRenamed("bits", "left").join(shuffled(other), ["segment", "value"]).where("left < right").select("left", "right")
     index = prints.select("bits", F.inline(F.array(*variants)))
     zeros = index.where(~F.col("one")).select(F.col("bits").alias("left"), "segment", "value")
     ones = index.where("one").select(F.col("bits").alias("right"), "segment", "value")
-    near = zeros.join(ones, ["segment", "value"]).select("left", "right")
+    near = zeros.join(shuffled(ones), ["segment", "value"]).select("left", "right")
     distance = F.bit_count(F.col("left").bitwiseXOR(F.col("right")))
     return equal.unionByName(near).withColumn("distance", distance).where(F.col("distance") <= max_bits)
 

@@ -503,3 +503,22 @@ def test_passages_of_equal_and_null_ids(spark):
     assert got == sorted((k or 0, gone.get(i, t)) for i, (k, t) in enumerate(rows) if i != 8)
     found = sorted((r["doc_id"] or 0, [tuple(s) for s in r["spans"]]) for r in suffix_dedup.repeats(docs).collect())
     assert found == [(0, [(3, 63)]), (1, [(1, 61)]), (4, [(0, 60)]), (4, [(1, 61)]), (8, [(0, 62)]), (8, [(0, 62)])]
+
+
+def final_plan(df):
+    """The plan that ran."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[0]
+
+
+def test_exploded_rows_are_not_broadcast(spark, monkeypatch):
+    """Behind a shuffle of few bytes, 64 times as many rows looked small to Spark and went through the driver."""
+    df = spark.range(300).select(F.xxhash64("id").alias("bits"))
+    plan = final_plan(simhash.link_fingerprints(df))
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    nodes, links = spark.createDataFrame([(i, i) for i in range(9)], "node long, least long"), spark.createDataFrame([(i, i + 1) for i in range(5)], "left long, right long")
+    assert "BroadcastHashJoin" in final_plan(components.label_components(nodes, links))
+    monkeypatch.setattr(components, "BROADCAST_ROWS", 9)
+    parts = components.label_components(nodes, links)
+    assert "BroadcastHashJoin" not in final_plan(parts)
+    assert sorted(tuple(r) for r in parts.collect()) == [(i, 0 if i < 6 else i, 0 if i < 6 else i) for i in range(9)]
