@@ -275,6 +275,20 @@ def _alike(near: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, least: fl
     return found
 
 
+def rarest_shingles(nodes: DataFrame, least: float) -> DataFrame:
+    """(node, s): of the shingles of each short set those that stand first in an order of all shingles, the rarest first; two sets alike share one of theirs (``prefix_length``).
+
+    So sets do not meet by a common line, in however many texts it stands, unless they have little else. A shingle
+    of one set only takes its place in the order and is no row.
+    """
+    held = nodes.where("shingles is not null").select("node", "size", F.explode("shingles").alias("s"))
+    counts = held.groupBy("s").agg(F.count("*").alias("n")).where("n > 1")
+    rare = held.join(shuffled(counts), "s").groupBy("node").agg(F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("n", "s"))).alias("found"))
+    prefix = F.greatest(F.lit(1), F.col("size") - F.ceil(least * F.col("size") - 1e-9) + 1)
+    firsts = F.slice("found", F.lit(1), F.greatest(F.lit(0), prefix - F.col("size") + F.size("found")).cast("int"))
+    return rare.select("node", F.explode(firsts).alias("first")).select("node", "first.s")
+
+
 def similar_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = WORDS, least: float = LEAST, width: int = MARKED, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
     """(rows of key, row, node; for each node, a text up to case and white space: component_id, root, first_row, n_rows, linked).
 
@@ -296,9 +310,7 @@ def similar_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", n: i
     parted = nodes.where(F.col("size") >= least * (SHORT + 1) - 1e-9).select("node", "marks", F.posexplode("segments").alias("k", "v"))
     keys = F.array(*[F.shiftleft(F.xxhash64(F.get("marks", F.col("k")), F.col("v").bitwiseAND(~(1 << b))), 16).bitwiseOR((F.col("k") * width + b).cast("long")) for b in range(width)])
     index = parted.select("node", F.explode(keys).alias("bucket"))
-    # Short sets meet by the least of their shingles, of which two alike share one; these buckets have a tag of their own.
-    firsts = F.slice("shingles", F.lit(1), F.greatest(F.lit(1), (F.col("size") - F.ceil(least * F.col("size") - 1e-9) + 1).cast("int")))
-    index = index.unionByName(nodes.where("shingles is not null").select("node", F.explode(firsts).alias("s")).select("node", F.shiftleft(F.xxhash64("s"), 16).bitwiseOR(F.lit(SINGLE)).alias("bucket")))
+    index = index.unionByName(rarest_shingles(nodes, least).select("node", F.shiftleft(F.xxhash64("s"), 16).bitwiseOR(F.lit(SINGLE)).alias("bucket")))
     whole = Window.partitionBy("bucket")
     shared = index.withColumns({"low": F.min("node").over(whole), "high": F.max("node").over(whole)}).where("low <> high").select("node", "bucket")
     tag = F.col("bucket").bitwiseAND(F.lit(SINGLE)).cast("int")

@@ -435,6 +435,35 @@ def test_short_near_texts_are_all_found(spark):
     assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()) == sorted(k for k, _ in brute_kept(rows))
 
 
+def test_short_texts_do_not_meet_by_a_common_line(spark, monkeypatch):
+    """Texts that share a line of their own each have rarer shingles; only copies of one text with few changes are in buckets, and all of them are found."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(5_000)]
+    lines = [" ".join(rng.choices(words, k=12)) for _ in range(3)]
+    rows = []
+    for i in range(300):
+        own = rng.choices(words, k=rng.randint(9, 35))
+        rows.append((len(rows), f"{lines[i % 3]} {' '.join(own)}" if i % 2 else f"{' '.join(own)} {lines[i % 3]}"))
+        if i < 40:
+            # One word less or another at an end: above 0.8 for some, below for others.
+            own = own[1:] if rng.random() < 0.5 else [*own[:-1], "other"]
+            rows.append((len(rows), f"{lines[i % 3]} {' '.join(own)}" if i % 2 else f"{' '.join(own)} {lines[i % 3]}"))
+    rows += [(len(rows) + i, t) for i, t in enumerate([*lines, lines[0] + " more", "more " + lines[1]])]
+    sizes = []
+
+    def kept(df):
+        found = simhash_written(df)
+        if "bucket" in df.columns and "one" in df.columns and "root" not in df.columns:
+            sizes.extend(r["count"] for r in found[0].groupBy("bucket").count().collect())
+        return found
+
+    simhash_written = simhash.written
+    monkeypatch.setattr(simhash, "written", kept)
+    got = sorted(r["doc_id"] for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert got == sorted(k for k, _ in brute_kept(rows)) and len(got) < len(rows)
+    assert sizes and max(sizes) <= 4
+
+
 @pytest.mark.parametrize("size", [51, 60, 100, 300, 1000, 2000])
 def test_recall_of_larger_texts(size):
     """Pairs at a similarity of just 0.8, one in the other and of like size: 0.9 and more meet in a bucket and pass the bits."""
