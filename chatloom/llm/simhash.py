@@ -309,15 +309,16 @@ def similar_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", n: i
     # Sets so short that no partner is larger than SHORT meet by their shingles alone.
     parted = nodes.where(F.col("size") >= least * (SHORT + 1) - 1e-9).select("node", "marks", F.posexplode("segments").alias("k", "v"))
     keys = F.array(*[F.shiftleft(F.xxhash64(F.get("marks", F.col("k")), F.col("v").bitwiseAND(~(1 << b))), 16).bitwiseOR((F.col("k") * width + b).cast("long")) for b in range(width)])
-    index = parted.select("node", F.explode(keys).alias("bucket"))
-    index = index.unionByName(rarest_shingles(nodes, least).select("node", F.shiftleft(F.xxhash64("s"), 16).bitwiseOR(F.lit(SINGLE)).alias("bucket")))
-    whole = Window.partitionBy("bucket")
-    shared = index.withColumns({"low": F.min("node").over(whole), "high": F.max("node").over(whole)}).where("low <> high").select("node", "bucket")
     tag = F.col("bucket").bitwiseAND(F.lit(SINGLE)).cast("int")
+    one = F.call_function("shiftright", F.col("v"), tag % width).bitwiseAND(1) != 0
+    index = parted.select("node", "v", F.explode(keys).alias("bucket")).select("node", "bucket", one.alias("one"))
+    index = index.unionByName(rarest_shingles(nodes, least).select("node", F.shiftleft(F.xxhash64("s"), 16).bitwiseOR(F.lit(SINGLE)).alias("bucket"), F.lit(False).alias("one")))
+    whole = Window.partitionBy("bucket")
     b = F.when(tag == SINGLE, 0).otherwise(tag % width).alias("b")
-    value = F.get("segments", F.floor(tag / width).cast("int"))
-    one = (tag != SINGLE) & (F.call_function("shiftright", value, tag % width).bitwiseAND(1) != 0)
-    member, drop_member = written(shared.join(nodes.select("node", "segments"), "node").select("node", "bucket", b, F.coalesce(one, F.lit(False)).alias("one")))
+    # Where all have the bit, or none, no two differ in it: equal segments would be in all buckets but the first for nothing.
+    spread = {"low": F.min("node").over(whole), "high": F.max("node").over(whole), "none": F.min("one").over(whole), "any": F.max("one").over(whole)}
+    shared = index.withColumns(spread).select("node", "bucket", b, "one", "low", "high", "none", "any").where("low <> high and (b = 0 or none <> any)")
+    member, drop_member = written(shared.select("node", "bucket", "b", "one"))
     collect_shuffles(docs.sparkSession)
     texts = own.withColumn("row", row_hash(key, "_text"))
     plain = nodes.select("node", "least")

@@ -464,6 +464,27 @@ def test_short_texts_do_not_meet_by_a_common_line(spark, monkeypatch):
     assert sizes and max(sizes) <= 4
 
 
+def test_buckets_of_a_bit_hold_both_values(spark, monkeypatch):
+    """Near copies with equal segments are in the segment's first bucket only, and one is left of them all the same."""
+    rng = random.Random(10)
+    words = [f"w{i}" for i in range(5_000)]
+    base, rows = rng.choices(words, k=400), []
+    for i in range(30):
+        rows.append((i, " ".join([*base[: 390 + i % 10], f"end{i}"])))
+    found = []
+
+    def kept(df):
+        out = simhash_written(df)
+        if "bucket" in df.columns and "one" in df.columns and "root" not in df.columns:
+            found.extend(tuple(r) for r in out[0].groupBy("bucket").agg(F.max("b"), F.count_distinct("one")).collect())
+        return out
+
+    simhash_written = simhash.written
+    monkeypatch.setattr(simhash, "written", kept)
+    assert [r["doc_id"] for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()] == [0]
+    assert found and all(b == 0 or values == 2 for _, b, values in found)
+
+
 @pytest.mark.parametrize("size", [51, 60, 100, 300, 1000, 2000])
 def test_recall_of_larger_texts(size):
     """Pairs at a similarity of just 0.8, one in the other and of like size: 0.9 and more meet in a bucket and pass the bits."""
